@@ -20,10 +20,14 @@ def shannon_entropy(payload: pd.Series) -> pd.Series:
     return payload.map(one).astype("float64")
 
 
+def url_decode(text: Column) -> Column:
+    """Percent-decode ('+' is a space); a '%' that starts no escape stays as it is."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")), text)
+
+
 def url_decode2(text: Column) -> Column:
-    """Percent-decode twice ('+' is a space); malformed input keeps the last good form."""
-    once = F.coalesce(F.try_url_decode(text), text)
-    return F.coalesce(F.try_url_decode(once), once)
+    """Decode twice, for double-encoded payloads."""
+    return url_decode(url_decode(text))
 
 
 def latin1(payload: Column) -> Column:

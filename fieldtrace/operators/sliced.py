@@ -34,21 +34,23 @@ def slice_of(ts: Column, width: int) -> Column:
     return ((ts - F.pmod(ts, F.lit(width))) / F.lit(width)).cast("long")
 
 
-def spread(df: DataFrame, ts: str, lookahead: int, width: int) -> DataFrame:
+def spread(df: DataFrame, ts: str, lookahead: int | Column, width: int) -> DataFrame:
     """Assign rows to their slice and copy them to the slices they can still affect."""
     own = slice_of(F.col(ts), width)
-    last = slice_of(F.col(ts) + F.lit(lookahead), width)
+    last = slice_of(F.col(ts) + (lookahead if isinstance(lookahead, Column) else F.lit(lookahead)), width)
     return df.withColumn("_own", own).withColumn("_slice", F.explode(F.sequence(own, last)))
 
 
-def rolling(df: DataFrame, keys: list[str], window_us: int, measures: dict[str, tuple], *,
+def rolling(df: DataFrame, keys: list[str], window_us: int | Column, measures: dict[str, tuple], *,
             ts: str = "ts_us", seq: str = "seq", closed: bool = False, width: int | None = None) -> DataFrame:
     """Add sliding-window measures over ``(t - window, t]`` (``[t - window, t]`` if closed).
 
     ``measures`` maps a column name to ``("count", condition | None)``,
-    ``("sum", column)`` or ``("distinct", column, condition | None)``.
+    ``("sum", column)`` or ``("distinct", column, condition | None)``. The window may be a
+    column that is constant within a key; ``width`` is then required.
     """
     width = width or max(4 * window_us, 10 * MINUTE)
+    window_us = window_us if isinstance(window_us, Column) else F.lit(window_us)
     columns = df.columns
     part = [*keys, "_slice"]
     rows = spread(df, ts, window_us, width)
@@ -78,12 +80,12 @@ def rolling(df: DataFrame, keys: list[str], window_us: int, measures: dict[str,
             expiry[name] = F.when(live & F.col(f"_out_{name}"), -1).otherwise(0).cast("long")
     enter = F.struct(F.col(ts).alias("at"), F.lit(1).alias("phase"), F.struct(*columns).alias("row"),
                      *[entry[n].alias(f"d_{n}") for n in measures])
-    leave = F.struct((F.col(ts) + F.lit(window_us)).alias("at"), F.lit(2 if closed else 0).alias("phase"),
+    leave = F.struct((F.col(ts) + window_us).alias("at"), F.lit(2 if closed else 0).alias("phase"),
                      F.lit(None).cast(df.schema).alias("row"),
                      *[expiry[n].alias(f"d_{n}") for n in measures])
     moves = rows.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], "_slice", F.col("_own").alias("_own"), F.col(seq).alias("_seq"),
-        F.explode(F.when(F.col(ts) + F.lit(window_us) < (F.col("_slice") + 1) * F.lit(width), F.array(enter, leave))
+        F.explode(F.when(F.col(ts) + window_us < (F.col("_slice") + 1) * F.lit(width), F.array(enter, leave))
                   .otherwise(F.array(enter))).alias("_m"))
     w = (Window.partitionBy(*[f"_k_{k}" for k in keys], "_slice").orderBy("_m.at", "_m.phase", "_seq")
          .rowsBetween(Window.unboundedPreceding, 0))
@@ -158,3 +160,27 @@ def running_distinct(df: DataFrame, keys: list[str], item: str, name: str, *, ts
         "_new", (F.col("_first") == F.struct(ts, seq)).cast("long"))
     return running(flagged, keys, {name: ("sum", F.col("_new"))}, ts=ts, seq=seq, width=width).select(
         *df.columns, name)
+
+
+def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median", buckets: int = 512) -> DataFrame:
+    """Exact median per key (mean of the two middle values), without sorting a key in one task.
+
+    Equal values are counted first; the value axis of each key is then cut into
+    buckets whose counts are folded, so ranks inside a bucket are local.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    bounds = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
+    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+                                                         * F.lit(buckets))).otherwise(F.lit(0)).cast("long")
+    placed = counts.join(bounds, keys).withColumn("_slice", place)
+    heads = placed.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_c"))
+    along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(*keys, "_slice", F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_start"))
+    local = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(heads, [*keys, "_slice"]).withColumn("_to", F.col("_start") + F.sum("_n").over(local))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+
+    def at(rank):
+        return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col("_v")))
+    return ranked.groupBy(*keys).agg(((at(low) + at(high)) / 2).alias(name))

@@ -139,7 +139,7 @@ def segments(spark: SparkSession, folder: str) -> DataFrame:
 _FLOW = """
 SELECT src, dst, ts_us, ROW_NUMBER() OVER (PARTITION BY src, dst, ts_us ORDER BY bytes) AS seq, bytes FROM (
 SELECT concat('h', CAST(l_suppkey AS {text})) AS src, concat('d', CAST(l_partkey % 5 AS {text})) AS dst,
- {days} * 7200000000 + 600000000 * l_linenumber AS ts_us, CAST(sum(CAST(l_extendedprice AS BIGINT)) AS BIGINT) AS bytes
+ {days} * 7200000000 + CAST(l_linenumber AS BIGINT) * 600000000 AS ts_us, CAST(sum(CAST(floor(l_extendedprice) AS BIGINT)) AS BIGINT) AS bytes
 FROM {source} GROUP BY 1, 2, 3) f"""
 FL_SQL = "fl AS (" + _FLOW.format(text="VARCHAR", days="date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE))",
                                   source="lineitem") + ")"
@@ -228,7 +228,7 @@ def web_responses(spark: SparkSession, folder: str) -> DataFrame:
 _SESSIONS = """
 SELECT concat('s', CAST(o_orderkey AS {text})) AS session_id, concat('capture_', CAST(o_custkey % 100 AS {text}), '.pcap') AS capture,
  {t} AS started_us, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
- CAST(o_totalprice AS BIGINT) AS total_packets, o_custkey % 50 AS total_anomalies
+ CAST(floor(o_totalprice) AS BIGINT) AS total_packets, o_custkey % 50 AS total_anomalies
 FROM {source}"""
 SE_SQL = "se AS (" + _SESSIONS.format(text="VARCHAR", t="epoch_us(o_orderdate)", source="orders") + ")"
 
