@@ -24,22 +24,29 @@ from fieldtrace.operators.sliced import MINUTE, slice_of, spread
 
 OLDER = -(2 ** 62)
 
-# (ts, first own row) -> successor of "no mark in view" and of each row, len(ts) meaning none
-Successor = Callable[[np.ndarray, int], np.ndarray]
+# (key, ts, first own row) -> successor of "no mark in view" and of each row, len(ts) meaning none
+Successor = Callable[[str, np.ndarray, int], np.ndarray]
+SEP = "\u0001"
 
 
-def gap_successor(gap_us: int, strict: bool) -> Successor:
+def _of(setting, key: str):
+    """A constant, or the value for the first part of the key."""
+    return setting[key.split(SEP, 1)[0]] if isinstance(setting, dict) else setting
+
+
+def gap_successor(gap_us: int | dict[str, int], strict: bool) -> Successor:
     """Next mark: first row more than (``strict``) or at least ``gap_us`` after the last."""
-    def successor(ts: np.ndarray, head: int) -> np.ndarray:
-        nxt = np.searchsorted(ts, ts + gap_us, side="right" if strict else "left")
+    def successor(key: str, ts: np.ndarray, head: int) -> np.ndarray:
+        nxt = np.searchsorted(ts, ts + _of(gap_us, key), side="right" if strict else "left")
         nxt = np.maximum(np.maximum(nxt, np.arange(1, len(ts) + 1)), head)
         return np.concatenate(([head], nxt))
     return successor
 
 
-def threshold_successor(count: int, window_us: int) -> Successor:
+def threshold_successor(limits: tuple[int, int] | dict[str, tuple[int, int]]) -> Successor:
     """Next mark: first row closing ``count`` rows within ``window_us`` since the last mark."""
-    def successor(ts: np.ndarray, head: int) -> np.ndarray:
+    def successor(key: str, ts: np.ndarray, head: int) -> np.ndarray:
+        count, window_us = _of(limits, key)
         size = len(ts)
         hits = np.arange(count - 1, size)
         hits = hits[(ts[hits] - ts[hits - count + 1] <= window_us) & (hits >= head)] if size >= count else hits[:0]
@@ -108,7 +115,7 @@ def _transfer(successor: Successor):
             size = len(ts)
             if head == size:
                 continue
-            nxt = successor(ts, head)
+            nxt = successor(k, ts, head)
             last = np.where(nxt[1:] < size, nxt[1:], np.arange(size))
             while True:
                 further = last[last]
@@ -153,7 +160,7 @@ def _marks(successor: Successor):
             size = len(ts)
             if head == size:
                 continue
-            nxt = successor(ts, head)
+            nxt = successor(k, ts, head)
             p = -1
             if carried:
                 state = (c["ts"][0], c["seq"][0])
@@ -173,7 +180,7 @@ def _marks(successor: Successor):
 def _with_marks(df: DataFrame, keys: list[str], lookback_us: int, successor: Successor, ts: str, seq: str,
                 width: int | None) -> DataFrame:
     width = width or max(4 * lookback_us, 10 * MINUTE)
-    text = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    text = F.concat_ws(SEP, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     rows = df.withColumn("_k", text)
     points = (spread(rows.select("_k", F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq")),
                      "ts", lookback_us, width)
@@ -210,16 +217,25 @@ def anchored(df: DataFrame, keys: list[str], gap_us: int, *, strict: bool = True
     return _with_marks(df, keys, gap_us, gap_successor(gap_us, strict), ts, seq, width)
 
 
-def cooled(df: DataFrame, keys: list[str], cooldown_us: int, **order) -> DataFrame:
-    """Keep a row only when ``cooldown_us`` or more passed since the last kept row of its key."""
-    if cooldown_us <= 0:
+def cooled(df: DataFrame, keys: list[str], cooldown_us: int | dict[str, int], **order) -> DataFrame:
+    """Keep a row only when the cooldown passed since the last kept row of its key.
+
+    A dict gives the cooldown by the value of the first key column.
+    """
+    longest = max(cooldown_us.values(), default=0) if isinstance(cooldown_us, dict) else cooldown_us
+    if longest <= 0:
         return df
-    return anchored(df, keys, cooldown_us, strict=False, **order).where("is_mark").drop(
-        "mark_us", "mark_seq", "is_mark")
+    ts, seq = order.get("ts", "ts_us"), order.get("seq", "seq")
+    return (_with_marks(df, keys, longest, gap_successor(cooldown_us, False), ts, seq, order.get("width"))
+            .where("is_mark").drop("mark_us", "mark_seq", "is_mark"))
+
 
+def tripped(df: DataFrame, keys: list[str], limits: tuple[int, int] | dict[str, tuple[int, int]], *, ts: str = "ts_us",
+            seq: str = "seq", width: int | None = None) -> DataFrame:
+    """Rows completing ``count`` rows within ``window_us`` (closed), counting afresh after each.
 
-def tripped(df: DataFrame, keys: list[str], count: int, window_us: int, *, ts: str = "ts_us", seq: str = "seq",
-            width: int | None = None) -> DataFrame:
-    """Rows completing ``count`` rows within ``window_us`` (closed), counting afresh after each."""
-    return (_with_marks(df, keys, window_us, threshold_successor(count, window_us), ts, seq, width)
+    ``limits`` is (count, window_us), or a dict of them by the value of the first key column.
+    """
+    longest = max(w for _, w in limits.values()) if isinstance(limits, dict) else limits[1]
+    return (_with_marks(df, keys, longest, threshold_successor(limits), ts, seq, width)
             .where("is_mark").drop("mark_us", "mark_seq", "is_mark"))

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldtrace.session import stage
+
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 
@@ -170,6 +172,7 @@ def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median",
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
+    counts = stage(counts)      # already reduced; read by the bounds, the bucket totals and the ranks
     bounds = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
     place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
                                                          * F.lit(buckets))).otherwise(F.lit(0)).cast("long")
