@@ -10,9 +10,11 @@ MAX_SECONDS = 253402300799  # last second of the year 9999
 
 def format_bytes(size: Column) -> Column:
     """B, KB, MB, GB or TB with one decimal."""
-    out = F.format_string("%.1f TB", size / 1024.0 ** 4)
+    def text(power, unit):
+        return F.format_string(f"%.1f {unit}", F.bround(size / 1024.0 ** power, 1))
+    out = text(4, "TB")
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(size < 1024.0 ** (power + 1), F.format_string(f"%.1f {unit}", size / 1024.0 ** power)).otherwise(out)
+        out = F.when(size < 1024.0 ** (power + 1), text(power, unit)).otherwise(out)
     return out
 
 

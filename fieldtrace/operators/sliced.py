@@ -99,8 +99,8 @@ def running(df: DataFrame, keys: list[str], measures: dict[str, tuple], *, ts: s
             width: int = HOUR) -> DataFrame:
     """Add measures over the whole history of a key, in ``(ts, seq)`` order.
 
-    ``("sum", col)`` and ``("max", col)`` include the row itself, ``("prev", col)`` is
-    the value of the row before, ``("last", col)`` the last non-null value up to and
+    ``("sum", col)`` and ``("max", col)`` include the row itself, ``("past_max", col)``
+    does not, ``("prev", col)`` is the value of the row before, ``("last", col)`` the last non-null value up to and
     including the row, ``("before", col)`` the same excluding the row.
     """
     part = [*keys, "_slice"]
@@ -114,7 +114,7 @@ def running(df: DataFrame, keys: list[str], measures: dict[str, tuple], *, ts: s
         if kind == "sum":
             heads.append(F.sum(col).alias(c))
             folds.append(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c))
-        elif kind == "max":
+        elif kind in ("max", "past_max"):
             heads.append(F.max(col).alias(c))
             folds.append(F.max(c).over(earlier).alias(c))
         elif kind == "prev":
@@ -133,6 +133,9 @@ def running(df: DataFrame, keys: list[str], measures: dict[str, tuple], *, ts: s
             out.append((start + F.sum(col).over(upto)).alias(name))
         elif kind == "max":
             out.append(F.greatest(start, F.max(col).over(upto)).alias(name))
+        elif kind == "past_max":
+            past = local.rowsBetween(Window.unboundedPreceding, -1)
+            out.append(F.greatest(start, F.max(col).over(past)).alias(name))
         elif kind == "prev":
             out.append(F.when(F.row_number().over(local) == 1, start).otherwise(F.lag(col).over(local)).alias(name))
         elif kind == "last":
