@@ -16,9 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-STEPS = "array<struct<layer:int,encoding:string,input_size:long,output_size:long,success:boolean>>"
-DECODED = f"struct<data:binary,steps:{STEPS}>"
+STEPS = T.ArrayType(T.StructType([
+    T.StructField("layer", T.IntegerType()), T.StructField("encoding", T.StringType()), T.StructField("input_size", T.LongType()),
+    T.StructField("output_size", T.LongType()), T.StructField("success", T.BooleanType())]))
+DECODED = T.StructType([T.StructField("data", T.BinaryType()), T.StructField("steps", STEPS)])
 _HEX = re.compile(rb"^[0-9a-fA-F]{20,}$")
 _B64 = re.compile(rb"^[A-Za-z0-9+/=]{20,}$")
 _PCT = re.compile(rb"%[0-9a-fA-F]{2}")
@@ -125,12 +128,17 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
     return pd.DataFrame({"data": [r["data"] for r in rows], "steps": [r["steps"] for r in rows]})
 
 
-@F.pandas_udf(DECODED)
+def _once(fn):
+    """An Arrow function whose result is computed once and not inlined into every use."""
+    return F.pandas_udf(fn, DECODED).asNondeterministic()
+
+
+@_once
 def _peel_detect(payload: pd.Series) -> pd.DataFrame:
     return _frame([_peel(p, "detect", 5) for p in payload])
 
 
-@F.pandas_udf(DECODED)
+@_once
 def _peel_attempt(payload: pd.Series) -> pd.DataFrame:
     return _frame([_peel(p, "attempt", 5) for p in payload])
 
@@ -152,7 +160,7 @@ def _dechunk(data: bytes) -> bytes:
     return bytes(out)
 
 
-@F.pandas_udf(DECODED)
+@_once
 def decode_body(body: pd.Series, chunked: pd.Series, encoding: pd.Series) -> pd.DataFrame:
     """Transfer encoding, then the declared content encoding, then whatever layers remain."""
     rows = []

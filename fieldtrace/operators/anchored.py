@@ -179,6 +179,7 @@ def _marks(successor: Successor):
 
 def _with_marks(df: DataFrame, keys: list[str], lookback_us: int, successor: Successor, ts: str, seq: str,
                 width: int | None) -> DataFrame:
+    df = df.drop("mark_us", "mark_seq", "is_mark")
     width = width or max(4 * lookback_us, 10 * MINUTE)
     text = F.concat_ws(SEP, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     rows = df.withColumn("_k", text)

@@ -10,7 +10,7 @@ from fieldtrace.functions.content import decode_layers
 from fieldtrace.functions.text import latin1, shannon_entropy, url_decode, url_decode2
 from fieldtrace.operators.anchored import anchored, cooled
 from fieldtrace.operators.shaping import alert
-from fieldtrace.operators.sliced import numbered, rolling, seconds, spread
+from fieldtrace.operators.sliced import numbered, rolling, running, seconds, spread
 
 
 def _text(name: str) -> Column:
@@ -308,28 +308,30 @@ def request_threats(requests: DataFrame) -> DataFrame:
     return out
 
 
-def webshell_sequence(threats: DataFrame, last: int = 10) -> DataFrame:
-    """Upload, access and command among the last threats of a source.
+def webshell_sequence(requests: DataFrame, threats: DataFrame, last: int = 10) -> DataFrame:
+    """Requests at which upload, access and command are among the source's last threats.
 
-    A request is judged after all of its own threats. The last threats of a source
-    are looked up by position: each threat is dealt to the ``last`` positions it is
-    still recent for, so a busy source is spread over as many groups as it has threats.
+    A request is judged after its own threats. Each threat is dealt to the ``last``
+    positions it is still recent for, so a busy source is spread over as many groups
+    as it has threats, and a request looks its position up.
     """
     rows = threats.withColumn("_sub", F.col("seq") * 8 + F.col("_rank"))
-    rows = numbered(rows.select("ts_us", "_sub", "seq", "src_ip", "dst_ip", "anomaly_type"), ["src_ip"], ts="ts_us", seq="_sub")
-    dealt = rows.select("src_ip", "rn", "anomaly_type", F.explode(F.sequence(F.col("rn"), F.col("rn") + (last - 1))).alias("_at"))
+    rows = numbered(rows.select("ts_us", "_sub", "seq", "src_ip", "anomaly_type"), ["src_ip"], ts="ts_us", seq="_sub")
+    dealt = rows.select("src_ip", "anomaly_type", F.explode(F.sequence(F.col("rn"), F.col("rn") + (last - 1))).alias("position"))
 
     def seen(*words):
         test = F.lit(False)
         for word in words:
             test = test | F.col("anomaly_type").contains(word)
         return F.max(test.cast("int"))
-    recent = dealt.groupBy("src_ip", "_at").agg(seen("UPLOAD").alias("u"), seen("WEBSHELL_ACCESS", "EXECUTION").alias("a"), seen("COMMAND").alias("c"))
-    final = rows.groupBy("src_ip", "dst_ip", "ts_us", "seq").agg(F.max("rn").alias("rn"))
-    fired = final.join(recent, (final["src_ip"] == recent["src_ip"]) & (final["rn"] == recent["_at"])).where(
-        "rn >= 3 AND u = 1 AND a = 1 AND c = 1").drop(recent["src_ip"])
+    recent = dealt.groupBy("src_ip", "position").agg(
+        seen("UPLOAD").alias("u"), seen("WEBSHELL_ACCESS", "EXECUTION").alias("a"), seen("COMMAND").alias("c")).where("u = 1 AND a = 1 AND c = 1")
+    own = threats.groupBy("src_ip", "ts_us", "seq").agg(F.count(F.lit(1)).alias("_n"))
+    asked = requests.select("ts_us", "seq", "src_ip", "dst_ip").join(own, ["src_ip", "ts_us", "seq"], "left")
+    asked = running(asked, ["src_ip"], {"position": ("sum", F.coalesce("_n", F.lit(0)))})
+    fired = asked.where("position >= 3").join(recent, ["src_ip", "position"])
     return alert(fired, "ATTACK_CHAIN_WEBSHELL", "CRITICAL", protocol=F.lit("HTTP"), confidence=0.95,
-                 mitre=["T1505.003", "T1059", "T1105"], evidence={"attack_stages": F.col("rn")})
+                 mitre=["T1505.003", "T1059", "T1105"], evidence={"attack_stages": F.col("position")})
 
 
 def http_attacker_summary(requests: DataFrame, threats: DataFrame) -> DataFrame:
