@@ -211,11 +211,16 @@ def http_attacker_summary(spark, folder):
 
 # --------------------------------------------------------------------------- layers and messages
 
+def one_line(data):
+    """base64 without line breaks."""
+    return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
+
+
 @query("decode_layers", "SELECT doc_id, sha256(text) AS digest, 'hex,base64' AS layers FROM documents WHERE octet_length(encode(text)) >= 30")
 def decode_layers_query(spark, folder):
     raw = F.encode("text", "UTF-8")
     rows = table(spark, folder, "documents").where(F.octet_length(raw) >= 30)
-    wrapped = F.encode(F.hex(F.encode(F.base64(raw), "UTF-8")), "UTF-8")
+    wrapped = F.encode(F.hex(F.encode(one_line(raw), "UTF-8")), "UTF-8")
     rows = rows.select("doc_id", decode_layers(wrapped).alias("d"))
     steps = F.slice("d.steps", 1, 2)
     return rows.select("doc_id", F.sha2("d.data", 256).alias("digest"), F.array_join(F.transform(steps, lambda s: s["encoding"]), ",").alias("layers"))
@@ -267,7 +272,7 @@ UNION ALL SELECT seq, 'HTTP_MULTILAYER_ENCODING' FROM cb""")
 def http_decoded_alert(spark, folder):
     rows = coded(spark, folder)
     # three layers around each body: base64, hex, base64
-    wrapped = F.base64(F.encode(F.hex(F.encode(F.base64(F.encode("body", "UTF-8")), "UTF-8")), "UTF-8"))
+    wrapped = one_line(F.encode(F.hex(F.encode(one_line(F.encode("body", "UTF-8")), "UTF-8")), "UTF-8"))
     head = F.concat(F.lit("POST /x HTTP/1.1\r\nHost: a\r\nContent-Length: "), F.length(wrapped).cast("string"), F.lit("\r\n\r\n"))
     segments = rows.select("src_ip", "dst_ip", "src_port", F.col("dst_port"), F.lit(1).cast("long").alias("tcp_seq"), "ts_us", "seq",
                            F.encode(F.concat(head, wrapped), "UTF-8").alias("payload"))
