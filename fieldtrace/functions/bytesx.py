@@ -6,42 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _c(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def take(data: Column, offset, length) -> Column:
-    return F.substring(data, _c(offset).cast("int") + 1, _c(length).cast("int"))
+    at = F.lit(offset + 1) if isinstance(offset, int) else offset.cast("int") + 1
+    return F.substring(data, at, F.lit(length) if isinstance(length, int) else length.cast("int"))
 
 
 def rest(data: Column, offset) -> Column:
-    return F.substring(data, _c(offset).cast("int") + 1, F.octet_length(data))
-
-
-def uint(data: Column, offset, size: int) -> Column:
-    """Big-endian unsigned integer, null when the bytes are not all there."""
-    part = take(data, offset, size)
-    return F.when((F.octet_length(part) == size) & (_c(offset) >= 0), F.conv(F.hex(part), 16, 10).cast("long"))
+    return take(data, offset, F.octet_length(data))
 
 
 def u8(data: Column, offset) -> Column:
-    return uint(data, offset, 1).cast("int")
+    """Byte at an offset, null past the end."""
+    return F.conv(F.hex(take(data, offset, 1)), 16, 10).cast("int")
 
 
 def u16(data: Column, offset) -> Column:
-    return uint(data, offset, 2).cast("int")
+    return u8(data, offset) * 256 + u8(data, offset + 1)
 
 
 def u32(data: Column, offset) -> Column:
-    return uint(data, offset, 4)
+    return u16(data, offset).cast("long") * 65536 + u16(data, offset + 2)
 
 
 def u16le(data: Column, offset) -> Column:
-    return u8(data, offset) + 256 * u8(data, _c(offset) + 1)
+    return u8(data, offset) + 256 * u8(data, offset + 1)
 
 
 def u32le(data: Column, offset) -> Column:
-    return u16le(data, offset).cast("long") + 65536 * u16le(data, _c(offset) + 2).cast("long")
+    return u16le(data, offset).cast("long") + 65536 * u16le(data, offset + 2).cast("long")
 
 
 def nbytes(data: Column) -> Column:

@@ -248,10 +248,9 @@ def decode_bacnet(pdus: DataFrame) -> DataFrame:
     control = u8(P, 5)
     routed = b.isin(4, 10, 11) & (nbytes(P) > 6)
     dest, source = bits(control, 0x20) != 0, bits(control, 0x08) != 0
-    at = F.lit(6) + F.when(dest, 3 + F.coalesce(u8(P, 8), F.lit(0))).otherwise(0)
-    at = at + F.when(source, 3 + F.coalesce(u8(P, at + 2), F.lit(0))).otherwise(0)
-    at = at + F.when(dest, 1).otherwise(0)
-    rows = rows.withColumn("_at", F.when(routed, at))
+    rows = rows.withColumn("_a1", F.lit(6) + F.when(dest, 3 + F.coalesce(u8(P, 8), F.lit(0))).otherwise(0))
+    rows = rows.withColumn("_a2", F.col("_a1") + F.when(source, 3 + F.coalesce(u8(P, F.col("_a1") + 2), F.lit(0))).otherwise(0))
+    rows = rows.withColumn("_at", F.when(routed, F.col("_a2") + F.when(dest, 1).otherwise(0)))
     at = F.col("_at")
     rows = rows.withColumn("_apdu", F.when(at < nbytes(P), F.shiftright(u8(P, at), 4)))
     apdu = F.col("_apdu")

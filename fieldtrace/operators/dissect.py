@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from fieldtrace.dims import OT_TCP_PORTS, OT_UDP_PORTS, literal_map
 from fieldtrace.functions.bytesx import bits, ipv6_text, nbytes, rest, take, u8, u16, u32
 from fieldtrace.functions.net import ipv4_text, mac_text
+from fieldtrace.operators.settle import settle
 
 VLAN_TAGS = [0x8100, 0x88A8, 0x9100]
 VLAN_DEPTH = 3
@@ -19,18 +20,19 @@ RAW_LINKS = [12, 14, 101, 228]
 def dissect_link(packets: DataFrame) -> DataFrame:
     """Network-layer bytes, EtherType (4 or 6 as type for raw links) and source MAC of each packet."""
     d, link = F.col("data"), F.col("linktype")
-    kind, offset = u16(d, 12), F.lit(14)
+    rows = packets.withColumn("_kind", u16(d, 12)).withColumn("_skip", F.lit(14))
     for _ in range(VLAN_DEPTH):
-        tagged = kind.isin(VLAN_TAGS)
-        kind, offset = F.when(tagged, u16(d, offset + 2)).otherwise(kind), F.when(tagged, offset + 4).otherwise(offset)
-    raw = F.when(bits(F.shiftright(u8(d, 0), 4), 15) == 4, 0x0800).when(bits(F.shiftright(u8(d, 0), 4), 15) == 6, 0x86DD)
-    loop = F.when(bits(F.shiftright(u8(d, 4), 4), 15) == 4, 0x0800).when(bits(F.shiftright(u8(d, 4), 4), 15) == 6, 0x86DD)
-    ether = F.when(link == 1, kind).when(link == 113, u16(d, 14)).when(link == 276, u16(d, 0)).when(link == 0, loop).when(
-        link.isin(RAW_LINKS), raw).when(link == 229, 0x86DD)
-    skip = F.when(link == 1, offset).when(link == 113, 16).when(link == 276, 20).when(link == 0, 4).otherwise(0)
-    return (packets.withColumn("ether_type", ether).withColumn("_skip", skip).where("ether_type IS NOT NULL")
-            .withColumn("src_mac", F.when(link == 1, mac_text(take(d, 6, 6))).otherwise(""))
-            .withColumn("l3", rest(d, F.col("_skip"))).drop("_skip"))
+        # a step per tag: each reads at the offset the step before settled
+        tagged = F.col("_kind").isin(VLAN_TAGS)
+        rows = rows.withColumn("_next", F.when(tagged, F.col("_skip") + 4).otherwise(F.col("_skip")))
+        rows = rows.withColumn("_kind", F.when(tagged, u16(d, F.col("_skip") + 2)).otherwise(F.col("_kind"))).withColumn("_skip", F.col("_next"))
+    version = F.shiftright(u8(d, F.when(link == 0, 4).otherwise(0)), 4)
+    ip = F.when(version == 4, 0x0800).when(version == 6, 0x86DD)
+    ether = F.when(link == 1, F.col("_kind")).when(link == 113, u16(d, 14)).when(link == 276, u16(d, 0)).when(
+        link.isin(0, *RAW_LINKS), ip).when(link == 229, 0x86DD)
+    skip = F.when(link == 1, F.col("_skip")).when(link == 113, 16).when(link == 276, 20).when(link == 0, 4).otherwise(0)
+    rows = settle(rows, ether_type=ether, src_mac=F.when(link == 1, mac_text(take(d, 6, 6))).otherwise(""), l3=rest(d, skip))
+    return rows.where("ether_type IS NOT NULL").drop("_kind", "_skip", "_next")
 
 
 def dissect_ipv4(frames: DataFrame) -> DataFrame:
@@ -74,11 +76,10 @@ def dissect_tcp_udp(datagrams: DataFrame) -> DataFrame:
     tcp = (proto == 6) & (nbytes(d) >= 20) & (offset >= 20)
     udp = (proto == 17) & (nbytes(d) >= 8)
     known = tcp | udp
-    return datagrams.select(
-        "capture", "frame_no", F.col("frame_no").alias("seq"), "ts_us", "src_mac", "src_ip", "dst_ip", "ip_proto",
-        F.when(known, u16(d, 0)).alias("src_port"), F.when(known, u16(d, 2)).alias("dst_port"),
-        F.when(tcp, u8(d, 13)).alias("tcp_flags"), F.when(tcp, u32(d, 4)).alias("tcp_seq"), "ip_len",
-        F.when(tcp, rest(d, offset)).when(udp, rest(d, 8)).alias("payload"))
+    rows = settle(datagrams, src_port=F.when(known, u16(d, 0)), dst_port=F.when(known, u16(d, 2)), tcp_flags=F.when(tcp, u8(d, 13)),
+                  tcp_seq=F.when(tcp, u32(d, 4)), payload=F.when(tcp, rest(d, offset)).when(udp, rest(d, 8)))
+    return rows.select("capture", "frame_no", F.col("frame_no").alias("seq"), "ts_us", "src_mac", "src_ip", "dst_ip", "ip_proto",
+                       "src_port", "dst_port", "tcp_flags", "tcp_seq", "ip_len", "payload")
 
 
 def dissect(packets: DataFrame) -> DataFrame:

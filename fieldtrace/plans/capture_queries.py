@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.bytesx import ipv6_text
 from fieldtrace.operators import decode, dissect, pdus
+from fieldtrace.operators.settle import settle
 from fieldtrace.plans import adapters as ad
 from fieldtrace.plans.registry import query
 from fieldtrace.sources.capture import parse_captures
@@ -30,6 +31,10 @@ def raw(*parts) -> Column:
     return F.unhex(F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
 
 
+def payload(df, value: Column):
+    return settle(df, payload=value)
+
+
 def quad(ip: str) -> Column:
     return F.concat(*[hexn(F.element_at(F.split(ip, "\\."), i).cast("long"), 1) for i in range(1, 5)])
 
@@ -48,7 +53,7 @@ def modbus_bytes() -> Column:
 
 
 def modbus(spark, folder):
-    return events(spark, folder).where("protocol = 'MODBUS_TCP'").withColumn("payload", F.unhex(modbus_bytes()))
+    return events(spark, folder).where("protocol = 'MODBUS_TCP'").transform(payload, F.unhex(modbus_bytes()))
 
 
 def frames(spark, folder):
@@ -58,7 +63,8 @@ def frames(spark, folder):
     rows = rows.withColumn("_ip", F.concat(F.lit("4500"), hexn(F.length("_tcp") / 2 + 20, 2), F.lit("0001000040060000"), quad("src_ip"), quad("dst_ip"), F.col("_tcp")))
     vlan = F.when(F.col("seq") % 3 == 0, F.lit("81000005")).otherwise(F.lit(""))
     ether = F.concat(F.lit("0200000000010A0B0C0D0E"), hexn(F.col("user_id") % 256, 1), vlan, F.lit("0800"), F.col("_ip"), F.lit("0000"))
-    return rows.select(F.lit("c").alias("capture"), F.col("seq").alias("frame_no"), "ts_us", F.lit(1).alias("linktype"), F.unhex(ether).alias("data"))
+    return settle(rows.select(F.lit("c").alias("capture"), F.col("seq").alias("frame_no"), "ts_us", F.lit(1).alias("linktype"), ether.alias("h")),
+                  data=F.unhex("h")).drop("h")
 
 
 @query("dissect_link", f"WITH {ad.EV_SQL} SELECT seq, 2048 AS ether_type, concat('0a:0b:0c:0d:0e:', lpad(lower(hex(user_id % 256)), 2, '0')) AS src_mac FROM ev WHERE protocol = 'MODBUS_TCP'")
@@ -86,7 +92,8 @@ def dissect_ipv6(spark, folder):
     body = F.when(F.col("seq") % 2 == 0, hop).otherwise(udp)
     ip = F.concat(F.lit("60000000"), hexn(F.length(body) / 2, 2), F.when(F.col("seq") % 2 == 0, "00").otherwise("11"), F.lit("40"),
                   F.lit("20010DB8000000000000000000000000").substr(1, 28), hexn(F.col("k"), 2), F.lit("FE800000000000000000000000000001"), body)
-    rows = ad.base_events(spark, folder).select(F.lit("c").alias("capture"), F.col("seq").alias("frame_no"), "ts_us", F.lit(229).alias("linktype"), F.unhex(ip).alias("data"))
+    rows = ad.base_events(spark, folder).select(F.lit("c").alias("capture"), F.col("seq").alias("frame_no"), "ts_us", F.lit(229).alias("linktype"), ip.alias("h"))
+    rows = settle(rows, data=F.unhex("h")).drop("h")
     return dissect.dissect(rows).select("seq", "src_ip", "dst_ip", "src_port", "dst_port", F.octet_length("payload").alias("size"))
 
 
@@ -113,14 +120,14 @@ def decode_modbus(spark, folder):
 def decode_s7comm(spark, folder):
     fc, ack = F.col("function_code"), F.col("k") % 2 == 1
     s7 = F.concat(F.lit("32"), F.when(ack, "03").otherwise("01"), F.lit("00000001"), F.lit("00020000"), F.when(ack, "0000").otherwise(""), hexn(fc, 1), F.lit("00"))
-    rows = events(spark, folder).where("protocol = 'S7COMM'").withColumn("payload", raw("0300", hexn(F.length(s7) / 2 + 7, 2), "02F080", s7))
+    rows = events(spark, folder).where("protocol = 'S7COMM'").transform(payload, raw("0300", hexn(F.length(s7) / 2 + 7, 2), "02F080", s7))
     return decode.decode_s7comm(rows).select("seq", "function_code", "function_name")
 
 
 @query("decode_dnp3", f"""WITH {ad.EV_SQL} SELECT seq, function_code, CASE function_code WHEN 1 THEN 'Read' WHEN 3 THEN 'Select' WHEN 4 THEN 'Operate' WHEN 5 THEN 'Direct Operate' ELSE 'Stop Application' END AS function_name,
  concat('DNP3Dst=', k, ', DNP3Src=', k + 300, ', Ctrl=0xC4') AS notes FROM ev WHERE protocol = 'DNP3'""")
 def decode_dnp3(spark, folder):
-    rows = events(spark, folder).where("protocol = 'DNP3'").withColumn("payload", raw(
+    rows = events(spark, folder).where("protocol = 'DNP3'").transform(payload, raw(
         "056408C4", le(F.col("k"), 2), le(F.col("k") + 300, 2), "0000", "C0C0", hexn(F.col("function_code"), 1), "0000"))
     return decode.decode_dnp3(rows).select("seq", "function_code", "function_name", "notes")
 
@@ -129,7 +136,7 @@ def decode_dnp3(spark, folder):
  CASE event_type WHEN 'purchase' THEN 'WRITE' WHEN 'signup' THEN 'CONTROL' WHEN 'error' THEN 'CONTROL' ELSE 'READ' END AS operation_type FROM ev WHERE protocol = 'ENIP'""")
 def decode_enip(spark, folder):
     svc = F.regexp_extract("notes", "CIP=0x(..)", 1)
-    rows = events(spark, folder).where("protocol = 'ENIP'").withColumn("payload", raw(
+    rows = events(spark, folder).where("protocol = 'ENIP'").transform(payload, raw(
         "6F00", "1400", "78563412", "00000000", "0000000000000000", "00000000", "00000000", "0000", "0200", "00000000", "B2000200", svc, "00"))
     return decode.decode_enip(rows).select("seq", "function_name", "operation_type")
 
@@ -141,7 +148,7 @@ def decode_iec104(spark, folder):
     asdu = F.concat(F.when(kind == "view", "64").otherwise("2D"), F.lit("010600"), F.lit("0700"), le(F.col("k"), 3), F.lit("01"))
     body = (F.when(kind.isin("view", "purchase"), F.concat(F.lit("680E00000000"), asdu)).when(kind == "click", "680407000000")
             .when(kind == "signup", "680401000200").otherwise("680413000000"))
-    rows = events(spark, folder).where("protocol = 'IEC_104'").withColumn("payload", F.unhex(body))
+    rows = events(spark, folder).where("protocol = 'IEC_104'").transform(payload, F.unhex(body))
     return decode.decode_iec104(rows).select("seq", "function_code", "operation_type", F.col("details.target").alias("target"))
 
 
@@ -149,7 +156,7 @@ def decode_iec104(spark, folder):
  CASE WHEN k % 2 = 0 THEN 'WRITE' ELSE 'DISCOVERY' END AS operation_type FROM ev""")
 def decode_bacnet(spark, folder):
     body = F.when(F.col("k") % 2 == 0, "0104" + "0005010F0C").otherwise("0120FFFF00FF1008")
-    rows = events(spark, folder).withColumn("payload", raw("810A", hexn(F.length(body) / 2 + 4, 2), body))
+    rows = events(spark, folder).transform(payload, raw("810A", hexn(F.length(body) / 2 + 4, 2), body))
     return decode.decode_bacnet(rows).select("seq", "function_code", "function_name", "operation_type")
 
 
@@ -163,7 +170,7 @@ def decode_mqtt(spark, folder):
     subscribe = F.lit("0001" + "0001" + "23" + "00" + "0003" + "612F62" + "01")
     body = F.when(k % 3 == 0, publish).when(k % 3 == 1, connect).otherwise(subscribe)
     head = F.when(k % 3 == 0, "30").when(k % 3 == 1, "10").otherwise("82")
-    rows = events(spark, folder).withColumn("payload", raw(head, hexn(F.length(body) / 2, 1), body))
+    rows = events(spark, folder).transform(payload, raw(head, hexn(F.length(body) / 2, 1), body))
     return decode.decode_mqtt(rows).select("seq", "function_name", "risk_level", F.col("details.target").alias("target"))
 
 
@@ -175,13 +182,13 @@ def decode_opcua(spark, folder):
     message = F.concat(F.lit("4D534746"), F.lit("20000000"), le(k, 4), F.lit("010000000200000003000000"), F.lit("0100"), service, F.lit("00000000"))
     policy = F.hex(F.encode(F.lit("http://opcfoundation.org/UA/SecurityPolicy#None"), "UTF-8"))
     channel = F.concat(F.lit("4F504E46"), F.lit("40000000"), F.lit("00000000"), le(F.length(policy) / 2, 4), policy)
-    rows = events(spark, folder).withColumn("payload", F.unhex(F.when(k % 3 == 2, channel).otherwise(message)))
+    rows = events(spark, folder).transform(payload, F.unhex(F.when(k % 3 == 2, channel).otherwise(message)))
     return decode.decode_opcua(rows).select("seq", "function_code", "function_name", "risk_level")
 
 
 @query("decode_profinet_dcp", f"WITH {ad.EV_SQL} SELECT seq, CAST(3 + k % 5 AS INT) AS function_code, CASE k % 5 WHEN 0 THEN 'DCP Get' WHEN 1 THEN 'DCP Set' WHEN 2 THEN 'DCP Identify' WHEN 3 THEN 'DCP Hello' ELSE 'DCP Unknown (0x07)' END AS function_name FROM ev")
 def decode_profinet_dcp(spark, folder):
-    rows = events(spark, folder).withColumn("payload", raw(hexn(F.col("k") % 5 + 3, 1), "000000000000000000"))
+    rows = events(spark, folder).transform(payload, raw(hexn(F.col("k") % 5 + 3, 1), "000000000000000000"))
     return decode.decode_profinet_dcp(rows).select("seq", "function_code", "function_name")
 
 
@@ -195,7 +202,8 @@ def route_by_port(spark, folder):
 def decode_arp(spark, folder):
     mac = F.upper(F.replace("sender_mac", F.lit(":"), F.lit("")))
     frame = F.concat(F.lit("FFFFFFFFFFFF"), mac, F.lit("0806" + "0001080006040001"), mac, quad("sender_ip"), F.lit("000000000000"), quad("target_ip"))
-    rows = ad.arp(spark, folder).select(F.lit("c").alias("capture"), F.col("seq").alias("frame_no"), "ts_us", F.lit(1).alias("linktype"), F.unhex(frame).alias("data"))
+    rows = ad.arp(spark, folder).select(F.lit("c").alias("capture"), F.col("seq").alias("frame_no"), "ts_us", F.lit(1).alias("linktype"), frame.alias("h"))
+    rows = settle(rows, data=F.unhex("h")).drop("h")
     return dissect.decode_arp(rows).select("seq", "sender_ip", "sender_mac", "target_ip", "is_gratuitous")
 
 
@@ -206,7 +214,8 @@ def decode_dns(spark, folder):
     body = F.concat(F.lit("12340100"), F.when(two, "0002").otherwise("0001"), F.lit("000000000000"), labels, F.lit("00"), hexn(F.col("qtype"), 2), F.lit("0001"),
                     F.when(two, "C00C001C0001").otherwise(""))
     rows = ad.dns_queries(spark, folder).select("seq", "ts_us", "src_ip", "dst_ip", F.lit(40000).alias("src_port"), F.lit(53).alias("dst_port"),
-                                                F.lit(17).alias("ip_proto"), F.unhex(body).alias("payload"))
+                                                F.lit(17).alias("ip_proto"), body.alias("h"))
+    rows = settle(rows, payload=F.unhex("h")).drop("h")
     return dissect.decode_dns(rows).select("seq", "qname", "qtype", "is_response")
 
 
