@@ -15,6 +15,7 @@ from fieldtrace.functions.bytesx import bits, nbytes, rest, take, u8, u16, u16le
 from fieldtrace.functions.text import shannon_entropy
 from fieldtrace.operators.events import threat_score
 from fieldtrace.operators.sliced import running
+from fieldtrace.session import stage
 
 EVENT_COLUMNS = ["ts_us", "seq", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "function_code", "function_name",
                  "operation_type", "risk_level", "unit_id", "data_address", "data_count", "raw", "notes", "mitre", "threat_score",
@@ -394,6 +395,7 @@ def flow_timing_features(events: DataFrame, byte: str = "payload_byte") -> DataF
 
 def decode_events(pdus: DataFrame) -> DataFrame:
     """Events of all protocols; one filtered branch per decoder, so each reads only its messages."""
+    pdus = stage(pdus)      # eight branches read it
     out = None
     for protocol, decoder in DECODERS.items():
         part = decoder(pdus.where(F.col("protocol") == protocol))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ot_queries", "it_queries", "behavior_queries", "alert_queries", "intel_queries", "web_queries", "capture_queries")
+MODULES = ("ot_queries", "it_queries", "behavior_queries", "alert_queries", "intel_queries", "web_queries", "capture_queries",
+           "store_queries")
 
 
 def all_queries():
