@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def shannon_entropy(payload: pd.Series) -> pd.Series:
     """Entropy of the byte distribution in bits, 0 for empty or null; whole Arrow batches at a time."""
     def one(data) -> float:

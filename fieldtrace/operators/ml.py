@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtrace.operators.shaping import alert
 from fieldtrace.operators.sliced import median_by
@@ -96,7 +97,7 @@ def score_events(events: DataFrame, forest: list) -> DataFrame:
     """Add ``ml_score``: close to -1 for isolated events, above -0.5 for ordinary ones."""
     shared = events.sparkSession.sparkContext.broadcast(forest)     # at most TREES x 2 * SAMPLE nodes
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(features: pd.DataFrame) -> pd.Series:
         scale, trees = shared.value
         x = (features.to_numpy(dtype=float) - [m for m, _ in scale]) / [s for _, s in scale]
