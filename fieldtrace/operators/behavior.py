@@ -55,6 +55,20 @@ def split_events(events: DataFrame, split: Split) -> tuple[DataFrame, DataFrame]
     return rows.where(F.col("ts_us") <= split.learn_end_us), rows.where(F.col("ts_us") > split.learn_end_us)
 
 
+@dataclass(frozen=True)
+class Learned:
+    """What profiling shares between detectors: small tables, each computed once."""
+    talkers: DataFrame
+    endpoints: DataFrame
+    functions: DataFrame
+    observed: DataFrame
+    polling: DataFrame
+
+
+def prepare(learn: DataFrame, detect: DataFrame, **learning) -> Learned:
+    return Learned(*[stage(t) for t in (talkers(learn), endpoints(learn), functions(learn), _observed(detect), learn_polling(learn, **learning))])
+
+
 def _talks(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("is_req") | F.col("is_pub"))
 
@@ -93,14 +107,15 @@ def _fire(rows: DataFrame, kind, severity, confidence, mitre, evidence) -> DataF
     return alert(flat, kind, severity, confidence=confidence, mitre=mitre, evidence=evidence)
 
 
-def new_master(learn: DataFrame, detect: DataFrame) -> DataFrame:
+def new_master(learn: DataFrame, detect: DataFrame, ready: Learned | None = None) -> DataFrame:
     """A host that starts talking to a device others already used."""
-    known = endpoints(learn)
-    rows = (_observed(detect).join(talkers(learn), FLOW, "left_anti")
+    known = ready.endpoints if ready else endpoints(learn)
+    talking = ready.talkers if ready else talkers(learn)
+    rows = ((ready.observed if ready else _observed(detect)).join(talking, FLOW, "left_anti")
             .join(known.withColumnRenamed("ip", "dst_ip"), ["dst_ip", "protocol"], "left_semi")
             .groupBy(*FLOW).agg(*_summary()))
     # the first ten masters by address; pruned per map task, never collected whole
-    peers = (first_rows(talkers(learn), ["dst_ip", "protocol"], ["src_ip"], k=10)
+    peers = (first_rows(talking, ["dst_ip", "protocol"], ["src_ip"], k=10)
              .groupBy("dst_ip", "protocol").agg(F.array_sort(F.collect_list("src_ip")).alias("peers")))
     rows = rows.join(peers, ["dst_ip", "protocol"], "left")
     return _fire(rows, "OT_NEW_MASTER", F.when(F.col("dangerous"), "HIGH").otherwise("MEDIUM"),
@@ -110,10 +125,10 @@ def new_master(learn: DataFrame, detect: DataFrame) -> DataFrame:
                   "role": F.when(F.col("first.pub"), "publisher").otherwise("master")})
 
 
-def new_device(learn: DataFrame, detect: DataFrame) -> DataFrame:
+def new_device(learn: DataFrame, detect: DataFrame, ready: Learned | None = None) -> DataFrame:
     """A server or publisher no one used while learning."""
-    known = endpoints(learn)
-    rows = (_observed(detect).join(talkers(learn), FLOW, "left_anti")
+    known = ready.endpoints if ready else endpoints(learn)
+    rows = ((ready.observed if ready else _observed(detect)).join(ready.talkers if ready else talkers(learn), FLOW, "left_anti")
             .join(known.withColumnRenamed("ip", "dst_ip"), ["dst_ip", "protocol"], "left_anti")
             .withColumn("ip", F.when(F.col("pub"), F.col("src_ip")).otherwise(F.col("dst_ip")))
             .withColumn("peer", F.when(F.col("pub"), F.col("dst_ip")).otherwise(F.col("src_ip")))
@@ -128,10 +143,11 @@ def new_device(learn: DataFrame, detect: DataFrame) -> DataFrame:
                   "role": F.when(F.col("first.pub"), "publisher").otherwise("server")})
 
 
-def new_function(learn: DataFrame, detect: DataFrame) -> DataFrame:
+def new_function(learn: DataFrame, detect: DataFrame, ready: Learned | None = None) -> DataFrame:
     """A known talker using a function it never used while learning."""
-    rows = (_observed(detect).where(~(F.col("pub") & F.col("cyclic")))
-            .join(functions(learn), FUNC, "left_anti").join(talkers(learn), FLOW, "left_semi")
+    rows = ((ready.observed if ready else _observed(detect)).where(~(F.col("pub") & F.col("cyclic")))
+            .join(ready.functions if ready else functions(learn), FUNC, "left_anti")
+            .join(ready.talkers if ready else talkers(learn), FLOW, "left_semi")
             .groupBy(*FUNC).agg(*_summary()))
     serious = F.col("dangerous") | F.col("high_risk")
     return _fire(rows, "OT_NEW_FUNCTION", F.when(serious, "HIGH").otherwise("MEDIUM"),
@@ -155,9 +171,9 @@ def learn_polling(learn: DataFrame, min_requests: int = POLL_MIN_REQUESTS, max_c
             .select(*FUNC, "period_us", (F.col("std") / F.col("mean")).alias("cv"), "samples", "last_us"))
 
 
-def polling_gap(learn: DataFrame, detect: DataFrame, split: Split, **learning) -> DataFrame:
+def polling_gap(learn: DataFrame, detect: DataFrame, split: Split, ready: Learned | None = None, **learning) -> DataFrame:
     """Silences of learned polling, from the last learned request to the end of the capture."""
-    polling = stage(learn_polling(learn, **learning))   # small, read four times below
+    polling = ready.polling if ready else stage(learn_polling(learn, **learning))   # small, read four times below
     asked = detect.where("is_req").select(*FUNC, "ts_us", "seq").join(polling.select(*FUNC), FUNC, "left_semi")
     marks = (asked.select(*FUNC, "ts_us", "seq", F.lit(False).alias("is_end"))
              .unionByName(polling.select(*FUNC, F.col("last_us").alias("ts_us"), F.lit(-1).cast("long").alias("seq"),
@@ -181,10 +197,10 @@ def polling_gap(learn: DataFrame, detect: DataFrame, split: Split, **learning) -
 
 
 def polling_storm(learn: DataFrame, detect: DataFrame, periods: int = STORM_PERIODS, factor: float = STORM_FACTOR,
-                  width: int = HOUR, **learning) -> DataFrame:
+                  width: int = HOUR, ready: Learned | None = None, **learning) -> DataFrame:
     """More requests within a few periods than the learned rhythm explains."""
     limit = int(factor * periods)
-    polling = stage(learn_polling(learn, **learning).select(*FUNC, "period_us"))
+    polling = (ready.polling if ready else stage(learn_polling(learn, **learning))).select(*FUNC, "period_us")
     asked = (detect.where("is_req").select(*FUNC, "ts_us", "seq").join(polling, FUNC)
              .withColumn("window", (F.col("period_us") * periods).cast("long")))
     rows = rolling(asked, FUNC, F.col("window"), {"n": ("count", None)}, closed=True, width=width)
@@ -241,5 +257,6 @@ def profile(events: DataFrame, fraction: float = 0.3, min_seconds: float = 60.0,
     if split is None:
         return None
     learn, detect = split_events(events, split)
-    return union([new_master(learn, detect), new_device(learn, detect), new_function(learn, detect),
-                  polling_gap(learn, detect, split), polling_storm(learn, detect), value_out_of_range(learn, detect)])
+    ready = prepare(learn, detect)
+    return union([new_master(learn, detect, ready), new_device(learn, detect, ready), new_function(learn, detect, ready),
+                  polling_gap(learn, detect, split, ready), polling_storm(learn, detect, ready=ready), value_out_of_range(learn, detect)])
