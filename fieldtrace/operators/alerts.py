@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fieldtrace.functions.net import glob_match, port_match
 from fieldtrace.operators.anchored import anchored, batched, cooled, groups
 from fieldtrace.operators.sliced import HOUR, first_rows, numbered, rolling, running, seconds, slice_of
+from fieldtrace.session import width as parallel
 
 
 def dedup_alerts(alerts: DataFrame, window_s: float = 60.0, keys=("anomaly_type", "src_ip", "dst_ip")) -> DataFrame:
@@ -186,7 +187,7 @@ def ip_risk_score(violations: DataFrame, whitelist: list[str] = (), legitimate:
         (F.col("delta") - F.least(old * step, F.lit(max_decay))).alias("shift"),
         F.col("delta").alias("lo"), F.lit(1.0).alias("hi"))
     ddl = "ip string, _slice long, shift double, lo double, hi double"
-    local = (steps.repartition("ip", "_slice").sortWithinPartitions("ip", "_slice", "ts_us", "seq")
+    local = (steps.repartition(parallel(steps), "ip", "_slice").sortWithinPartitions("ip", "_slice", "ts_us", "seq")
              .mapInArrow(_compose(["ip", "_slice"]), ddl))
     total = (local.repartition("ip").sortWithinPartitions("ip", "_slice").mapInArrow(_compose(["ip"]), ddl))
     score = F.least(F.greatest(F.col("shift"), F.col("lo")), F.col("hi"))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.operators.sliced import MINUTE, slice_of, spread
+from fieldtrace.session import width as parallel
 
 OLDER = -(2 ** 62)
 
@@ -181,17 +182,18 @@ def _with_marks(df: DataFrame, keys: list[str], lookback_us: int, successor: Suc
                 width: int | None) -> DataFrame:
     df = df.drop("mark_us", "mark_seq", "is_mark")
     width = width or max(4 * lookback_us, 10 * MINUTE)
+    tasks = parallel(df)
     text = F.concat_ws(SEP, *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
     rows = df.withColumn("_k", text)
     points = (spread(rows.select("_k", F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq")),
                      "ts", lookback_us, width)
               .select("_k", "_slice", F.when(F.col("_slice") == F.col("_own"), 2).otherwise(1).alias("kind"),
                       "ts", "seq"))
-    tables = (points.repartition("_k", "_slice").sortWithinPartitions("_k", "_slice", "kind", "ts", "seq")
+    tables = (points.repartition(tasks, "_k", "_slice").sortWithinPartitions("_k", "_slice", "kind", "ts", "seq")
               .mapInArrow(_transfer(successor), _DDL["table"]))
-    states = (tables.repartition("_k").sortWithinPartitions("_k", "_slice", "c_ts", "c_seq")
+    states = (tables.repartition(tasks, "_k").sortWithinPartitions("_k", "_slice", "c_ts", "c_seq")
               .mapInArrow(_fold, _DDL["state"]))
-    marks = (points.unionByName(states).repartition("_k", "_slice")
+    marks = (points.unionByName(states).repartition(tasks, "_k", "_slice")
              .sortWithinPartitions("_k", "_slice", "kind", "ts", "seq")
              .mapInArrow(_marks(successor), _DDL["mark"]))
     tagged = rows.withColumn("_slice", slice_of(F.col(ts), width)).select(

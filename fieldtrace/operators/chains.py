@@ -84,7 +84,7 @@ def attack_chains(alerts: DataFrame, gap_s: float = 1800.0, ot_assets: DataFrame
     """
     gap = seconds(gap_s)
     rows = _phased(alerts).select("ts_us", "seq", "src_ip", "dst_ip", "severity", "mitre", "phase")
-    rows = running(rows, ["src_ip"], {"_prev": ("prev", F.col("ts_us"))})
+    rows = stage(running(rows, ["src_ip"], {"_prev": ("prev", F.col("ts_us"))}))    # the next block reads it twice
     rows = rows.withColumn("_new", F.when(F.col("ts_us") - F.col("_prev") > gap, 1).otherwise(0).cast("long"))
     rows = stage(running(rows, ["src_ip"], {"run": ("sum", F.col("_new"))}))     # three branches read it
     first = rows.groupBy("src_ip", "run", "phase").agg(

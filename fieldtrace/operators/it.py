@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace.operators.anchored import anchored, cooled
+from fieldtrace.operators.settle import settle
 from fieldtrace.operators.shaping import alert
 from fieldtrace.operators.sliced import HOUR, first_rows, numbered, rolling, running_distinct, seconds, slice_of
 from fieldtrace.functions.text import shannon_entropy
@@ -102,10 +103,9 @@ def with_subdomain(dns: DataFrame) -> DataFrame:
     """Split names into registered domain (last two labels) and the rest."""
     labels = F.split("qname", "\\.")
     count = F.size(labels)
-    return (dns.where(F.col("qname").contains("."))
-            .withColumn("subdomain", F.when(count > 2, F.array_join(F.slice(labels, 1, F.greatest(count - 2, F.lit(1))), "."))
-                        .otherwise(""))
-            .withColumn("domain", F.when(count > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("qname"))))
+    sub = F.when(count > 2, F.array_join(F.slice(labels, 1, F.greatest(count - 2, F.lit(1))), ".")).otherwise("")
+    domain = F.when(count > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(F.col("qname"))
+    return settle(dns.where(F.col("qname").contains(".")), subdomain=sub, domain=domain)
 
 
 def dns_txt_rate(dns: DataFrame, window_s: float = 60.0, limit: int = 20) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fieldtrace.operators.anchored import batched, groups
 from fieldtrace.operators.shaping import alert
 from fieldtrace.operators.sliced import numbered, rolling, running, seconds, spread
+from fieldtrace.session import width as parallel
 
 WRITES = ["WRITE", "CONTROL"]
 
@@ -94,7 +95,7 @@ def ot_replay(events: DataFrame, window_s: float = 300.0, min_bytes: int = 10) -
                        F.concat_ws("\u0001", "protocol", "dst_ip", F.sha2("raw", 256)).alias("_k"))
     copies = (spread(rows, "ts_us", window, 4 * window)
               .withColumn("_mine", (F.col("_slice") == F.col("_own")).cast("int")).drop("_own"))
-    found = (copies.repartition("_k", "_slice").sortWithinPartitions("_k", "_slice", "ts_us", "seq")
+    found = (copies.repartition(parallel(copies), "_k", "_slice").sortWithinPartitions("_k", "_slice", "ts_us", "seq")
              .mapInArrow(_copies_from_elsewhere(window),
                          "ts_us long, seq long, src_ip string, src_port int, dst_ip string, protocol string, "
                          "original_us long, original_source string"))

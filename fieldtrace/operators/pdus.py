@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.operators.dissect import route_by_port
 from fieldtrace.operators.sliced import running
+from fieldtrace.session import width as parallel
 
 FLOW = ["capture", "src_ip", "dst_ip", "src_port", "dst_port"]
 MAX_BUFFER = 256 * 1024
@@ -155,7 +156,7 @@ def reassemble_ot_pdus(segments: DataFrame) -> DataFrame:
     routed = route_by_port(segments).where("protocol IS NOT NULL")
     tcp = stream_runs(routed.where(F.col("ip_proto") == 6))
     cols = [*FLOW, "run", "protocol", "ts_us", "seq", "ends", "payload"]
-    pdus = (tcp.select(*cols).repartition(*FLOW, "run").sortWithinPartitions(*FLOW, "run", "ts_us", "seq").mapInArrow(_fold, _DDL))
+    pdus = (tcp.select(*cols).repartition(parallel(tcp), *FLOW, "run").sortWithinPartitions(*FLOW, "run", "ts_us", "seq").mapInArrow(_fold, _DDL))
     udp = routed.where((F.col("ip_proto") == 17) & (F.octet_length("payload") > 0)).select(
         *FLOW, "protocol", "ts_us", "seq", F.lit(0).alias("pdu_no"), "payload")
     return pdus.unionByName(udp)

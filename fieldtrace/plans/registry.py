@@ -21,5 +21,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# tables of long texts: searching them costs far more than moving them
+TEXTS = ("pages", "documents")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; one that sits in fewer files than there are cores is spread first."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df

@@ -55,3 +55,9 @@ def stage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldtrace-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def width(df: DataFrame) -> int:
+    """Partitions for a stage that runs Python: a fixed number, because adaptive coalescing judges
+    a partition by its bytes and would put compute-heavy work on few cores."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
