@@ -50,7 +50,8 @@ def dropped_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  min_docs: int = 5) -> DataFrame:
     """(rk, runs): per document that loses lines, its bitmap as runs of dropped lines (first, length)."""
     occ = stage(occurrences(docs, id_col, text_col, min_chars), "lines")
-    lost = (occ.join(repeated_lines(occ, min_docs), ["h1", "h2"])
+    # written, so that the join below stands right on its exchanges and the planner can split a line's rows
+    lost = (occ.join(stage(repeated_lines(occ, min_docs), "repeated"), ["h1", "h2"])
             .where(F.col("id").isNull() | (F.col("id") < F.col("keep_id"))))
     at = lost.groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     runs = let(F.col("at"), lambda a: let(

@@ -6,7 +6,7 @@ import importlib
 
 from fieldtrace.llm import common
 
-MODULES = ("line_dedup", "host_rules")
+MODULES = ("substring_dedup", "line_dedup", "host_rules")
 
 
 def all_queries():
