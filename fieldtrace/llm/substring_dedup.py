@@ -83,8 +83,16 @@ def _binaries(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
+def _by_slot(owner: np.ndarray, position: np.ndarray, slots: int):
+    """(slots, starts in the rest, owners, positions): results on their way to their texts, packed by the texts' slots."""
+    slot = (owner.view(U64) >> U64(65 - slots.bit_length())).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    at, _ = _runs_of(slot[order])
+    return slot[order][at], at, owner[order], position[order]
+
+
 def _candidates(batches, filter_bytes, bits: int, buckets: int, splits: np.ndarray, window: int):
-    """Per group the suffixes that may have a partner; under group -1 (owner, position) of those settled here."""
+    """Per group the suffixes that may have a partner; under negative numbers, by slot, (owner, position) of those settled here."""
     for batch in batches:
         for rows, texts in chunks(batch):
             owner, position, leaf, prefix = _suffixes(texts, window)
@@ -96,11 +104,9 @@ def _candidates(batches, filter_bytes, bits: int, buckets: int, splits: np.ndarr
             starts, lengths = _runs_of(leaf[order])
             if (lengths > 1).any():
                 met = order[np.repeat(lengths > 1, lengths)]
-                met = met[np.lexsort((position[met], who[met]))]
-                at, _ = _runs_of(who[met])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), -1)), _binaries(np.zeros(0, U64), np.zeros(len(at), np.int64)),
-                                                  _binaries(who[met][at], np.arange(len(at))), _binaries(position[met], at)],
-                                                 names=["bucket", "leaf", "owner", "position"])
+                slot, at, whose, where = _by_slot(who[met], position[met], buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - slot), _binaries(np.zeros(0, U64), np.zeros(len(at), np.int64)),
+                                                  _binaries(whose, at), _binaries(where, at)], names=["bucket", "leaf", "owner", "position"])
             one = order[starts]
             place = np.where(lengths > 1, np.uint32(0xFFFFFFFF), position[one])  # a settled window only tells the others
             group = _groups(bucket[one], second[one], leaf[one], splits)
@@ -119,8 +125,8 @@ def _leaves(leaf: np.ndarray, owner: np.ndarray, position: np.ndarray):
     return owner[deep], position[deep]
 
 
-def _subtrees(batches):
-    """Group by group (rows come sorted by group): positions of repeated windows, packed by text."""
+def _subtrees(batches, slots: int):
+    """Group by group (rows come sorted by group): owners and positions of repeated windows, packed by slot."""
     current, parts, found, n = None, [], [], 0
 
     def close():
@@ -128,11 +134,8 @@ def _subtrees(batches):
         return _leaves(leaf, owner, position)
 
     def flush():
-        owner, position = (np.concatenate([x[i] for x in found]) for i in (0, 1))
-        order = np.lexsort((position, owner))
-        owner, position = owner[order], position[order]
-        at, _ = _runs_of(owner)
-        return pa.RecordBatch.from_arrays([pa.array(owner[at]), _binaries(position, at)], names=["rk", "positions"])
+        slot, at, owner, position = _by_slot(*(np.concatenate([x[i] for x in found]) for i in (0, 1)), slots)
+        return pa.RecordBatch.from_arrays([pa.array(slot), _binaries(owner, at), _binaries(position, at)], names=["slot", "owner", "position"])
 
     for batch in batches:
         for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -151,14 +154,30 @@ def _subtrees(batches):
         yield flush()
 
 
-def _settled(batches):
+def _both(batches, slots: int):
+    """Settled rows stand first in a partition and pass through; groups follow."""
+    batches = iter(batches)
     for batch in batches:
-        owner = np.frombuffer(b"".join(batch.column("owner").to_pylist()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(owner), batch.column("position")], names=["rk", "positions"])
+        own = np.asarray(batch.column("bucket")) < 0
+        if own.any():
+            settled = batch.filter(pa.array(own))
+            yield pa.RecordBatch.from_arrays([pa.array(-1 - np.asarray(settled.column("bucket"))), settled.column("owner"), settled.column("position")],
+                                             names=["slot", "owner", "position"])
+        if not own.all():
+            yield from _subtrees(itertools.chain([batch.filter(pa.array(~own))], batches), slots)
+
+
+def _by_text(table: pa.Table) -> pa.Table:
+    """One row for each text of a slot."""
+    owner = np.frombuffer(b"".join(table.column("owner").to_pylist()), np.int64)
+    position = np.frombuffer(b"".join(table.column("position").to_pylist()), np.uint32)
+    order = np.argsort(owner, kind="stable")
+    at, _ = _runs_of(owner[order])
+    return pa.table({"rk": pa.array(owner[order][at]), "positions": _binaries(position[order], at)})
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(rk, positions): per text with repeated windows, lists of packed 32-bit start positions."""
+    """(rk, positions): per text with repeated windows, their packed 32-bit start positions, in no order."""
     configure(docs.sparkSession)
     texts = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     buckets, bits = sketch.plan(docs.count())
@@ -167,30 +186,19 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # bits by which a group is split, from the counted occurrences
     splits = np.clip(np.ceil(np.log2(np.maximum(seen.occurrences, 1) / GROUP)), 0, 20).astype(np.int64)
     entries = texts.mapInArrow(lambda b: _candidates(b, filter_bytes, per_bucket, buckets, splits, window), ENTRIES)
-    # one exchange for both kinds of rows; the settled ones are dealt out by their text
-    dealt = entries.repartition(F.when(F.col("bucket") < 0, F.xxhash64("owner")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_both, "rk long, positions binary").groupBy("rk").agg(F.collect_list("positions").alias("positions"))
-
-
-def _both(batches):
-    """Settled rows stand first in a partition and pass through; groups follow."""
-    batches = iter(batches)
-    for batch in batches:
-        own = np.asarray(batch.column("bucket")) < 0
-        if own.any():
-            yield from _settled([batch.filter(pa.array(own))])
-        if not own.all():
-            yield from _subtrees(itertools.chain([batch.filter(pa.array(~own))], batches))
+    dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
+    packed = dealt.mapInArrow(lambda b: _both(b, buckets), "slot long, owner binary, position binary")
+    return packed.groupBy("slot").applyInArrow(lambda t: _by_text(t), "rk long, positions binary")
 
 
 OUT = StructType([StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
 
 
-def _cut(text: bytes | None, positions: list[bytes] | None, window: int) -> tuple[int, int, bytes]:
+def _cut(text: bytes | None, positions: bytes | None, window: int) -> tuple[int, int, bytes]:
     words = text.split() if text else []
     if not positions:
         return len(words), 0, b" ".join(words)
-    at = np.frombuffer(b"".join(positions), np.uint32).astype(np.int64)
+    at = np.frombuffer(positions, np.uint32).astype(np.int64)
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, at, 1)
     np.add.at(edge, at + window, -1)
