@@ -50,27 +50,28 @@ def _places(low: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((low * np.uint32(step)) >> shift).astype(np.int64) for step in _STEPS]
 
 
-def _block(key, table: pa.Table, bits: int) -> pa.Table:
+def _block(key, table: pa.Table, bits: int, levels: tuple[int, ...]) -> pa.Table:
     low = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("packed").to_pylist()])
     values, counts = np.unique(low, return_counts=True)
-    flags = np.zeros(bits, np.uint8)
-    for place in _places(values[counts > 1], bits):
-        flags[place] = 1
+    flags = np.zeros((len(levels), bits), np.uint8)
+    for plane, least in zip(flags, levels):
+        for place in _places(values[counts >= least], bits):
+            plane[place] = 1
     return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()),
                      "occurrences": pa.array([int(counts[counts > 1].sum())], pa.int64())})
 
 
 class Repeated:
-    """The filter of repeated hashes and, by bucket, how many occurrences the repeated ones have."""
+    """A filter for each level of counts (repeated: 2) and, by bucket, how many occurrences the repeated ones have."""
 
-    def __init__(self, packed: DataFrame, buckets: int, bits: int):
+    def __init__(self, packed: DataFrame, buckets: int, bits: int, levels: tuple[int, ...] = (2,)):
         per_bucket = bits // buckets
         spark = packed.sparkSession
-        filter_bytes, self.occurrences = np.zeros(bits // 8, np.uint8), np.zeros(buckets, np.int64)
-        blocks = packed.groupBy("bucket").applyInArrow(lambda key, t: _block(key, t, per_bucket), "bucket long, block binary, occurrences long")
-        for row in blocks.collect():  # bits // 8 bytes in all, whatever the input
+        filter_bytes, self.occurrences = np.zeros((len(levels), bits // 8), np.uint8), np.zeros(buckets, np.int64)
+        blocks = packed.groupBy("bucket").applyInArrow(lambda key, t: _block(key, t, per_bucket, levels), "bucket long, block binary, occurrences long")
+        for row in blocks.collect():  # bits // 8 bytes per level in all, whatever the input
             at = row["bucket"] * per_bucket // 8
-            filter_bytes[at:at + per_bucket // 8] = np.frombuffer(row["block"], np.uint8)
+            filter_bytes[:, at:at + per_bucket // 8] = np.frombuffer(row["block"], np.uint8).reshape(len(levels), -1)
             self.occurrences[row["bucket"]] = row["occurrences"]
         self.buckets, self.bits = buckets, per_bucket
         self.filter: Broadcast = spark.sparkContext.broadcast(filter_bytes)

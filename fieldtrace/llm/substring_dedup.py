@@ -97,7 +97,7 @@ def _candidates(batches, filter_bytes, bits: int, buckets: int, splits: np.ndarr
         for rows, texts in chunks(batch):
             owner, position, leaf, prefix = _suffixes(texts, window)
             key = sketch.keys(prefix[0], leaf, buckets)
-            hit = sketch.maybe(filter_bytes.value, key, bits)
+            hit = sketch.maybe(filter_bytes.value[0], key, bits)
             owner, position, leaf, second, bucket = owner[hit], position[hit], leaf[hit], prefix[1][hit], (key[hit] >> U64(32)).astype(np.int64)
             who = np.asarray(rows.column("rk"), dtype=np.int64)[owner] if len(owner) else np.zeros(0, np.int64)
             order = np.argsort(leaf, kind="stable")
