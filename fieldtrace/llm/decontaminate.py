@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates.
 
-Text becomes a template: numbers, names (capitalised words) and units turn into the placeholders 0, P and U, other words
-stay. Windows of ``window`` template tokens of the documents meet those of the benchmark items by hash. An item is in a
+Text becomes a template: numbers, names (capitalised words) and units turn into the placeholders 0, 1 and 2, other words
+stay, lower-cased. An item also has a template without names, which copies in other case meet. Windows of ``window`` template tokens of the documents meet those of the benchmark items by hash. An item is in a
 document when at least half of its windows are found there and, along the best alignment, the values behind the placeholders are
 consistent: wherever the item repeats a value the document repeats one too. So a copied item is found, and one with other
 numbers or names, but not a text that merely has the same shape.
@@ -36,14 +36,14 @@ _RAW = rf"({_NUMBER}|\p{{L}}+)"
 def template(text: Column) -> Column:
     """The template tokens of a text, one for each of its ``values``."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBER, " 0 ")
-    t = F.regexp_replace(t, r"(?<!\p{L})\p{Lu}\p{L}*", "P")
-    t = F.regexp_replace(t, rf"(?<!\p{{L}})(?:{'|'.join(UNITS)})(?!\p{{L}})", "U")
-    return F.filter(F.split(t, r"[^\p{L}0]+"), lambda w: w != "")
+    t = F.regexp_replace(t, r"(?<!\p{L})\p{Lu}\p{Ll}\p{L}*", "1")
+    t = F.regexp_replace(t, rf"(?<!\p{{L}})(?:{'|'.join(UNITS)})(?!\p{{L}})", "2")
+    return F.filter(F.split(F.lower(t), r"[^\p{L}012]+"), lambda w: w != "")
 
 
 def values(text: Column) -> Column:
-    """The tokens themselves: numbers and runs of letters."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_RAW), F.lit(1))
+    """The tokens themselves, lower-cased: numbers and runs of letters."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_RAW), F.lit(1))
 
 
 def _hashes(tokens: Column, length: int) -> Column:
@@ -58,7 +58,7 @@ def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str
     tokens = tokens.withColumn("length", F.least(F.size("tokens"), F.lit(window)))
     cut = tokens.select("item", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1),
                                                                     lambda i: F.slice("tokens", i, F.col("length")))).alias("item_at", "tokens"))
-    words = F.size(F.filter("tokens", lambda w: ~w.isin("0", "P", "U")))
+    words = F.size(F.filter("tokens", lambda w: ~w.isin("0", "1", "2")))
     good = cut.where(2 * words >= F.col("length"))
     counted = good.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
     return good.join(counted, "item").select(F.xxhash64("tokens").alias("hash"), "length", "item", "item_at", "n_windows")
@@ -68,7 +68,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_text_col: str = "text", window: int = WINDOW, num: int = NUM, den: int = DEN) -> DataFrame:
     """(rk, item): items found in the documents with that row key."""
     configure(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).distinct().withColumn("item", row_key(F.col("item_id"), F.col("text")))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.explode(F.array_distinct(F.array(F.col(item_text_col), F.lower(item_text_col)))).alias("text"))
+    items = items.distinct().withColumn("item", row_key(F.col("item_id"), F.col("text")))
     known = stage(item_windows(items, "item", "text", window), "windows")
     lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most ``window`` different ones
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
@@ -89,10 +90,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     item_values = items.select("item", values(F.col("text")).alias("item_values"), template(F.col("text")).alias("tokens"))
     aligned = pairs.join(doc_values, "rk").join(item_values, "item")
     places = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("length") - 1))))
-    slots = F.filter(places, lambda i: F.get("tokens", i).isin("0", "P", "U"))
+    slots = F.filter(places, lambda i: F.get("tokens", i).isin("0", "1", "2"))
     bound = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("item"), F.get("doc_values", i + F.col("shift")).alias("doc"))))
     consistent = let(bound, lambda b: F.size(b) == F.size(F.array_distinct(F.transform(b, lambda x: x["item"]))))
-    return aligned.where(consistent).join(items.select("item", F.col("item_id")), "item").select("rk", F.col("item_id").alias("item"))
+    return aligned.where(consistent).join(items.select("item", F.col("item_id")), "item").select("rk", F.col("item_id").alias("item")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
