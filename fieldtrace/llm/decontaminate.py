@@ -43,7 +43,7 @@ def template(text: Column) -> Column:
 
 def values(text: Column) -> Column:
     """The tokens themselves, lower-cased: numbers and runs of letters."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_RAW), F.lit(1))
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_RAW), F.lit(1)), F.lower)
 
 
 def _hashes(tokens: Column, length: int) -> Column:

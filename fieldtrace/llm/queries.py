@@ -6,7 +6,7 @@ import importlib
 
 from fieldtrace.llm import common
 
-MODULES = ("substring_dedup", "language_id", "decontaminate", "url_filter", "importance", "zip_warc", "host_rules", "ngram_join", "line_dedup")
+MODULES = ("substring_dedup", "language_id", "decontaminate", "url_filter", "pieces", "importance", "zip_warc", "host_rules", "ngram_join", "line_dedup")
 
 
 def all_queries():
