@@ -38,7 +38,7 @@ from fieldtrace.session import configure
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 300_000
+LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 150_000
 
 
 @dataclass(frozen=True)
@@ -100,60 +100,87 @@ def _distinct(batches, unit: str):
         yield flush()
 
 
-def fold_merges(edges: Column, n: Column) -> Column:
-    """Borders of the final pieces. ``edges``: (rank, start, end) in order of preference; a border stands between any two characters at first."""
-    def step(borders, _):
+PIECE = "struct<start: int, next: int, id: int>"
+
+
+def fold_merges(chars: Column, edges: Column, n: Column) -> Column:
+    """The final pieces. ``chars``: (start, id) of the characters in order; ``edges``: (rank, start, end, id), the preferred first.
+
+    A cell holds where the piece that starts at its character ends (-1: none starts there) and its id. Edges that a merge
+    cuts through can never fit again and are dropped, so later steps have little left to look at.
+    """
+    def step(s, _):
         def fits(e):
-            return let(F.array_position(borders, e["start"]).cast("int"), lambda p: (p > 0) & (F.get(borders, p + 1) == e["end"]))
-        best = F.get(F.filter(edges, fits), 0)
-        return let(best, lambda b: F.when(b.isNull(), borders).otherwise(F.filter(borders, lambda x: (x <= b["start"]) | (x >= b["end"]))))
-    return F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), step)
+            return F.get(s["cells"], F.get(s["cells"], e["start"])["next"])["next"] == e["end"]
+
+        def apply(b):
+            def cell(c, i):
+                return (F.when(i == b["start"], F.struct(b["end"].alias("next"), b["id"].alias("id")))
+                        .when((i > b["start"]) & (i < b["end"]), F.struct(F.lit(-1).alias("next"), F.lit(None).cast("int").alias("id"))).otherwise(c))
+
+            def free(e):
+                return (((e["start"] <= b["start"]) | (e["start"] >= b["end"])) & ((e["end"] <= b["start"]) | (e["end"] >= b["end"]))
+                        & ((e["start"] != b["start"]) | (e["end"] != b["end"])))
+            return F.when(b.isNull(), F.struct(s["cells"].alias("cells"), F.slice(s["edges"], 1, 0).alias("edges"))).otherwise(
+                F.struct(F.transform(s["cells"], cell).alias("cells"), F.filter(s["edges"], free).alias("edges")))
+        return let(F.get(F.filter(s["edges"], fits), 0), apply)
+
+    cells = F.transform(chars, lambda c: F.struct((c["start"] + 1).alias("next"), c["id"].alias("id")))
+    done = F.aggregate(F.sequence(F.lit(1), n), F.struct(cells.alias("cells"), edges.alias("edges")), step)["cells"]
+    return F.filter(F.transform(done, lambda c, i: F.struct(i.alias("start"), c["next"].alias("next"), c["id"].alias("id")).cast(PIECE)), lambda p: p["next"] >= 0)
 
 
-def fold_viterbi(edges: Column, n: Column, unknown: float = -1e6) -> Column:
-    """Borders of the path with the largest sum of scores; a character without a piece costs ``unknown``. Edges: (score, start, end)."""
-    state = "struct<score: double, borders: array<int>>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("borders")).cast(state))
+def fold_viterbi(chars: Column, edges: Column, n: Column, unknown: float = 1e6) -> Column:
+    """The pieces of the path with the least sum of ranks (negative scores); a character without a piece costs ``unknown``."""
+    state = f"struct<rank: double, pieces: array<{PIECE}>>"
+    first = F.array(F.struct(F.lit(0.0).alias("rank"), F.array().cast(f"array<{PIECE}>").alias("pieces")).cast(state))
 
     def step(best, end):
-        into = F.filter(edges, lambda e: e["end"] == end)
-        known = F.transform(into, lambda e: F.struct((F.get(best, e["start"])["score"] + e["score"]).alias("score"),
-                                                    F.array_append(F.get(best, e["start"])["borders"], end).alias("borders")).cast(state))
-        alone = F.struct((F.get(best, end - 1)["score"] + unknown).alias("score"), F.array_append(F.get(best, end - 1)["borders"], end).alias("borders")).cast(state)
-        return F.array_append(best, F.array_max(F.array_append(known, alone)))
+        def onto(start, rank, piece):
+            return F.struct((F.get(best, start)["rank"] + rank).alias("rank"), F.array_append(
+                F.get(best, start)["pieces"], F.struct(start.alias("start"), end.alias("next"), piece.alias("id")).cast(PIECE)).alias("pieces")).cast(state)
+        known = F.transform(F.filter(edges, lambda e: e["end"] == end), lambda e: onto(e["start"], e["rank"], e["id"]))
+        alone = let(F.get(chars, end - 1), lambda c: onto(c["start"], F.coalesce(c["rank"], F.lit(unknown)), c["id"]))
+        return F.array_append(best, F.array_min(F.array_append(known, alone)))
 
-    return F.get(F.aggregate(F.sequence(F.lit(1), n), first, step), n)["borders"]
+    return F.get(F.aggregate(F.sequence(F.lit(1), n), first, step), n)["pieces"]
 
 
-def _heap_merges(edges: list[dict], n: int) -> list[int]:
+def _heap_merges(chars: list[dict], edges: list[dict]) -> list[dict]:
     """The result of ``fold_merges``, for long units."""
-    by_start: dict[tuple[int, int], float] = {(e["start"], e["end"]): -e["score"] for e in edges}
-    after, before = {i: i + 1 for i in range(n)}, {i + 1: i for i in range(n)}
+    known = {(e["start"], e["end"]): (e["rank"], e["id"]) for e in edges}
+    after = {c["start"]: c["start"] + 1 for c in chars}
+    before = {b: a for a, b in after.items()}
+    ids = {c["start"]: c["id"] for c in chars}
     heap: list[tuple[float, int, int, int]] = []
 
     def offer(start):
         mid = after.get(start)
         end = after.get(mid) if mid is not None else None
-        if end is not None and (start, end) in by_start:
-            heapq.heappush(heap, (by_start[start, end], start, mid, end))
+        if end is not None and (start, end) in known:
+            heapq.heappush(heap, (known[start, end][0], start, mid, end))
 
-    for i in range(n):
-        offer(i)
+    for start in list(after):
+        offer(start)
     while heap:
         _, start, mid, end = heapq.heappop(heap)
         if after.get(start) != mid or after.get(mid) != end:
             continue
-        after[start], before[end] = end, start
+        after[start], before[end], ids[start] = end, start, known[start, end][1]
         del after[mid]
         offer(start)
         if start in before:
             offer(before[start])
-    return [0, *(after[i] for i in sorted(after))]
+    return [{"start": a, "next": after[a], "id": ids[a]} for a in sorted(after)]
+
+
+PIECES_TYPE = ArrayType(StructType([StructField(c, IntegerType()) for c in ("start", "next", "id")]))
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def _long_merges(edges: pa.Array, n: pa.Array) -> pa.Array:
-    return pa.array([_heap_merges(e, k) for e, k in zip(edges.to_pylist(), n.to_pylist())], pa.list_(pa.int32()))
+@F.arrow_udf(PIECES_TYPE)
+def _long_merges(chars: pa.Array, edges: pa.Array) -> pa.Array:
+    rows = [_heap_merges(c, e) for c, e in zip(chars.to_pylist(), edges.to_pylist())]
+    return pa.array(rows, pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "next", "id")])))
 
 
 def lattice(found: DataFrame, model: Model) -> DataFrame:
@@ -161,36 +188,30 @@ def lattice(found: DataFrame, model: Model) -> DataFrame:
     spark = found.sparkSession
     # the piece table is bounded by the model file
     table = F.broadcast(spark.createDataFrame(pa.table({"piece": [p for p, _, _ in model.pieces], "id": pa.array([i for _, i, _ in model.pieces], pa.int32()),
-                                                        "score": [s for _, _, s in model.pieces]})))
+                                                        "rank": [-s for _, _, s in model.pieces]})))
     size = F.length("unit")
     spans = (found.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
              .select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(size - F.col("start"), F.lit(model.longest)))).alias("length"))
-             .select("unit", "n", "start", (F.col("start") + F.col("length")).alias("end"), F.substring("unit", F.col("start") + 1, F.col("length")).alias("piece")))
-    edge = F.when(F.col("id").isNotNull(), F.struct(F.col("score"), F.col("start"), F.col("end"), F.col("id")))
-    grouped = (spans.join(table, "piece", "left").where("id is not null or length(piece) = 1")  # single characters keep a unit without pieces alive
-               .groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")))
-    ordered = F.array_sort("edges", lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(a["start"] - b["start"]))
-    grouped = grouped.select("unit", "n", F.length("unit").alias("size"), ordered.alias("edges"))
+             .select("unit", "n", "start", "length", F.substring("unit", F.col("start") + 1, F.col("length")).alias("piece")))
+    edge = F.when(F.col("length") > 1, F.struct("rank", "start", (F.col("start") + F.col("length")).alias("end"), "id"))
+    char = F.when(F.col("length") == 1, F.struct("start", "rank", "id"))
+    grouped = (spans.join(table, "piece", "left").where("id is not null or length = 1")
+               .groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(char)).alias("chars"), F.sort_array(F.collect_list(edge)).alias("edges")))
     if model.bpe:
-        merged = F.filter("edges", lambda e: e["end"] - e["start"] > 1)
-        short = grouped.where(F.col("size") <= LONG).withColumn("borders", let(merged, lambda m: fold_merges(m, F.col("size"))))
-        long = grouped.where(F.col("size") > LONG).withColumn("borders", _long_merges(merged, F.col("size")))
+        short = grouped.where(F.length("unit") <= LONG).withColumn("pieces", fold_merges(F.col("chars"), F.col("edges"), F.length("unit")))
+        long = grouped.where(F.length("unit") > LONG).withColumn("pieces", _long_merges("chars", "edges"))
         folded = short.unionByName(long)
     else:
-        folded = grouped.withColumn("borders", fold_viterbi(F.col("edges"), F.col("size")))
+        folded = grouped.withColumn("pieces", fold_viterbi(F.col("chars"), F.col("edges"), F.length("unit")))
     spelled = F.array(*[F.lit(i) for i in model.bytes_])
 
-    def ids_of(borders):
-        def one(i):
-            a, b = F.get(borders, i), F.get(borders, i + 1)
-            edge = F.get(F.filter("edges", lambda e: (e["start"] == a) & (e["end"] == b)), 0)
-            code = F.hex(F.encode(F.substring("unit", a + 1, b - a), "UTF-8"))
-            raw = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: F.get(
-                spelled, F.conv(F.substring(code, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
-            return F.when(edge.isNotNull(), F.array(edge["id"])).otherwise(raw)
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(borders) - 2), one))
+    def ids_of(p):
+        code = F.hex(F.encode(F.substring("unit", p["start"] + 1, p["next"] - p["start"]), "UTF-8"))
+        raw = F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda k: F.get(
+            spelled, F.conv(F.substring(code, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
+        return F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(raw)
 
-    return folded.select("unit", "n", let(F.col("borders"), ids_of).alias("ids"))
+    return folded.select("unit", "n", F.flatten(F.transform("pieces", ids_of)).alias("ids"))
 
 
 def _key(unit: str) -> int:
@@ -213,7 +234,7 @@ class Lookup:
         key, n, ids = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.uint64, np.uint32, np.uint32)))
         start = np.cumsum(n, dtype=np.int64) - n
         order = np.argsort(key, kind="stable")
-        self.key, self.n, self.start, self.ids = key[order], n[order], start[order], ids
+        self.key, self.n, self.start, self.ids = key[order], n[order], start[order].astype(np.uint32 if len(ids) < 1 << 32 else np.int64), ids
 
     def encode(self, found: list[str], memo: dict, more: dict[str, list[int]]) -> tuple[np.ndarray, list[str]]:
         """(ids, units that are not known)."""
@@ -223,7 +244,7 @@ class Lookup:
         known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
         if known.all():
             n = self.n[at].astype(np.int64)
-            where = np.repeat(self.start[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            where = np.repeat(self.start[at].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
             return self.ids[where], []
         out, missing = [], []
         for u, k, i in zip(found, known.tolist(), at.tolist()):
@@ -260,7 +281,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
     spark = configure(docs.sparkSession)
     pattern = model.unit
     distinct = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _distinct(b, pattern), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    table = stage(lattice(distinct, model), "units")
+    # a unit's substrings stay with it, so grouping its edges needs no second exchange
+    table = stage(lattice(stage(distinct, "distinct").repartition("unit"), model), "units")
     frequent, whole = table, table.count() <= most_units
     if not whole:
         frequent = table.orderBy(F.desc("n"), "unit").limit(most_units)
@@ -276,20 +298,30 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def to_ids(text: pa.Array, extra: pa.Array) -> pa.Array:
-        cut, out = re.compile(pattern), []
-        for t, e in zip(text.to_pylist(), extra.to_pylist()):
-            if t is None:
-                out.append(None)
-                continue
-            ids, missing = shared.value.encode(units(t, cut), memo, {x["unit"]: x["ids"] for x in e or ()})
-            if missing:
-                raise ValueError(f"no ids for {missing[:3]}")
-            out.append(ids.astype(np.int32))
-        return pa.array(out, pa.list_(pa.int32()))
+        cut, out, ends = re.compile(pattern), [np.zeros(0, np.int32)], [0]
+        for t, e in zip(text, extra):
+            t = t.as_py()
+            if t:
+                ids, missing = shared.value.encode(units(t, cut), memo, {x["unit"]: x["ids"] for x in e.as_py() or ()})
+                if missing:
+                    raise ValueError(f"no ids for {missing[:3]}")
+                out.append(ids.astype(np.int32))
+            ends.append(ends[-1] + (len(out[-1]) if t else 0))
+        offsets = pa.array(ends, pa.int32())
+        if text.null_count:
+            gone = np.append(text.is_null().to_numpy(zero_copy_only=False), False)
+            offsets = pa.array(np.array(ends, np.int32), mask=gone)
+        return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))
 
     return keyed.withColumn("ids", to_ids(F.col(text_col), more)).drop("__rk", "__more")
 
 
+def _rows(lists: pa.Array):
+    """The rows of a list array as NumPy slices."""
+    ends, flat, known = np.asarray(lists.offsets), lists.values.to_numpy(), lists.is_valid().to_pylist()
+    return (flat[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], known))
+
+
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its piece ids."""
     known = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, i, _ in model.pieces} | {i: bytes([b]) for b, i in enumerate(model.bytes_)}
@@ -298,7 +330,7 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str
     def to_text(ids: pa.Array) -> pa.Array:
         get = known.__getitem__
         # the first space is the one that every text is given before it is cut
-        return pa.array([None if x is None else b"".join(map(get, x))[1:].decode("utf-8", "replace") for x in ids.to_pylist()], pa.string())
+        return pa.array([None if x is None else b"".join(map(get, x.tolist()))[1:].decode("utf-8", "replace") for x in _rows(ids)], pa.string())
 
     return encoded.withColumn(out_col, to_text(F.col(ids_col)))
 
@@ -308,7 +340,7 @@ DIGEST = StructType([StructField("n_pieces", LongType()), StructField("ids_sha25
 
 @F.arrow_udf(DIGEST)
 def _digest(ids: pa.Array) -> pa.Array:
-    rows = [np.asarray(x if x is not None else [], np.int32) for x in ids.to_pylist()]
+    rows = [np.zeros(0, np.int32) if x is None else x for x in _rows(ids)]
     return pa.StructArray.from_arrays([pa.array([len(r) for r in rows], pa.int64()), pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in rows])],
                                       ["n_pieces", "ids_sha256"])
 
