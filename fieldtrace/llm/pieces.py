@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -39,6 +40,8 @@ from fieldtrace.session import configure
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 150_000
+#: Units whose lattices one task groups, so few that it need not spill.
+UNITS = 15_000
 
 
 @dataclass(frozen=True)
@@ -236,19 +239,30 @@ class Lookup:
         order = np.argsort(key, kind="stable")
         self.key, self.n, self.start, self.ids = key[order], n[order], start[order].astype(np.uint32 if len(ids) < 1 << 32 else np.int64), ids
 
+    def _places(self, found: list[str], memo: dict) -> np.ndarray:
+        """Where each unit stands in the table, -1 if nowhere."""
+        at = np.array(list(map(memo.get, found, itertools.repeat(-2))), np.int64)
+        new = np.flatnonzero(at == -2).tolist()
+        if new:
+            key = np.array([_key(found[i]) for i in new], np.uint64)
+            place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+            place[self.key[place] != key if len(self.key) else slice(None)] = -1
+            at[new] = place
+            if len(memo) < FLUSH:
+                memo.update(zip([found[i] for i in new], place.tolist()))
+        return at
+
     def encode(self, found: list[str], memo: dict, more: dict[str, list[int]]) -> tuple[np.ndarray, list[str]]:
         """(ids, units that are not known)."""
-        get = memo.get
-        key = np.fromiter((get(u) or _remember(u, memo) for u in found), np.uint64, len(found))
-        at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        known = self.key[at] == key if len(self.key) else np.zeros(len(key), bool)
-        if known.all():
+        at = self._places(found, memo)
+        if len(at) and at.min() >= 0:
             n = self.n[at].astype(np.int64)
-            where = np.repeat(self.start[at].astype(np.int64) - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ends = np.cumsum(n)
+            where = np.repeat(self.start[at].astype(np.int64) - (ends - n), n) + np.arange(ends[-1])
             return self.ids[where], []
         out, missing = [], []
-        for u, k, i in zip(found, known.tolist(), at.tolist()):
-            if k:
+        for u, i in zip(found, at.tolist()):
+            if i >= 0:
                 out.append(self.ids[self.start[i]:self.start[i] + self.n[i]])
             elif u in more:
                 out.append(np.array(more[u], np.uint32))
@@ -257,13 +271,6 @@ class Lookup:
         return np.concatenate([np.zeros(0, np.uint32), *out]), missing
 
 
-def _remember(unit: str, memo: dict) -> int:
-    value = _key(unit)
-    if len(memo) < FLUSH:
-        memo[unit] = value
-    return value
-
-
 def _missing(batches, shared, unit: str):
     pattern, memo = re.compile(unit), {}
     for batch in batches:
@@ -282,7 +289,9 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
     pattern = model.unit
     distinct = docs.select(F.col(text_col).alias("text")).mapInArrow(lambda b: _distinct(b, pattern), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     # a unit's substrings stay with it, so grouping its edges needs no second exchange
-    table = stage(lattice(stage(distinct, "distinct").repartition("unit"), model), "units")
+    distinct = stage(distinct, "distinct")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), distinct.count() // UNITS)
+    table = stage(lattice(distinct.repartition(parts, "unit"), model), "units")
     frequent, whole = table, table.count() <= most_units
     if not whole:
         frequent = table.orderBy(F.desc("n"), "unit").limit(most_units)
