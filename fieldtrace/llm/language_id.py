@@ -28,10 +28,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from fieldtrace.llm.common import query
 from fieldtrace.session import configure
 
-MOST_WORDS, LONGEST, FOLDS, HELD_OUT = 50_000, 4, 5, 0
+MOST_WORDS, LONGEST, FOLDS, HELD_OUT = 100_000, 4, 5, 0
 FLUSH = 400_000
 #: Unseen words whose scores a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -74,33 +74,35 @@ class Model:
             for k in range(LONGEST + 1):
                 for piece in ([word] if k == 0 else grams(word, k)):
                     tables[k].setdefault(piece, np.zeros(len(langs)))[at[lang]] += n
-        self.tables = []
+        self.tables = []  # for each: piece -> row, and the rows
         for k, table in enumerate(tables):
             own = np.array([totals[x] for x in langs], float) if k == 0 else sum(table.values(), np.zeros(len(langs)))
             logs = np.log((np.array(list(table.values())).reshape(-1, len(langs)) + 0.5) / (own + 0.5 * (len(table) + 1)))
-            self.tables.append(dict(zip(table, logs)))
+            self.tables.append(({piece: i for i, piece in enumerate(table)}, logs.astype(np.float32)))
 
     def unseen(self, word: str) -> np.ndarray:
         for n in range(LONGEST, 0, -1):
-            known = [self.tables[n][g] for g in grams(word, n) if g in self.tables[n]]
+            rows, logs = self.tables[n]
+            known = [i for i in map(rows.get, grams(word, n)) if i is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs))
+                return logs[known].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
 
     def predict(self, text: str | None, memo: dict) -> tuple[str, float]:
         found = words(text)
         if not self.langs or not any(c.isalpha() for w in found for c in w):
             return "und", 0.0
-        score, known = self.prior.copy(), self.tables[0]
-        for word, n in Counter(found).items():
-            row = known.get(word)
-            if row is None:
+        rows, logs = self.tables[0]
+        at = list(map(rows.get, found))
+        score = self.prior + logs[[i for i in at if i is not None]].sum(axis=0, dtype=np.float64)
+        for word, i in zip(found, at):
+            if i is None:
                 row = memo.get(word)
                 if row is None:
                     row = self.unseen(word)
                     if len(memo) < REMEMBERED:
                         memo[word] = row
-            score += n * row
+                score += row
         best = int(np.argmax(score))
         return self.langs[best], float(1 / np.exp(score - score[best]).sum())
 
