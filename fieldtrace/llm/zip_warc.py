@@ -239,8 +239,9 @@ def _read(batches, payloads: bool):
 
 def read_packages(packages: DataFrame, piece: int = PIECE, payloads: bool = True) -> DataFrame:
     """The records of all packages in the column ``path``: id, payload_bytes, payload_digest, record_type, refers_to, uri, payload."""
-    pieces = packages.select("path").repartition(F.col("path")).mapInArrow(lambda b: _pieces(b, piece), "path string, starts array<long>, lengths array<long>")
-    return pieces.repartition(F.col("path"), F.col("starts")[0]).mapInArrow(lambda b: _read(b, payloads), RECORDS)
+    parts = int(packages.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # rows are few and small, the work behind each is not
+    pieces = packages.select("path").repartition(parts, F.col("path")).mapInArrow(lambda b: _pieces(b, piece), "path string, starts array<long>, lengths array<long>")
+    return pieces.repartition(parts, F.col("path"), F.col("starts")[0]).mapInArrow(lambda b: _read(b, payloads), RECORDS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", payloads: bool = True) -> DataFrame:
