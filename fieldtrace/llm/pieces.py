@@ -39,7 +39,7 @@ from fieldtrace.session import configure
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 150_000
+LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 100_000
 #: Units whose lattices one task groups, so few that it need not spill.
 UNITS = 15_000
 
@@ -237,6 +237,7 @@ class Lookup:
         key, n, ids = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.uint64, np.uint32, np.uint32)))
         start = np.cumsum(n, dtype=np.int64) - n
         order = np.argsort(key, kind="stable")
+        ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
         self.key, self.n, self.start, self.ids = key[order], n[order], start[order].astype(np.uint32 if len(ids) < 1 << 32 else np.int64), ids
 
     def _places(self, found: list[str], memo: dict) -> np.ndarray:
@@ -265,10 +266,10 @@ class Lookup:
             if i >= 0:
                 out.append(self.ids[self.start[i]:self.start[i] + self.n[i]])
             elif u in more:
-                out.append(np.array(more[u], np.uint32))
+                out.append(np.array(more[u], np.int64))
             else:
                 missing.append(u)
-        return np.concatenate([np.zeros(0, np.uint32), *out]), missing
+        return np.concatenate([np.zeros(0, np.uint16), *out]), missing
 
 
 def _missing(batches, shared, unit: str):
