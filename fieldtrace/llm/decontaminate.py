@@ -37,8 +37,8 @@ def template(text: Column) -> Column:
     """The template tokens of a text, one for each of its ``values``."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), _NUMBER, " 0 ")
     t = F.regexp_replace(t, r"(?<!\p{L})\p{Lu}\p{Ll}\p{L}*", "1")
-    t = F.regexp_replace(t, rf"(?<!\p{{L}})(?:{'|'.join(UNITS)})(?!\p{{L}})", "2")
-    return F.filter(F.split(F.lower(t), r"[^\p{L}012]+"), lambda w: w != "")
+    t = F.regexp_replace(F.lower(t), rf"(?<!\p{{L}})(?:{'|'.join(UNITS)})(?!\p{{L}})", "2")
+    return F.filter(F.split(t, r"[^\p{L}012]+"), lambda w: w != "")
 
 
 def values(text: Column) -> Column:

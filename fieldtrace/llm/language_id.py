@@ -77,7 +77,7 @@ class Model:
         self.tables = []  # for each: piece -> row, and the rows
         for k, table in enumerate(tables):
             own = np.array([totals[x] for x in langs], float) if k == 0 else sum(table.values(), np.zeros(len(langs)))
-            logs = np.log((np.array(list(table.values())).reshape(-1, len(langs)) + 0.5) / (own + 0.5 * (len(table) + 1)))
+            logs = np.log((np.array(list(table.values())).reshape(len(table), len(langs)) + 0.5) / (own + 0.5 * (len(table) + 1)))
             self.tables.append(({piece: i for i, piece in enumerate(table)}, logs.astype(np.float32)))
 
     def unseen(self, word: str) -> np.ndarray:
