@@ -151,7 +151,7 @@ def chain_id(start_us: Column, index: Column) -> Column:
 def chain_alerts(chains: DataFrame, alerts: DataFrame, slack_s: float = 60.0) -> DataFrame:
     """Alerts belonging to a chain: same source or one of its targets, within its time.
 
-    Two equi-joins on exploded addresses and a time range, then one row per pair.
+    Two equi-joins on exploded addresses and a time range, then one row per chain and alert; an event may raise several alerts.
     """
     span = chains.select("chain_id", "start_us", "end_us", F.col("source_ip"), "target_ips")
     rows = alerts.select("ts_us", "seq", "anomaly_type", "severity", "src_ip", "dst_ip")
@@ -160,7 +160,7 @@ def chain_alerts(chains: DataFrame, alerts: DataFrame, slack_s: float = 60.0) ->
     aims = span.select("chain_id", "start_us", "end_us", F.explode("target_ips").alias("aim"))
     by_target = rows.join(aims, rows["dst_ip"] == aims["aim"]).where(inside)
     cols = ["chain_id", *rows.columns]
-    return by_source.select(*cols).unionByName(by_target.select(*cols)).dropDuplicates(["chain_id", "ts_us", "seq"])
+    return by_source.select(*cols).unionByName(by_target.select(*cols)).dropDuplicates(["chain_id", "ts_us", "seq", "anomaly_type", "src_ip", "dst_ip"])
 
 
 def classify_storyline(types: Column, has_ot: Column, escalation: Column, phases: Column, events: Column) -> Column:
@@ -185,17 +185,16 @@ def velocity(phases: Column, span_us: Column) -> Column:
             .when(rate > 1, "Moderate progression").otherwise("Slow progression (patient attacker)"))
 
 
-def storyline_table(chains: DataFrame, alerts: DataFrame, key_events: int = 20, considered: int = 50) -> DataFrame:
-    """A row per chain: kind, risk, pace and its first alerts.
-
-    As a report, a story considers the first alerts of a chain in time order.
-    """
-    own = first_rows(chain_alerts(chains, alerts), ["chain_id"], ["ts_us", "seq"], k=considered)
+def storyline_table(chains: DataFrame, alerts: DataFrame, key_events: int = 20) -> DataFrame:
+    """A row per chain: kind, risk and pace, judged from all its alerts, and as a sample its first ``key_events`` ones."""
+    every = chain_alerts(chains, alerts)
+    known = every.groupBy("chain_id").agg(F.sort_array(F.collect_set("anomaly_type")).alias("_types"), F.count(F.lit(1)).cast("int").alias("_count"))
+    own = first_rows(every, ["chain_id"], ["ts_us", "seq"], k=key_events)
     event = F.struct("ts_us", "seq", "anomaly_type", "severity", F.col("src_ip").alias("source"), F.col("dst_ip").alias("target"),
                      event_significance(F.col("anomaly_type")).alias("significance"))
     told = own.groupBy("chain_id").agg(F.array_sort(F.collect_list(event)).alias("_e"))
-    rows = chains.join(told, "chain_id", "left").withColumn(
-        "_types", F.coalesce(F.transform("_e", lambda e: e["anomaly_type"]), F.array().cast("array<string>")))
+    rows = chains.join(told, "chain_id", "left").join(known, "chain_id", "left").withColumns(
+        {"_types": F.coalesce("_types", F.array().cast("array<string>")), "_count": F.coalesce("_count", F.lit(0))})
     kind = classify_storyline(F.col("_types"), F.col("has_ot_impact"), F.col("escalation"), F.size("phases"), F.col("total_events"))
     titles = F.create_map(*[x for k, v in STORY_TITLES.items() for x in (F.lit(k), F.lit(v))])
     span = F.col("end_us") - F.col("start_us")
@@ -205,7 +204,7 @@ def storyline_table(chains: DataFrame, alerts: DataFrame, key_events: int = 20,
         velocity(F.size("phases"), span).alias("velocity"), format_duration(span).alias("duration"),
         utc_text(F.col("start_us")).alias("started"),
         F.array_join(F.transform("phases", lambda p: p["phase"]), " -> ").alias("timeline"),
-        F.slice("_e", 1, key_events).alias("key_events"), F.size("_types").alias("alerts"))
+        F.slice("_e", 1, key_events).alias("key_events"), F.col("_count").alias("alerts"))
 
 
 def chain_list(chains: DataFrame, storylines: DataFrame, limit: int = 50) -> DataFrame:

@@ -56,7 +56,7 @@ def _event(rows: DataFrame, protocol: str, code, name, op_type, risk, *, unit=No
         "ts_us", "seq", "src_ip", "dst_ip", "src_port", "dst_port", F.lit(protocol).alias("protocol"), code.cast("int").alias("function_code"),
         name.alias("function_name"), op_type.alias("operation_type"), "risk_level",
         (unit if unit is not None else F.lit(0)).cast("int").alias("unit_id"), (address if address is not None else F.lit(0)).cast("int").alias("data_address"),
-        (count if count is not None else F.lit(0)).cast("int").alias("data_count"), take(P, 0, 64).alias("raw"),
+        (count if count is not None else F.lit(0)).cast("int").alias("data_count"), P.alias("raw"),
         (notes if notes is not None else F.lit("")).alias("notes"), (F.array_distinct(mitre) if mitre is not None else none).alias("mitre"),
         F.least(F.lit(1.0), base).cast("double").alias("threat_score"), "payload_entropy", u8(P, change_at).alias("payload_byte"),
         (detail if detail is not None else details(None)).alias("details"))
@@ -87,7 +87,7 @@ def decode_modbus(pdus: DataFrame) -> DataFrame:
     full = multi & (fc == 16) & (size >= u8(P, 12) + 13)
     written = F.when(simple & fc.isin(5, 6), u16(P, 10)).when(full & (count > 0), u16(P, 13))
     values = F.when(simple & fc.isin(5, 6), F.array(u16(P, 10))).when(full & (count > 0), F.filter(F.transform(
-        F.sequence(F.lit(0), F.least(count, F.lit(10)) - 1), lambda i: u16(P, i * 2 + 13)), lambda v: v.isNotNull())).otherwise(F.array().cast("array<int>"))
+        F.sequence(F.lit(0), count - 1), lambda i: u16(P, i * 2 + 13)), lambda v: v.isNotNull())).otherwise(F.array().cast("array<int>"))
     original = F.when(F.col("_error"), fc - 0x80).otherwise(fc)
     exception = dims.lookup(dims.MODBUS_EXCEPTIONS, F.coalesce(u8(P, 8), F.lit(0)), lambda v: v, F.concat(F.lit("UNKNOWN_"), F.coalesce(u8(P, 8), F.lit(0)).cast("string")))
     base = _of(dims.MODBUS_FUNCTIONS, fc, 0, _unknown(fc))
@@ -350,12 +350,12 @@ def decode_opcua(pdus: DataFrame) -> DataFrame:
     rows = rows.withColumn("_svc", F.when(service & (u8(P, 24) == 1), u16le(P, 26)).when(service & (u8(P, 24) == 0), u8(P, 25)).when(service, 0))
     svc = F.col("_svc")
     policy_size = u32le(P, 12)
-    policy = F.when((m == "OPN") & (nbytes(P) > 16) & (policy_size > 0) & (policy_size < 500) & (nbytes(P) >= policy_size + 16), _text(take(P, 16, policy_size)))
+    policy = F.when((m == "OPN") & (nbytes(P) > 16) & (policy_size > 0) & (nbytes(P) >= policy_size + 16), _text(take(P, 16, policy_size)))
     rows = rows.withColumn("_policy", policy)
     policy = F.col("_policy")
     naked = F.coalesce(policy.contains("None"), F.lit(False))
     url_size = u32le(P, 28)
-    endpoint = F.when((m == "HEL") & (nbytes(P) > 32) & (url_size > 0) & (url_size < 1000) & (nbytes(P) >= url_size + 32), _text(take(P, 32, url_size)))
+    endpoint = F.when((m == "HEL") & (nbytes(P) > 32) & (url_size > 0) & (nbytes(P) >= url_size + 32), _text(take(P, 32, url_size)))
     base = _of(dims.OPCUA_MESSAGES, m, 0, F.concat(F.lit("Unknown ("), m, F.lit(")")))
     named = _of(dims.OPCUA_SERVICES, svc, 0, F.concat(F.lit("Service_"), svc.cast("string")))
     inside = svc.isNotNull()

@@ -52,7 +52,7 @@ def reassemble_http(segments: DataFrame) -> DataFrame:
     skip = F.greatest(F.coalesce(F.col("_reach") - F.col("tcp_seq"), F.lit(0)), F.lit(0))
     rows = rows.withColumn("_skip", skip).where(F.col("_skip") < F.octet_length("payload")).withColumn(
         "chunk", F.expr("substring(payload, CAST(_skip AS INT) + 1)"))
-    begins = latin1(F.substring("chunk", 1, 4096)).rlike(START)
+    begins = latin1(F.col("chunk")).rlike(START)
     rows = rows.withColumn("_start", begins.cast("long"))
     rows = running(rows, FLOW, {"message_no": ("sum", F.col("_start"))}, ts="tcp_seq", seq="seq", width=STREAM_SLICE)
     parts = F.array_sort(F.collect_list(F.struct("tcp_seq", F.hex("chunk").alias("h"))))
@@ -123,7 +123,7 @@ def decode_http_message(messages: DataFrame) -> DataFrame:
             .withColumn("content_type", F.coalesce(h["content-type"], F.lit(""))).withColumn("host", F.coalesce(h["host"], F.lit("")))
             .withColumn("user_agent", F.coalesce(h["user-agent"], F.lit(""))))
     got = F.coalesce(F.octet_length("body_raw"), F.lit(0))
-    ended = latin1(F.expr("substring(data, -64)")).rlike(r"(?:^|\r?\n)0+(?:;[^\r\n]*)?\r?\n(?:[^\r\n]+\r?\n)*\r?\n\z")
+    ended = latin1(F.col("data")).rlike(r"(?:^|\r?\n)0+(?:;[^\r\n]*)?\r?\n(?:[^\r\n]+\r?\n)*\r?\n\z")
     complete = (F.when(F.col("_at") <= 0, F.lit(False))
                 .when(F.col("method").isin(BODYLESS) & F.col("content_length").isNull() & ~F.col("is_chunked"), F.lit(True))
                 .when((F.col("kind") == "response") & F.col("content_length").isNull() & ~F.col("is_chunked")

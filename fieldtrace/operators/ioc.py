@@ -135,11 +135,13 @@ def ioc_domains(alerts: DataFrame, ips: int = 10) -> DataFrame:
         F.lit("HTTP Traffic").alias("context"), F.col("_i").alias("associated_ips"), F.lit(0.0).alias("risk_score"))
 
 
-def ioc_urls(alerts: DataFrame, ips: int = 10, max_length: int = 500) -> DataFrame:
+def ioc_urls(alerts: DataFrame, ips: int = 10, max_length: int | None = None) -> DataFrame:
     """URLs named by alerts with ``host`` and ``uri``; telling parts raise the severity."""
     url = F.when(F.col("uri").startswith("http"), F.col("uri")).otherwise(F.concat(F.lit("http://"), "host", "uri"))
     rows = (alerts.where((F.coalesce("host", F.lit("")) != "") & (F.coalesce("uri", F.lit("")) != ""))
-            .withColumn("value", url).where(F.length("value") < max_length))
+            .withColumn("value", url))
+    if max_length is not None:
+        rows = rows.where(F.length("value") < max_length)
     total = rows.groupBy("value").agg(
         F.count(F.lit(1)).alias("occurrences"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
         F.max(F.struct("ts_us", "seq", "severity")).getField("severity").alias("last_severity"))

@@ -211,7 +211,7 @@ def ot_escalation(spark, folder):
     return chains(spark, folder).select("chain_id", "has_ot_impact", F.round("escalation", 4).alias("escalation"))
 
 
-PAIRS_SQL = f"""{CHAIN_SQL}, pa AS (SELECT DISTINCT c.chain_id, a.ts_us, a.seq, a.anomaly_type FROM ci c JOIN al a ON a.ts_us BETWEEN c.start_us AND c.end_us + 60000000
+PAIRS_SQL = f"""{CHAIN_SQL}, pa AS (SELECT DISTINCT c.chain_id, a.ts_us, a.seq, a.anomaly_type, a.src_ip, a.dst_ip FROM ci c JOIN al a ON a.ts_us BETWEEN c.start_us AND c.end_us + 60000000
  AND (a.src_ip = c.src_ip OR (c.src_ip, c.run, a.dst_ip) IN (SELECT (src_ip, run, dst_ip) FROM tg)))"""
 
 
@@ -224,7 +224,7 @@ def _words(words, column="types"):
     return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
-STORY_SQL = f"""{PAIRS_SQL}, fi AS (SELECT chain_id, string_agg(anomaly_type, ' ') AS types, count(*) AS alerts FROM (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY ts_us, seq) AS k FROM pa) WHERE k <= 50 GROUP BY chain_id),
+STORY_SQL = f"""{PAIRS_SQL}, fi AS (SELECT chain_id, string_agg(anomaly_type, ' ') AS types, count(*) AS alerts FROM pa GROUP BY chain_id),
 sy AS (SELECT ci.*, fi.alerts, CASE WHEN {_words(ch.STORY_WORDS[0][1])} THEN 'PLC_MANIPULATION' WHEN {_words(ch.STORY_WORDS[1][1])} AND (has_ot_impact OR escalation > 0.5) THEN 'WEBSHELL_TO_OT'
  WHEN {_words(ch.STORY_WORDS[2][1])} THEN 'DATA_EXFIL_DETECTED' WHEN {_words(ch.STORY_WORDS[3][1])} THEN 'C2_BEACON_DETECTED'
  WHEN {_words(ch.KNOWN_WORDS)} THEN 'GENERIC_ATTACK_CHAIN' ELSE 'UNKNOWN_PATTERN' END AS attack_type FROM ci JOIN fi USING (chain_id))"""

@@ -9,8 +9,6 @@ from fieldtrace.functions.scalar import safe_cell
 from fieldtrace.operators.history import retained, upsert_ioc
 from fieldtrace.operators.ioc import csv_rows
 
-# fixed values: row limits of the report tables
-REPORT_LIMITS = {"events": 50_000, "anomalies": 10_000, "payloads": 1_000}
 _ALERTS = "array<struct<anomaly_type:string,severity:string,ts_us:bigint,src_ip:string,dst_ip:string,protocol:string,confidence:double,evidence:string>>"
 _IOCS = "array<struct<ioc_type:string,value:string,severity:string,first_us:bigint,last_us:bigint,occurrences:bigint>>"
 _EXPORT = f"export_version string, session struct<session_id:string,capture:string,started_us:bigint>, anomalies {_ALERTS}, iocs {_IOCS}"
@@ -32,10 +30,10 @@ def report_table(df: DataFrame, limit: int | None = None) -> DataFrame:
     return rows.select(*out)
 
 
-def write_report_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """One folder per sheet; events, anomalies and payloads keep their first rows as a report does."""
+def write_report_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", limits: dict[str, int] | None = None) -> None:
+    """One folder per sheet, whole; ``limits`` keeps only the first rows of the sheets it names."""
     for name, df in tables.items():
-        writer = report_table(df, REPORT_LIMITS.get(name)).write.mode("overwrite")
+        writer = report_table(df, (limits or {}).get(name)).write.mode("overwrite")
         writer.option("header", True).csv(f"{folder}/{name}") if fmt == "csv" else writer.parquet(f"{folder}/{name}")
 
 

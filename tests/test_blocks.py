@@ -135,4 +135,3 @@ def test_attack_is_found(spark):
     assert {r["anomaly_type"] for r in behavior.profile(shuffled).select("anomaly_type").collect()} == kinds
     rule = [{"id": "X", "name": "big write", "severity": "HIGH", "match": {"value_gt": 1000, "src_ip": ["!10.0.0.1"]}}]
     assert rules.evaluate_rules(events, rule).count() == 1
-    assert it

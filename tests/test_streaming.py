@@ -60,4 +60,3 @@ def test_hourly_bytes(spark, tmp_path):
     got = drain(spark, lambda r: twins.hourly_bytes_stream(r, 90_000), flows.unionByName(end), tmp_path, "hourly")
     want = (flows.groupBy(F.floor(F.col("ts_us") / 3.6e9).alias("h"), "src_ip", "dst_ip").agg(F.sum("bytes").alias("hourly_bytes")).where("hourly_bytes > 90000"))
     assert pairs(got, "src_ip", "dst_ip", "hourly_bytes") == pairs(want, "src_ip", "dst_ip", "hourly_bytes")
-    assert it and chains
