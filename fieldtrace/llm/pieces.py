@@ -5,9 +5,10 @@ only distinct units need a lattice. Each unit's substrings of bounded length are
 table; the edges are grouped by unit, where they already lie, and folded by a higher-order aggregate:
 
 * ``fold_viterbi`` for unigram models: the path with the largest sum of scores.
-* ``fold_merges`` for BPE models: the library joins neighbours by best score, which a sum over a path cannot express; the fold
-  applies the best edge whose two halves are both present, until none is left. Units over LONG characters, where a fold over a
-  row would take quadratic time, do the same with a heap.
+* ``fold_in_order`` for BPE models: the library joins neighbours by best score, which a sum over a path cannot express; the fold
+  goes through the edges from best to worst and applies those whose two halves are both present. Where an edge comes to fit only
+  after its turn, ``fold_merges`` applies the best fitting edge until none is left. Units over LONG characters, where a fold over
+  a row would take quadratic time, do the same with a heap.
 
 The ids of the units return to the texts by a sorted table of unit hashes. It is broadcast up to ``most_units`` units (its size
 is counted first); beyond, the most frequent ones are broadcast and the units left over reach their texts by shuffled joins.
@@ -86,51 +87,88 @@ def units(text: str, pattern: re.Pattern) -> list[str]:
     return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
+def words(text: str) -> list[str]:
+    """The text cut at its spaces, so that each part has its own units; a text with runs of spaces stays one part."""
+    return [text] if "  " in text or SPACE in text else text.split(" ")
+
+
 def _distinct(batches, unit: str):
-    pattern, counts = re.compile(unit), Counter()
+    pattern, parts = re.compile(unit), Counter()
 
     def flush():
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
-        counts.clear()
-        return out
+        counts = Counter()
+        for part, n in parts.items():
+            for u in pattern.findall(SPACE + part.replace(" ", SPACE)):
+                counts[u] += n
+        parts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            counts.update(units(text, pattern) if text else ())
-            if len(counts) > FLUSH:
+            parts.update(words(text) if text else ())
+            if len(parts) > FLUSH:
                 yield flush()
-    if counts:
+    if parts:
         yield flush()
 
 
 PIECE = "struct<start: int, next: int, id: int>"
 
 
-def fold_merges(chars: Column, edges: Column, n: Column) -> Column:
-    """The final pieces. ``chars``: (start, id) of the characters in order; ``edges``: (rank, start, end, id), the preferred first.
+def _fits(cuts: Column, e: Column) -> Column:
+    """Whether both halves of an edge are present: it starts and ends at a cut, with exactly one cut between."""
+    return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
+
+
+def fold_merges(edges: Column, n: Column) -> Column:
+    """The cuts between the final pieces of a unit of n characters, a bit for each.
 
-    A cell holds where the piece that starts at its character ends (-1: none starts there) and its id. Edges that a merge
-    cuts through can never fit again and are dropped, so later steps have little left to look at.
+    ``edges`` are in order of preference; ``ends`` and ``inner`` are the bits of the cuts at an edge's ends and between them.
     """
-    def step(s, _):
-        def fits(e):
-            return F.get(s["cells"], F.get(s["cells"], e["start"])["next"])["next"] == e["end"]
+    def step(cuts, _):
+        best = F.get(F.filter(edges, lambda e: _fits(cuts, e)), 0)
+        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(best["inner"], F.lit(0).cast("long"))))
+    return F.aggregate(F.sequence(F.lit(1), n), F.lit(-1).cast("long"), step)
+
+
+def fold_in_order(edges: Column, n: Column) -> Column:
+    """The result of ``fold_merges`` in one pass over the edges.
+
+    In order of preference an edge's halves are mostly decided before the edge is. Only a late piece has a half that it precedes;
+    such edges wait, and a unit where one of them comes to fit after its turn is folded step by step instead.
+    """
+    def step(s, e):
+        cuts = s["cuts"]
+
+        def apply(new):
+            woken = F.coalesce(F.exists(s["waiting"], lambda w: _fits(new, w)), F.lit(False))
+            return F.struct(new.alias("cuts"), s["waiting"].alias("waiting"), (s["again"] | woken).alias("again"))
+        wait = F.struct(cuts.alias("cuts"), F.array_append(s["waiting"], F.struct(e["ends"].alias("ends"), e["inner"].alias("inner"))).alias("waiting"),
+                        s["again"].alias("again"))
+        return (F.when(_fits(cuts, e), let(cuts.bitwiseAND(F.bitwise_not(e["inner"])), apply))
+                .when(e["late"] & (cuts.bitwiseAND(e["ends"]) == e["ends"]), wait).otherwise(s))
+
+    first = F.struct(F.lit(-1).cast("long").alias("cuts"), F.array().cast("array<struct<ends: bigint, inner: bigint>>").alias("waiting"), F.lit(False).alias("again"))
+    return let(F.aggregate(edges, first, step), lambda s: F.when(s["again"], fold_merges(edges, n)).otherwise(s["cuts"]))
+
+
+def between_cuts(edges: Column, cuts: Column) -> Column:
+    """The pieces that lie between neighbouring cuts, in order."""
+    whole = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) == 0))
+    return F.array_sort(F.transform(whole, lambda e: F.struct(e["start"].alias("start"), (e["start"] + e["length"]).alias("next"), e["id"].alias("id")).cast(PIECE)))
+
 
-        def apply(b):
-            def cell(c, i):
-                return (F.when(i == b["start"], F.struct(b["end"].alias("next"), b["id"].alias("id")))
-                        .when((i > b["start"]) & (i < b["end"]), F.struct(F.lit(-1).alias("next"), F.lit(None).cast("int").alias("id"))).otherwise(c))
+def _late(pieces) -> list[bool]:
+    """Which pieces can be joined of halves of which one is no better than the whole."""
+    rank = {p: -s for p, _, s in pieces}
 
-            def free(e):
-                return (((e["start"] <= b["start"]) | (e["start"] >= b["end"])) & ((e["end"] <= b["start"]) | (e["end"] >= b["end"]))
-                        & ((e["start"] != b["start"]) | (e["end"] != b["end"])))
-            return F.when(b.isNull(), F.struct(s["cells"].alias("cells"), F.slice(s["edges"], 1, 0).alias("edges"))).otherwise(
-                F.struct(F.transform(s["cells"], cell).alias("cells"), F.filter(s["edges"], free).alias("edges")))
-        return let(F.get(F.filter(s["edges"], fits), 0), apply)
+    def when(part):
+        return float("-inf") if len(part) == 1 else rank.get(part)
 
-    cells = F.transform(chars, lambda c: F.struct((c["start"] + 1).alias("next"), c["id"].alias("id")))
-    done = F.aggregate(F.sequence(F.lit(1), n), F.struct(cells.alias("cells"), edges.alias("edges")), step)["cells"]
-    return F.filter(F.transform(done, lambda c, i: F.struct(i.alias("start"), c["next"].alias("next"), c["id"].alias("id")).cast(PIECE)), lambda p: p["next"] >= 0)
+    def is_late(p):
+        halves = [(when(p[:i]), when(p[i:])) for i in range(1, len(p))]
+        return any(a is not None and b is not None and max(a, b) >= rank[p] for a, b in halves)
+    return [is_late(p) for p, _, _ in pieces]
 
 
 def fold_viterbi(chars: Column, edges: Column, n: Column, unknown: float = 1e6) -> Column:
@@ -149,9 +187,10 @@ def fold_viterbi(chars: Column, edges: Column, n: Column, unknown: float = 1e6)
     return F.get(F.aggregate(F.sequence(F.lit(1), n), first, step), n)["pieces"]
 
 
-def _heap_merges(chars: list[dict], edges: list[dict]) -> list[dict]:
-    """The result of ``fold_merges``, for long units."""
-    known = {(e["start"], e["end"]): (e["rank"], e["id"]) for e in edges}
+def _heap_merges(rows: list[dict]) -> list[dict]:
+    """The pieces that ``fold_merges`` leaves, for long units."""
+    chars = sorted((e for e in rows if e["length"] == 1), key=lambda e: e["start"])
+    known = {(e["start"], e["start"] + e["length"]): (e["rank"], e["id"]) for e in rows if e["length"] > 1}
     after = {c["start"]: c["start"] + 1 for c in chars}
     before = {b: a for a, b in after.items()}
     ids = {c["start"]: c["id"] for c in chars}
@@ -181,9 +220,8 @@ PIECES_TYPE = ArrayType(StructType([StructField(c, IntegerType()) for c in ("sta
 
 
 @F.arrow_udf(PIECES_TYPE)
-def _long_merges(chars: pa.Array, edges: pa.Array) -> pa.Array:
-    rows = [_heap_merges(c, e) for c, e in zip(chars.to_pylist(), edges.to_pylist())]
-    return pa.array(rows, pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "next", "id")])))
+def _long_merges(edges: pa.Array) -> pa.Array:
+    return pa.array([_heap_merges(e) for e in edges.to_pylist()], pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "next", "id")])))
 
 
 def lattice(found: DataFrame, model: Model) -> DataFrame:
@@ -191,21 +229,28 @@ def lattice(found: DataFrame, model: Model) -> DataFrame:
     spark = found.sparkSession
     # the piece table is bounded by the model file
     table = F.broadcast(spark.createDataFrame(pa.table({"piece": [p for p, _, _ in model.pieces], "id": pa.array([i for _, i, _ in model.pieces], pa.int32()),
-                                                        "rank": [-s for _, _, s in model.pieces]})))
+                                                        "rank": [-s for _, _, s in model.pieces], "late": _late(model.pieces)})))
     size = F.length("unit")
     spans = (found.select("unit", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
              .select("unit", "n", "start", F.explode(F.sequence(F.lit(1), F.least(size - F.col("start"), F.lit(model.longest)))).alias("length"))
              .select("unit", "n", "start", "length", F.substring("unit", F.col("start") + 1, F.col("length")).alias("piece")))
-    edge = F.when(F.col("length") > 1, F.struct("rank", "start", (F.col("start") + F.col("length")).alias("end"), "id"))
-    char = F.when(F.col("length") == 1, F.struct("start", "rank", "id"))
+    def shifted(bits: int, by: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(bits).cast("long"), by)
+    start, end = F.col("start"), F.col("start") + F.col("length")
+    edge = F.struct("rank", "start", "length", "id", shifted(1, start).bitwiseOR(shifted(1, end)).alias("ends"),
+                    shifted(-1, start + 1).bitwiseAND(F.bitwise_not(shifted(-1, end))).alias("inner"), "late")
+    n = F.length("unit")
     grouped = (spans.join(table, "piece", "left").where("id is not null or length = 1")
-               .groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(char)).alias("chars"), F.sort_array(F.collect_list(edge)).alias("edges")))
+               .groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges")))
     if model.bpe:
-        short = grouped.where(F.length("unit") <= LONG).withColumn("pieces", fold_merges(F.col("chars"), F.col("edges"), F.length("unit")))
-        long = grouped.where(F.length("unit") > LONG).withColumn("pieces", _long_merges("chars", "edges"))
+        short = grouped.where(n <= LONG).withColumn("pieces", let(fold_in_order(F.col("edges"), n), lambda cuts: between_cuts(F.col("edges"), cuts)))
+        long = grouped.where(n > LONG).withColumn("pieces", _long_merges("edges"))
         folded = short.unionByName(long)
     else:
-        folded = grouped.withColumn("pieces", fold_viterbi(F.col("chars"), F.col("edges"), F.length("unit")))
+        chars = F.array_sort(F.transform(F.filter("edges", lambda e: e["length"] == 1), lambda e: F.struct(e["start"].alias("start"), e["rank"].alias("rank"), e["id"].alias("id"))))
+        longer = F.transform(F.filter("edges", lambda e: e["length"] > 1),
+                             lambda e: F.struct(e["rank"].alias("rank"), e["start"].alias("start"), (e["start"] + e["length"]).alias("end"), e["id"].alias("id")))
+        folded = grouped.withColumn("chars", chars).withColumn("longer", longer).withColumn("pieces", fold_viterbi(F.col("chars"), F.col("longer"), n))
     spelled = F.array(*[F.lit(i) for i in model.bytes_])
 
     def ids_of(p):
@@ -214,7 +259,8 @@ def lattice(found: DataFrame, model: Model) -> DataFrame:
             spelled, F.conv(F.substring(code, (k * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
         return F.when(p["id"].isNotNull(), F.array(p["id"])).otherwise(raw)
 
-    return folded.select("unit", "n", F.flatten(F.transform("pieces", ids_of)).alias("ids"))
+    spelt = F.exists("pieces", lambda p: p["id"].isNull())
+    return folded.select("unit", "n", F.when(spelt, F.flatten(F.transform("pieces", ids_of))).otherwise(F.transform("pieces", lambda p: p["id"])).alias("ids"))
 
 
 def _key(unit: str) -> int:
@@ -240,36 +286,32 @@ class Lookup:
         ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
         self.key, self.n, self.start, self.ids = key[order], n[order], start[order].astype(np.uint32 if len(ids) < 1 << 32 else np.int64), ids
 
-    def _places(self, found: list[str], memo: dict) -> np.ndarray:
+    def _places(self, found: list[str]) -> np.ndarray:
         """Where each unit stands in the table, -1 if nowhere."""
-        at = np.array(list(map(memo.get, found, itertools.repeat(-2))), np.int64)
-        new = np.flatnonzero(at == -2).tolist()
-        if new:
-            key = np.array([_key(found[i]) for i in new], np.uint64)
-            place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-            place[self.key[place] != key if len(self.key) else slice(None)] = -1
-            at[new] = place
-            if len(memo) < FLUSH:
-                memo.update(zip([found[i] for i in new], place.tolist()))
-        return at
-
-    def encode(self, found: list[str], memo: dict, more: dict[str, list[int]]) -> tuple[np.ndarray, list[str]]:
-        """(ids, units that are not known)."""
-        at = self._places(found, memo)
-        if len(at) and at.min() >= 0:
-            n = self.n[at].astype(np.int64)
-            ends = np.cumsum(n)
-            where = np.repeat(self.start[at].astype(np.int64) - (ends - n), n) + np.arange(ends[-1])
-            return self.ids[where], []
-        out, missing = [], []
-        for u, i in zip(found, at.tolist()):
-            if i >= 0:
-                out.append(self.ids[self.start[i]:self.start[i] + self.n[i]])
-            elif u in more:
-                out.append(np.array(more[u], np.int64))
-            else:
-                missing.append(u)
-        return np.concatenate([np.zeros(0, np.uint16), *out]), missing
+        key = np.array(list(map(_key, found)), np.uint64)
+        place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
+        place[self.key[place] != key if len(self.key) else slice(None)] = -1
+        return place
+
+    def encode(self, parts: list[str], pattern: re.Pattern, memo: dict, more: dict[str, list[int]]) -> tuple[bytes, list[str]]:
+        """(ids of the parts as 32-bit numbers, units that are not known)."""
+        got = list(map(memo.get, parts))
+        missing: list[str] = []
+        if None in got:
+            new = {parts[i]: b"" for i, x in enumerate(got) if x is None}
+            cut = [pattern.findall(SPACE + p.replace(" ", SPACE)) for p in new]
+            flat = list(itertools.chain.from_iterable(cut))
+            at = self._places(flat).tolist()
+            spans = iter([self.ids[self.start[i]:self.start[i] + self.n[i]].astype("<i4").tobytes() if i >= 0 else None for i in at])
+            for part, own in zip(new, cut):
+                ids = list(itertools.islice(spans, len(own)))
+                keep = None not in ids and len(part) <= LONG and len(memo) < FLUSH
+                missing += [u for u, x in zip(own, ids) if x is None and u not in more]
+                new[part] = b"".join(np.array(more.get(u, ()), "<i4").tobytes() if x is None else x for u, x in zip(own, ids))
+                if keep:
+                    memo[part] = new[part]
+            got = [new[p] if x is None else x for p, x in zip(parts, got)]
+        return b"".join(got), missing
 
 
 def _missing(batches, shared, unit: str):
@@ -277,7 +319,7 @@ def _missing(batches, shared, unit: str):
     for batch in batches:
         rk, out = [], []
         for key, text in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist()):
-            _, missing = shared.value.encode(units(text, pattern), memo, {}) if text else (None, [])
+            _, missing = shared.value.encode(words(text), pattern, memo, {}) if text else (None, [])
             missing = set(missing)
             rk += [key] * len(missing)
             out += missing
@@ -312,10 +354,10 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
         for t, e in zip(text, extra):
             t = t.as_py()
             if t:
-                ids, missing = shared.value.encode(units(t, cut), memo, {x["unit"]: x["ids"] for x in e.as_py() or ()})
+                ids, missing = shared.value.encode(words(t), cut, memo, {x["unit"]: x["ids"] for x in e.as_py() or ()})
                 if missing:
                     raise ValueError(f"no ids for {missing[:3]}")
-                out.append(ids.astype(np.int32))
+                out.append(np.frombuffer(ids, "<i4"))
             ends.append(ends[-1] + (len(out[-1]) if t else 0))
         offsets = pa.array(ends, pa.int32())
         if text.null_count:
