@@ -41,6 +41,8 @@ from fieldtrace.session import configure
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 100_000
+#: Characters of texts whose words are counted together.
+HELD = 50_000_000
 #: Units whose lattices one task groups, so few that it need not spill.
 UNITS = 15_000
 
@@ -88,12 +90,14 @@ def units(text: str, pattern: re.Pattern) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    """The text cut at its spaces, so that each part has its own units; a text with runs of spaces stays one part."""
-    return [text] if "  " in text or SPACE in text else text.split(" ")
+    """The text cut before each run of spaces, without the first of them (as if a space came before the text): no unit crosses such a cut."""
+    if "  " in text or SPACE in text or text[:1] == " ":
+        return [w[1:] for w in re.findall(" +[^ ]*", " " + text.replace(SPACE, " "))]
+    return text.split(" ")
 
 
 def _distinct(batches, unit: str):
-    pattern, parts = re.compile(unit), Counter()
+    pattern, parts, held = re.compile(unit), Counter(), 0
 
     def flush():
         counts = Counter()
@@ -106,7 +110,9 @@ def _distinct(batches, unit: str):
     for batch in batches:
         for text in batch.column("text").to_pylist():
             parts.update(words(text) if text else ())
-            if len(parts) > FLUSH:
+            held += len(text) if text else 0
+            if len(parts) > FLUSH or held > HELD:
+                held = 0
                 yield flush()
     if parts:
         yield flush()
