@@ -273,24 +273,28 @@ def _key(unit: str) -> int:
     return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"))
 
 
-def _pack(batches):
-    """Hashes, lengths and ids of units, packed for the table that tasks look units up in."""
+def _pack(batches, width):
+    """Hashes, lengths and ids (of type ``width``) of units, packed for the table that tasks look units up in."""
     for batch in batches:
         ids = batch.column("ids")
         key = np.fromiter((_key(u) for u in batch.column("unit").to_pylist()), np.uint64, batch.num_rows)
         n = np.diff(np.asarray(ids.offsets)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (key, n, np.asarray(ids.flatten()).astype(np.uint32))], names=["key", "n", "ids"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (key, n, np.asarray(ids.flatten()).astype(width))], names=["key", "n", "ids"])
 
 
 class Lookup:
     """Unit -> ids for the units of the broadcast table, and for those that come with a text."""
 
-    def __init__(self, rows):
-        key, n, ids = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in enumerate((np.uint64, np.uint32, np.uint32)))
+    def __init__(self, rows, width):
+        # one array after the other, and no copy longer than needed: this runs in the driver
+        key, n, self.ids = (np.frombuffer(b"".join([r[i] for r in rows]), t) for i, t in enumerate((np.uint64, np.uint32, width)))
+        rows.clear()
+        order = np.argsort(key, kind="stable").astype(np.uint32)
+        self.key = key[order]
+        del key
         start = np.cumsum(n, dtype=np.int64) - n
-        order = np.argsort(key, kind="stable")
-        ids = ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
-        self.key, self.n, self.start, self.ids = key[order], n[order], start[order].astype(np.uint32 if len(ids) < 1 << 32 else np.int64), ids
+        self.start = (start.astype(np.uint32) if len(self.ids) < 1 << 32 else start)[order]
+        self.n = n[order]
 
     def _places(self, found: list[str]) -> np.ndarray:
         """Where each unit stands in the table, -1 if nowhere."""
@@ -344,8 +348,9 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
     frequent, whole = table, table.count() <= most_units
     if not whole:
         frequent = table.orderBy(F.desc("n"), "unit").limit(most_units)
-    lookup = Lookup(frequent.select("unit", "ids").mapInArrow(_pack, "key binary, n binary, ids binary").collect())  # most_units at most
-    shared = spark.sparkContext.broadcast(lookup)
+    width = np.uint16 if max(i for i in (*(i for _, i, _ in model.pieces), *model.bytes_)) < 1 << 16 else np.uint32
+    packed = frequent.select("unit", "ids").mapInArrow(lambda b: _pack(b, width), "key binary, n binary, ids binary")
+    shared = spark.sparkContext.broadcast(Lookup(packed.collect(), width))  # most_units at most
     keyed, more = docs, F.lit(None).cast("array<struct<unit: string, ids: array<int>>>")
     if not whole:
         keyed = docs.withColumn("__rk", row_key(F.col(text_col)))
