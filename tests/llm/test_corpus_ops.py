@@ -212,6 +212,18 @@ def test_language_id(spark, docs, empty):
     assert language_id.language_id(empty, language_id.train(empty)).count() == 0
 
 
+def test_rare_language_keeps_its_words(spark):
+    def letters(i):
+        return "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, " ".join(f"b{letters(j)}" for j in range(i % 7, 60)), "big") for i in range(50)] + [(100, "zuzu wixo quva", "rare"), (101, "wixo zuzu", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    test = spark.createDataFrame([(1, "zuzu quva", "rare"), (2, "zuzus wixon", "rare"), (3, "bdb bec", "big"), (4, "zuzu quva", "rare"), (5, None, "und")], "doc_id long, text string, want string")
+    whole = language_id.language_id(test, language_id.train(docs)).collect()
+    assert all(r["lang_pred"] == r["want"] for r in whole)
+    few = language_id.language_id(test, language_id.train(docs, most_words=10)).collect()  # the bound is on what is broadcast
+    same([(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in few], [(r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in whole])
+
+
 def test_kth_largest(spark):
     values = [random.Random(5).gauss(0, 10) ** 3 for _ in range(5000)] + [7.0] * 500
     df = spark.createDataFrame([(v,) for v in values], "v double")
