@@ -2,9 +2,10 @@
 
 Text becomes a template: numbers, names (capitalised words) and units turn into the placeholders 0, 1 and 2, other words
 stay, lower-cased. An item also has a template without names, which copies in other case meet. Windows of ``window`` template tokens of the documents meet those of the benchmark items by hash. An item is in a
-document when at least half of its windows are found there and, along the best alignment, the values behind the placeholders are
-consistent: wherever the item repeats a value the document repeats one too. So a copied item is found, and one with other
-numbers or names, but not a text that merely has the same shape.
+document when at least half of its windows are found there and the values behind the placeholders are
+consistent along an alignment: wherever the item repeats a value the document repeats one too. All alignments are judged; the
+consistent ones must hold half of the windows, or one of them as many as any alignment does. So a copied item is found, also
+behind a text that merely has the same shape, and one with other numbers or names, but not that text.
 
 Only DataFrame functions. The benchmark's windows are the small side; they are broadcast when their count is small, else the join is
 shuffled. Hits are folded to one row per document, item and alignment in the map tasks first; aligning values needs the tokens
@@ -80,20 +81,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hits = join_small(cut, known, ["hash", "length"], "inner")
     lines = (hits.groupBy("rk", "item", (F.col("at") - F.col("item_at")).alias("shift"))
              .agg(F.collect_set("item_at").alias("at"), F.first("n_windows").alias("n_windows"), F.first("length").alias("length")))
-    pairs = (lines.groupBy("rk", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_found"), F.first("n_windows").alias("n_windows"),
-                                             F.max_by(F.struct("shift", "at", "length"), F.struct(F.size("at"), -F.col("shift"))).alias("best"))
-             .where(den * F.col("n_found") >= num * F.col("n_windows")))
-    pairs = stage(pairs.select("rk", "item", "best.*"), "pairs")
-    # the values behind the placeholders, along the best alignment
+    enough = lambda at: den * F.size(F.array_distinct(F.flatten(at))) >= num * F.col("n_windows")
+    pairs = stage(lines.groupBy("rk", "item").agg(F.first("n_windows").alias("n_windows"), F.collect_list(F.struct("shift", "at", "length")).alias("lines"))
+                  .where(enough(F.col("lines.at"))), "pairs")
+    # the values behind the placeholders, along each alignment
     texts = join_small(keyed, stage(pairs.select("rk").distinct(), "found"), "rk", "left_semi").dropDuplicates(["rk"])
     doc_values = texts.select("rk", values(F.col("text")).alias("doc_values"))
     item_values = items.select("item", values(F.col("text")).alias("item_values"), template(F.col("text")).alias("tokens"))
     aligned = pairs.join(doc_values, "rk").join(item_values, "item")
-    places = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("length") - 1))))
-    slots = F.filter(places, lambda i: F.get("tokens", i).isin("0", "1", "2"))
-    bound = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("item"), F.get("doc_values", i + F.col("shift")).alias("doc"))))
-    consistent = let(bound, lambda b: F.size(b) == F.size(F.array_distinct(F.transform(b, lambda x: x["item"]))))
-    return aligned.where(consistent).join(items.select("item", F.col("item_id")), "item").select("rk", F.col("item_id").alias("item")).distinct()
+
+    def consistent(line: Column) -> Column:
+        places = F.array_distinct(F.flatten(F.transform(line["at"], lambda a: F.sequence(a, a + line["length"] - 1))))
+        slots = F.filter(places, lambda i: F.get("tokens", i).isin("0", "1", "2"))
+        bound = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("item"), F.get("doc_values", i + line["shift"]).alias("doc"))))
+        return let(bound, lambda b: F.size(b) == F.size(F.array_distinct(F.transform(b, lambda x: x["item"]))))
+
+    longest = lambda at: F.array_max(F.transform(at, F.size))
+    judged = aligned.select("item", "rk", "n_windows", F.col("lines.at").alias("all"), F.filter("lines", consistent)["at"].alias("good"))
+    judged = judged.where((F.size("good") > 0) & (enough(F.col("good")) | (longest(F.col("good")) == longest(F.col("all")))))
+    return judged.join(items.select("item", F.col("item_id")), "item").select("rk", F.col("item_id").alias("item")).distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",

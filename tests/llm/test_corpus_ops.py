@@ -156,6 +156,14 @@ def test_leaks_with_other_values_and_case(spark, docs):
     assert not decontaminate.decontaminate(docs, bench.where("false")).where("contaminated").count()
 
 
+def test_leak_behind_a_text_of_its_shape(spark):
+    item = "Alice buys 12 apples for 3 dollars and gives Bob 12 of them before 5 hours pass, how many apples does Alice keep"
+    broken = item.replace("12", "77", 1).replace("Alice", "Dora", 1)
+    texts = {1: f"{broken} and then {item}", 2: f"{item} and then {broken}", 3: f"{broken} and then {broken}"}
+    found = decontaminate.decontaminate(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {r["doc_id"]: r["items"] for r in found.where("contaminated").collect()} == {1: [1], 2: [1]}
+
+
 def test_url_rules(spark):
     urls = ["https://x.Example.com/en/a?b", "http://www.example.com/en/", "http://example.com", "ftp://a.net/es/1#x", "a.net/es/", None, "http://b.net/de/1", "http://com/x", "http://notcom/x"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("old"))
