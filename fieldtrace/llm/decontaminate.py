@@ -12,7 +12,8 @@ shuffled. Hits are folded to one row per document, item and alignment in the map
 of documents that passed the first test only.
 
 Defined cases: null or empty text has no windows; an item with fewer tokens than a window is one window of its own length, and one
-without any token is never found; a window must hold half its length in words that are no placeholders; repeated items are found
+without any token is never found; a window that holds less than half its length in words that are no placeholders (a dense one) meets only windows with its
+own values, in any case, so an item of dense windows is found as a copy, and any item with half of all its windows too; repeated items are found
 each; repeated rows get equal results; a null id is kept; empty tables give an empty result or no finds; extra columns are
 passed on, and those named like an output are replaced.
 """
@@ -47,22 +48,33 @@ def values(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_RAW), F.lit(1)), F.lower)
 
 
-def _hashes(tokens: Column, length: int) -> Column:
-    """(hash, length, at) of each window of ``length`` tokens."""
+def _n_words(tokens: Column) -> Column:
+    """How many template tokens are no placeholders."""
+    for slot in ("0", "1", "2"):
+        tokens = F.array_remove(tokens, slot)
+    return F.size(tokens)
+
+
+def _hashes(tokens: Column, length: int, own: Column | None = None) -> Column:
+    """(hash, length, dense, at) of each window of ``length`` tokens; with their values ``own``, of these and of the dense windows only."""
     at = F.when(F.size(tokens) >= length, F.sequence(F.lit(0), F.size(tokens) - length)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(tokens, i + 1, F.lit(length))).alias("hash"), F.lit(length).alias("length"), i.alias("at")))
+    if own is not None:
+        at = F.filter(at, lambda i: 2 * _n_words(F.slice(tokens, i + 1, F.lit(length))) < length)
+    hashed = tokens if own is None else own
+    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(hashed, i + 1, F.lit(length))).alias("hash"), F.lit(length).alias("length"),
+                                              F.lit(own is not None).alias("dense"), i.alias("at")))
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(hash, length, item, item_at, n_windows) of the items' windows that are specific enough."""
-    tokens = benchmark.select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("tokens")).where(F.size("tokens") > 0)
+    """(hash, length, dense, item, item_at, n_windows, n_all) of the items' windows: templates, and the own values of dense ones."""
+    tokens = benchmark.select(F.col(item_col).alias("item"), template(F.col(text_col)).alias("tokens"), values(F.col(text_col)).alias("own")).where(F.size("tokens") > 0)
     tokens = tokens.withColumn("length", F.least(F.size("tokens"), F.lit(window)))
     cut = tokens.select("item", "length", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("length") + 1),
-                                                                    lambda i: F.slice("tokens", i, F.col("length")))).alias("item_at", "tokens"))
-    words = F.size(F.filter("tokens", lambda w: ~w.isin("0", "1", "2")))
-    good = cut.where(2 * words >= F.col("length"))
-    counted = good.groupBy("item").agg(F.count(F.lit(1)).alias("n_windows"))
-    return good.join(counted, "item").select(F.xxhash64("tokens").alias("hash"), "length", "item", "item_at", "n_windows")
+                                                                    lambda i: F.struct(F.slice("tokens", i, F.col("length")).alias("tokens"), F.slice("own", i, F.col("length")).alias("own"))))
+                       .alias("item_at", "cut")).select("item", "length", "item_at", "cut.*")
+    cut = cut.withColumn("dense", 2 * _n_words(F.col("tokens")) < F.col("length"))
+    counted = cut.groupBy("item").agg(F.count_if(~F.col("dense")).alias("n_windows"), F.count(F.lit(1)).alias("n_all"))
+    return cut.join(counted, "item").select(F.xxhash64(F.when(F.col("dense"), F.col("own")).otherwise(F.col("tokens"))).alias("hash"), "length", "dense", "item", "item_at", "n_windows", "n_all")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -72,33 +84,41 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = benchmark.select(F.col(item_col).alias("item_id"), F.explode(F.array_distinct(F.array(F.col(item_text_col), F.lower(item_text_col)))).alias("text"))
     items = items.distinct().withColumn("item", row_key(F.col("item_id"), F.col("text")))
     known = stage(item_windows(items, "item", "text", window), "windows")
-    lengths = sorted(r[0] for r in known.select("length").distinct().collect())  # at most ``window`` different ones
+    lengths = sorted(tuple(r) for r in known.select("length", "dense").distinct().collect())  # at most twice ``window`` different ones
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     if not lengths:
         return keyed.select("rk", F.lit(None).cast("long").alias("item")).where("false")
-    found = let(template(F.col("text")), lambda t: F.flatten(F.array(*[_hashes(t, n) for n in lengths])))
+    both = F.struct(template(F.col("text")).alias("t"), (values(F.col("text")) if any(d for _, d in lengths) else F.lit(None).cast("array<string>")).alias("own"))
+    found = let(both, lambda x: F.flatten(F.array(*[_hashes(x["t"], n, x["own"] if dense else None) for n, dense in lengths])))
     cut = keyed.select("rk", F.inline(found))
-    hits = join_small(cut, known, ["hash", "length"], "inner")
+    hits = join_small(cut, known, ["hash", "length", "dense"], "inner")
     lines = (hits.groupBy("rk", "item", (F.col("at") - F.col("item_at")).alias("shift"))
-             .agg(F.collect_set("item_at").alias("at"), F.first("n_windows").alias("n_windows"), F.first("length").alias("length")))
-    enough = lambda at: den * F.size(F.array_distinct(F.flatten(at))) >= num * F.col("n_windows")
-    pairs = stage(lines.groupBy("rk", "item").agg(F.first("n_windows").alias("n_windows"), F.collect_list(F.struct("shift", "at", "length")).alias("lines"))
-                  .where(enough(F.col("lines.at"))), "pairs")
+             .agg(F.collect_set("item_at").alias("at"), F.collect_set(F.when(~F.col("dense"), F.col("item_at"))).alias("plain"),
+                  F.first("n_windows").alias("n_windows"), F.first("n_all").alias("n_all"), F.first("length").alias("length")))
+    n_of = lambda at: F.size(F.array_distinct(F.flatten(at)))
+
+    def enough(found: Column) -> Column:
+        plain, every = n_of(found["plain"]), n_of(found["at"])
+        return ((F.col("n_windows") > 0) & (den * plain >= num * F.col("n_windows"))) | (den * every >= num * F.col("n_all"))
+    pairs = stage(lines.groupBy("rk", "item").agg(F.first("n_windows").alias("n_windows"), F.first("n_all").alias("n_all"),
+                                                   F.collect_list(F.struct("shift", "at", "plain", "length")).alias("lines")).where(enough(F.col("lines"))), "pairs")
     # the values behind the placeholders, along each alignment
     texts = join_small(keyed, stage(pairs.select("rk").distinct(), "found"), "rk", "left_semi").dropDuplicates(["rk"])
     doc_values = texts.select("rk", values(F.col("text")).alias("doc_values"))
     item_values = items.select("item", values(F.col("text")).alias("item_values"), template(F.col("text")).alias("tokens"))
     aligned = pairs.join(doc_values, "rk").join(item_values, "item")
 
-    def consistent(line: Column) -> Column:
-        places = F.array_distinct(F.flatten(F.transform(line["at"], lambda a: F.sequence(a, a + line["length"] - 1))))
+    def consistent(line: Column) -> Column:  # dense windows have the item's own values
+        places = F.array_distinct(F.flatten(F.transform(line["plain"], lambda a: F.sequence(a, a + line["length"] - 1))))
         slots = F.filter(places, lambda i: F.get("tokens", i).isin("0", "1", "2"))
         bound = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("item"), F.get("doc_values", i + line["shift"]).alias("doc"))))
         return let(bound, lambda b: F.size(b) == F.size(F.array_distinct(F.transform(b, lambda x: x["item"]))))
 
-    longest = lambda at: F.array_max(F.transform(at, F.size))
-    judged = aligned.select("item", "rk", "n_windows", F.col("lines.at").alias("all"), F.filter("lines", consistent)["at"].alias("good"))
-    judged = judged.where((F.size("good") > 0) & (enough(F.col("good")) | (longest(F.col("good")) == longest(F.col("all")))))
+    longest = lambda found, part: F.array_max(F.transform(found[part], F.size))
+    judged = aligned.select("item", "rk", "n_windows", "n_all", "lines", F.filter("lines", consistent).alias("good"))
+    good, every = F.col("good"), F.col("lines")
+    best = (F.col("n_windows") > 0) & (longest(good, "plain") > 0) & (longest(good, "plain") == longest(every, "plain"))
+    judged = judged.where((F.size(good) > 0) & (enough(good) | best | (longest(good, "at") == longest(every, "at"))))
     return judged.join(items.select("item", F.col("item_id")), "item").select("rk", F.col("item_id").alias("item")).distinct()
 
 

@@ -164,6 +164,14 @@ def test_leak_behind_a_text_of_its_shape(spark):
     assert {r["doc_id"]: r["items"] for r in found.where("contaminated").collect()} == {1: [1], 2: [1]}
 
 
+def test_leaks_of_dense_items(spark):
+    bench = spark.createDataFrame([(1, "What is 12 + 35 - 7?"), (2, "Maria Lopez Meets Peter Brown In Old Madrid Near Gran Via")], "item_id long, text string")
+    texts = {1: "so What is 12 + 35 - 7? then", 2: "WHAT IS 12 + 35 - 7", 3: "What is 12 + 36 - 8?", 4: "as Maria Lopez Meets Peter Brown In Old Madrid Near Gran Via",
+             5: "Karla Gomez Meets Frank Green At New York Near Fifth Avenue", 6: None}
+    found = decontaminate.decontaminate(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bench)
+    assert {r["doc_id"]: r["items"] for r in found.where("contaminated").collect()} == {1: [1], 2: [1], 4: [2]}
+
+
 def test_url_rules(spark):
     urls = ["https://x.Example.com/en/a?b", "http://www.example.com/en/", "http://example.com", "ftp://a.net/es/1#x", "a.net/es/", None, "http://b.net/de/1", "http://com/x", "http://notcom/x"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("old"))
