@@ -2,8 +2,8 @@
 
 The labelled URLs are those that a rule decides. Features are column functions of the URL: lengths, depth, digit ratio,
 character entropy, parameter counts, labels of the host, and how often URLs of the same domain suffix are blocked among
-the labelled ones. The trees are Spark ML's; they are fitted on a sample of at most about ``most_training`` labelled
-URLs, chosen by hash, and every URL is judged.
+all labelled ones. The trees are Spark ML's; they are fitted on about ``most_training`` distinct labelled URLs at most, chosen
+by hash and weighted by their rows, and every URL is judged.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is judged by the trees; where
 the labelled URLs have one verdict only, all others get it, and without any labelled URL they are allowed; repeated rows get
@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm.common import let, lower_ascii, query
+from fieldtrace.llm.common import join_small, let, lower_ascii, query, stage
 from fieldtrace.session import configure
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -77,7 +77,7 @@ def with_features(parts: DataFrame, url_col: str = "url") -> tuple[DataFrame, li
 
 
 def _suffix_share(labelled: DataFrame, level: str, share: float) -> DataFrame:
-    """Share of blocked URLs of a suffix, drawn towards the overall share; as many rows as labelled ones in the sample at most."""
+    """Share of blocked URLs of a suffix, drawn towards the overall share."""
     return labelled.groupBy(level).agg(((F.sum("label") + 5 * share) / (F.count(F.lit(1)) + 5)).alias(f"__share{level}"))
 
 
@@ -89,17 +89,18 @@ def url_filter(pages: DataFrame, url_col: str = "url", rules=RULES, most_trainin
     n, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if blocked in (0.0, float(n)):
         return _finish(judged, pages, F.lit("block" if n and blocked else "allow"))
-    part = min(1.0, most_training / n)
-    sample = labelled.where(F.pmod(F.xxhash64(F.col(url_col), F.lit("sample")), F.lit(1 << 20)) < int(part * (1 << 20))).select(*names, "__suffix", "__domain", "label")
-    shares = {level: _suffix_share(sample, level, blocked / n) for level in ("__suffix", "__domain")}
+    part = min(1.0, most_training / labelled.agg(F.count_distinct(F.xxhash64(url_col))).first()[0])
+    sample = labelled.where(F.pmod(F.xxhash64(F.col(url_col), F.lit("sample")), F.lit(1 << 20)) < int(part * (1 << 20)))
+    sample = sample.groupBy(url_col).agg(*[F.first(c).alias(c) for c in (*names, "__suffix", "__domain", "label")], F.count(F.lit(1)).cast("double").alias("__rows"))
+    shares = {level: stage(_suffix_share(labelled, level, blocked / n), "shares") for level in ("__suffix", "__domain")}
 
     def known(df):
         for level, table in shares.items():
-            df = df.join(F.broadcast(table), level, "left").withColumn(f"__share{level}", F.coalesce(f"__share{level}", F.lit(blocked / n)))
+            df = join_small(df, table, level, "left").withColumn(f"__share{level}", F.coalesce(f"__share{level}", F.lit(blocked / n)))
         return df
 
     to_vector = VectorAssembler(inputCols=[*names, "__share__suffix", "__share__domain"], outputCol="__features")
-    trees = GBTClassifier(featuresCol="__features", labelCol="label", predictionCol="__blocked", maxIter=TREES, maxDepth=DEPTH,
+    trees = GBTClassifier(featuresCol="__features", labelCol="label", weightCol="__rows", predictionCol="__blocked", maxIter=TREES, maxDepth=DEPTH,
                           stepSize=0.2, seed=7).setRawPredictionCol("__raw").setProbabilityCol("__odds")
     model = trees.fit(to_vector.transform(known(sample)))
     return _finish(model.transform(to_vector.transform(known(judged))), pages, F.when(F.col("__blocked") == 1, "block").otherwise("allow"))

@@ -182,6 +182,14 @@ def test_url_rules(spark):
     assert url_filter.url_filter(pages.where("false")).count() == 0
 
 
+def test_url_shares_of_all_labelled(spark, monkeypatch):
+    urls = [f"http://h{i}.net/es/{i}" for i in range(40)] + [f"http://h{i}.com/{i}" for i in range(40)]
+    seen, share = [], url_filter._suffix_share
+    monkeypatch.setattr(url_filter, "_suffix_share", lambda labelled, *a: seen.append(labelled.count()) or share(labelled, *a))
+    pages = spark.createDataFrame(list(enumerate(urls + urls[:1] * 40)), "page_id long, url string")
+    assert url_filter.url_filter(pages, most_training=20).count() == 120 and seen == [120, 120]
+
+
 def test_zip_packages(spark):
     big = "<p>" + "é" * 80
     rows = [(3, "u", big), (1, "v", big), (2, "w", "short"), (5, "x", "short"), (4, None, None), (None, "y", big), (1, "v2", big), (9, "a\r\nb", "line\r\n\r\nline")]
