@@ -6,7 +6,8 @@ import importlib
 
 from fieldtrace.llm import common
 
-MODULES = ("substring_dedup", "language_id", "decontaminate", "url_filter", "pieces", "importance", "zip_warc", "host_rules", "ngram_join", "line_dedup")
+MODULES = ("substring_dedup", "language_id", "decontaminate", "url_filter", "pieces", "importance", "zip_warc", "host_rules", "ngram_join", "line_dedup", "turn_repair",
+           "simhash_tree", "hard_negatives")
 
 
 def all_queries():
