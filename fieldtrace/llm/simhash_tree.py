@@ -6,8 +6,8 @@ By the triangle inequality a ball of radius ``r`` around a point reaches the inn
 point lives in one shard and is also sent, as a query, to the later shards that its ball overlaps. A pair in reach meets where its later point lives.
 
 The tree is shaped by a bounded sample of the points (``SAMPLE``, drawn by hash, worked on in one task); every point is placed. Where the sample
-shows no radius that keeps the sides apart (a dense group of near copies), the node stays a shard. Shards and queries are dealt in blocks of
-bounded size, so no shard has to fit in a task. Inside a block further vantage points cut the points into rings of equal distance; only rings within ``r``
+shows no radius that keeps the sides apart (a dense group of near copies), the node stays a shard. A shard is large, as every cut sends
+points on as queries, and is dealt out in blocks of points by blocks of queries: of bounded size, and as many as a shuffle has tasks. Inside a block further vantage points cut the points into rings of equal distance; only rings within ``r``
 of each other in every one of them are compared, bit by bit, and the result is exact. A block returns one link per point to the
 smallest point it is joined with, never the pairs; the components are folded by joins.
 
@@ -20,7 +20,7 @@ repeated rows share a component; an empty table gives an empty result; extra col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import join_small, query, stage
 from fieldtrace.llm.components import components
-from fieldtrace.session import configure
+from fieldtrace.session import configure, width
 
 U64 = np.uint64
 K, REACH, SEED = 4, 4, 42
 #: Points of a shard, of the sample, of a shard in the sample at least; points and queries of a block, about.
-SHARD, SAMPLE, LEAST, POINTS, QUERIES = 8192, 16384, 8, 16384, 65536
+SHARD, SAMPLE, LEAST, POINTS, QUERIES = 65536, 16384, 8, 32768, 131072
 #: Shingles whose bits are counted at once; distances computed at once.
 SLICE, PAIRS = 1 << 15, 1 << 21
 #: Vantage points tried for a node; a split must leave less than this share of the pairs.
@@ -205,9 +205,9 @@ def joined(points: np.ndarray, queries: np.ndarray, reach: int = REACH) -> tuple
 
 
 def _links(table: pa.Table, reach: int) -> pa.Table:
-    points = np.asarray(table.column("fp")).view(U64)
-    home = np.asarray(table.column("home"))
-    a, b = joined(points[home], points[~home], reach) if home.any() and not home.all() else (np.zeros(0, np.int64),) * 2
+    fp = np.asarray(table.column("fp")).view(U64)
+    points, queries = fp[np.asarray(table.column("point"))], fp[np.asarray(table.column("asks"))]
+    a, b = joined(points, queries, reach) if len(points) and len(queries) else (np.zeros(0, np.int64),) * 2
     return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
 
@@ -243,15 +243,22 @@ def link(points: DataFrame, reach: int = REACH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(shard.astype(np.int32)), pa.array(home.astype(bool))], names=["fp", "shard", "home"])
 
     met = stage(points.select("fp").mapInArrow(placed, "fp long, shard int, home boolean"), "placed")
-    sizes = (met.groupBy("shard").agg(F.ceil(F.count_if("home") / POINTS).cast("int").alias("p_blocks"), F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q_blocks"))
-             .where("p_blocks > 0"))
-    dealt = met.join(F.broadcast(sizes), "shard")  # a row per shard of the tree, at most SAMPLE / leaf
-    block = lambda n: F.pmod(F.xxhash64("fp", F.lit(7)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    # all of a shard's rows are queries, those that live there are points too; every block of one meets every block of the other
-    queries = dealt.select("shard", every("p_blocks").alias("i"), block("q_blocks").alias("j"), "fp", F.lit(False).alias("home"))
-    own = dealt.where("home").select("shard", block("p_blocks").alias("i"), every("q_blocks").alias("j"), "fp", F.lit(True).alias("home"))
-    return queries.unionByName(own).groupBy("shard", "i", "j").applyInArrow(lambda t: _links(t, reach), "a long, b long")
+    # blocks of points (i) and of queries (j): bounded, and in all at least as many as a shuffle has tasks
+    shards = len(tree) + 1
+    least = math.ceil(math.sqrt(width(points) / shards))
+    blocks = lambda n, most: F.greatest(F.ceil(n / most), F.lit(least)).cast("int")
+    sizes = (met.groupBy("shard").agg(F.count_if("home").alias("n"), blocks(F.count_if("home"), POINTS).alias("p"), blocks(F.count(F.lit(1)), QUERIES).alias("q"))
+             .where("n > 0").drop("n"))
+    dealt = met.join(F.broadcast(sizes), "shard")  # a row per shard of the tree, at most SAMPLE / LEAST
+    dealt = dealt.withColumns({"i0": F.pmod(F.xxhash64("fp", F.lit(7)), "p").cast("int"), "j0": F.pmod(F.xxhash64("fp", F.lit(11)), "q").cast("int")})
+    place_in = lambda i, j, point, asks: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), point.alias("point"), asks.alias("asks"))
+    row, column = F.sequence(F.lit(0), F.col("q") - 1), F.sequence(F.lit(0), F.col("p") - 1)
+    # a query meets every block of points; a point of the shard is in its block for every block of queries too
+    asked = F.transform(F.filter(column, lambda i: ~F.col("home") | (i != F.col("i0"))), lambda i: place_in(i, F.col("j0"), F.lit(False), F.lit(True)))
+    lives = F.transform(row, lambda j: place_in(F.col("i0"), j, F.lit(True), j == F.col("j0")))
+    places = F.when(F.col("home"), F.concat(asked, lives)).otherwise(asked)
+    return (dealt.select("shard", "fp", F.explode(places).alias("at")).select("shard", "at.*", "fp")
+            .groupBy("shard", "i", "j").applyInArrow(lambda t: _links(t, reach), "a long, b long"))
 
 
 def near_copies(printed: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", reach: int = REACH) -> DataFrame:
