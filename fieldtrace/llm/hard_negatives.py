@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from fieldtrace.llm.common import query, stage
 from fieldtrace.session import configure, width
 
-#: Rows of a shard and anchors of a block, about; first depth of sorted access.
-SHARD, BLOCK, DEPTH = 8192, 4096, 32
+#: Rows of a shard at most and at least, anchors of a block, about; first depth of sorted access.
+SHARD, SMALL, BLOCK, DEPTH = 8192, 1024, 4096, 32
 LARGEST = float(1 << 24)
 
 
@@ -144,7 +144,9 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_co
     configure(vectors.sparkSession)
     rows = stage(prepared(vectors, id_col, label_col, vector_col), "vectors")
     anchors = rows.where(is_anchor)
-    shards = max(width(rows), -(-rows.count() // SHARD))
+    total = rows.count()
+    # a task of a shuffle each, but none so small that k answers a window from every shard outweigh its rows
+    shards = max(1, -(-total // SHARD), min(width(rows), total // SMALL))
     blocks = max(1, -(-anchors.count() // BLOCK))
     order = [F.desc("score"), F.asc("id")]
     near = (_met(rows, anchors, shards, blocks, positives=True, k=n_positives, low=low, high=high)
