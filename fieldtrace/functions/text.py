@@ -36,5 +36,10 @@ def latin1(payload: Column) -> Column:
     return F.decode(payload, "ISO-8859-1")
 
 
+def utf8(payload: Column) -> Column:
+    """Bytes as text; what is no UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(payload.cast("string"))
+
+
 def sha256(payload: Column) -> Column:
     return F.sha2(payload, 256)

@@ -115,13 +115,15 @@ def new_master(learn: DataFrame, detect: DataFrame, ready: Learned | None = None
             .join(known.withColumnRenamed("ip", "dst_ip"), ["dst_ip", "protocol"], "left_semi")
             .groupBy(*FLOW).agg(*_summary()))
     # the first ten masters by address; pruned per map task, never collected whole
+    # a sample of the peers, and how many there are
     peers = (first_rows(talking, ["dst_ip", "protocol"], ["src_ip"], k=10)
-             .groupBy("dst_ip", "protocol").agg(F.array_sort(F.collect_list("src_ip")).alias("peers")))
+             .groupBy("dst_ip", "protocol").agg(F.array_sort(F.collect_list("src_ip")).alias("peers"))
+             .join(talking.groupBy("dst_ip", "protocol").agg(F.count_distinct("src_ip").alias("peer_count")), ["dst_ip", "protocol"]))
     rows = rows.join(peers, ["dst_ip", "protocol"], "left")
     return _fire(rows, "OT_NEW_MASTER", F.when(F.col("dangerous"), "HIGH").otherwise("MEDIUM"),
                  F.when(F.col("dangerous"), 0.8).otherwise(0.65), ["T0848", "T0855"],
                  {"event_count": F.col("n"), "operations": F.array_join("ops", ","),
-                  "function_codes": F.array_join("fcs", ","), "known_peers": F.array_join("peers", ","),
+                  "function_codes": F.array_join("fcs", ","), "known_peers": F.array_join("peers", ","), "known_peer_count": F.coalesce("peer_count", F.lit(0)),
                   "role": F.when(F.col("first.pub"), "publisher").otherwise("master")})
 
 
@@ -135,11 +137,12 @@ def new_device(learn: DataFrame, detect: DataFrame, ready: Learned | None = None
             .join(known, ["ip", "protocol"], "left_anti"))
     met = rows.groupBy("ip", "protocol", "peer").agg(F.min("first").alias("met"))
     peers = (first_rows(met, ["ip", "protocol"], ["met.ts_us", "met.seq"], k=16)
-             .groupBy("ip", "protocol").agg(F.array_sort(F.collect_list("peer")).alias("peers")))
+             .groupBy("ip", "protocol").agg(F.array_sort(F.collect_list("peer")).alias("peers"))
+             .join(met.groupBy("ip", "protocol").agg(F.count(F.lit(1)).alias("peer_count")), ["ip", "protocol"]))
     rows = rows.groupBy("ip", "protocol").agg(*_summary()).join(peers, ["ip", "protocol"])
     rows = rows.withColumn("src_ip", F.col("first.src_ip")).withColumn("dst_ip", F.col("first.dst_ip"))
     return _fire(rows, "OT_NEW_DEVICE", "LOW", 0.5, [],
-                 {"device": F.col("ip"), "event_count": F.col("n"), "peers": F.array_join("peers", ","),
+                 {"device": F.col("ip"), "event_count": F.col("n"), "peers": F.array_join("peers", ","), "peer_count": F.col("peer_count"),
                   "role": F.when(F.col("first.pub"), "publisher").otherwise("server")})
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.scalar import format_duration, utc_text
 from fieldtrace.operators.shaping import severity_name, severity_rank
-from fieldtrace.operators.sliced import first_rows, numbered, running, seconds
+from fieldtrace.operators.sliced import HOUR, first_rows, numbered, running, seconds, slice_of
 from fieldtrace.session import stage
 
 # fixed values: phases in order with the words that reveal them; the first match wins
@@ -148,18 +148,23 @@ def chain_id(start_us: Column, index: Column) -> Column:
                     F.format_string("%03d", index))
 
 
-def chain_alerts(chains: DataFrame, alerts: DataFrame, slack_s: float = 60.0) -> DataFrame:
+def chain_alerts(chains: DataFrame, alerts: DataFrame, slack_s: float = 60.0, width: int = HOUR) -> DataFrame:
     """Alerts belonging to a chain: same source or one of its targets, within its time.
 
-    Two equi-joins on exploded addresses and a time range, then one row per chain and alert; an event may raise several alerts.
+    Chains are laid out over the time slices they last, so an alert meets only the chains of its address that
+    live in its slice, however many that address has. Two equi-joins on address and slice, then one row
+    per chain and alert; an event may raise several alerts.
     """
-    span = chains.select("chain_id", "start_us", "end_us", F.col("source_ip"), "target_ips")
+    until = F.col("end_us") + seconds(slack_s)
+    span = chains.select("chain_id", "start_us", until.alias("_until"), "source_ip", "target_ips",
+                         F.explode(F.sequence(slice_of(F.col("start_us"), width), slice_of(until, width))).alias("_slice"))
     rows = alerts.select("ts_us", "seq", "anomaly_type", "severity", "src_ip", "dst_ip")
-    inside = (F.col("ts_us") >= F.col("start_us")) & (F.col("ts_us") <= F.col("end_us") + seconds(slack_s))
-    by_source = rows.join(span.drop("target_ips"), rows["src_ip"] == span["source_ip"]).where(inside)
-    aims = span.select("chain_id", "start_us", "end_us", F.explode("target_ips").alias("aim"))
-    by_target = rows.join(aims, rows["dst_ip"] == aims["aim"]).where(inside)
+    placed = rows.withColumn("_slice", slice_of(F.col("ts_us"), width))
+    inside = F.col("ts_us").between(F.col("start_us"), F.col("_until"))
     cols = ["chain_id", *rows.columns]
+    by_source = placed.join(span.drop("target_ips").withColumnRenamed("source_ip", "src_ip"), ["src_ip", "_slice"]).where(inside)
+    aims = span.select("chain_id", "start_us", "_until", "_slice", F.explode("target_ips").alias("dst_ip"))
+    by_target = placed.join(aims, ["dst_ip", "_slice"]).where(inside)
     return by_source.select(*cols).unionByName(by_target.select(*cols)).dropDuplicates(["chain_id", "ts_us", "seq", "anomaly_type", "src_ip", "dst_ip"])
 
 

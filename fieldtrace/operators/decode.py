@@ -173,7 +173,7 @@ def decode_dnp3(pdus: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- EtherNet/IP
 
 def _cip_offset() -> Column:
-    """Offset of the CIP service inside the data items of SendRRData/SendUnitData, at most eight items in."""
+    """Offset of the CIP service inside the data items of SendRRData/SendUnitData; an item takes four bytes at least."""
     P = F.col("payload")
     start = F.struct(F.lit(32).alias("at"), F.lit(-1).alias("found"), (u16le(P, 30)).cast("int").alias("left"))
 
@@ -182,7 +182,8 @@ def _cip_offset() -> Column:
         open_ = (s["found"] < 0) & (s["left"] > 0) & (nbytes(P) >= s["at"] + 4)
         found = F.when(kind == 0xB2, s["at"] + 4).when(kind == 0xB1, s["at"] + 6).otherwise(-1)
         return F.when(open_, F.struct((s["at"] + 4 + size).cast("int").alias("at"), found.cast("int").alias("found"), (s["left"] - 1).cast("int").alias("left"))).otherwise(s)
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, item)
+    most = F.greatest(F.least(u16le(P, 30), F.floor((nbytes(P) - 32) / 4).cast("int") + 1), F.lit(1))
+    walk = F.aggregate(F.sequence(F.lit(1), most), start, item)
     return F.when(nbytes(P) >= 32, walk["found"])
 
 

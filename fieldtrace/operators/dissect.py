@@ -13,7 +13,7 @@ from fieldtrace.functions.net import ipv4_text, mac_text
 from fieldtrace.operators.settle import settle
 
 VLAN_TAGS = [0x8100, 0x88A8, 0x9100]
-VLAN_DEPTH = 3
+VLAN_STEPS = 3      # tags taken as plain steps; frames with more of them are walked
 RAW_LINKS = [12, 14, 101, 228]
 
 
@@ -21,11 +21,18 @@ def dissect_link(packets: DataFrame) -> DataFrame:
     """Network-layer bytes, EtherType (4 or 6 as type for raw links) and source MAC of each packet."""
     d, link = F.col("data"), F.col("linktype")
     rows = packets.withColumn("_kind", u16(d, 12)).withColumn("_skip", F.lit(14))
-    for _ in range(VLAN_DEPTH):
+    for _ in range(VLAN_STEPS):
         # a step per tag: each reads at the offset the step before settled
         tagged = F.col("_kind").isin(VLAN_TAGS)
         rows = rows.withColumn("_next", F.when(tagged, F.col("_skip") + 4).otherwise(F.col("_skip")))
         rows = rows.withColumn("_kind", F.when(tagged, u16(d, F.col("_skip") + 2)).otherwise(F.col("_kind"))).withColumn("_skip", F.col("_next"))
+
+    def deeper(at: Column, _: Column) -> Column:
+        return F.when(u16(d, at - 2).isin(VLAN_TAGS), at + 4).otherwise(at)
+    deep = F.col("_kind").isin(VLAN_TAGS)
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.expr("(octet_length(data) - _skip) div 4").cast("int"), F.lit(1))), F.col("_skip"), deeper)
+    rows = rows.withColumn("_next", F.when(deep, walked).otherwise(F.col("_skip")))
+    rows = rows.withColumn("_kind", F.when(deep, u16(d, F.col("_next") - 2)).otherwise(F.col("_kind"))).withColumn("_skip", F.col("_next"))
     version = F.shiftright(u8(d, F.when(link == 0, 4).otherwise(0)), 4)
     ip = F.when(version == 4, 0x0800).when(version == 6, 0x86DD)
     ether = F.when(link == 1, F.col("_kind")).when(link == 113, u16(d, 14)).when(link == 276, u16(d, 0)).when(
@@ -48,7 +55,7 @@ def dissect_ipv4(frames: DataFrame) -> DataFrame:
 
 
 def dissect_ipv6(frames: DataFrame) -> DataFrame:
-    """As for IPv4; up to eight extension headers are skipped, later fragments are dropped."""
+    """As for IPv4; extension headers are skipped, later fragments are dropped."""
     d = F.col("l3")
     rows = frames.where((F.col("ether_type") == 0x86DD) & (nbytes(d) >= 40))
     size = u16(d, 4)
@@ -60,7 +67,9 @@ def dissect_ipv6(frames: DataFrame) -> DataFrame:
         more = state["next"].isin(0, 43, 60) & (nbytes(p) - state["at"] >= 8)
         return F.when(more, F.struct(u8(p, state["at"]).alias("next"), (state["at"] + (u8(p, state["at"] + 1) + 1) * 8).cast("int").alias("at"))).otherwise(state)
     start = F.struct(u8(d, 6).alias("next"), F.lit(0).alias("at"))
-    rows = rows.withColumn("_h", F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, skip))
+    # a header has eight bytes at least; packets without any take no step
+    most = F.when(u8(d, 6).isin(0, 43, 60), F.sequence(F.lit(1), F.greatest(F.expr("octet_length(_p) div 8").cast("int"), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_h", F.aggregate(most, start, skip))
     nxt, at = F.col("_h.next"), F.col("_h.at")
     fragment = nxt == 44
     rows = rows.where(~fragment | ((nbytes(p) - at >= 8) & (F.shiftright(u16(p, at + 2), 3) == 0)))
@@ -110,46 +119,50 @@ def route_by_port(segments: DataFrame) -> DataFrame:
 
 _QUESTIONS = T.ArrayType(T.StructType([T.StructField("qname", T.StringType()), T.StructField("qtype", T.IntegerType()),
                                        T.StructField("qclass", T.IntegerType())]))
-MAX_QUESTIONS, MAX_JUMPS = 10, 10
-
-
-def _name(data: bytes, at: int) -> tuple[str, int]:
-    labels, back, jumps = [], None, 0
-    while at < len(data):
-        size = data[at]
-        if size == 0:
-            at += 1
-            break
-        if size & 0xC0 == 0xC0:
-            if back is None:
-                back = at + 2
-            if at + 2 > len(data):
-                break
-            at = int.from_bytes(data[at:at + 2], "big") & 0x3FFF
-            jumps += 1
-            if jumps > MAX_JUMPS:
-                break
-            continue
-        at += 1
-        if at + size > len(data):
-            break
-        labels.append(data[at:at + size].decode("utf-8", "replace"))
-        at += size
-    return ".".join(labels), at if back is None else back
+
+
+def _labels(data: bytes, at: int) -> tuple[list[str], int, int | None]:
+    """Labels in a row, the place after them, and where a pointer at their end leads to."""
+    found = []
+    while at < len(data) and 0 < data[at] < 0xC0:
+        stop = at + 1 + data[at]
+        if stop > len(data):                            # cut off
+            return found, at + 1, None
+        found.append(data[at + 1:stop].decode("utf-8", "replace"))
+        at = stop
+    if at >= len(data):
+        return found, at, None
+    if data[at] == 0:
+        return found, at + 1, None
+    return found, at + 2, int.from_bytes(data[at:at + 2], "big") & 0x3FFF if at + 2 <= len(data) else None
+
+
+def _question(data: bytes, at: int) -> tuple[dict, int] | None:
+    """The question at a place and the place of the next; a pointer is followed once, so a loop of them ends."""
+    labels, at, target = _labels(data, at)
+    visited = set()
+    while target is not None and target not in visited:
+        visited.add(target)
+        more, _, target = _labels(data, target)
+        labels += more
+    if at + 4 > len(data):
+        return None
+    kind, of = (int.from_bytes(data[k:k + 2], "big") for k in (at, at + 2))
+    return {"qname": ".".join(labels), "qtype": kind, "qclass": of}, at + 4
 
 
 @F.pandas_udf(_QUESTIONS)
 def _questions(payload: pd.Series) -> pd.Series:
-    def one(data):
+    def all_of(data):
         out, at = [], 12
-        for _ in range(min(int.from_bytes(data[4:6], "big"), MAX_QUESTIONS)):
-            name, at = _name(data, at)
-            if at + 4 > len(data):
+        for _ in range(int.from_bytes(data[4:6], "big")):
+            found = _question(data, at)
+            if found is None:
                 break
-            out.append({"qname": name, "qtype": int.from_bytes(data[at:at + 2], "big"), "qclass": int.from_bytes(data[at + 2:at + 4], "big")})
-            at += 4
+            out.append(found[0])
+            at = found[1]
         return out
-    return payload.map(one)
+    return payload.map(all_of)
 
 
 def decode_dns(segments: DataFrame, requests_only: bool = False) -> DataFrame:

@@ -128,14 +128,19 @@ def compare_iocs(iocs: DataFrame, older: str, newer: str) -> DataFrame:
     return both.where("o <> n").select("ioc_type", "value", F.when(F.col("n") == 1, "new").otherwise("gone").alias("status"))
 
 
-def retained(rows: DataFrame, sessions: DataFrame, *, older_than_us: int | None = None, ids: list[str] = ()) -> DataFrame:
-    """Rows of the sessions that stay when old or listed sessions are deleted."""
-    gone = F.lit(False)
+def gone_sessions(sessions: DataFrame, *, older_than_us: int | None = None, ids: list[str] = (), every: bool = False) -> DataFrame:
+    """Ids of the sessions that go: older than a time, listed, or all."""
+    gone = F.lit(every)
     if older_than_us is not None:
         gone = gone | (F.col("started_us") < older_than_us)
     if ids:
         gone = gone | F.col("session_id").isin(list(ids))
-    return rows.join(sessions.where(gone).select("session_id"), "session_id", "left_anti")
+    return sessions.where(gone).select("session_id")
+
+
+def retained(rows: DataFrame, sessions: DataFrame, **which) -> DataFrame:
+    """Rows of the sessions that stay when old or listed sessions are deleted."""
+    return rows.join(gone_sessions(sessions, **which), "session_id", "left_anti")
 
 
 def upsert_ioc(stored: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -34,6 +34,13 @@ def builtin_indicators(spark) -> DataFrame:
     return spark.createDataFrame(BUILTIN_INDICATORS, FEED_SCHEMA)
 
 
+def builtin_sightings(seen: DataFrame) -> DataFrame:
+    """The built-in indicators with their number of ``sightings`` among the rows ``(kind, value)``."""
+    known = builtin_indicators(seen.sparkSession)
+    counts = seen.join(F.broadcast(known.select("kind", "value")), ["kind", "value"], "left_semi").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("sightings"))
+    return known.join(counts, ["kind", "value"], "left").withColumn("sightings", F.coalesce("sightings", F.lit(0)))
+
+
 def attack_category(kind: Column) -> Column:
     text, out = F.upper(kind), []
     for name, words in CATEGORIES:
@@ -48,9 +55,10 @@ def attack_category(kind: Column) -> Column:
 
 
 def _few(rows: DataFrame, keys: list[str], value: str, k: int, name: str) -> DataFrame:
-    """The first ``k`` distinct values per key; pruned in every map task before they meet."""
-    kept = first_rows(rows.where(F.coalesce(value, F.lit("")) != "").select(*keys, value).distinct(), keys, [value], k=k)
-    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+    """A sample, the first ``k`` distinct values per key (pruned in every map task before they meet), and ``<name>_n``, how many there are."""
+    distinct = rows.where(F.coalesce(value, F.lit("")) != "").select(*keys, value).distinct()
+    kept = first_rows(distinct, keys, [value], k=k).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(name))
+    return kept.join(distinct.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{name}_n")), keys)
 
 
 def ioc_ips(scores: DataFrame, violations: DataFrame, chains: DataFrame | None = None, min_risk: float = 0.5) -> DataFrame:
@@ -63,14 +71,14 @@ def ioc_ips(scores: DataFrame, violations: DataFrame, chains: DataFrame | None =
         parts = chains.select("chain_id", F.explode(F.array_distinct(F.concat(F.array("source_ip"), "target_ips"))).alias("ip"))
         rows = rows.join(_few(parts, ["ip"], "chain_id", 3, "_c"), "ip", "left")
     else:
-        rows = rows.withColumn("_c", F.lit(None).cast("array<string>"))
+        rows = rows.withColumns({"_c": F.lit(None).cast("array<string>"), "_c_n": F.lit(0)})
     return rows.select(
         F.lit("IP").alias("ioc_type"), F.col("ip").alias("value"),
         F.when(risk >= 0.9, "CRITICAL").when(risk >= 0.7, "HIGH").otherwise("MEDIUM").alias("severity"),
         F.coalesce("first_us", F.lit(0)).alias("first_us"), F.coalesce("last_us", F.lit(0)).alias("last_us"),
         F.coalesce("occurrences", F.lit(0)).alias("occurrences"),
         F.coalesce(F.array_join("_c", ", "), F.lit("Network Scan")).alias("context"),
-        F.array().cast("array<string>").alias("associated_ips"), risk.alias("risk_score"))
+        F.array().cast("array<string>").alias("associated_ips"), risk.alias("risk_score"), F.coalesce("_c_n", F.lit(0)).cast("long").alias("context_count"))
 
 
 def ioc_hashes(payloads: DataFrame, alert_payloads: DataFrame | None = None) -> DataFrame:
@@ -109,7 +117,7 @@ def ioc_mitre(alerts: DataFrame, chains: DataFrame | None = None, contexts: int
             .join(_few(hosts, ["value"], "ip", ips, "_i"), "value", "left"))
     return rows.select(F.lit("MITRE_TECHNIQUE").alias("ioc_type"), "value", severity_name(F.col("sev")).alias("severity"), "first_us",
                        "last_us", "occurrences", F.array_join("_c", ", ").alias("context"), F.col("_i").alias("associated_ips"),
-                       F.lit(0.0).alias("risk_score"))
+                       F.lit(0.0).alias("risk_score"), F.coalesce("_c_n", F.lit(0)).cast("long").alias("context_count"), F.coalesce("_i_n", F.lit(0)).cast("long").alias("ip_count"))
 
 
 def host_domain(host: Column) -> Column:
@@ -132,7 +140,8 @@ def ioc_domains(alerts: DataFrame, ips: int = 10) -> DataFrame:
     return total.join(_few(hosts, ["value"], "ip", ips, "_i"), "value", "left").select(
         F.lit("DOMAIN").alias("ioc_type"), "value",
         F.coalesce("worst", F.when(tld, "MEDIUM"), F.lit("LOW")).alias("severity"), "first_us", "last_us", "occurrences",
-        F.lit("HTTP Traffic").alias("context"), F.col("_i").alias("associated_ips"), F.lit(0.0).alias("risk_score"))
+        F.lit("HTTP Traffic").alias("context"), F.col("_i").alias("associated_ips"), F.lit(0.0).alias("risk_score"),
+        F.coalesce("_i_n", F.lit(0)).cast("long").alias("ip_count"))
 
 
 def ioc_urls(alerts: DataFrame, ips: int = 10, max_length: int | None = None) -> DataFrame:
@@ -150,7 +159,7 @@ def ioc_urls(alerts: DataFrame, ips: int = 10, max_length: int | None = None) ->
     return total.join(_few(hosts, ["value"], "ip", ips, "_i"), "value", "left").select(
         F.lit("URL").alias("ioc_type"), "value", F.when(telling, "HIGH").otherwise(F.col("last_severity")).alias("severity"),
         "first_us", "last_us", "occurrences", F.lit("HTTP Traffic").alias("context"), F.col("_i").alias("associated_ips"),
-        F.lit(0.0).alias("risk_score"))
+        F.lit(0.0).alias("risk_score"), F.coalesce("_i_n", F.lit(0)).cast("long").alias("ip_count"))
 
 
 def ioc_by_attack(alerts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldtrace.operators.anchored import anchored, cooled
 from fieldtrace.operators.settle import settle
 from fieldtrace.operators.shaping import alert
-from fieldtrace.operators.sliced import HOUR, first_rows, numbered, rolling, running_distinct, seconds, slice_of
+from fieldtrace.operators.sliced import HOUR, first_rows, numbered, rolling, running, running_distinct, seconds, slice_of
 from fieldtrace.functions.text import shannon_entropy
 
 # fixed values: administration ports and the services behind them
@@ -200,18 +200,44 @@ def exfiltration(flows: DataFrame, min_bytes: int = 1000, **limits) -> DataFrame
 
 # --------------------------------------------------------------------------- beacons
 
-def c2_beacon(segments: DataFrame, min_count: int = 10, every: int = 5, keep: int = 50, cut: int = 30,
+def c2_beacon(segments: DataFrame, min_count: int = 10, every: int = 5, keep: int | None = None, cut: int = 30,
               regular: float = 0.15, jitter: float = 0.30, ranges=None) -> DataFrame:
     """Connection attempts at regular intervals.
 
-    A key is judged on its retained history: all attempts up to ``keep``, then the
-    last ``cut`` growing to ``keep`` again. The history of attempt number r starts
+    A key is judged on all its attempts so far, or with ``keep`` on a retained history: all attempts up to ``keep``, then the
+    last ``cut`` growing to ``keep`` again. Such a history of attempt number r starts
     at 1, or at ``keep - cut + 2 + (keep - cut + 1) * m``, so attempts are dealt to
     the few histories that contain them and each history is at most ``keep`` rows.
     """
-    step = keep - cut + 1
     keys = ["src_ip", "dst_ip", "dst_port"]
-    rows = numbered(connection_attempts(segments).select("ts_us", "seq", *keys), keys)
+    attempts = connection_attempts(segments).select("ts_us", "seq", *keys)
+    judged = _judged_on_all(attempts, keys) if keep is None else _judged_on_kept(attempts, keys, keep, cut)
+    spans = F.lit(False)
+    for lo, hi in ranges or BEACON_RANGES:
+        spans = spans | F.col("mean").between(lo, hi)
+    cv = F.col("std") / F.col("mean")
+    fired = judged.where((F.col("n") >= min_count) & (F.col("n") % every == 0) & (F.col("mean") > 0) & spans & (cv < jitter))
+    strong = cv < regular
+    return alert(fired, F.when(strong, "C2_BEACON_REGULAR").otherwise("C2_BEACON_JITTER"),
+                 F.when(strong, "CRITICAL").otherwise("HIGH"), protocol=F.lit("TCP"), mitre=["T1071", "T1573"],
+                 confidence=F.when(strong, 0.92).otherwise(0.75),
+                 evidence={"connection_count": F.col("n"), "mean_interval": F.col("mean"), "cv": cv,
+                           "port": F.col("dst_port")})
+
+
+def _judged_on_all(attempts: DataFrame, keys: list[str]) -> DataFrame:
+    """Attempts with their number and the mean and deviation of all gaps so far, from sums along the key."""
+    rows = running(attempts, keys, {"_prev": ("prev", F.col("ts_us"))})
+    gap = F.coalesce((F.col("ts_us") - F.col("_prev")) / 1e6, F.lit(0.0))
+    rows = running(rows.withColumn("_gap", gap), keys, {"n": ("sum", F.lit(1).cast("long")), "_sum": ("sum", F.col("_gap")), "_squares": ("sum", F.col("_gap") * F.col("_gap"))})
+    gaps = F.when(F.col("n") > 1, F.col("n") - 1)
+    rows = rows.withColumn("mean", F.col("_sum") / gaps)
+    return rows.withColumn("std", F.sqrt(F.greatest(F.col("_squares") / gaps - F.col("mean") * F.col("mean"), F.lit(0.0)))).drop("_prev", "_gap", "_sum", "_squares")
+
+
+def _judged_on_kept(attempts: DataFrame, keys: list[str], keep: int, cut: int) -> DataFrame:
+    step = keep - cut + 1
+    rows = numbered(attempts, keys)
     rn = F.col("rn")
     low = F.greatest(F.ceil((rn - keep - step) / F.lit(step)), F.lit(0))
     high = F.floor((rn - (keep - cut + 2)) / F.lit(step))
@@ -224,16 +250,4 @@ def c2_beacon(segments: DataFrame, min_count: int = 10, every: int = 5, keep: in
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     judged = dealt.withColumn("mean", F.avg("_gap").over(upto)).withColumn("std", F.stddev_pop("_gap").over(upto))
     # attempts already judged in the history before are not judged again
-    fresh = F.when(F.col("_g") == 0, F.lit(True)).otherwise(F.col("n") >= cut)
-    spans = F.lit(False)
-    for lo, hi in ranges or BEACON_RANGES:
-        spans = spans | F.col("mean").between(lo, hi)
-    cv = F.col("std") / F.col("mean")
-    fired = judged.where(fresh & (F.col("n") >= min_count) & (F.col("n") % every == 0) & (F.col("mean") > 0) & spans
-                         & (cv < jitter))
-    strong = cv < regular
-    return alert(fired, F.when(strong, "C2_BEACON_REGULAR").otherwise("C2_BEACON_JITTER"),
-                 F.when(strong, "CRITICAL").otherwise("HIGH"), protocol=F.lit("TCP"), mitre=["T1071", "T1573"],
-                 confidence=F.when(strong, 0.92).otherwise(0.75),
-                 evidence={"connection_count": F.col("n"), "mean_interval": F.col("mean"), "cv": cv,
-                           "port": F.col("dst_port")})
+    return judged.where((F.col("_g") == 0) | (F.col("n") >= cut))

@@ -167,25 +167,47 @@ def running_distinct(df: DataFrame, keys: list[str], item: str, name: str, *, ts
         *df.columns, name)
 
 
-def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median", buckets: int = 512) -> DataFrame:
-    """Exact median per key (mean of the two middle values), without sorting a key in one task.
+def _cut_points(rows: DataFrame, keys: list[str], cuts: int) -> DataFrame:
+    """Per key the values that cut its rows into about ``cuts * cuts`` equal parts, from a mergeable sketch."""
+    shares = [k / (cuts * cuts) for k in range(1, cuts * cuts)]
+    return rows.groupBy(*keys).agg(F.percentile_approx("_v", shares, 20 * cuts * cuts).alias("_cuts"))
 
-    Equal values are counted first; the value axis of each key is then cut into
-    buckets whose counts are folded, so ranks inside a bucket are local.
+
+def _part_of(cuts: int) -> Column:
+    """Number of cut points below the value: first among every ``cuts``-th of them, then among the ones between."""
+    points, below = F.col("_cuts"), (lambda x: x < F.col("_v"))
+    coarse = F.size(F.filter(F.filter(points, lambda x, i: (i + 1) % cuts == 0), below))
+    return coarse * cuts + F.size(F.filter(F.slice(points, coarse * cuts + 1, cuts), below))
+
+
+def median_by(df: DataFrame, keys: list[str], value: str, name: str = "median", small: int = 100_000, cuts: int = 16) -> DataFrame:
+    """Exact median per key (mean of the two middle values), without sorting a large key in one task.
+
+    Equal values are counted first. A key with more than ``small`` distinct values is cut at sampled ranks, so that far values do
+    not matter, and only the parts that hold its middle ranks stay, until no key has more than ``small`` (at least as many as
+    there are parts, so that every cut leaves fewer).
     """
+    small = max(small, cuts * cuts)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"))
-    counts = stage(counts)      # already reduced; read by the bounds, the bucket totals and the ranks
-    bounds = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-                                                         * F.lit(buckets))).otherwise(F.lit(0)).cast("long")
-    placed = counts.join(bounds, keys).withColumn("_slice", place)
-    heads = placed.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_c"))
-    along = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select(*keys, "_slice", F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_start"))
-    local = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(heads, [*keys, "_slice"]).withColumn("_to", F.col("_start") + F.sum("_n").over(local))
+    rows = stage(counts).withColumn("_before", F.lit(0).cast("long"))      # already reduced; read several times
+    totals = rows.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    while True:
+        large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > small).drop("_size")
+        if large.isEmpty():
+            break
+        placed = stage(rows.join(_cut_points(rows.join(large, keys, "left_semi"), keys, cuts), keys, "left")
+                       .withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(_part_of(cuts))).drop("_cuts"))
+        heads = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_c"), F.min("_before").alias("_from"))
+        along = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        heads = heads.withColumn("_start", F.col("_from") + F.coalesce(F.sum("_c").over(along), F.lit(0))).join(totals, keys)
+        middle = heads.where((F.col("_start") < high) & (F.col("_start") + F.col("_c") >= low))
+        first = middle.groupBy(*keys).agg(F.min("_start").alias("_start"))
+        rows = stage(placed.join(middle.select(*keys, "_part"), [*keys, "_part"], "left_semi").join(first, keys)
+                     .select(*keys, "_v", "_n", F.col("_start").alias("_before")))
+    local = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_to", F.col("_before") + F.sum("_n").over(local)).join(totals, keys)
 
     def at(rank):
         return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col("_n") < rank), F.col("_v")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtrace import catalogue as cat
 from fieldtrace.functions.content import decode_layers
+from fieldtrace.functions.prefilter import possible, required
 from fieldtrace.functions.text import latin1, shannon_entropy, url_decode, url_decode2
 from fieldtrace.operators.anchored import anchored, cooled
 from fieldtrace.operators.shaping import alert
@@ -38,9 +41,22 @@ _PLACES = {"uri": ["_uri", "_uri2"], "body": ["_body", "_body2"], "headers": ["_
            "user_agent": ["_user_agent"]}
 
 
-def _hit(pattern: cat.Pattern) -> Column:
-    places = [(t, c) for t in pattern.targets for c in _PLACES[t]]
-    found = F.coalesce(*[F.when(F.col(c).rlike(pattern.regex), F.lit(t)) for t, c in places])
+def _split(pattern: cat.Pattern) -> tuple[str | None, str | None]:
+    """The alternatives that the prefilter can rule out, and those it cannot, as one expression each."""
+    sure = [a for a in pattern.alternatives if required(a)]
+    rest = [a for a in pattern.alternatives if not required(a)]
+    return tuple(replace(pattern, alternatives=tuple(x)).regex if x else None for x in (sure, rest))
+
+
+def _hit(pattern: cat.Pattern, place: int) -> Column:
+    """What a hit of the pattern means; expressions are run only where their literals occur."""
+    sure, rest = _split(pattern)
+    possible_ = F.array_contains("_possible", place)
+
+    def test(c: str) -> Column:
+        out = F.col(c).rlike(rest) if rest else F.lit(False)
+        return out | F.when(possible_, F.col(c).rlike(sure)).otherwise(F.lit(False)) if sure else out
+    found = F.coalesce(*[F.when(test(c), F.lit(t)) for t in pattern.targets for c in _PLACES[t]])
     allowed = F.upper("method").isin(list(pattern.methods)) if pattern.methods else F.lit(True)
     return F.when(allowed & found.isNotNull(), F.struct(
         F.lit(pattern.category).alias("category"), F.lit(pattern.severity).alias("severity"), found.alias("found_in"),
@@ -48,9 +64,16 @@ def _hit(pattern: cat.Pattern) -> Column:
 
 
 def http_pattern_rules(requests: DataFrame, patterns: list[cat.Pattern] | None = None) -> DataFrame:
-    """One alert per request and category of the catalogue that matches anywhere it may."""
-    rows = search_texts(requests).withColumn(
-        "_hit", F.explode(F.array_compact(F.array(*[_hit(p) for p in patterns or cat.HTTP_CATALOGUE]))))
+    """One alert per request and category of the catalogue that matches anywhere it may.
+
+    One pass over a request's texts finds the literals of all patterns; only patterns whose literals occur are
+    evaluated, so the cost follows the hits and not the size of the catalogue.
+    """
+    patterns = patterns or cat.HTTP_CATALOGUE
+    rows = search_texts(requests)
+    texts = F.concat_ws("\n", "_uri", "_uri2", "_body", "_body2", "_headers", "_user_agent")
+    rows = rows.withColumn("_possible", possible(texts, [_split(p)[0] or "^$" for p in patterns]))
+    rows = rows.withColumn("_hit", F.explode(F.array_compact(F.array(*[_hit(p, i) for i, p in enumerate(patterns)]))))
     category = F.col("_hit.category")
     confidence = (F.when(category == "SUSPICIOUS_USER_AGENT", 0.95).when(category == "HEADER_ANOMALY", 0.75)
                   .when(category.contains("WEBSHELL") & (F.col("_hit.found_in") == "body"), 0.90)
@@ -231,12 +254,14 @@ def _threat(rows: DataFrame, kind, severity, confidence, mitre, evidence=None) -
                  evidence={"uri": F.col("uri"), **(evidence or {})})
 
 
-def webshell_access(requests: DataFrame, min_functions: int = 3) -> DataFrame:
-    named = _text("uri").rlike(cat.WEBSHELL_FILES)
-    functions = sum((_text("body").rlike("(?i)" + p).cast("int") for p in cat.PHP_EXECUTION), F.lit(0))
-    rows = requests.withColumn("_named", named).withColumn("_n", functions).where("_named OR _n >= " + str(min_functions))
-    return _threat(rows, F.when(F.col("_named"), "WEBSHELL_ACCESS").otherwise("WEBSHELL_EXECUTION_PHP"), "CRITICAL",
-                   F.when(F.col("_named"), 0.95).otherwise(0.90), ["T1505.003", "T1059.004"])
+def webshell_access(requests: DataFrame, languages: dict[str, tuple[list[str], int]] | None = None) -> DataFrame:
+    """Requests for the file of a known shell, or whose body runs commands in one of the languages."""
+    kinds = F.when(_text("uri").rlike(cat.WEBSHELL_FILES), "WEBSHELL_ACCESS")
+    for language, (patterns, least) in (languages or cat.EXECUTION).items():
+        found = sum((_text("body").rlike("(?i)" + p).cast("int") for p in patterns), F.lit(0))
+        kinds = kinds.when(found >= least, f"WEBSHELL_EXECUTION_{language}")
+    rows = requests.withColumn("_kind", kinds).where("_kind IS NOT NULL")
+    return _threat(rows, F.col("_kind"), "CRITICAL", F.when(F.col("_kind") == "WEBSHELL_ACCESS", 0.95).otherwise(0.90), ["T1505.003", "T1059.004"])
 
 
 def dangerous_upload(requests: DataFrame) -> DataFrame:

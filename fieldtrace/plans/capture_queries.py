@@ -14,6 +14,8 @@ from fieldtrace.operators import decode, dissect, pdus
 from fieldtrace.operators.settle import settle
 from fieldtrace.plans import adapters as ad
 from fieldtrace.plans.registry import query
+from fieldtrace.session import scratch
+from fieldtrace.sources import capture
 from fieldtrace.sources.capture import parse_captures
 
 
@@ -236,8 +238,12 @@ def capture_files(spark, folder, order: str, nanos: bool):
 CAPTURE_SQL = f"WITH {ad.EV_SQL} SELECT concat('u', seq % 97) AS capture, row_number() OVER (PARTITION BY seq % 97 ORDER BY seq) - 1 AS frame_no, ts_us, CASE WHEN seq % 3 = 0 THEN 4 ELSE 0 END + 56 + {SIZE_SQL} AS size FROM ev WHERE protocol = 'MODBUS_TCP'"
 
 
+def _shown(packets):
+    return packets.select("capture", "frame_no", "ts_us", F.octet_length("data").alias("size"))
+
+
 def _packets(rows):
-    return parse_captures(rows).select("capture", "frame_no", "ts_us", F.octet_length("data").alias("size"))
+    return _shown(parse_captures(rows))
 
 
 @query("read_pcap", CAPTURE_SQL)
@@ -250,6 +256,15 @@ def read_pcap_big_endian_nanos(spark, folder):
     return _packets(capture_files(spark, folder, ">", True))
 
 
+@query("read_capture", CAPTURE_SQL)
+def read_capture(spark, folder):
+    """The captures written as files, and a folder of them read by the data source in splits of a few kilobytes."""
+    path = scratch(spark, "captures")
+    capture.write_captures(capture_files(spark, folder, "<", False), path)
+    name = F.regexp_extract("capture", r"([^/]+)\.pcap$", 1)
+    return _shown(capture.register(spark).read.format("capture").option("splitBytes", 65536).load(path).withColumn("capture", name))
+
+
 @query("read_pcapng", CAPTURE_SQL)
 def read_pcapng(spark, folder):
     rows = frames(spark, folder).withColumn("capture", F.concat(F.lit("u"), (F.col("frame_no") % 97).cast("string")))

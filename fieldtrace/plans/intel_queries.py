@@ -174,342 +174,20 @@ def enrich_anomalies(spark, folder):
     return rows.where(F.size("findings") > 0).select("seq", F.array_join(F.transform("findings", lambda f: f["value"]), ",").alias("findings"))
 
 
-@query("builtin_indicators", "WITH " + ad.DN_SQL + " SELECT kind, value FROM (VALUES " + ", ".join(
-    f"('{k}', '{v}')" for k, v, _, _ in ioc.BUILTIN_INDICATORS) + ") b(kind, value) UNION SELECT 'domain', qname FROM dn WHERE qname LIKE '%.tun0.com'")
+@query("builtin_indicators", "WITH " + ad.DN_SQL + ", b AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{k}', '{v}')" for k, v, _, _ in ioc.BUILTIN_INDICATORS) + """) v(kind, value)),
+seen AS (SELECT 'domain' AS kind, qname AS value FROM dn UNION ALL SELECT 'domain', regexp_extract(url, '^https?://([^/:?#]+)', 1) FROM pages UNION ALL SELECT 'hash', sha1(text) FROM documents UNION ALL SELECT 'hash', sha256(text) FROM documents
+ UNION ALL SELECT kind, value FROM b, (SELECT 1 FROM documents WHERE doc_id % 100 = 7) d)
+SELECT b.kind, b.value, count(s.value) AS sightings FROM b LEFT JOIN seen s ON s.kind = b.kind AND s.value = b.value GROUP BY 1, 2""")
 def builtin_indicators(spark, folder):
-    seen = ad.dns_queries(spark, folder).where(F.col("qname").endswith(".tun0.com")).select(F.lit("domain").alias("kind"), F.col("qname").alias("value"))
-    return ioc.builtin_indicators(spark).select("kind", "value").union(seen).distinct()
-
-
-@query("watchlist_upsert", f"""WITH {ad.AL_SQL}, w AS (SELECT DISTINCT 'DOMAIN' AS ioc_type, host AS value, 5 AS hit_count FROM al WHERE k % 2 = 0), e AS (SELECT host AS value, count(*) AS n FROM al WHERE k % 3 = 0 GROUP BY 1)
-SELECT coalesce(w.value, e.value) AS value, CAST(CASE WHEN w.value IS NOT NULL THEN hit_count + coalesce(n, 0) ELSE n - 1 END AS BIGINT) AS hit_count FROM w FULL JOIN e USING (value)""")
-def watchlist_upsert(spark, folder):
-    rows = ad.alerts(spark, folder)
-    watch = rows.where("k % 2 = 0").select(F.lit("DOMAIN").alias("ioc_type"), F.col("host").alias("value"), F.lit("HIGH").alias("severity"),
-                                           F.lit(5).cast("long").alias("hit_count"), F.lit(0).cast("long").alias("last_seen_us"),
-                                           F.lit(True).alias("is_active")).distinct()
-    entries = rows.where("k % 3 = 0").select(F.lit("DOMAIN").alias("ioc_type"), F.col("host").alias("value"), F.lit("HIGH").alias("severity"))
-    return ioc.watchlist_upsert(watch, entries, 1).select("value", "hit_count")
-
-
-@query("watchlist_hits", f"""WITH {ad.AL_SQL} SELECT host AS value, count(*) AS hits FROM al WHERE host IN (SELECT host FROM al WHERE k % 8 = 0) GROUP BY 1""")
-def watchlist_hits(spark, folder):
-    rows = ad.alerts(spark, folder)
-    watch = rows.where("k % 8 = 0").select(F.lit("DOMAIN").alias("ioc_type"), F.col("host").alias("value"), F.lit("HIGH").alias("severity"), F.lit(True).alias("is_active")).distinct()
-    return ioc.watchlist_hits(watch, rows.select(F.lit("DOMAIN").alias("ioc_type"), F.col("host").alias("value"))).select("value", "hits")
-
-
-# --------------------------------------------------------------------------- lookups
-
-@query("classify_alert", f"WITH {ad.AL_SQL} SELECT anomaly_type, " + aq._case(dims.ALERT_CLASSES, "anomaly_type").replace(" END", " ELSE 'INFORMATIONAL' END") + " AS class, count(*) AS n FROM al GROUP BY ALL")
-def classify_alert(spark, folder):
-    return ad.alerts(spark, folder).groupBy("anomaly_type", dims.classify_alert(F.col("anomaly_type")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("remediation_join", f"WITH {ad.AL_SQL} SELECT seq, " + aq._case([(t[0], t[1]) for t in dims.REMEDIATION[:-1]], "anomaly_type").replace(" END", " ELSE 'DEFAULT' END") + " AS template FROM al")
-def remediation_join(spark, folder):
-    return dims.remediation_join(ad.alerts(spark, folder)).select("seq", "template")
-
-
-@query("suspicious_port", f"""WITH {ad.SG_SQL} SELECT seq, dst_port, CASE WHEN dst_port IN (4444, 23) THEN 'CRITICAL' ELSE 'HIGH' END AS port_severity FROM sg WHERE dst_port IN (22, 23, 3389, 445, 139, 4444)""")
-def suspicious_port(spark, folder):
-    return dims.suspicious_port(ad.segments(spark, folder)).select("seq", "dst_port", "port_severity")
-
-
-TACTIC_SQL = "td AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{m}', '{t}', '{x}')" for m, tab in (("ICS", dims.ICS_TACTICS), ("Enterprise", dims.ENTERPRISE_TACTICS)) for t, ids in tab.items() for x in ids.split()) + ") v(matrix, tactic, technique))"
-
-
-@query("mitre_matrix", f"""WITH {ad.AL_SQL}, {ad.MITRE_SQL}, {TACTIC_SQL}, c AS (SELECT technique, count(*) AS n FROM al JOIN mt USING (anomaly_type) GROUP BY 1)
-SELECT matrix, tactic, technique, n FROM c JOIN td USING (technique) UNION ALL SELECT 'Other', 'Other Detected', technique, n FROM c WHERE NOT contains(technique, '.') AND technique NOT IN (SELECT technique FROM td)""")
-def mitre_matrix(spark, folder):
-    return dims.mitre_matrix(ad.alerts(spark, folder))
-
-
-@query("decode_function_dim", f"""WITH {ad.EV_SQL} SELECT seq, CASE function_code WHEN 3 THEN 'Read Holding Registers' WHEN 4 THEN 'Read Input Registers' WHEN 6 THEN 'Write Single Register' WHEN 16 THEN 'Write Multiple Registers' ELSE 'Firmware Update' END AS function_name,
- CASE WHEN function_code IN (3, 4) THEN 'READ' WHEN function_code = 90 THEN 'CONTROL' ELSE 'WRITE' END AS operation_type FROM ev WHERE protocol = 'MODBUS_TCP'""")
-def decode_function_dim(spark, folder):
-    rows = ad.ot_events(spark, folder).where("protocol = 'MODBUS_TCP'").select("seq", "function_code")
-    return dims.decode_function_dim(rows, "MODBUS_TCP").select("seq", "function_name", "operation_type")
-
-
-# --------------------------------------------------------------------------- event helpers
-
-@query("canonical_op", f"WITH {ad.EV_SQL} SELECT seq, operation_type AS op, src_port > dst_port AND dst_port < 49152 AS is_req, operation_type <> 'READ' AS dangerous, operation_type = 'WRITE' AS write_like, target FROM ev")
-def canonical_op(spark, folder):
-    return ev.enrich(ad.ot_events(spark, folder)).select("seq", "op", "is_req", "dangerous", "write_like", "target")
-
-
-@query("risk_to_threat_score", f"WITH {ad.EV_SQL} SELECT risk_level, CASE risk_level WHEN 'CRITICAL' THEN 1.0 WHEN 'HIGH' THEN 0.75 WHEN 'MEDIUM' THEN 0.5 ELSE 0.25 END::DOUBLE AS score, count(*) AS n FROM ev GROUP BY 1, 2")
-def risk_to_threat_score(spark, folder):
-    return ad.ot_events(spark, folder).groupBy("risk_level", ev.threat_score(F.col("risk_level")).alias("score")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("flow_timing_features", f"""WITH {ad.EV_SQL}, t AS (SELECT *, (ts_us - lag(ts_us) OVER w) / 1e6 AS dt, abs(k - lag(k) OVER w) AS dv FROM ev WINDOW w AS (PARTITION BY src_ip, dst_ip, function_code ORDER BY ts_us, seq))
-SELECT seq, CAST(round(coalesce(dt, 0) * 1e6) AS BIGINT) AS time_since_last, round(CASE WHEN dt > 0 THEN dv / dt ELSE 0 END, 2) AS payload_change_rate FROM t""")
-def flow_timing_features(spark, folder):
-    from fieldtrace.operators.decode import flow_timing_features as features
-    rows = ad.ot_events(spark, folder).withColumn("payload_byte", F.col("k").cast("int"))
-    return features(rows).select("seq", F.round(F.col("time_since_last") * 1e6).cast("long").alias("time_since_last"), F.round("payload_change_rate", 2).alias("payload_change_rate"))
-
-
-# --------------------------------------------------------------------------- history
-
-SE = ad.SE_SQL
-CUT = 852076800000000   # 1997-01-01
-HIST = f"{ad.AL_SQL}, {SE}"
-
-
-@query("search_alerts", f"WITH {ad.AL_SQL} SELECT seq, ts_us, src_ip FROM al WHERE severity = 'CRITICAL' AND anomaly_type = 'HTTP_WEBSHELL' AND ts_us BETWEEN 100000000 AND 600000000 ORDER BY ts_us DESC, seq DESC LIMIT 100")
-def search_alerts(spark, folder):
-    return hi.search_alerts(ad.alerts(spark, folder), severity="CRITICAL", anomaly_type="HTTP_WEBSHELL", start_us=100_000_000,
-                            end_us=600_000_000, limit=100).select("seq", "ts_us", "src_ip")
-
-
-@query("history_statistics", f"WITH {SE} SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, CAST(sum(total_packets) AS BIGINT) AS total_packets, CAST(sum(total_anomalies) AS BIGINT) AS total_anomalies FROM se WHERE started_us >= {CUT}")
-def history_statistics(spark, folder):
-    return hi.session_totals(ad.sessions(spark, folder), CUT)
-
-
-@query("history_types", f"WITH {HIST} SELECT anomaly_type, count(*) AS count FROM al JOIN se USING (session_id) WHERE started_us >= {CUT} GROUP BY 1")
-def history_types(spark, folder):
-    return hi.distribution(ad.alerts(spark, folder), ad.sessions(spark, folder), CUT, "anomaly_type")
-
-
-@query("history_top_sources", f"WITH {HIST} SELECT src_ip, count(*) AS count FROM al JOIN se USING (session_id) WHERE started_us >= {CUT} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def history_top_sources(spark, folder):
-    return hi.top_sources(ad.alerts(spark, folder), ad.sessions(spark, folder), CUT)
-
-
-IOC_SQL = f"{HIST}, io AS (SELECT session_id, 'DOMAIN' AS ioc_type, host AS value, count(*) AS occurrences FROM al GROUP BY ALL)"
-
-
-def stored_iocs(spark, folder):
-    return ad.alerts(spark, folder).groupBy("session_id", F.lit("DOMAIN").alias("ioc_type"), F.col("host").alias("value")).agg(F.count(F.lit(1)).alias("occurrences"))
-
-
-@query("history_ioc_types", f"WITH {IOC_SQL} SELECT ioc_type, count(*) AS \"unique\", CAST(sum(occurrences) AS BIGINT) AS total_occurrences FROM io JOIN se USING (session_id) WHERE started_us >= {CUT} GROUP BY 1")
-def history_ioc_types(spark, folder):
-    return hi.ioc_types(stored_iocs(spark, folder), ad.sessions(spark, folder), CUT)
-
-
-TREND = """count(*) AS total_anomalies, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high,
- count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low"""
-TIMED = "tm AS (SELECT * REPLACE (ts_us * 43200 AS ts_us) FROM al)"
-
-
-def _spread(spark, folder):
-    return ad.alerts(spark, folder).withColumn("ts_us", F.col("ts_us") * 43200)
-
-
-@query("attack_trends", f"WITH {ad.AL_SQL}, {TIMED} SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d') AS period, {TREND} FROM tm GROUP BY 1")
-def attack_trends(spark, folder):
-    return hi.attack_trends(_spread(spark, folder))
-
-
-@query("attack_trends_week", f"WITH {ad.AL_SQL}, {TIMED} SELECT strftime(make_timestamp(ts_us), '%Y-%W') AS period, {TREND} FROM tm GROUP BY 1")
-def attack_trends_week(spark, folder):
-    return hi.attack_trends(_spread(spark, folder), "week")
-
-
-@query("attack_trends_hour", f"WITH {ad.AL_SQL}, {TIMED} SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d %H:00') AS period, {TREND} FROM tm GROUP BY 1")
-def attack_trends_hour(spark, folder):
-    return hi.attack_trends(_spread(spark, folder), "hour")
-
-
-@query("ip_history", f"WITH {ad.AL_SQL} SELECT anomaly_type, min(ts_us) AS first_us, max(ts_us) AS last_us, count(*) AS total FROM al WHERE src_ip = '10.2.0.1' OR dst_ip = '10.2.0.1' GROUP BY 1")
-def ip_history(spark, folder):
-    return hi.ip_history(ad.alerts(spark, folder), "10.2.0.1")
-
-
-@query("ip_sessions", f"WITH {HIST} SELECT session_id, capture, started_us FROM se WHERE session_id IN (SELECT session_id FROM al WHERE src_ip = '10.2.1.1' OR dst_ip = '10.2.1.1') ORDER BY started_us DESC, session_id LIMIT 10")
-def ip_sessions(spark, folder):
-    return hi.ip_sessions(ad.alerts(spark, folder), ad.sessions(spark, folder), "10.2.1.1")
-
-
-@query("get_iocs", f"WITH {IOC_SQL} SELECT value, occurrences FROM io WHERE session_id = 's3' ORDER BY occurrences DESC, value LIMIT 1000")
-def get_iocs(spark, folder):
-    return hi.get_iocs(stored_iocs(spark, folder), session_id="s3").select("value", "occurrences")
-
-
-@query("search_iocs", f"WITH {IOC_SQL} SELECT session_id, value, occurrences, capture FROM io JOIN se USING (session_id) WHERE value LIKE '%host1_.tk%' ORDER BY occurrences DESC, value, session_id LIMIT 100")
-def search_iocs(spark, folder):
-    return hi.search_iocs(stored_iocs(spark, folder), ad.sessions(spark, folder), "host1_.tk").select("session_id", "value", "occurrences", "capture")
-
-
-@query("list_sessions", f"WITH {SE} SELECT session_id, capture, started_us FROM se WHERE contains(capture, 'capture_7') AND started_us >= {CUT} ORDER BY started_us DESC, session_id LIMIT 500")
-def list_sessions(spark, folder):
-    return hi.list_sessions(ad.sessions(spark, folder), "capture_7", CUT).select("session_id", "capture", "started_us")
-
-
-@query("session_overview", f"""WITH {IOC_SQL}, tt AS (SELECT session_id, anomaly_type, count(*) AS n, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, anomaly_type) AS r FROM al GROUP BY 1, 2),
-tp AS (SELECT session_id, string_agg(anomaly_type, ',' ORDER BY r) AS top_types FROM tt WHERE r <= 8 GROUP BY 1),
-sv AS (SELECT session_id, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM al GROUP BY 1), ic AS (SELECT session_id, count(*) AS ioc_count FROM io GROUP BY 1)
-SELECT se.session_id, capture, coalesce(critical, 0) AS critical, coalesce(top_types, '') AS top_types, coalesce(ioc_count, 0) AS ioc_count FROM se LEFT JOIN tp USING (session_id) LEFT JOIN sv USING (session_id) LEFT JOIN ic USING (session_id)""")
-def session_overview(spark, folder):
-    rows = hi.session_overview(ad.sessions(spark, folder), ad.alerts(spark, folder), stored_iocs(spark, folder))
-    return rows.select("session_id", "capture", F.coalesce(F.col("severity")["CRITICAL"], F.lit(0)).alias("critical"),
-                       F.coalesce(F.array_join(F.transform("top_types", lambda t: t["anomaly_type"]), ","), F.lit("")).alias("top_types"), "ioc_count")
-
-
-@query("compare_sessions", f"""WITH {ad.AL_SQL}, c AS (SELECT concat(anomaly_type, '/', severity) AS anomaly_type, count(*) FILTER (WHERE session_id = 's1') AS old_n, count(*) FILTER (WHERE session_id = 's2') AS new_n FROM al WHERE session_id IN ('s1', 's2') GROUP BY 1)
-SELECT *, CASE WHEN old_n = 0 THEN 'new' WHEN new_n = 0 THEN 'resolved' ELSE 'changed' END AS status FROM c WHERE old_n <> new_n""")
-def compare_sessions(spark, folder):
-    rows = ad.alerts(spark, folder).withColumn("anomaly_type", F.concat_ws("/", "anomaly_type", "severity"))
-    return hi.compare_sessions(rows, "s1", "s2")
-
-
-@query("compare_iocs", f"WITH {IOC_SQL}, a AS (SELECT value FROM io WHERE session_id = 's1'), b AS (SELECT value FROM io WHERE session_id = 's2') SELECT value, 'gone' AS status FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT value, 'new' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
-def compare_iocs(spark, folder):
-    return hi.compare_iocs(stored_iocs(spark, folder), "s1", "s2").select("value", "status")
-
-
-@query("retention", f"WITH {HIST} SELECT seq, session_id FROM al WHERE session_id NOT IN (SELECT session_id FROM se WHERE started_us < {CUT} OR session_id = 's5')")
-def retention(spark, folder):
-    return hi.retained(ad.alerts(spark, folder), ad.sessions(spark, folder), older_than_us=CUT, ids=["s5"]).select("seq", "session_id")
-
-
-@query("upsert_ioc", f"""WITH {ad.AL_SQL}, u AS (SELECT session_id, host AS value, ts_us, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS nw, severity, CASE WHEN k % 3 = 0 THEN concat('ti', CAST(k AS VARCHAR)) END AS ti FROM al)
-SELECT session_id, value, count(*) AS occurrences, min(ts_us) AS first_us, max(ts_us) AS last_us, max(CASE WHEN ti IS NOT NULL THEN (nw, ts_us, ti) END)[3] AS threat_intel FROM u GROUP BY 1, 2""")
-def upsert_ioc(spark, folder):
-    rows = ad.alerts(spark, folder).select(
-        "session_id", F.lit("DOMAIN").alias("ioc_type"), F.col("host").alias("value"), "severity", F.col("ts_us").alias("first_us"),
-        F.col("ts_us").alias("last_us"), F.lit(1).cast("long").alias("occurrences"),
-        F.when(F.col("k") % 3 == 0, F.concat(F.lit("ti"), F.col("k").cast("string"))).alias("threat_intel"), "event_type")
-    old, new = rows.where("event_type = 'view'").drop("event_type"), rows.where("event_type <> 'view'").drop("event_type")
-    return hi.upsert_ioc(old, new).select("session_id", "value", "occurrences", "first_us", "last_us", "threat_intel")
-
-
-# --------------------------------------------------------------------------- summaries
-
-@query("capture_summary", f"""WITH {ad.AL_SQL} SELECT count(*) AS ot_events, min(ts_us) AS first_us, max(ts_us) AS last_us, count(DISTINCT protocol) AS protocols, count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS high_risk_events,
- (SELECT count(*) FROM al) AS anomalies, (SELECT count(*) FROM al WHERE severity = 'CRITICAL') AS critical, max(ts_us) - min(ts_us) AS duration_us FROM ev""")
-def capture_summary(spark, folder):
-    return hi.capture_summary(ad.ot_events(spark, folder), ad.alerts(spark, folder))
-
-
-@query("top_mitre", f"WITH {ad.AL_SQL}, {ad.MITRE_SQL} SELECT technique, count(*) AS n FROM al JOIN mt USING (anomaly_type) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
-def top_mitre(spark, folder):
-    return hi.top_mitre(ad.alerts(spark, folder))
-
-
-def _grouped(name, keys, fn):
-    query(name, f"WITH {ad.EV_SQL} SELECT {keys}, count(*) AS n FROM ev GROUP BY ALL")(lambda spark, folder: fn(ad.ot_events(spark, folder)))
-
-
-_grouped("protocol_counts", "protocol", hi.protocol_counts)
-_grouped("function_counts", "protocol, function_code", hi.function_counts)
-_grouped("risk_counts", "risk_level", hi.risk_counts)
-_grouped("conversation_counts", "src_ip, dst_ip, protocol", hi.conversation_counts)
-
-
-@query("ip_pair_bytes", "SELECT concat('h', CAST(l_suppkey AS VARCHAR)) AS src_ip, concat('p', CAST(l_partkey AS VARCHAR)) AS dst_ip, CAST(sum(l_linenumber) AS BIGINT) AS bytes FROM lineitem GROUP BY ALL")
-def ip_pair_bytes(spark, folder):
-    rows = table(spark, folder, "lineitem").select(F.concat(F.lit("h"), F.col("l_suppkey").cast("string")).alias("src_ip"),
-                                                   F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst_ip"), F.col("l_linenumber").alias("ip_len"))
-    return hi.ip_pair_bytes(rows)
-
-
-@query("endpoint_packets", f"WITH {ad.SG_SQL} SELECT ip, count(*) AS packets FROM (SELECT src_ip AS ip FROM sg UNION ALL SELECT dst_ip FROM sg) GROUP BY 1")
-def endpoint_packets(spark, folder):
-    return hi.endpoint_packets(ad.segments(spark, folder))
-
-
-@query("port_counts", f"WITH {ad.SG_SQL} SELECT 'TCP' AS transport, dst_port, count(*) AS n FROM sg GROUP BY ALL")
-def port_counts(spark, folder):
-    return hi.port_counts(ad.segments(spark, folder))
-
-
-@query("flag_counts", f"WITH {ad.SG_SQL} SELECT count(*) FILTER (WHERE (tcp_flags & 2) <> 0) AS syn, count(*) FILTER (WHERE (tcp_flags & 4) <> 0) AS rst, count(*) FILTER (WHERE (tcp_flags & 18) = 18) AS synack FROM sg")
-def flag_counts(spark, folder):
-    return hi.flag_counts(ad.segments(spark, folder))
-
-
-@query("synack_ports", f"WITH {ad.SG_SQL} SELECT src_ip, array_to_string(list_sort(list(DISTINCT src_port)), ',') AS ports FROM sg WHERE (tcp_flags & 18) = 18 GROUP BY 1")
-def synack_ports(spark, folder):
-    return hi.synack_ports(ad.segments(spark, folder)).withColumn("ports", F.array_join("ports", ","))
-
-
-@query("alert_overview", f"WITH {ad.AL_SQL} SELECT seq, severity FROM al WHERE severity IN ('CRITICAL', 'HIGH') ORDER BY severity, ts_us, seq LIMIT 50")
-def alert_overview(spark, folder):
-    return hi.alert_overview(ad.alerts(spark, folder)).select("seq", "severity")
-
-
-@query("attack_sources", f"""WITH {ad.AL_SQL} SELECT src_ip, count(*) AS count, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(DISTINCT dst_ip) AS targets
-FROM al GROUP BY 1 ORDER BY 3 DESC, 4 DESC, 2 DESC, 1 LIMIT 6""")
-def attack_sources(spark, folder):
-    return hi.attack_sources(ad.alerts(spark, folder))
-
-
-@query("attack_targets", f"WITH {ad.AL_SQL} SELECT dst_ip, count(*) AS count, count(DISTINCT src_ip) AS sources FROM al GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
-def attack_targets(spark, folder):
-    return hi.attack_targets(ad.alerts(spark, folder))
-
-
-# --------------------------------------------------------------------------- scalar functions
-
-@query("format_bytes", """SELECT l_orderkey % 50 AS g, CASE WHEN b < 1024 THEN printf('%.1f B', b) WHEN b < 1048576 THEN printf('%.1f KB', b / 1024) WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576) ELSE printf('%.1f GB', b / 1073741824) END AS text
-FROM (SELECT l_orderkey, CAST(l_linenumber AS DOUBLE) * l_linenumber * l_linenumber * (l_orderkey % 50) * (l_orderkey % 50) * (l_orderkey % 50) * 100 AS b FROM lineitem)""")
-def format_bytes(spark, folder):
-    m = F.col("l_orderkey") % 50
-    n = F.col("l_linenumber").cast("double")
-    return table(spark, folder, "lineitem").select(m.alias("g"), scalar.format_bytes(n * n * n * m * m * m * 100).alias("text"))
-
-
-@query("format_duration", f"""WITH {ad.EV_SQL}, d AS (SELECT seq, (ts_us // 1000000) * (seq % 400) AS s FROM ev)
-SELECT seq, CASE WHEN s < 60 THEN concat(s, ' seconds') WHEN s < 3600 THEN concat(s // 60, ' minutes') WHEN s < 86400 THEN concat(s // 3600, 'h ', s % 3600 // 60, 'm') ELSE concat(s // 86400, 'd ', s % 86400 // 3600, 'h') END AS text FROM d""")
-def format_duration(spark, folder):
-    span = F.floor(F.col("ts_us") / 1_000_000) * (F.col("seq") % 400) * 1_000_000
-    return ad.base_events(spark, folder).select("seq", scalar.format_duration(span).alias("text"))
-
-
-@query("utc_text", "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%SZ') END AS text FROM events")
-def utc_text(spark, folder):
-    micros = F.when(F.col("event_id") % 10 == 0, F.lit(0)).otherwise(F.unix_micros(F.col("ts").cast("timestamp")))
-    return table(spark, folder, "events").select("event_id", scalar.utc_text(micros).alias("text"))
-
-
-@query("normalize_ts", """WITH t AS (SELECT event_id, epoch_us(ts) / 1e6 * CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1000000 ELSE -1 END AS x FROM events)
-SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN x WHEN 1 THEN x / 1000 WHEN 2 THEN x / 1000000 END, 3) AS s, CASE event_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'milliseconds' WHEN 2 THEN 'microseconds' ELSE 'invalid' END AS kind FROM t""")
-def normalize_ts(spark, folder):
-    m = F.col("event_id") % 4
-    x = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 * F.when(m == 0, 1).when(m == 1, 1000).when(m == 2, 1000000).otherwise(-1)
-    return table(spark, folder, "events").select("event_id", F.round(scalar.normalize_ts(x), 3).alias("s"), scalar.ts_correction(x).alias("kind"))
-
-
-@query("limit_packets", f"WITH {ad.EV_SQL} SELECT seq, ts_us FROM ev ORDER BY seq LIMIT 500")
-def limit_packets(spark, folder):
-    return ad.base_events(spark, folder).orderBy("seq").limit(500).select("seq", "ts_us")
-
-
-@query("time_parts", "SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS weekday, strftime(ts, '%Y-%m-%d') AS day FROM events")
-def time_parts(spark, folder):
-    at = F.col("ts").cast("timestamp")
-    return table(spark, folder, "events").select("event_id", F.hour(at).alias("hour"), F.weekday(at).alias("weekday"), scalar.period(at, "day").alias("day"))
-
-
-@query("to_timestamp", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch_us(ts) // 1000000 * 1000000 WHEN 1 THEN epoch_us(ts) // 1000000 * 1000000 END AS micros FROM events""")
-def to_timestamp(spark, folder):
-    at = F.col("ts").cast("timestamp")
-    m = F.col("event_id") % 3
-    raw = F.when(m == 0, F.floor(F.unix_micros(at) / 1000000).cast("string")).when(m == 1, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise("n/a")
-    return table(spark, folder, "events").select("event_id", F.unix_micros(scalar.to_timestamp(raw)).alias("micros"))
-
-
-@query("is_private_ip", f"""WITH {ad.EV_SQL}, a AS (SELECT seq, CASE seq % 5 WHEN 0 THEN src_ip WHEN 1 THEN concat('8.8.', k, '.1') WHEN 2 THEN concat('172.', k, '.0.1') WHEN 3 THEN concat('192.168.0.', k) ELSE 'plc' END AS ip FROM ev)
-SELECT seq, CASE seq % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31 WHEN 3 THEN TRUE ELSE FALSE END AS private,
- CASE seq % 5 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 2 THEN CAST(split_part(ip, '.', 2) AS INT) BETWEEN 16 AND 31 ELSE TRUE END AS internal FROM a""")
-def is_private_ip(spark, folder):
-    k, m = F.col("k").cast("string"), F.col("seq") % 5
-    ip = (F.when(m == 0, F.col("src_ip")).when(m == 1, F.concat(F.lit("8.8."), k, F.lit(".1"))).when(m == 2, F.concat(F.lit("172."), k, F.lit(".0.1")))
-          .when(m == 3, F.concat(F.lit("192.168.0."), k)).otherwise("plc"))
-    return ad.base_events(spark, folder).select("seq", net.is_private_ip(ip).alias("private"), net.is_internal_ip(ip).alias("internal"))
-
-
-@query("public_domain_filter", f"WITH {ad.AL_SQL} SELECT host, count(*) AS n FROM (SELECT split_part(host, ':', 1) AS host FROM al) WHERE host NOT LIKE '%.local' GROUP BY 1")
-def public_domain_filter(spark, folder):
-    rows = ad.alerts(spark, folder).withColumn("host", F.substring_index("host", ":", 1))
-    return rows.where(net.is_public_domain(F.col("host"))).groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    """How often the built-in indicators occur as names asked for, hosts of pages and hashes of documents; each is planted once per hundred documents."""
+    docs, known = table(spark, folder, "documents"), ioc.builtin_indicators(spark).select("kind", "value")
+    kind = lambda name, value: (F.lit(name).alias("kind"), value.alias("value"))
+    seen = (ad.dns_queries(spark, folder).select(*kind("domain", F.col("qname")))
+            .unionByName(table(spark, folder, "pages").select(*kind("domain", F.regexp_extract("url", "^https?://([^/:?#]+)", 1))))
+            .unionByName(docs.select(*kind("hash", F.sha1("text")))).unionByName(docs.select(*kind("hash", F.sha2("text", 256))))
+            .unionByName(docs.where("doc_id % 100 = 7").select(F.explode(F.array(*[F.struct(*kind(k, F.lit(v))) for k, v, _, _ in ioc.BUILTIN_INDICATORS])).alias("i")).select("i.*")))
+    return ioc.builtin_sightings(seen).select("kind", "value", "sightings")
 
 
 @query("sanitize_cells", r"""WITH c AS (SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN '=' WHEN 1 THEN '-12.5' ELSE '' END, CASE WHEN doc_id % 4 = 1 THEN '' ELSE text END) AS t FROM documents),
@@ -521,11 +199,9 @@ def sanitize_cells(spark, folder):
     return table(spark, folder, "documents").select("doc_id", scalar.safe_cell(t, 2000).alias("cell"))
 
 
-@query("shannon_entropy", f"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations)
-SELECT conv_id, turn, round(coalesce({st.ENTROPY.format(x='text')}, 0), 4) AS entropy FROM t""")
+@query("shannon_entropy", f"""SELECT conv_id, turn, round(coalesce({st.BYTE_ENTROPY.format(x='text')}, 0), 4) AS entropy FROM conversations""")
 def shannon_entropy(spark, folder):
-    rows = table(spark, folder, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
-    return rows.select("conv_id", "turn", F.round(text.shannon_entropy(F.encode("text", "UTF-8")), 4).alias("entropy"))
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.round(text.shannon_entropy(F.encode("text", "UTF-8")), 4).alias("entropy"))
 
 
 @query("sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -533,11 +209,11 @@ def sha256(spark, folder):
     return table(spark, folder, "documents").select("doc_id", text.sha256(F.encode("text", "UTF-8")).alias("digest"))
 
 
-@query("url_decode2", "SELECT doc_id, replace(text, '+', ' ') AS text FROM documents WHERE NOT contains(text, '%')")
+@query("url_decode2", "SELECT doc_id, text FROM documents")
 def url_decode2(spark, folder):
+    # a quoted space is a plus sign, which one decoding turns back
     quoted = F.url_encode(F.url_encode("text"))
-    rows = table(spark, folder, "documents").where(~F.col("text").contains("%"))
-    return rows.select("doc_id", F.replace(text.url_decode2(quoted), F.lit("+"), F.lit(" ")).alias("text"))
+    return table(spark, folder, "documents").select("doc_id", text.url_decode2(quoted).alias("text"))
 
 
 @query("merge_mitre", f"WITH {ad.EV_SQL} SELECT operation_type, CASE WHEN operation_type = 'READ' THEN 'T0855,T0801,T0802' ELSE 'T0855,T0831,T0836' END AS merged, count(*) AS n FROM ev GROUP BY 1, 2")

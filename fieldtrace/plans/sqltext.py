@@ -27,3 +27,7 @@ def kept(source: str, keys: str, gap_us: int, strict: bool = False, ts: str = "t
 
 ENTROPY = ("(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / CAST(length({x}) AS DOUBLE) AS p "
            "FROM unnest(string_split({x}, '')) u(ch) GROUP BY ch))")
+
+# the same over the bytes of any text
+BYTE_ENTROPY = ("(SELECT -sum(p * log2(p)) FROM (SELECT count(*) / CAST(octet_length(encode({x})) AS DOUBLE) AS p "
+                "FROM unnest(regexp_extract_all(hex(encode({x})), '..')) u(ch) GROUP BY ch))")

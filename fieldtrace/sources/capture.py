@@ -1,27 +1,31 @@
 """Packets from pcap and pcapng captures.
 
-Reading takes two jobs. The first walks only the record headers of each file and
+:func:`read_capture` takes two jobs. The first walks only the record headers of each file and
 emits one split per ``split_bytes``; the second reads the splits in parallel, so
-one long capture is spread over the cluster. Both work on streams and hold one
-record at a time. Files are opened through Arrow filesystems, so local paths and
-shared-store URIs work alike.
+one long capture is spread over the cluster. ``spark.read.format("capture")`` is the same
+as a data source for many files: small files share partitions, long ones are cut while the read is planned, or by the splits that
+:func:`index_captures` has written. Files are read in buffered ranges
+through Arrow filesystems, so local paths and shared-store URIs work alike, and one record is held at a time.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PACKETS = "capture string, frame_no long, ts_us long, linktype int, data binary"
 _PACKETS = pa.schema([("capture", pa.string()), ("frame_no", pa.int64()), ("ts_us", pa.int64()), ("linktype", pa.int32()), ("data", pa.binary())])
 _SPLITS = pa.schema([("capture", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("frame_no", pa.int64()), ("context", pa.string())])
 SPLITS = "capture string, start long, stop long, frame_no long, context string"
-MAX_PACKET = 262_144
 SPLIT_BYTES = 64 << 20
+READ_BYTES = 1 << 20        # of a file at once
 # fixed values: the magics of classic captures -> (byte order, fraction units per second)
 _MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 10 ** 6), b"\xa1\xb2\xc3\xd4": (">", 10 ** 6),
           b"\x4d\x3c\xb2\xa1": ("<", 10 ** 9), b"\xa1\xb2\x3c\x4d": (">", 10 ** 9)}
@@ -36,8 +40,8 @@ class CaptureError(ValueError):
 class _Walker:
     """Walks one capture; its state at a record boundary is all a later split needs."""
 
-    def __init__(self, stream, context: str | None = None):
-        self.stream = stream
+    def __init__(self, stream, context: str | None = None, max_packet: int | None = None):
+        self.stream, self.most = stream, max_packet or 1 << 32
         self.order, self.kind, self.linktype, self.units, self.links = "<", "", 0, 10 ** 6, []
         if context:
             self.kind, self.order, link, units, links = context.split("|")
@@ -63,7 +67,10 @@ class _Walker:
         return f"{self.kind}|{self.order}|{self.linktype}|{self.units}|{links}"
 
     def step(self, want: bool):
-        """Advance one record: None at the end, else (ts_us, linktype, data) or () for none; ``want`` reads the data."""
+        """Advance one record: None at the end, else (ts_us, linktype, data) or () for none; ``want`` reads the data.
+
+        The data of a packet over the size limit is None.
+        """
         return self._classic(want) if self.kind == "classic" else self._next_generation(want)
 
     def _classic(self, want):
@@ -71,10 +78,10 @@ class _Walker:
         if len(head) < 16:
             return None
         sec, frac, size, _ = struct.unpack(self.order + "IIII", head)
-        body = self._body(size, want and size <= MAX_PACKET)
+        body = self._body(size, want and size <= self.most)
         if body is None:
             return None
-        return () if size > MAX_PACKET else (sec * 10 ** 6 + frac * 10 ** 6 // self.units, self.linktype, body)
+        return (sec * 10 ** 6 + frac * 10 ** 6 // self.units, self.linktype, body if size <= self.most else None)
 
     def _body(self, size, want):
         if want:
@@ -139,46 +146,107 @@ class _Walker:
     def _packet(self, kind, body):
         index = struct.unpack(self.order + ("I" if kind == _ENHANCED else "H"), body[:4 if kind == _ENHANCED else 2])[0]
         high, low, size = struct.unpack(self.order + "III", body[4:16])
-        if index >= len(self.links) or size > MAX_PACKET:
+        if index >= len(self.links):
             return ()
         link, resolution, _ = self.links[index]
         units = 2 ** (resolution & 0x7F) if resolution & 0x80 else 10 ** resolution
-        return (((high << 32) | low) * 10 ** 6 // units, link, body[20:20 + size])
+        return (((high << 32) | low) * 10 ** 6 // units, link, body[20:20 + size] if size <= self.most else None)
 
 
-def _open(uri: str):
+def _file_system(uri: str):
     from pyarrow import fs
-    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-    return system.open_input_file(path)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+class _Buffered:
+    """A file read in ranges of READ_BYTES, whatever is asked of it; skipped records cost a read only where they leave the range."""
+
+    def __init__(self, uri: str):
+        system, path = _file_system(uri)
+        self.file = system.open_input_file(path)
+        self.at, self.start, self.held, self._size = 0, 0, b"", self.file.size()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def read(self, n: int) -> bytes:
+        out, self.at = self._range(self.at, min(n, max(self._size - self.at, 0))), min(self.at + n, self._size)
+        return out
+
+    def _range(self, at: int, n: int) -> bytes:
+        if not self.start <= at <= at + n <= self.start + len(self.held):
+            self.start, self.held = at, self.file.read_at(min(max(n, READ_BYTES), self._size - at), at) if n else b""
+        return self.held[at - self.start:at - self.start + n]
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def tell(self) -> int:
+        return self.at
+
+    def size(self) -> int:
+        return self._size
+
+
+def list_captures(paths: str | Sequence[str]) -> list[tuple[str, int]]:
+    """(file, bytes) of files, folders (all files below, but for hidden ones) and glob patterns."""
+    from pyarrow import fs
+    out = {}
+    for uri in [paths] if isinstance(paths, str) else paths:
+        system, path = _file_system(uri.rstrip("/"))
+        prefix = uri.rstrip("/")[:-len(path)] if uri.rstrip("/").endswith(path) else ""
+        if any(c in path for c in "*?["):
+            base = "/".join(part for part in path.split("/")[:next(i for i, x in enumerate(path.split("/")) if any(c in x for c in "*?["))]) or "."
+            found = [f for f in system.get_file_info(fs.FileSelector(base, recursive=True)) if fnmatch.fnmatch(f.path, path) and f.path.count("/") == path.count("/")]
+        else:
+            found = [system.get_file_info(path)]
+        for info in list(found):
+            if info.type == fs.FileType.Directory:
+                found += [f for f in system.get_file_info(fs.FileSelector(info.path, recursive=True)) if not f.base_name.startswith(("_", "."))]
+        files = {prefix + f.path: f.size for f in found if f.type == fs.FileType.File}
+        if not files:
+            raise FileNotFoundError(f"no capture at {uri}")
+        out |= files
+    return sorted(out.items())
 
 
 def _flush(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def _splits_of(uri: str, split_bytes: int) -> list[tuple]:
+    """Splits (file, start, stop, first frame, walker's context) at record boundaries, from the record headers."""
+    rows = []
+    with _Buffered(uri) as stream:
+        walker = _Walker(stream)
+        start, frame, first, context = stream.tell(), 0, 0, walker.context()
+        while True:
+            before = stream.tell()
+            if before - start >= split_bytes:
+                rows.append((uri, start, before, first, context))
+                start, first, context = before, frame, walker.context()
+            found = walker.step(False)
+            if found is None:
+                break
+            frame += bool(found)
+        if before > start:
+            rows.append((uri, start, before, first, context))
+    return rows
+
+
 def _index(split_bytes: int, permissive: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                rows = []
                 try:
-                    with _open(uri) as stream:
-                        walker = _Walker(stream)
-                        start, frame, first, context = stream.tell(), 0, 0, walker.context()
-                        while True:
-                            before = stream.tell()
-                            if before - start >= split_bytes:
-                                rows.append((uri, start, before, first, context))
-                                start, first, context = before, frame, walker.context()
-                            found = walker.step(False)
-                            if found is None:
-                                break
-                            frame += bool(found)
-                        if before > start:
-                            rows.append((uri, start, before, first, context))
+                    rows = _splits_of(uri, split_bytes)
                 except CaptureError as error:
                     if not permissive:
                         raise CaptureError(f"{uri}: {error}") from error
+                    continue
                 if rows:
                     yield _flush(rows, _SPLITS)
     return run
@@ -192,7 +260,7 @@ def _packets_of(stream, walker, capture, frame, stop):
             break
         if found:
             rows.append((capture, frame, found[0], found[1], found[2]))
-            held += len(found[2])
+            held += len(found[2] or b"")
             frame += 1
             if held > 4 << 20 or len(rows) >= 4096:
                 yield _flush(rows, _PACKETS)
@@ -201,29 +269,116 @@ def _packets_of(stream, walker, capture, frame, stop):
         yield _flush(rows, _PACKETS)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            with _open(row["capture"]) as stream:
-                walker = _Walker(stream, row["context"])
-                stream.seek(row["start"])
-                yield from _packets_of(stream, walker, row["capture"], row["frame_no"], row["stop"])
+def _read(max_packet: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with _Buffered(row["capture"]) as stream:
+                    walker = _Walker(stream, row["context"], max_packet)
+                    stream.seek(row["start"])
+                    yield from _packets_of(stream, walker, row["capture"], row["frame_no"], row["stop"])
+    return run
+
+
+def index_captures(spark: SparkSession, paths: str | Sequence[str], *, split_bytes: int = SPLIT_BYTES, mode: str = "FAILFAST") -> DataFrame:
+    """Splits of captures, each file walked by one task; written as Parquet, they serve as option ``index`` of the data source."""
+    names = [(name,) for name, _ in list_captures(paths)]
+    files = spark.createDataFrame(names, "capture string").repartition(len(names))
+    return files.mapInArrow(_index(split_bytes, mode.upper() == "PERMISSIVE"), SPLITS)
 
 
-def read_capture(spark: SparkSession, paths: list[str], *, split_bytes: int = SPLIT_BYTES, mode: str = "FAILFAST",
-                 max_packets: int | None = None) -> DataFrame:
-    """Packets of captures, format by magic. ``PERMISSIVE`` skips files that are no capture.
+def read_capture(spark: SparkSession, paths: str | Sequence[str], *, split_bytes: int = SPLIT_BYTES, mode: str = "FAILFAST",
+                 max_packets: int | None = None, max_packet_size: int | None = None) -> DataFrame:
+    """Packets of captures (files, folders, globs), format by magic. ``PERMISSIVE`` skips files that are no capture.
 
-    ``max_packets`` keeps the first packets of each capture.
+    ``max_packets`` keeps the first packets of each capture. Packets over ``max_packet_size`` bytes come with null data, which dissection
+    leaves out and :func:`oversize_packets` counts.
     """
-    files = spark.createDataFrame([(p,) for p in paths], "capture string").repartition(max(len(paths), 1))
-    splits = files.mapInArrow(_index(split_bytes, mode.upper() == "PERMISSIVE"), SPLITS)
+    splits = index_captures(spark, paths, split_bytes=split_bytes, mode=mode)
     # one task per split: splits are spread by their position, not by their file
-    spread = splits.repartition(max(spark.sparkContext.defaultParallelism, len(paths)), "capture", "start")
-    packets = spread.mapInArrow(_read, PACKETS)
+    spread = splits.repartition(max(spark.sparkContext.defaultParallelism, splits.rdd.getNumPartitions()), "capture", "start")
+    packets = spread.mapInArrow(_read(max_packet_size), PACKETS)
     return packets.where(F.col("frame_no") < max_packets) if max_packets is not None else packets
 
 
+def oversize_packets(packets: DataFrame) -> DataFrame:
+    """(capture, packets, oversize): how many packets each capture has and how many were over the size limit."""
+    return packets.groupBy("capture").agg(F.count(F.lit(1)).alias("packets"), F.count_if(F.col("data").isNull()).alias("oversize"))
+
+
+@dataclass
+class CapturePartition(InputPartition):
+    """Splits read by one task; a start of -1 is a whole file."""
+    splits: list[tuple]
+
+
+class CaptureReader(DataSourceReader):
+    def __init__(self, options):
+        self.paths = [p.strip() for p in options["path"].split(",")]
+        self.split_bytes = int(options.get("splitBytes", SPLIT_BYTES))
+        self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
+        self.max_packet = int(options["maxPacketSize"]) if options.get("maxPacketSize") else None
+        self.index = options.get("index")
+
+    def partitions(self) -> list[CapturePartition]:
+        if self.index:
+            import pyarrow.dataset as ds
+            system, path = _file_system(self.index)
+            return [CapturePartition([tuple(r.values())]) for r in ds.dataset(path, filesystem=system, format="parquet").to_table(columns=_SPLITS.names).to_pylist()]
+        out, together, held = [], [], 0
+        for name, size in list_captures(self.paths):
+            if size > self.split_bytes:
+                try:
+                    out += [CapturePartition([split]) for split in _splits_of(name, self.split_bytes)]
+                except CaptureError as error:
+                    if not self.permissive:
+                        raise CaptureError(f"{name}: {error}") from error
+                continue
+            if together and held + size > self.split_bytes:
+                out.append(CapturePartition(together))
+                together, held = [], 0
+            together.append((name, -1, None, 0, None))
+            held += size
+        return [*out, CapturePartition(together)] if together else out
+
+    def read(self, partition: CapturePartition) -> Iterator[pa.RecordBatch]:
+        for name, start, stop, frame, context in partition.splits:
+            with _Buffered(name) as stream:
+                try:
+                    walker = _Walker(stream, context, self.max_packet)
+                except CaptureError as error:
+                    if not self.permissive:
+                        raise CaptureError(f"{name}: {error}") from error
+                    continue
+                if start >= 0:
+                    stream.seek(start)
+                yield from _packets_of(stream, walker, name, frame, stop)
+
+
+class CaptureSource(DataSource):
+    """``spark.read.format("capture")``: packets of pcap and pcapng files.
+
+    Options: ``path`` (files, folders, globs, comma-separated), ``splitBytes``, ``mode`` (FAILFAST or PERMISSIVE), ``maxPacketSize``, ``index`` (Parquet of
+    :func:`index_captures`, so that planning does not walk long files).
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "capture"
+
+    def schema(self) -> str:
+        return PACKETS
+
+    def reader(self, schema) -> CaptureReader:
+        return CaptureReader(self.options)
+
+
+def register(spark: SparkSession) -> SparkSession:
+    """Make the format ``capture`` known to a session."""
+    spark.dataSource.register(CaptureSource)
+    return spark
+
+
 class _Bytes:
     """A byte string as a seekable stream."""
 
@@ -245,7 +400,20 @@ class _Bytes:
         return len(self.data)
 
 
-def parse_captures(contents: DataFrame, mode: str = "FAILFAST") -> DataFrame:
+def write_captures(contents: DataFrame, folder: str, suffix: str = ".pcap") -> None:
+    """Write rows ``(capture, content)`` as files of a folder that the executors reach, each by the task that has it."""
+    def run(batches):
+        system, base = _file_system(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with system.open_output_stream(f"{base}/{name}{suffix}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["capture"])
+    contents.select("capture", "content").mapInArrow(run, "capture string").write.format("noop").mode("overwrite").save()
+
+
+def parse_captures(contents: DataFrame, mode: str = "FAILFAST", max_packet_size: int | None = None) -> DataFrame:
     """Packets of small captures held in rows ``(capture, content)``, e.g. uploads kept in a table."""
     permissive = mode.upper() == "PERMISSIVE"
 
@@ -254,7 +422,7 @@ def parse_captures(contents: DataFrame, mode: str = "FAILFAST") -> DataFrame:
             for capture, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 stream = _Bytes(content)
                 try:
-                    yield from _packets_of(stream, _Walker(stream), capture, 0, None)
+                    yield from _packets_of(stream, _Walker(stream, None, max_packet_size), capture, 0, None)
                 except CaptureError:
                     if not permissive:
                         raise

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtrace.functions.scalar import safe_cell
-from fieldtrace.operators.history import retained, upsert_ioc
+from fieldtrace.operators.history import gone_sessions, upsert_ioc
 from fieldtrace.operators.ioc import csv_rows
+from fieldtrace.session import stage
 
 _ALERTS = "array<struct<anomaly_type:string,severity:string,ts_us:bigint,src_ip:string,dst_ip:string,protocol:string,confidence:double,evidence:string>>"
 _IOCS = "array<struct<ioc_type:string,value:string,severity:string,first_us:bigint,last_us:bigint,occurrences:bigint>>"
@@ -55,14 +58,41 @@ def append(df: DataFrame, folder: str, session_id: str | None = None) -> None:
     rows.write.mode("append").partitionBy("session_id").parquet(folder)
 
 
-def merge_iocs(spark: SparkSession, incoming: DataFrame, folder: str, out: str) -> None:
-    """Write the union of stored and new sightings, one row per session, type and value."""
-    upsert_ioc(spark.read.parquet(folder).select(*incoming.columns), incoming).write.mode("overwrite").partitionBy("session_id").parquet(out)
+def _replace_sessions(rows: DataFrame, folder: str) -> None:
+    """Overwrite the partitions of the sessions in ``rows`` and no others; the rows are whole before anything is replaced."""
+    stage(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(folder)
+
+
+def _stored(spark: SparkSession, folder: str, like: DataFrame) -> DataFrame:
+    """A stored table; the session id of its folder names keeps the type it has in ``like``."""
+    found = spark.read.option("recursiveFileLookup", "false").parquet(folder)
+    return found.withColumn("session_id", F.col("session_id").cast(like.schema["session_id"].dataType))
+
+
+def merge_iocs(spark: SparkSession, incoming: DataFrame, folder: str) -> None:
+    """Merge new sightings into a stored table, one row per session, type and value; only the sessions they name are read and rewritten."""
+    touched = _stored(spark, folder, incoming).join(incoming.select("session_id").distinct(), "session_id", "left_semi")
+    _replace_sessions(upsert_ioc(touched.select(*incoming.columns), incoming), folder)
+
+
+def session_folders(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Session id -> partition folder of a stored table."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path) if s.isDirectory()]
+    return {unquote(n.split("=", 1)[1]): f"{folder.rstrip('/')}/{n}" for n in names if n.startswith("session_id=")}
 
 
-def drop_sessions(spark: SparkSession, sessions: DataFrame, folder: str, out: str, **which) -> None:
-    """Rewrite a stored table without the sessions that go."""
-    retained(spark.read.parquet(folder), sessions, **which).write.mode("overwrite").partitionBy("session_id").parquet(out)
+def drop_sessions(spark: SparkSession, sessions: DataFrame, folder: str, **which) -> int:
+    """Delete the folders of the sessions that go (see :func:`fieldtrace.operators.history.gone_sessions`); the others are not touched."""
+    there, dropped = session_folders(spark, folder), 0
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for row in gone_sessions(sessions, **which).toLocalIterator():
+        if row["session_id"] in there:
+            path = hadoop.Path(there[row["session_id"]])
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            dropped += 1
+    return dropped
 
 
 def session_documents(sessions: DataFrame, alerts: DataFrame, iocs: DataFrame) -> DataFrame:

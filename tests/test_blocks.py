@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fieldtrace.operators import alerts, anchored, sliced
 from fieldtrace.operators import ot, it, behavior, rules
@@ -83,8 +84,41 @@ def test_tripped(rows):
 def test_median(rows):
     import statistics
     df, by = rows
-    got = {r["key"]: r["median"] for r in sliced.median_by(df, ["key"], "ts_us", buckets=16).collect()}
-    assert got == {k: statistics.median(x[1] for x in v) for k, v in by.items()}
+    want = {k: statistics.median(x[1] for x in v) for k, v in by.items()}
+    for small in (100_000, 9):
+        assert {r["key"]: r["median"] for r in sliced.median_by(df, ["key"], "ts_us", small=small, cuts=3).collect()} == want
+
+
+def test_median_with_far_outliers(spark, monkeypatch):
+    """Far values do not crowd the others into one part: no window sorts more than ``small`` rows."""
+    import random
+    import statistics
+    rng = random.Random(2)
+    values = [rng.gauss(0, 1) for _ in range(6001)] + [1e12, -1e15, 3e18]
+    df = spark.createDataFrame([("hot", v) for v in values] + [("even", float(v)) for v in (4, 1, 1, 9)], "key string, v double").repartition(4)
+    staged, real = [], sliced.stage
+    monkeypatch.setattr(sliced, "stage", lambda x: staged.append(real(x)) or staged[-1])
+    got = {r["key"]: r["median"] for r in sliced.median_by(df, ["key"], "v", small=200, cuts=4).collect()}
+    assert got == {"hot": statistics.median(values), "even": 2.5}
+    assert staged[-1].groupBy("key").count().agg(F.max("count")).first()[0] <= 200
+    widest = staged[1].where("key = 'hot'").groupBy("_part").count().agg(F.max("count"), F.count("_part")).first()
+    assert widest[0] <= 2.5 * 6004 / 16 and widest[1] >= 15
+
+
+def test_chain_alerts_meet_their_slice_only(spark):
+    """A source with 1,000 chains: rows grow with the alerts, and the result is that of plain comparison."""
+    from fieldtrace.operators import chains as chain_ops
+    chains = [(f"C{i}", i * 4 * sliced.HOUR, i * 4 * sliced.HOUR + sliced.HOUR, "a", ["t1", f"u{i % 3}"]) for i in range(1000)]
+    alerts_ = [(i * sliced.HOUR // 2 + 7, i, "X", "LOW", "a" if i % 2 else f"u{i % 3}", "t1" if i % 5 == 0 else f"u{i % 4}") for i in range(8200)]
+    c = spark.createDataFrame(chains, "chain_id string, start_us long, end_us long, source_ip string, target_ips array<string>")
+    a = spark.createDataFrame(alerts_, "ts_us long, seq long, anomaly_type string, severity string, src_ip string, dst_ip string")
+    got = chain_ops.chain_alerts(c, a)
+    want = {(cid, seq) for cid, s, e, src, aims in chains for k in range(max(0, int(2 * s // sliced.HOUR) - 1), min(8200, int(2 * e // sliced.HOUR) + 2))
+            for ts, seq, _, _, x, y in [alerts_[k]] if s <= ts <= e + 60_000_000 and (x == src or y in aims)}
+    assert sorted(map(tuple, got.select("chain_id", "seq").collect())) == sorted(want)
+    span = F.sequence(sliced.slice_of(F.col("start_us"), sliced.HOUR), sliced.slice_of(F.col("end_us") + 60_000_000, sliced.HOUR))
+    met = a.withColumn("_slice", sliced.slice_of(F.col("ts_us"), sliced.HOUR)).join(c.withColumn("_slice", F.explode(span)).withColumnRenamed("source_ip", "src_ip"), ["src_ip", "_slice"])
+    assert met.count() <= 2 * len(alerts_)
 
 
 def test_risk_fold(spark):
