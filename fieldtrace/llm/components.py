@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,17 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "label")
         if after.where(F.col("old") != F.col("label")).isEmpty():
             return labels
+
+
+def fold(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (places of roots, each root its own) after the links ``a[i] - b[i]``: the larger root hangs on the smaller, then paths are cut short."""
+    label = label.copy()
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (shorter := label[label]).tobytes() != label.tobytes():
+            label = shorter

@@ -5,9 +5,10 @@ n - ceil(t n) + 1 of each side in any fixed order; here rare shingles come first
 ``sketch``), and unique ones need not be sent at all. Nodes that share such a shingle, directly or through others, form a
 candidate group: stars around the smallest node of each shingle's list, not pairs. Groups are cut into blocks of bounded
 size; the product of two blocks accumulates the overlap of all their nodes over all their shingles in one matrix, and pairs
-below the bound given by their sizes fall away. A block returns a spanning forest of its links, never the pairs. Blocks meet
-others of their group only for nodes that the first round left outside the group's largest component, so a
-group of thousands of near copies costs few products. All links between different texts count, and none is sampled.
+below the bound given by their sizes fall away. A product returns one link for two parts that it joins, never the pairs. In a group of
+several blocks, the largest part of the first round, which lies in one block, then visits all others; only the nodes left outside the largest part after that
+visit further blocks, those with which they share a shingle of the prefix. So a group of thousands of near copies costs a few products
+per block, and links stay below the number of nodes. All links between different texts count, and none is sampled.
 Shingle hashes have 64 bits.
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer than ``k`` words are one shingle; a null id
@@ -25,7 +26,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from fieldtrace.llm import sketch
 from fieldtrace.llm.common import join_small, query, row_key, stage
-from fieldtrace.llm.components import components
+from fieldtrace.llm.components import components, fold
 from fieldtrace.llm.words import U64, all_hashes, chunks, inside, mix, windows
 from fieldtrace.session import configure
 
@@ -33,7 +34,7 @@ K, NUM, DEN = 5, 4, 5
 #: Counts from which a shingle is repeated, frequent.
 LEVELS = (2, 16)
 #: Shingles and nodes of one block, about.
-BLOCK_SHINGLES, BLOCK_NODES, COLUMNS = 1 << 17, 768, 4096
+BLOCK_SHINGLES, BLOCK_NODES, COLUMNS = 1 << 16, 256, 4096
 
 
 def shingle_sets(texts: list[bytes | None], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,46 +135,49 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest (root, node) of a symmetric matrix of links."""
-    free, edges = np.ones(len(linked), bool), []
-    for root in range(len(linked)):
-        if not free[root]:
-            continue
-        free[root] = False
-        front = [root]
-        while front:
-            found = np.flatnonzero(linked[front].any(axis=0) & free)
-            free[found] = False
-            edges += [(root, int(j)) for j in found]
-            front = found.tolist()
-    return edges
-
-
 def _links(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Links found by one product: of a block with itself (all rows of one side), or of two blocks (sides 0 and 1),
-    where two nodes of the core need not be compared."""
-    first = np.unique(np.asarray(table.column("key")), return_index=True)[1]
-    table = table.take(pa.array(first))
-    key, side, core = (np.asarray(table.column(c)) for c in ("key", "side", "core"))
+    """Links found by one product: of a block with itself, or of its nodes with visitors. Nodes of one part need no
+    comparison, and of the links between two parts one is returned."""
+    key, part, visits = (np.asarray(table.column(c)) for c in ("key", "part", "visits"))
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
     sizes = np.array([len(x) for x in sets], np.int64)
-    linked = np.zeros((len(key), len(key)), bool)
-    two = side.min() != side.max()
-    for a, b in ([((side == 0) & ~core, side == 1), ((side == 0) & core, (side == 1) & ~core)] if two else [(side == side[0], side == side[0])]):
-        a, b = np.flatnonzero(a), np.flatnonzero(b)
-        if len(a) and len(b):
-            both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
-            hit = both * (num + den) >= num * (sizes[a][:, None] + sizes[b][None, :])
-            linked[np.ix_(a, b)] |= hit
-            linked[np.ix_(b, a)] |= hit.T
-    np.fill_diagonal(linked, False)
-    edges = np.array(_forest(linked), np.int64).reshape(-1, 2)
-    return pa.table({"a": pa.array(key[edges[:, 0]]), "b": pa.array(key[edges[:, 1]])})
+    _, first, label = np.unique(part, return_index=True, return_inverse=True)
+    a = np.flatnonzero(~visits)
+    b = np.flatnonzero(visits) if visits.any() else a
+    edges = np.zeros((0, 2), np.int64)
+    if len(a) and len(b):
+        both = _overlaps([sets[i] for i in a], [sets[i] for i in b])
+        i, j = np.nonzero(both * (num + den) >= num * (sizes[a][:, None] + sizes[b][None, :]))
+        own = np.arange(len(first))
+        joined = fold(own, label[a[i]], label[b[j]])
+        moved = np.flatnonzero(joined != own)
+        edges = np.stack([key[first[joined[moved]]], key[first[moved]]], axis=1)
+    return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
+
+
+def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``nodes`` with the part that the links so far put them in."""
+    label = components(links).withColumnsRenamed({"node": "key", "label": "_part"})
+    return nodes.drop("part").join(label, "key", "left").withColumn("part", F.coalesce("_part", "key")).drop("_part")
+
+
+def _cores(nodes: DataFrame) -> DataFrame:
+    """The largest part of each group."""
+    return nodes.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("core"))
+
+
+def _products(nodes: DataFrame, visitors: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of visitors (``to``: the block they visit) with the nodes of that block, so many visitors at a time as a block has nodes."""
+    crowd = visitors.groupBy("group", "to").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("turns")).withColumnRenamed("to", "block")
+    hosts = nodes.join(crowd, ["group", "block"]).select("group", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "key", "part", "shingles", F.lit(False).alias("visits"))
+    guests = (visitors.withColumnRenamed("to", "block").join(crowd, ["group", "block"])
+              .select("group", "block", F.pmod(F.xxhash64("key", F.lit(3)), "turns").cast("int").alias("turn"), "key", "part", "shingles", F.lit(True).alias("visits")))
+    return hosts.unionByName(guests).groupBy("group", "block", "turn").applyInArrow(lambda t: _links(t, num, den), "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(id, rk, n, key, component): per row of ``docs`` the size and key of its set and the smallest id reachable by links."""
+    """(id, rk, n, key, component, first): per row of ``docs`` the size and key of its set, the smallest id reachable by links, and the key
+    of the row that stands for its component."""
     spark = configure(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     texts = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
@@ -195,34 +199,43 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     nodes = stage(sets.join(one.join(blocks, "group").select("key", "group", "blocks"), "key")
                   .withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")), "nodes")
 
-    product = lambda t: _links(t, num, den)
-    alone = nodes.select("group", "block", "key", "shingles", F.lit(0).alias("side"), F.lit(False).alias("core"))
-    links = stage(alone.groupBy("group", "block").applyInArrow(lambda t: product(t), "a long, b long"), "links")
+    alone = nodes.select("group", "block", "key", F.col("key").alias("part"), "shingles", F.lit(False).alias("visits"))
+    links = stage(alone.groupBy("group", "block").applyInArrow(lambda t: _links(t, num, den), "a long, b long"), "links")
     wide = nodes.where("blocks > 1")
     if not wide.isEmpty():
-        label = components(links)
-        wide = wide.join(label.withColumnsRenamed({"node": "key", "label": "part"}), "key", "left").withColumn("part", F.coalesce("part", "key"))
-        core = (wide.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("group")
-                .agg(F.max_by("part", F.struct("n", "part")).alias("core")))
-        pairs = (wide.join(core, "group").withColumn("core", F.col("part") == F.col("core"))
-                 .withColumn("other", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)")))
-                 .select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "shingles",
-                         (F.col("block") > F.col("other")).cast("int").alias("side"), "core"))
-        links = links.unionByName(stage(pairs.groupBy("group", "i", "j").applyInArrow(lambda t: product(t), "a long, b long"), "links"))
+        # the largest part lies in one block; it visits all others of its group
+        placed = stage(_parts(wide, links), "parts")
+        core = placed.join(_cores(placed), "group").where(F.col("part") == F.col("core"))
+        everywhere = core.withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))).select("group", "to", "key", "part", "shingles")
+        links = stage(links.unionByName(_products(placed, everywhere, num, den)), "links")
+        # nodes still outside the core visit the blocks with which they share a shingle of their prefix
+        placed = stage(_parts(placed, links), "parts")
+        rest = stage(placed.join(_cores(placed), "group").where(F.col("part") != F.col("core")).select("group", "block", "key", "part", "shingles"), "rest")
+        if not rest.isEmpty():
+            asked = entries.join(rest.select("group", F.col("block").alias("own"), "key"), "key")
+            there = entries.join(lists.select("shingle"), "shingle", "left_semi").join(placed.select("key", "group", "block"), "key").select("group", "shingle", F.col("block").alias("to")).distinct()
+            visits = asked.join(there, ["group", "shingle"]).where("to <> own").select("group", "key", "to").distinct()
+            guests = stage(rest.drop("block").join(visits, ["group", "key"]), "guests")
+            links = links.unionByName(stage(_products(placed, guests, num, den), "links"))
 
     part = components(links).select(F.col("node").alias("key"), F.col("label").alias("part"))
     placed = rows.join(part, "key", "left").select("id", "rk", "n", "key", F.when(F.col("n") > 0, F.coalesce("part", "key")).alias("part"))
-    least = placed.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
+    least = placed.where("part is not null").groupBy("part").agg(
+        F.min("id").alias("least"), F.min_by("rk", F.struct(F.col("id").isNull(), "id", "rk")).alias("first"))
     return (placed.join(stage(least, "least"), "part", "left")
-            .select("id", "rk", "n", "key", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component")))
+            .select("id", "rk", "n", "key", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component"), "first"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``docs`` without those linked to a smaller id: one document of each component stays (and of equal rows, all)."""
-    found = classes(docs, id_col, text_col, k, num, den)
-    gone = stage(found.where(F.col("component") < F.coalesce(F.col("id"), F.col("component") + 1)).select(F.col("rk").alias("__rk")).distinct(), "gone")
+    """``docs`` with one row of each component: of its smallest id, and of rows equal in id and text any one. Rows without words all stay."""
+    found = stage(classes(docs, id_col, text_col, k, num, den).where("n > 0").select("rk", "first"), "classes")
+    gone = stage(found.where("rk <> first").select(F.col("rk").alias("__rk")).distinct(), "gone")
+    equal = stage(found.where("rk = first").groupBy(F.col("rk").alias("__rk")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__rk"), "equal")
     keyed = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col)))
-    return join_small(keyed, gone, "__rk", "left_anti").drop("__rk")
+    left = join_small(keyed, gone, "__rk", "left_anti")
+    if equal.isEmpty():
+        return left.drop("__rk")
+    return (join_small(left, equal, "__rk", "left_anti").unionByName(join_small(left, equal, "__rk", "left_semi").dropDuplicates(["__rk"]))).drop("__rk")
 
 
 SQL = r"""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtrace.llm.common import join_small, query, stage
-from fieldtrace.llm.components import components
+from fieldtrace.llm.components import components, fold
 from fieldtrace.session import configure, width
 
 U64 = np.uint64
@@ -176,21 +176,6 @@ def joined(points: np.ndarray, queries: np.ndarray, reach: int = REACH) -> tuple
     p, q = points[p_order], queries[q_order]
     p_node, q_node = np.searchsorted(nodes, p.view(np.int64)), np.searchsorted(nodes, q.view(np.int64))
 
-    def fold(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal label
-        while True:  # hook the larger root on the smaller, then shorten the paths
-            x, y = label[a], label[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                shorter = label[label]
-                if (shorter == label).all():
-                    break
-                label = shorter
-
     for cell, a, b in zip(q_cells.T, q_from, q_to):
         near = np.flatnonzero((np.abs(p_cells - cell[:, None]) <= reach).all(axis=0))
         if not len(near):
@@ -199,7 +184,7 @@ def joined(points: np.ndarray, queries: np.ndarray, reach: int = REACH) -> tuple
         step = max(1, PAIRS // len(rows))
         for i in range(a, b, step):
             hit_q, hit_p = np.nonzero(distances(q[i:min(b, i + step), None], p[None, rows]) <= reach)
-            fold(q_node[i + hit_q], p_node[rows[hit_p]])
+            label = fold(label, q_node[i + hit_q], p_node[rows[hit_p]])
     moved = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[moved], nodes[label[moved]]
 

@@ -103,6 +103,31 @@ def test_ngram_join_in_small_blocks(docs, monkeypatch):
     same(map(tuple, ngram_join.classes(docs).select("id", "n", "component").collect()), joined(made()))
 
 
+def test_one_of_each_with_repeated_rows(docs):
+    rows = made()
+    least = {}
+    for (i, t, *_), (_, n, c) in zip(rows, joined(rows)):
+        least.setdefault((c, n) if n and c is not None else (i, t, n), []).append(i)
+    kept = ngram_join.one_of_each(docs).select("doc_id", "text").collect()
+    texts = Counter(tuple(shingles(r["text"])) and frozenset(shingles(r["text"])) for r in kept if r["text"] and r["text"].strip())
+    assert max(texts.values()) == 1                                        # no two rows of one set, null ids and repeated rows included
+    wordless = [r for r in rows if not shingles(r[1])]
+    assert sum(not shingles(r["text"]) for r in kept) == len(wordless)
+
+
+def test_links_grow_with_the_group(spark, monkeypatch):
+    """Near copies by the dozen: links handed on stay below three per text, however large the group."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 8)
+    handed, real = [], ngram_join.components
+    monkeypatch.setattr(ngram_join, "components", lambda e: handed.append(e.count()) or real(e))
+    base = [f"w{i}" for i in range(300)]
+    for n in (64, 128):
+        handed.clear()
+        rows = [(k, " ".join(w if j != 2 * k + 1 else f"edit{k}" for j, w in enumerate(base))) for k in range(n)]
+        found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("component").distinct().collect()
+        assert [r[0] for r in found] == [0] and max(handed[1:]) <= 3 * n
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     assert Counter(r["label"] for r in components.components(edges).collect()) == {0: 41, 100: 2}
