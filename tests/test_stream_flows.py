@@ -15,17 +15,15 @@ S = 1_000_000
 SEGMENT = "capture string, src_ip string, dst_ip string, src_port int, dst_port int, tcp_flags int, tcp_seq long, ts_us long, seq long, payload binary"
 
 
-def drain(spark, build, batches, schema, tmp_path, name, delay="1 second", listener=None):
-    """One micro-batch for each list of rows."""
+def drain(spark, build, batches, schema, tmp_path, name, delay="1 second"):
+    """One micro-batch for each list of rows, the query started anew for each."""
     folder = str(tmp_path / name)
-    rows = twins.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), delay)
-    query = None
-    for k, batch in enumerate(batches):
+    for batch in batches:
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
-        query = (build(rows).writeStream.format("memory" if k == len(batches) - 1 else "noop").queryName(name).outputMode("append")
-                 .option("checkpointLocation", str(tmp_path / (name + "-state"))))
-        query = query.foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / (name + "-out")))).trigger(availableNow=True).start()
-        query.awaitTermination(180)
+        rows = twins.with_event_time(spark.readStream.schema(schema).parquet(folder), delay)
+        query = (build(rows).writeStream.queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / (name + "-state")))
+                 .foreachBatch(lambda df, _: df.write.mode("append").parquet(str(tmp_path / (name + "-out")))).trigger(availableNow=True).start())
+        assert query.awaitTermination(100)
         yield query
 
 
@@ -34,7 +32,7 @@ def result(spark, tmp_path, name):
 
 
 def seg(ts, seq, at, payload, flags=24, capture="c", src="10.0.0.1", port=80):
-    return (capture, src, "10.0.0.2", 40000, port, flags, at % 2 ** 32, int(ts * S), seq, payload)
+    return (capture, src, "10.0.0.2", 40000, port, flags, at % 2 ** 32, int((ts + 1000) * S), seq, payload)  # no time is as early as the first watermark
 
 
 def split(rows, n):
