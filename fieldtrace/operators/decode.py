@@ -105,8 +105,8 @@ def decode_modbus(pdus: DataFrame) -> DataFrame:
             .otherwise(_of(dims.MODBUS_FUNCTIONS, fc, 2, F.lit("MEDIUM"))))
     none = F.array().cast("array<string>")
     scan = F.col("_error") & (u8(P, 8) == 1)
-    mitre = F.when(scan, F.array(F.lit("T0841"), F.lit("T0808"))).when(F.col("_error"), dims.techniques(_of(dims.MODBUS_FUNCTIONS, fc, 3, F.lit("")))).when(
-        F.col("_reply"), none).otherwise(dims.techniques(_of(dims.MODBUS_FUNCTIONS, fc, 3, F.lit(""))))
+    mitre = F.when(scan, F.array(F.lit("T0841"), F.lit("T0808"))).when(F.col("_error"), dims.techniques(dims.MODBUS_FUNCTIONS, fc)).when(
+        F.col("_reply"), none).otherwise(dims.techniques(dims.MODBUS_FUNCTIONS, fc))
     mitre = _add(mitre, too_many & (fc == 15), "T0806")
     mitre = _add(mitre, asked & fc.isin(65, 66, 90), "T0816", "T0815")
     mitre = _add(mitre, broadcast & op_type.isin("WRITE", "CONTROL"), "T0806")
@@ -143,7 +143,7 @@ def decode_s7comm(pdus: DataFrame) -> DataFrame:
                   ).otherwise(_of(dims.S7_FUNCTIONS, fc, 0, _unknown(fc)))
     op_type = F.when(reply, "RESPONSE").when(wide, "READ").otherwise(_of(dims.S7_FUNCTIONS, fc, 1, F.lit("UNKNOWN")))
     risk = (F.when(reply, "LOW").when(wide & grp.isin(1, 5), "MEDIUM").when(wide, "LOW").otherwise(_of(dims.S7_FUNCTIONS, fc, 2, F.lit("MEDIUM"))))
-    mitre = dims.techniques(F.when(wide, F.lit("")).otherwise(_of(dims.S7_FUNCTIONS, fc, 3, F.lit(""))))
+    mitre = F.when(wide, dims.strings()).otherwise(dims.techniques(dims.S7_FUNCTIONS, fc))
     kinds = {1: "Job", 2: "Ack", 3: "AckData", 7: "Userdata"}
     op = (F.when(reply, "RESPONSE").when(wide, "STATUS").when(fc == 4, "READ").when(fc == 5, "WRITE").when(fc.isin(0x1A, 0x1B, 0x1C), "PROGRAM_DOWNLOAD")
           .when(fc.isin(0x1D, 0x1E, 0x1F), "PROGRAM_UPLOAD").when(fc == 0x28, "PLC_START").when(fc == 0x29, "PLC_STOP").when(fc == 0xF0, "SESSION_START").otherwise("OTHER"))
@@ -164,7 +164,7 @@ def decode_dnp3(pdus: DataFrame) -> DataFrame:
           .when(fc.isin(0x0D, 0x0E), "RESTART").when(fc == 0x12, "PLC_STOP").when(fc == 0x11, "PLC_START").when(fc == 0x13, "CONFIG_WRITE")
           .when(fc == 0x15, "UNSOLICITED_DISABLE").when(fc.isin(0x81, 0x82), "RESPONSE").otherwise("OTHER"))
     return _event(rows, "DNP3", fc, _of(dims.DNP3_FUNCTIONS, fc, 0, _unknown(fc)), _of(dims.DNP3_FUNCTIONS, fc, 1, F.lit("UNKNOWN")),
-                  _of(dims.DNP3_FUNCTIONS, fc, 2, F.lit("MEDIUM")), mitre=dims.techniques(_of(dims.DNP3_FUNCTIONS, fc, 3, F.lit(""))),
+                  _of(dims.DNP3_FUNCTIONS, fc, 2, F.lit("MEDIUM")), mitre=dims.techniques(dims.DNP3_FUNCTIONS, fc),
                   notes=F.concat(F.lit("DNP3Dst="), u16le(P, 4).cast("string"), F.lit(", DNP3Src="), u16le(P, 6).cast("string"), F.lit(", Ctrl=0x"), _hex(u8(P, 3), 2)),
                   entropy_from=10, change_at=12, detail=details(op, station=F.concat(F.lit("station "), u16le(P, 4).cast("string")),
                                                                 is_request=bits(u8(P, 3), 0x80) != 0))
@@ -202,8 +202,8 @@ def decode_enip(pdus: DataFrame) -> DataFrame:
     asked = svc.isNotNull() & ~reply
     op_type = F.when(reply, "RESPONSE").when(asked, _of(dims.CIP_SERVICES, svc, 1, F.lit("UNKNOWN"))).otherwise(_of(dims.ENIP_COMMANDS, cmd, 1, F.lit("UNKNOWN")))
     risk = F.when(reply, "LOW").when(asked, _of(dims.CIP_SERVICES, svc, 2, F.lit("MEDIUM"))).otherwise(_of(dims.ENIP_COMMANDS, cmd, 2, F.lit("MEDIUM")))
-    mitre = F.concat(dims.techniques(_of(dims.ENIP_COMMANDS, cmd, 3, F.lit(""))),
-                     dims.techniques(F.when(asked, _of(dims.CIP_SERVICES, svc, 3, F.lit(""))).otherwise(F.lit(""))))
+    mitre = F.concat(dims.techniques(dims.ENIP_COMMANDS, cmd),
+                     F.when(asked, dims.techniques(dims.CIP_SERVICES, svc)).otherwise(dims.strings()))
     op = (F.when(reply, "RESPONSE").when(svc.isin(0x4D, 0x4F, 0x52, 0x10, 0x02, 0x04), "WRITE").when(svc.isin(0x4C, 0x4E, 0x01, 0x03, 0x0E), "READ")
           .when(svc == 0x05, "RESTART").when(svc == 0x06, "PLC_START").when(svc == 0x07, "PLC_STOP").when(cmd.isin(1, 4, 0x63), "IDENTIFY")
           .when(cmd == 0x65, "SESSION_START").when(cmd == 0x66, "SESSION_STOP").otherwise("OTHER"))
@@ -283,7 +283,8 @@ def decode_bacnet(pdus: DataFrame) -> DataFrame:
     op = (F.when(c & svc.isin(15, 16), "WRITE").when(c & svc.isin(12, 13, 14), "READ").when(c & (svc == 20), "RESTART").when(c & (svc == 7), "FILE_WRITE").when(
         c & (svc == 6), "FILE_READ").when((kind == "U") & svc.isin(0, 7, 8), "IDENTIFY").when((kind == "U") & svc.isin(6, 9), "CLOCK_SET").otherwise("OTHER"))
     return _event(rows, "BACNET", F.when(choice != 0, choice).otherwise(b), name, pick(1, "UNKNOWN", "UNKNOWN", "UNKNOWN"), pick(2, "MEDIUM", "MEDIUM", "LOW"),
-                  mitre=dims.techniques(pick(3, "", "", "")), score=score, entropy_from=4, change_at=4,
+                  mitre=F.when(kind == "C", dims.techniques(dims.BACNET_CONFIRMED, svc)).when(kind == "U", dims.techniques(dims.BACNET_UNCONFIRMED, svc))
+                  .otherwise(dims.techniques(dims.BVLC_FUNCTIONS, b)), score=score, entropy_from=4, change_at=4,
                   notes=F.concat(F.lit("BVLC=0x"), _hex(b, 2), F.lit(", APDU_Type="), F.coalesce(apdu, F.lit(0)).cast("string"), F.lit(", Service="), choice.cast("string")),
                   detail=details(op, is_request=kind != "B"))
 
@@ -329,7 +330,7 @@ def decode_mqtt(pdus: DataFrame) -> DataFrame:
     topic_risk = F.coalesce(*[F.when(low.contains(p), F.lit(r)) for p, r in dims.MQTT_TOPICS])
     wide = F.exists("_subs", lambda x: (x == "#") | (x == "+") | x.startswith("$"))
     risk = F.when(F.col("_open"), "HIGH").when(topic_risk.isNotNull(), topic_risk).when(wide, "HIGH").otherwise(_of(dims.MQTT_TYPES, t, 2, F.lit("MEDIUM")))
-    mitre = dims.techniques(_of(dims.MQTT_TYPES, t, 3, F.lit("")))
+    mitre = dims.techniques(dims.MQTT_TYPES, t)
     mitre = _add(_add(_add(mitre, F.col("_open"), "T0812"), topic_risk.isNotNull(), "T0831", "T0836"), wide, "T0802")
     notes = F.concat_ws(", ", F.concat(F.lit("Flags=0x"), F.hex(bits(u8(P, 0), 15).cast("long"))), F.concat(F.lit("Len="), F.col("_left").cast("string")),
                         F.when(connect, F.concat(F.lit("ClientID="), client, F.lit(", Auth="), F.when(user, "Yes").otherwise("No"))),
@@ -362,7 +363,7 @@ def decode_opcua(pdus: DataFrame) -> DataFrame:
     inside = svc.isNotNull()
     op_type = F.when(inside, _of(dims.OPCUA_SERVICES, svc, 1, F.lit("UNKNOWN"))).otherwise(_of(dims.OPCUA_MESSAGES, m, 1, F.lit("UNKNOWN")))
     risk = F.when(naked, "HIGH").when(inside, _of(dims.OPCUA_SERVICES, svc, 2, F.lit("MEDIUM"))).otherwise(_of(dims.OPCUA_MESSAGES, m, 2, F.lit("MEDIUM")))
-    mitre = F.concat(dims.techniques(_of(dims.OPCUA_MESSAGES, m, 3, F.lit(""))), dims.techniques(F.when(inside, _of(dims.OPCUA_SERVICES, svc, 3, F.lit(""))).otherwise(F.lit(""))))
+    mitre = F.concat(dims.techniques(dims.OPCUA_MESSAGES, m), F.when(inside, dims.techniques(dims.OPCUA_SERVICES, svc)).otherwise(dims.strings()))
     mitre = _add(mitre, naked, "T0812")
     notes = F.concat_ws(", ", F.concat(F.lit("MsgType="), m), F.concat(F.lit("Size="), u32le(P, 4).cast("string")),
                         F.when(endpoint.isNotNull(), F.concat(F.lit("Endpoint="), endpoint)),
@@ -386,7 +387,7 @@ def decode_profinet_dcp(frames: DataFrame) -> DataFrame:
     op = F.when(sid == 4, "CONFIG_WRITE").when(sid.isin(3, 5), "IDENTIFY").otherwise("OTHER")
     risk = _of(dims.DCP_SERVICES, sid, 2, F.lit("MEDIUM"))
     return _event(rows, "PROFINET_DCP", sid, _of(dims.DCP_SERVICES, sid, 0, F.concat(F.lit("DCP Unknown (0x"), _hex(sid, 2), F.lit(")"))),
-                  _of(dims.DCP_SERVICES, sid, 1, F.lit("UNKNOWN")), risk, mitre=dims.techniques(_of(dims.DCP_SERVICES, sid, 3, F.lit(""))),
+                  _of(dims.DCP_SERVICES, sid, 1, F.lit("UNKNOWN")), risk, mitre=dims.techniques(dims.DCP_SERVICES, sid),
                   notes=F.concat(F.lit("ServiceType=0x"), _hex(u8(P, 1), 2)), score=F.when(high, 0.7).otherwise(0.2), entropy_from=0, change_at=2, detail=details(op))
 
 

@@ -234,7 +234,7 @@ def suspicious_port(spark, folder):
 
 
 TACTIC_SQL = "td AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{m}', '{t}', '{x}')" for m, tab in (("ICS", dims.ICS_TACTICS), ("Enterprise", dims.ENTERPRISE_TACTICS)) for t, ids in tab.items() for x in ids.split()) + ") v(matrix, tactic, technique))"
+    f"('{m}', '{t}', '{x}')" for m, tab in (("ICS", dims.ICS_TACTICS), ("Enterprise", dims.ENTERPRISE_TACTICS)) for t, ids in tab.items() for x in ids) + ") v(matrix, tactic, technique))"
 
 
 @query("mitre_matrix", f"""WITH {ad.AL_SQL}, {ad.MITRE_SQL}, {TACTIC_SQL}, c AS (SELECT technique, count(*) AS n FROM al JOIN mt USING (anomaly_type) GROUP BY 1)

@@ -70,12 +70,12 @@ def store_iocs(spark, folder):
     return spark.read.parquet(path).select("session_id", "value", "first_us", "last_us", "occurrences")
 
 
-@query("drop_sessions", f"WITH {ad.AL_SQL} SELECT session_id, seq FROM al WHERE session_id NOT IN (SELECT session_id FROM al GROUP BY 1 HAVING min(k) = 0) AND session_id <> 's5'")
+@query("drop_sessions", f"WITH {ad.AL_SQL} SELECT session_id, seq FROM al WHERE session_id NOT IN (SELECT session_id FROM al GROUP BY 1 HAVING max(seq) % 4 = 0) AND session_id <> 's5'")
 def drop_sessions(spark, folder):
-    """Sessions that hold an alert with k = 0, and one by name, deleted from a stored table."""
+    """A part of the sessions, and one by name, deleted from a stored table."""
     path, rows = scratch(spark, "alerts"), ad.alerts(spark, folder)
     store.append(rows.select("session_id", "seq"), path)
-    sessions = rows.groupBy("session_id").agg(F.min("k").alias("started_us"))
+    sessions = rows.groupBy("session_id").agg((F.max("seq") % 4).alias("started_us"))
     store.drop_sessions(spark, sessions, path, older_than_us=1, ids=["s5"])
     return spark.read.schema("seq long, session_id string").parquet(path).select("session_id", "seq")
 

@@ -225,14 +225,14 @@ def one_line(data):
     return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
 
 
-@query("decode_layers", "SELECT doc_id, sha256(text) AS digest, 'hex,base64' AS layers FROM documents WHERE octet_length(encode(text)) >= 30")
+@query("decode_layers", """WITH b AS (SELECT doc_id, text, base64(encode(text)) AS b64 FROM documents), h AS (SELECT *, hex(encode(b64)) AS hx FROM b)
+SELECT doc_id, sha256(CASE WHEN length(b64) >= 20 THEN text WHEN length(hx) >= 20 THEN b64 ELSE hx END) AS digest,
+ CASE WHEN length(b64) >= 20 THEN 'hex,base64' WHEN length(hx) >= 20 THEN 'hex' ELSE '' END AS layers FROM h""")
 def decode_layers_query(spark, folder):
-    raw = F.encode("text", "UTF-8")
-    rows = table(spark, folder, "documents").where(F.octet_length(raw) >= 30)
-    wrapped = F.encode(F.hex(F.encode(one_line(raw), "UTF-8")), "UTF-8")
-    rows = rows.select("doc_id", decode_layers(wrapped).alias("d"))
-    steps = F.slice("d.steps", 1, 2)
-    return rows.select("doc_id", F.sha2("d.data", 256).alias("digest"), F.array_join(F.transform(steps, lambda s: s["encoding"]), ",").alias("layers"))
+    """Every document in base64 and hex; too short ones give no sign of it."""
+    wrapped = F.encode(F.hex(F.encode(one_line(F.encode("text", "UTF-8")), "UTF-8")), "UTF-8")
+    rows = table(spark, folder, "documents").select("doc_id", decode_layers(wrapped).alias("d"))
+    return rows.select("doc_id", F.sha2("d.data", 256).alias("digest"), F.array_join(F.transform("d.steps", lambda s: s["encoding"]), ",").alias("layers"))
 
 
 def turns(spark, folder):

@@ -1,9 +1,9 @@
 """Structured Streaming twins of the stateful operators.
 
 Event time is ``ts_us``. Rows later than the watermark are dropped by the engine, a
-deviation from a sorted capture that the watermark delay bounds. Keyed state holds
-one anchor, one short list of times or one unfinished message, and is evicted by
-event-time timers.
+deviation from a sorted capture that the watermark delay bounds and
+``counters.late_rows`` counts. Keyed state holds one anchor or one short list of times, and is evicted by
+event-time timers. Connections are in ``flows``, sliding counts and expiry in ``counters``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldtrace.operators.pdus import cut
 from fieldtrace.operators.sliced import seconds
 
 
@@ -104,33 +103,6 @@ def threshold_stream(matches: DataFrame, count: int, window_s: float, cooldown_s
     return keyed_fold(matches, list(keys), step, _TIMES, max(window, cooldown))
 
 
-_PDU_STATE = T.StructType([T.StructField("next_seq", T.LongType()), T.StructField("buffer", T.BinaryType()),
-                           T.StructField("last_seq", T.LongType()), T.StructField("last_payload", T.BinaryType())])
-_PDU_OUT = T.StructType([T.StructField("src_ip", T.StringType()), T.StructField("dst_ip", T.StringType()), T.StructField("src_port", T.IntegerType()),
-                         T.StructField("dst_port", T.IntegerType()), T.StructField("protocol", T.StringType()), T.StructField("ts_us", T.LongType()),
-                         T.StructField("seq", T.LongType()), T.StructField("payload", T.BinaryType())])
-
-
-def pdu_stream(segments: DataFrame, idle_s: float = 300.0) -> DataFrame:
-    """Messages of industrial TCP streams; the unfinished message of a direction is its state."""
-    def step(state, row):
-        expected, buffer, last_seq, last_payload = state or (-1, b"", -1, b"")
-        payload, flags, at = row["payload"] or b"", row["tcp_flags"], row["tcp_seq"]
-        if flags & 2:
-            return ((at + 1) % 2 ** 32, b"", last_seq, last_payload), []
-        made = []
-        if payload and not (at == last_seq and payload == last_payload):
-            if buffer and expected >= 0 and at != expected:
-                made, buffer = [buffer], b""
-            messages, buffer = cut(buffer + payload, row["protocol"])
-            made += messages
-            expected, last_seq, last_payload = (at + len(payload)) % 2 ** 32, at, payload
-        if flags & 5:
-            made, buffer, expected, last_seq = [*made, *([buffer] if buffer else [])], b"", -1, -1
-        return (expected, buffer, last_seq, last_payload), [{**row, "payload": m} for m in made]
-    return keyed_fold(segments, ["src_ip", "dst_ip", "src_port", "dst_port"], step, _PDU_STATE, seconds(idle_s), schema=_PDU_OUT)
-
-
 def hourly_bytes_stream(flows: DataFrame, limit: int = 100_000_000) -> DataFrame:
     """Clock hours in which a pair of hosts moved more than ``limit`` bytes."""
     total = flows.groupBy(F.window("event_time", "1 hour"), "src_ip", "dst_ip").agg(F.sum("bytes").alias("hourly_bytes"))
@@ -152,11 +124,3 @@ def chain_stream(alerts: DataFrame, gap_s: float = 1800.0) -> DataFrame:
         F.count(F.lit(1)).alias("total_events"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
         F.array_sort(F.collect_set("phase")).alias("phases"))
     return runs.where((F.col("total_events") >= 2) & (F.size("phases") >= 2)).drop("session_window")
-
-
-def http_idle_stream(segments: DataFrame, idle: str = "300 seconds") -> DataFrame:
-    """Web connections with their extent, closed after five quiet minutes."""
-    flow = ["src_ip", "dst_ip", "src_port", "dst_port"]
-    return segments.groupBy(F.session_window("event_time", idle), *flow).agg(
-        F.count(F.lit(1)).alias("segments"), F.min("ts_us").alias("start_us"), F.max("ts_us").alias("end_us"),
-        F.sum(F.octet_length("payload")).alias("bytes")).drop("session_window")
