@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.functions.scalar import format_duration, utc_text
 from fieldtrace.operators.shaping import severity_name, severity_rank
-from fieldtrace.operators.sliced import HOUR, first_rows, numbered, running, seconds, slice_of
+from fieldtrace.operators.sliced import HOUR, numbered, running, seconds, slice_of
 from fieldtrace.session import stage
 
 # fixed values: phases in order with the words that reveal them; the first match wins
@@ -70,8 +70,9 @@ def event_significance(kind: Column) -> Column:
 
 
 def _phased(alerts: DataFrame) -> DataFrame:
-    return (alerts.where(F.coalesce("src_ip", F.lit("")) != "").withColumn("phase", detect_phase(F.col("anomaly_type")))
-            .where("phase IS NOT NULL"))
+    # exploded and not filtered: a filter on the phase would be pushed below the type and work it out again for every word
+    phase = F.explode(F.array_compact(F.array(detect_phase(F.col("anomaly_type")))))
+    return alerts.where(F.coalesce("src_ip", F.lit("")) != "").withColumn("phase", phase)
 
 
 def attack_chains(alerts: DataFrame, gap_s: float = 1800.0, ot_assets: DataFrame | None = None,
@@ -118,7 +119,9 @@ def attack_chains(alerts: DataFrame, gap_s: float = 1800.0, ot_assets: DataFrame
               .withColumn("escalation", ot_escalation(F.transform("phases", lambda p: p["phase"]), F.col("severity"),
                                                       F.col("has_ot_impact"), F.coalesce("device_bonus", F.lit(0.0)))))
     chains = stage(chains).withColumn("_all", F.lit("")).withColumn("_tie", F.xxhash64("src_ip"))
-    chains = numbered(chains, ["_all"], "_n", ts="start_us", seq="_tie")
+    low, high = chains.agg(F.min("start_us"), F.max("start_us")).first()
+    # all chains are one key: its slices follow their span, or a short capture would be numbered in one task
+    chains = numbered(chains, ["_all"], "_n", ts="start_us", seq="_tie", width=((high - low) // 256 + 1) if low is not None else HOUR)
     chains = chains.withColumn("chain_id", chain_id(F.col("start_us"), F.col("_n") - 1))
     if max_chains is not None:
         chains = chains.where(F.col("_n") <= max_chains)
@@ -148,24 +151,110 @@ def chain_id(start_us: Column, index: Column) -> Column:
                     F.format_string("%03d", index))
 
 
-def chain_alerts(chains: DataFrame, alerts: DataFrame, slack_s: float = 60.0, width: int = HOUR) -> DataFrame:
-    """Alerts belonging to a chain: same source or one of its targets, within its time.
+_ALERT = ["ts_us", "seq", "anomaly_type", "src_ip", "dst_ip"]      # what makes an alert; several may come of one event
 
-    Chains are laid out over the time slices they last, so an alert meets only the chains of its address that
-    live in its slice, however many that address has. Two equi-joins on address and slice, then one row
-    per chain and alert; an event may raise several alerts.
+
+def _lifetimes(chains: DataFrame, slack_s: float) -> DataFrame:
+    return chains.select("chain_id", "start_us", (F.col("end_us") + seconds(slack_s)).alias("_until"), "source_ip",
+                         F.array_distinct(F.array_compact("target_ips")).alias("target_ips")).distinct()
+
+
+def _mean_lifetime(lives: DataFrame) -> int:
+    """Slices this wide lay the chains out over three rows each on average, however long single ones last."""
+    mean = lives.agg(F.avg(F.col("_until") - F.col("start_us"))).first()[0]
+    return max(1, int(mean or HOUR))
+
+
+def chain_alerts(chains: DataFrame, alerts: DataFrame, slack_s: float = 60.0, width: int | None = None) -> DataFrame:
+    """Alerts belonging to a chain (one row per id): same source or one of its targets, within its time.
+
+    Chains are laid out over the time slices they last, by default as wide as a chain lasts on average, so an alert meets only
+    the chains of its address that live around it. Repeated alerts go first, and an alert that a chain has by its source is not
+    taken by its target again, so the pairs, of which there may be many more than alerts, are not sorted or exchanged.
     """
-    until = F.col("end_us") + seconds(slack_s)
-    span = chains.select("chain_id", "start_us", until.alias("_until"), "source_ip", "target_ips",
-                         F.explode(F.sequence(slice_of(F.col("start_us"), width), slice_of(until, width))).alias("_slice"))
-    rows = alerts.select("ts_us", "seq", "anomaly_type", "severity", "src_ip", "dst_ip")
+    lives = _lifetimes(chains, slack_s)
+    if width is None:
+        lives = stage(lives)
+        width = _mean_lifetime(lives)
+    span = lives.withColumn("_slice", F.explode(F.sequence(slice_of(F.col("start_us"), width), slice_of(F.col("_until"), width))))
+    rows = alerts.select("ts_us", "seq", "anomaly_type", "severity", "src_ip", "dst_ip").dropDuplicates(_ALERT)
     placed = rows.withColumn("_slice", slice_of(F.col("ts_us"), width))
     inside = F.col("ts_us").between(F.col("start_us"), F.col("_until"))
     cols = ["chain_id", *rows.columns]
     by_source = placed.join(span.drop("target_ips").withColumnRenamed("source_ip", "src_ip"), ["src_ip", "_slice"]).where(inside)
-    aims = span.select("chain_id", "start_us", "_until", "_slice", F.explode("target_ips").alias("dst_ip"))
-    by_target = placed.join(aims, ["dst_ip", "_slice"]).where(inside)
-    return by_source.select(*cols).unionByName(by_target.select(*cols)).dropDuplicates(["chain_id", "ts_us", "seq", "anomaly_type", "src_ip", "dst_ip"])
+    aims = span.withColumn("dst_ip", F.explode("target_ips")).drop("target_ips")
+    by_target = placed.join(aims, ["dst_ip", "_slice"]).where(inside & ~F.col("src_ip").eqNullSafe(F.col("source_ip")))
+    return by_source.select(*cols).unionByName(by_target.select(*cols))
+
+
+_KEY = ["_side", "_a", "_b"]
+
+
+def _sides(source: Column, target: Column) -> list[Column]:
+    """The addresses under which an alert is found: its source, its target, and both, which the first two count twice."""
+    def side(n, a, b):
+        return F.struct(F.lit(n).alias("_side"), a.alias("_a"), b.alias("_b"))
+    return [side(0, source, F.lit("")), side(1, F.lit(""), target), side(2, source, target)]
+
+
+def _known(key: Column) -> Column:
+    return key["_a"].isNotNull() & key["_b"].isNotNull()
+
+
+def chain_summary(chains: DataFrame, alerts: DataFrame, slack_s: float = 60.0) -> DataFrame:
+    """Per chain id the number of its alerts and enough of their types to classify it, without pairing chains with alerts.
+
+    Alerts and the starts and ends of chains are put in one order per address; between a chain's two marks the running count
+    grows by its alerts there. ``_types`` has for each list of words that stories ask for the chain's last type with such a
+    word. ``_ends`` has per source or target (``_side``, ``_a``, ``_b``) the places of the chain's alerts: after ``lo``, up to ``hi``.
+    """
+    words = [w for _, w in STORY_WORDS] + [KNOWN_WORDS]
+    rows = alerts.where("ts_us IS NOT NULL").select(*_ALERT).dropDuplicates()
+    kind = F.upper("anomaly_type")
+    rows = rows.select("ts_us", "anomaly_type", F.array(*[contains_any(kind, w) for w in words]).alias("_has"),
+                       F.explode(F.filter(F.array(*_sides(F.col("src_ip"), F.col("dst_ip"))), _known)).alias("_k"))
+    rows = rows.select("ts_us", F.lit(1).alias("_mark"), *[F.col(f"_k.{c}").alias(c) for c in _KEY], "anomaly_type", "_has")
+    lives = _lifetimes(chains, slack_s).where("start_us IS NOT NULL AND _until IS NOT NULL")
+    aims = F.flatten(F.transform("target_ips", lambda t: F.array(*_sides(F.col("source_ip"), t)[1:])))
+    keys = F.filter(F.concat(F.array(_sides(F.col("source_ip"), F.lit(""))[0]), F.coalesce(aims, F.array())), _known)
+    marks = lives.select("chain_id", "start_us", "_until", F.explode(keys).alias("_k"))
+    at = F.array(F.struct(F.col("start_us").alias("ts_us"), F.lit(0).alias("_mark")), F.struct(F.col("_until").alias("ts_us"), F.lit(2).alias("_mark")))
+    marks = marks.select("chain_id", "start_us", *[F.col(f"_k.{c}").alias(c) for c in _KEY], F.explode(at).alias("_at")).select(
+        "*", "_at.*").drop("_at")
+    merged = rows.unionByName(marks, allowMissingColumns=True)
+    seen = F.struct("ts_us", "anomaly_type")
+    last = {f"_last{i}": ("last", F.when(F.get("_has", i), seen)) for i in range(len(words))}
+    merged = running(merged, _KEY, {"_place": ("sum", F.when(F.col("_mark") == 1, 1).otherwise(0).cast("long")), **last}, seq="_mark")
+    types = F.transform(F.filter(F.array(*last), lambda x: x["ts_us"] >= F.col("start_us")), lambda x: x["anomaly_type"])
+    ended = F.col("_mark") == 2
+    spans = merged.where("_mark <> 1").groupBy("chain_id", *_KEY).agg(
+        F.max(F.when(~ended, F.col("_place"))).alias("lo"), F.max(F.when(ended, F.col("_place"))).alias("hi"),
+        F.max(F.when(ended, types)).alias("_types"))
+    places = F.when((F.col("_side") < 2) & (F.col("hi") > F.col("lo")), F.struct(*_KEY, "lo", "hi"))
+    return spans.groupBy("chain_id").agg(
+        F.sum(F.when(F.col("_side") == 2, -1).otherwise(1) * (F.col("hi") - F.col("lo"))).cast("int").alias("_count"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("_side") < 2, F.array_compact("_types")))))).alias("_types"),
+        F.collect_list(places).alias("_ends"))
+
+
+def first_alerts(summary: DataFrame, alerts: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` alerts of each chain of :func:`chain_summary`, as ``_e``.
+
+    The alerts of an address lie in blocks of ``k``, so a chain's first ones there lie in two blocks at most.
+    """
+    event = F.struct("ts_us", "seq", "anomaly_type", "severity", "src_ip", "dst_ip")
+    rows = alerts.where("ts_us IS NOT NULL").select("ts_us", "seq", "anomaly_type", "severity", "src_ip", "dst_ip").dropDuplicates(_ALERT)
+    sides = F.filter(F.array(*_sides(F.col("src_ip"), F.col("dst_ip"))[:2]), _known)
+    rows = rows.select(event.alias("_event"), F.explode(sides).alias("_k")).select(
+        "_event", F.col("_event.ts_us").alias("ts_us"), *[F.col(f"_k.{c}").alias(c) for c in _KEY])
+    rows = numbered(rows, _KEY, "_place", seq="_event").withColumn("_block", F.expr(f"(_place - 1) div {k}"))
+    blocks = rows.groupBy(*_KEY, "_block").agg(F.collect_list(F.struct("_place", "_event")).alias("_held"))
+    ends = summary.select("chain_id", F.explode("_ends").alias("_end")).select("chain_id", "_end.*")
+    ends = ends.withColumn("hi", F.least(F.col("hi"), F.col("lo") + k))
+    ends = ends.withColumn("_block", F.explode(F.expr(f"sequence(lo div {k}, (hi - 1) div {k})")))
+    own = F.filter("_held", lambda x: (x["_place"] > F.col("lo")) & (x["_place"] <= F.col("hi")))
+    found = ends.join(blocks, [*_KEY, "_block"]).select("chain_id", F.transform(own, lambda x: x["_event"]).alias("_own"))
+    return found.groupBy("chain_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_own")))), 1, k).alias("_e"))
 
 
 def classify_storyline(types: Column, has_ot: Column, escalation: Column, phases: Column, events: Column) -> Column:
@@ -192,13 +281,11 @@ def velocity(phases: Column, span_us: Column) -> Column:
 
 def storyline_table(chains: DataFrame, alerts: DataFrame, key_events: int = 20) -> DataFrame:
     """A row per chain: kind, risk and pace, judged from all its alerts, and as a sample its first ``key_events`` ones."""
-    every = chain_alerts(chains, alerts)
-    known = every.groupBy("chain_id").agg(F.sort_array(F.collect_set("anomaly_type")).alias("_types"), F.count(F.lit(1)).cast("int").alias("_count"))
-    own = first_rows(every, ["chain_id"], ["ts_us", "seq"], k=key_events)
-    event = F.struct("ts_us", "seq", "anomaly_type", "severity", F.col("src_ip").alias("source"), F.col("dst_ip").alias("target"),
-                     event_significance(F.col("anomaly_type")).alias("significance"))
-    told = own.groupBy("chain_id").agg(F.array_sort(F.collect_list(event)).alias("_e"))
-    rows = chains.join(told, "chain_id", "left").join(known, "chain_id", "left").withColumns(
+    known = stage(chain_summary(chains, alerts))        # the first alerts are looked up by it
+    told = first_alerts(known, alerts, key_events).withColumn("_e", F.transform("_e", lambda e: F.struct(
+        e["ts_us"].alias("ts_us"), e["seq"].alias("seq"), e["anomaly_type"].alias("anomaly_type"), e["severity"].alias("severity"),
+        e["src_ip"].alias("source"), e["dst_ip"].alias("target"), event_significance(e["anomaly_type"]).alias("significance"))))
+    rows = chains.join(known.drop("_ends"), "chain_id", "left").join(told, "chain_id", "left").withColumns(
         {"_types": F.coalesce("_types", F.array().cast("array<string>")), "_count": F.coalesce("_count", F.lit(0))})
     kind = classify_storyline(F.col("_types"), F.col("has_ot_impact"), F.col("escalation"), F.size("phases"), F.col("total_events"))
     titles = F.create_map(*[x for k, v in STORY_TITLES.items() for x in (F.lit(k), F.lit(v))])
@@ -209,7 +296,7 @@ def storyline_table(chains: DataFrame, alerts: DataFrame, key_events: int = 20)
         velocity(F.size("phases"), span).alias("velocity"), format_duration(span).alias("duration"),
         utc_text(F.col("start_us")).alias("started"),
         F.array_join(F.transform("phases", lambda p: p["phase"]), " -> ").alias("timeline"),
-        F.slice("_e", 1, key_events).alias("key_events"), F.col("_count").alias("alerts"))
+        F.col("_e").alias("key_events"), F.col("_count").alias("alerts"))
 
 
 def chain_list(chains: DataFrame, storylines: DataFrame, limit: int = 50) -> DataFrame:

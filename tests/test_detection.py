@@ -7,3 +7,68 @@ def test_all_alerts_of_an_event_belong_to_its_chain(spark):
     alerts = spark.createDataFrame([(1, 1, kind, "LOW", "10.0.0.1", "10.0.0.2") for kind in ("A", "B", "C")] + [(2, 2, "A", "LOW", "10.0.0.1", "10.0.0.9")],
                                    "ts_us long, seq long, anomaly_type string, severity string, src_ip string, dst_ip string")
     assert chains.chain_alerts(chain, alerts).count() == 4
+
+
+def _random_alerts(spark, n=600):
+    import random
+    rng = random.Random(5)
+    kinds = ["IT_PORT_SCAN", "DNS_TUNNEL", "C2_BEACON", "HTTP_WEBSHELL", "MODBUS_WRITE", "ML_ANOMALY", "PHP_EXECUTION"]
+    rows = [(rng.randint(0, 4000) * 500_000, i // 2, rng.choice(kinds), rng.choice(["LOW", "HIGH"]), f"10.0.0.{rng.randint(1, 6)}", rng.choice([None, "10.0.0.1", "10.9.0.1", "10.9.0.2"]))
+            for i in range(n)]
+    rows += rows[:50] + [(None, 9999, "C2_BEACON", "LOW", "10.0.0.1", "10.9.0.1")]
+    schema = "ts_us long, seq long, anomaly_type string, severity string, src_ip string, dst_ip string"
+    return rows, spark.createDataFrame(rows, schema).repartition(3)
+
+
+def _chains(n=60):
+    import random
+    rng = random.Random(6)
+    out = []
+    for i in range(n):
+        start = rng.randint(0, 3800) * 500_000
+        aims = rng.sample(["10.0.0.1", "10.9.0.1", "10.9.0.2", "10.9.0.3"], rng.randint(1, 3))
+        phases = [(0, "RECONNAISSANCE", start, "LOW")] * rng.randint(2, 3)
+        out.append((f"C{i}", start, start + rng.choice([0, 2_000_000, 70_000_000]), f"10.0.0.{rng.randint(1, 7)}", aims, "LOW", 0.5, rng.random(), bool(i % 2), 3, phases))
+    return out, ("chain_id string, start_us long, end_us long, source_ip string, target_ips array<string>, severity string, confidence double, escalation double, "
+                 "has_ot_impact boolean, total_events int, phases array<struct<idx:int,phase:string,ts_us:long,severity:string>>")
+
+
+def _expected(chains, alerts):
+    return {c[0]: {(a[0], a[1], a[2], a[4], a[5]) for a in alerts if a[0] is not None and c[1] <= a[0] <= c[2] + 60_000_000 and (a[4] == c[3] or a[5] in c[4])}
+            for c in chains}
+
+
+def test_alerts_of_chains_are_not_exchanged_as_pairs(spark):
+    from fieldtrace.operators import chains
+    plain, alerts = _random_alerts(spark)
+    rows, schema = _chains()
+    found = chains.chain_alerts(spark.createDataFrame(rows, schema), alerts)
+    want = {(c, *a) for c, own in _expected(rows, plain).items() for a in own}
+    got = [tuple(r) for r in found.select("chain_id", "ts_us", "seq", "anomaly_type", "src_ip", "dst_ip").collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan[:plan.index("Join")]
+
+
+def test_storylines_are_told_without_pairs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldtrace.operators import chains
+    plain, alerts = _random_alerts(spark)
+    rows, schema = _chains()
+    df = spark.createDataFrame(rows, schema)
+    whole = _expected(rows, plain)
+    types = spark.createDataFrame([(c, sorted({a[2] for a in own})) for c, own in whole.items()], "chain_id string, types array<string>")
+    kind = chains.classify_storyline(F.col("types"), F.col("has_ot_impact"), F.col("escalation"), F.size("phases"), F.col("total_events"))
+    kinds = {r[0]: r[1] for r in df.join(types, "chain_id").select("chain_id", kind).collect()}
+    assert len(set(kinds.values())) > 3
+
+    def pairs(*_, **__):
+        raise AssertionError("chains are paired with alerts")
+    monkeypatch.setattr(chains, "chain_alerts", pairs)
+    told = {r["chain_id"]: r for r in chains.storyline_table(df, alerts, key_events=7).collect()}
+    assert {c: r["alerts"] for c, r in told.items()} == {c: len(own) for c, own in whole.items()}
+    assert {c: r["attack_type"] for c, r in told.items()} == kinds
+    for c, r in told.items():
+        first = sorted(whole[c], key=lambda a: (a[0], a[1], a[2]))[:7]
+        assert [(e["ts_us"], e["seq"]) for e in r["key_events"] or []] == [a[:2] for a in first]
