@@ -54,3 +54,17 @@ def test_bomb_in_a_message(spark):
 def test_unfolding_to_itself_ends(monkeypatch):
     monkeypatch.setitem(content._UNDO, "gzip", lambda d, room=0: b"\x1f\x8b" + bytes([3 - d[2]]))
     assert len(content._peel(b"\x1f\x8b\x01", "detect")["steps"]) == 2
+
+
+def test_batches_of_long_payloads_are_small(spark):
+    """A batch is bounded by its bytes, so a worker's memory does not follow the length of the texts."""
+    import pyarrow as pa
+
+    from fieldtrace.session import configure
+    configure(spark)
+
+    @F.arrow_udf("long")
+    def size(x: pa.Array) -> pa.Array:
+        return pa.array([x.nbytes] * len(x), pa.int64())
+    rows = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("t"))
+    assert rows.select(size("t").alias("n")).agg(F.max("n")).first()[0] < 10 << 20
