@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from fieldtrace.operators.shaping import alert
 from fieldtrace.operators.sliced import median_by
+from fieldtrace.session import stage
 
 FEATURES = ["f_score", "f_entropy", "f_size", "f_count", "f_write", "f_control", "f_request", "f_gap", "f_change"]
 SERVER_PORTS = [502, 102, 20000, 44818, 2404, 4840, 1883, 8883, 47808]
@@ -136,7 +137,7 @@ def ml_outlier(events: DataFrame, seed: int = 42) -> DataFrame | None:
     forest = train_forest(events, seed)
     if forest is None:
         return None
-    scored = score_events(events, forest)
+    scored = stage(score_events(events, forest))        # six branches read it: scored once
     overall = scored.agg(F.percentile_approx("ml_score", 0.01, 10000)).first()[0] - 0.05
     hits = robust_group_outlier(scored, "ml_score", GROUP, ceiling=overall).where("time_since_last > 0")
     return alert(hits, "ML_ANOMALY", "LOW", confidence=0.5, mitre=F.col("mitre"),

@@ -72,3 +72,20 @@ def test_storylines_are_told_without_pairs(spark, monkeypatch):
     for c, r in told.items():
         first = sorted(whole[c], key=lambda a: (a[0], a[1], a[2]))[:7]
         assert [(e["ts_us"], e["seq"]) for e in r["key_events"] or []] == [a[:2] for a in first]
+
+
+def test_events_are_scored_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from fieldtrace.operators import ml
+    staged, real = [], ml.stage
+    monkeypatch.setattr(ml, "stage", lambda df: staged.append(real(df)) or staged[-1])
+    rows = spark.range(400).select(
+        F.col("id").alias("ts_us"), F.col("id").alias("seq"), F.lit("a").alias("src_ip"), F.lit("b").alias("dst_ip"), F.lit("MODBUS_TCP").alias("protocol"),
+        F.lit(3).alias("function_code"), F.lit("READ").alias("operation_type"), F.lit(502).alias("dst_port"), F.encode(F.lit("xy"), "UTF-8").alias("raw"),
+        F.when(F.col("id") == 7, 900.0).otherwise(F.col("id") % 5).alias("threat_score"), F.when(F.col("id") == 7, 80.0).otherwise(F.col("id") % 3).alias("payload_entropy"),
+        F.lit(1).alias("data_count"), F.lit(1.0).alias("time_since_last"), F.lit(0.0).alias("payload_change_rate"), F.array(F.lit("T1")).alias("mitre"))
+    found = ml.ml_outlier(rows)
+    assert [r["seq"] for r in found.select("seq").collect()] == [7]
+    assert len(staged) == 1 and "ml_score" in staged[0].columns and staged[0].count() == 400
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
