@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from fieldtrace import catalogue as cat
-from fieldtrace.functions.prefilter import possible, required
+from fieldtrace.functions.prefilter import possible, possible_alternatives, required
 from fieldtrace.operators import web
 
 REQUEST = "seq long, ts_us long, src_ip string, dst_ip string, method string, uri string, body string, headers_raw string, user_agent string, content_type string"
@@ -65,6 +65,16 @@ def test_prefilter_loses_nothing(spark):
     assert [r["p"] for r in found] == [[0, 1], [1], None]
 
 
+def test_only_alternatives_whose_literals_occur_are_run(spark):
+    rows = spark.createDataFrame([("the Location of a net",), ("none",), ("xx cat zz",), (None,)], "t string")
+    found = rows.select(possible_alternatives(F.col("t"), [("(?i)", ["cat\\s", "net|web", "[a-z]+", "zz"]), ("", ["Q"])]).alias("p")).collect()
+    assert [r["p"] for r in found] == [["(?i)(?:cat\\s|net|web)", None], [None, None], ["(?i)(?:cat\\s|zz)", None], None]
+    # a text of common words meets a few of the hundreds of alternatives
+    prose = spark.createDataFrame([("please call the net cafe, its location is on the dashboard of the city",)], "t string")
+    run = prose.select(possible_alternatives(F.col("t"), [("(?i)", p.alternatives) for p in cat.HTTP_CATALOGUE]).alias("p")).first()["p"]
+    assert sum(map(len, filter(None, run))) < sum(len(p.regex) for p in cat.HTTP_CATALOGUE) / 20
+
+
 def test_execution_in_four_languages(spark):
     bodies = ["system($a); exec($b); pcntl_exec($c)", "new ProcessBuilder(x); p.getInputStream()", "ProcessStartInfo i; Process.Start(i)", "import os; os.system(c); subprocess.Popen(c)", "os.system"]
     rows = spark.createDataFrame([request(i, "/x", b) for i, b in enumerate(bodies)] + [request(9, "/a/matamu.php")], REQUEST)
