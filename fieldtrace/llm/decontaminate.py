@@ -55,14 +55,50 @@ def _n_words(tokens: Column) -> Column:
     return F.size(tokens)
 
 
-def _hashes(tokens: Column, length: int, own: Column | None = None) -> Column:
-    """(hash, length, dense, at) of each window of ``length`` tokens; with their values ``own``, of these and of the dense windows only."""
-    at = F.when(F.size(tokens) >= length, F.sequence(F.lit(0), F.size(tokens) - length)).otherwise(F.array().cast("array<int>"))
-    if own is not None:
-        at = F.filter(at, lambda i: 2 * _n_words(F.slice(tokens, i + 1, F.lit(length))) < length)
-    hashed = tokens if own is None else own
-    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(hashed, i + 1, F.lit(length))).alias("hash"), F.lit(length).alias("length"),
-                                              F.lit(own is not None).alias("dense"), i.alias("at")))
+def _is_slot(token: Column) -> Column:
+    return token.isin("0", "1", "2")
+
+
+def _all_windows(tokens: Column, length: int) -> Column:
+    """Where the windows of ``length`` tokens begin."""
+    return F.when(F.size(tokens) >= length, F.sequence(F.lit(0), F.size(tokens) - length)).otherwise(F.array().cast("array<int>"))
+
+
+def _dense_windows(tokens: Column, length: int) -> Column:
+    """Where the dense windows begin: those around each run of so many placeholders, one after the other, as a dense window has at least."""
+    least = length // 2 + 1
+
+    def around(slots: Column) -> Column:
+        def reach(k):
+            first, last = F.get(slots, k), F.get(slots, k + (least - 1))
+            begin, end = F.greatest(last - (length - 1), F.lit(0)), F.least(first, F.size(tokens) - length)
+            return F.when((last - first < length) & (begin <= end), F.sequence(begin, end)).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(slots) >= least, F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(slots) - least), reach)))).otherwise(
+            F.array().cast("array<int>"))
+    places = F.filter(F.transform(tokens, lambda w, i: F.when(_is_slot(w), i)), lambda i: i.isNotNull())
+    return F.when(F.size(tokens) >= length, let(places, around)).otherwise(F.array().cast("array<int>"))
+
+
+def _hashes(tokens: Column, length: int, at: Column, dense: bool = False) -> Column:
+    """(hash, length, dense, at) of the windows of ``length`` tokens that begin at ``at``."""
+    return F.transform(at, lambda i: F.struct(F.xxhash64(F.slice(tokens, i + 1, F.lit(length))).alias("hash"), F.lit(length).alias("length"),
+                                              F.lit(dense).alias("dense"), i.alias("at")))
+
+
+def _found(text: Column, lengths: list[tuple[int, bool]]) -> Column:
+    """The windows of a text, of all the lengths: of templates, and of the own values of dense windows. Few texts have such, so the values are read when needed."""
+    def windows(t: Column) -> Column:
+        plain = [_hashes(t, n, _all_windows(t, n)) for n, dense in lengths if not dense]
+        tight = [n for n, dense in lengths if dense]
+        if not tight:
+            return F.flatten(F.array(*plain))
+
+        def of_values(at: Column) -> Column:
+            none = F.array().cast("array<struct<hash: bigint, length: int, dense: boolean, at: int>>")
+            own = let(values(text), lambda v: F.flatten(F.array(*[_hashes(v, n, F.get(at, i), True) for i, n in enumerate(tight)])))
+            return F.when(F.exists(at, lambda a: F.size(a) > 0), own).otherwise(none)
+        return F.flatten(F.array(*plain, let(F.array(*[_dense_windows(t, n) for n in tight]), of_values)))
+    return let(template(text), windows)
 
 
 def item_windows(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -88,8 +124,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     keyed = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("rk"), F.col(text_col).alias("text"))
     if not lengths:
         return keyed.select("rk", F.lit(None).cast("long").alias("item")).where("false")
-    both = F.struct(template(F.col("text")).alias("t"), (values(F.col("text")) if any(d for _, d in lengths) else F.lit(None).cast("array<string>")).alias("own"))
-    found = let(both, lambda x: F.flatten(F.array(*[_hashes(x["t"], n, x["own"] if dense else None) for n, dense in lengths])))
+    found = _found(F.col("text"), lengths)
     cut = keyed.select("rk", F.inline(found))
     hits = join_small(cut, known, ["hash", "length", "dense"], "inner")
     lines = (hits.groupBy("rk", "item", (F.col("at") - F.col("item_at")).alias("shift"))
@@ -110,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def consistent(line: Column) -> Column:  # dense windows have the item's own values
         places = F.array_distinct(F.flatten(F.transform(line["plain"], lambda a: F.sequence(a, a + line["length"] - 1))))
-        slots = F.filter(places, lambda i: F.get("tokens", i).isin("0", "1", "2"))
+        slots = F.filter(places, lambda i: _is_slot(F.get("tokens", i)))
         bound = F.array_distinct(F.transform(slots, lambda i: F.struct(F.get("item_values", i).alias("item"), F.get("doc_values", i + line["shift"]).alias("doc"))))
         return let(bound, lambda b: F.size(b) == F.size(F.array_distinct(F.transform(b, lambda x: x["item"]))))
 

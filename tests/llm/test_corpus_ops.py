@@ -197,6 +197,15 @@ def test_leaks_of_dense_items(spark):
     assert {r["doc_id"]: r["items"] for r in found.where("contaminated").collect()} == {1: [1], 2: [1], 4: [2]}
 
 
+def test_dense_windows_are_read_off_the_placeholders(spark):
+    rng = random.Random(5)
+    rows = [[rng.choice("012abcd") for _ in range(n)] for n in (0, 1, 4, 7, 8, 9, 30, 60)] + [["0"] * 20, ["a"] * 20, ["0", "1", "2", "a"] * 6]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t array<string>")
+    for length in (1, 3, 4, 8):
+        got = {r["i"]: sorted(r["at"]) for r in df.select("i", decontaminate._dense_windows(F.col("t"), length).alias("at")).collect()}
+        assert got == {i: [k for k in range(len(r) - length + 1) if 2 * sum(w not in "012" for w in r[k:k + length]) < length] for i, r in enumerate(rows)}
+
+
 def test_url_rules(spark):
     urls = ["https://x.Example.com/en/a?b", "http://www.example.com/en/", "http://example.com", "ftp://a.net/es/1#x", "a.net/es/", None, "http://b.net/de/1", "http://com/x", "http://notcom/x"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("host", F.lit("old"))
