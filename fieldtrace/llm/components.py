@@ -12,19 +12,29 @@ from fieldtrace.llm.common import stage
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the ends of ``edges`` (a, b); the label is the smallest node reachable.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so the number of rounds
-    grows with the logarithm of a component's diameter. A node with very many edges is pre-aggregated in the map tasks.
+    Each round hangs every node on its smallest neighbour, follows these to their roots and contracts the edges to edges between roots.
+    So an edge is joined once and not in every round; what is left are the few edges between roots. The number of joins
+    of a round grows with the logarithm of a chain's length. A node with very many edges is pre-aggregated in the map tasks.
     """
-    both = stage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    left = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    labels = None
     while True:
-        near = (both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b")
-                .groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near")))
-        closer = stage(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
-        far = closer.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = stage(closer.join(far, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
-        labels = after.select("node", "label")
-        if after.where(F.col("old") != F.col("label")).isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        roots = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "roots")
+        while True:
+            far = roots.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            after = stage(roots.join(far, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")), "roots")
+            roots = after.select("node", "label")
+            if after.where(F.col("old") != F.col("label")).isEmpty():
+                break
+        if labels is None:
+            labels = roots
+        else:
+            labels = stage(labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+                           .select("node", F.coalesce("root", "label").alias("label")), "labels")
+        ends = left.join(roots.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        left = stage(ends.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        if left.isEmpty():
             return labels
 
 

@@ -197,6 +197,27 @@ def test_leaks_of_dense_items(spark):
     assert {r["doc_id"]: r["items"] for r in found.where("contaminated").collect()} == {1: [1], 2: [1], 4: [2]}
 
 
+def test_components_join_an_edge_once(spark, monkeypatch):
+    rng = random.Random(9)
+    # a path, a star around its largest node, cliques that hang together, an edge to itself
+    edges = [(i, i + 1) for i in range(300)] + [(2000, 1000 + i) for i in range(200)] + [(3000 + rng.randrange(60), 3000 + rng.randrange(60)) for _ in range(400)] + [(5000, 5000)]
+    sizes, staged = [], components.stage
+
+    def seen(df, name="stage"):
+        out = staged(df, name)
+        if name == "edges":
+            sizes.append(out.count())
+        return out
+    monkeypatch.setattr(components, "stage", seen)
+    got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    label = {n: n for e in edges for n in e}
+    while any(label[a] != label[b] for a, b in edges):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+    assert sum(sizes[1:]) <= sizes[0] / 2
+
+
 def test_dense_windows_are_read_off_the_placeholders(spark):
     rng = random.Random(5)
     rows = [[rng.choice("012abcd") for _ in range(n)] for n in (0, 1, 4, 7, 8, 9, 30, 60)] + [["0"] * 20, ["a"] * 20, ["0", "1", "2", "a"] * 6]
