@@ -10,8 +10,8 @@ table; the edges are grouped by unit, where they already lie, and folded by a hi
   after its turn, ``fold_merges`` applies the best fitting edge until none is left. Units over LONG characters, where a fold over
   a row would take quadratic time, do the same with a heap.
 
-The ids of the units return to the texts by a sorted table of unit hashes. It is broadcast up to ``most_units`` units (its size
-is counted first); beyond, the most frequent ones are broadcast and the units left over reach their texts by shuffled joins.
+The ids of the units return to the texts by a sorted table of unit hashes. Each executor gets it as files, up to ``most_units`` units (its
+size is counted first); beyond, the most frequent ones are in it and the units left over reach their texts by shuffled joins.
 Ids are those of the library for the same model file.
 
 Defined cases: a null text has null ids and stays null; an empty text has no ids; characters without a piece become byte pieces; a literal
@@ -21,16 +21,21 @@ extra columns are passed on, and those named like an output are replaced.
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import heapq
 import itertools
 import re
+import shutil
+import tempfile
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -43,6 +48,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 100_000
 #: Characters of texts whose words are counted together.
 HELD = 50_000_000
+#: Characters of texts that are encoded together.
+TOGETHER = 500_000
 #: Units whose lattices one task groups, so few that it need not spill.
 UNITS = 15_000
 
@@ -282,58 +289,142 @@ def _pack(batches, width):
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (key, n, np.asarray(ids.flatten()).astype(width))], names=["key", "n", "ids"])
 
 
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places start[i], start[i] + 1, ... of n[i] entries each, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+@dataclass(frozen=True)
 class Lookup:
-    """Unit -> ids for the units of the broadcast table, and for those that come with a text."""
+    """Unit -> ids for the units of the shared table: NumPy files that Spark hands to each executor once. The workers of an
+    executor map them, so that they hold one table and not one each."""
+
+    name: str
 
-    def __init__(self, rows, width):
+    @classmethod
+    def share(cls, spark: SparkSession, rows: list, width) -> Lookup:
         # one array after the other, and no copy longer than needed: this runs in the driver
-        key, n, self.ids = (np.frombuffer(b"".join([r[i] for r in rows]), t) for i, t in enumerate((np.uint64, np.uint32, width)))
+        key, n, ids = (np.frombuffer(b"".join([r[i] for r in rows]), t) for i, t in enumerate((np.uint64, np.uint32, width)))
         rows.clear()
         order = np.argsort(key, kind="stable").astype(np.uint32)
-        self.key = key[order]
-        del key
         start = np.cumsum(n, dtype=np.int64) - n
-        self.start = (start.astype(np.uint32) if len(self.ids) < 1 << 32 else start)[order]
-        self.n = n[order]
-
-    def _places(self, found: list[str]) -> np.ndarray:
-        """Where each unit stands in the table, -1 if nowhere."""
-        key = np.array(list(map(_key, found)), np.uint64)
-        place = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
-        place[self.key[place] != key if len(self.key) else slice(None)] = -1
-        return place
-
-    def encode(self, parts: list[str], pattern: re.Pattern, memo: dict, more: dict[str, list[int]]) -> tuple[bytes, list[str]]:
-        """(ids of the parts as 32-bit numbers, units that are not known)."""
-        got = list(map(memo.get, parts))
-        missing: list[str] = []
-        if None in got:
-            new = {parts[i]: b"" for i, x in enumerate(got) if x is None}
-            cut = [pattern.findall(SPACE + p.replace(" ", SPACE)) for p in new]
-            flat = list(itertools.chain.from_iterable(cut))
-            at = self._places(flat).tolist()
-            spans = iter([self.ids[self.start[i]:self.start[i] + self.n[i]].astype("<i4").tobytes() if i >= 0 else None for i in at])
-            for part, own in zip(new, cut):
-                ids = list(itertools.islice(spans, len(own)))
-                keep = None not in ids and len(part) <= LONG and len(memo) < FLUSH
-                missing += [u for u, x in zip(own, ids) if x is None and u not in more]
-                new[part] = b"".join(np.array(more.get(u, ()), "<i4").tobytes() if x is None else x for u, x in zip(own, ids))
-                if keep:
-                    memo[part] = new[part]
-            got = [new[p] if x is None else x for p, x in zip(parts, got)]
-        return b"".join(got), missing
-
-
-def _missing(batches, shared, unit: str):
-    pattern, memo = re.compile(unit), {}
+        if len(ids) < 1 << 32:
+            start = start.astype(np.uint32)
+        name = f"units-{uuid.uuid4().hex}"
+        folder = tempfile.mkdtemp(prefix="fieldtrace-units-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        for part, values, by in (("key", key, order), ("start", start, order), ("n", n, order), ("ids", ids, slice(None))):
+            np.save(f"{folder}/{name}-{part}.npy", values[by])
+            spark.sparkContext.addFile(f"{folder}/{name}-{part}.npy")
+        return cls(name)
+
+    def open(self) -> Reader:
+        return Reader(*(np.load(SparkFiles.get(f"{self.name}-{part}.npy"), mmap_mode="r") for part in ("key", "start", "n", "ids")))
+
+
+class Reader:
+    """A worker's view of the shared table, and the ids of the words that it has met."""
+
+    def __init__(self, key: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray):
+        self.key, self.start, self.n, self.ids = key, start, n, ids
+        self._forget()
+
+    def _forget(self):
+        self.known: dict[str, int] = {}  # word -> its number
+        self.word_n, self.word_start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.word_ids = np.zeros(0, np.int32)
+        self.lacking: dict[int, list[tuple[str, np.ndarray | None]]] = {}  # number of a word -> its units with their ids, if one is not in the table
+
+    def _learn(self, new: list[str], pattern: re.Pattern):
+        cut = [pattern.findall(SPACE + w.replace(" ", SPACE)) for w in new]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        flat = list(itertools.chain.from_iterable(cut))
+        key = np.fromiter(map(_key, flat), np.uint64, len(flat))
+        # neighbours in the table are looked up one after the other
+        order = np.argsort(key)
+        place = np.empty(len(key), np.int64)
+        place[order] = np.searchsorted(self.key, key[order])
+        found, start, n = np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        if len(self.key):
+            place = np.minimum(place, len(self.key) - 1)
+            found = self.key[place] == key
+            start[found], n[found] = self.start[place[found]], self.n[place[found]]
+        ids = self.ids[_spread(start, n)].astype(np.int32)
+        owner = np.repeat(np.arange(len(cut)), sizes)
+        first, at = np.cumsum(sizes) - sizes, np.cumsum(n) - n
+        for i in np.unique(owner[~found]).tolist():
+            self.lacking[len(self.word_n) + i] = [(flat[j], ids[at[j]:at[j] + n[j]] if found[j] else None) for j in range(first[i], first[i] + sizes[i])]
+        word_n = np.bincount(owner, n, len(cut)).astype(np.int64)
+        self.word_start = np.concatenate([self.word_start, len(self.word_ids) + np.cumsum(word_n) - word_n])
+        self.word_n = np.concatenate([self.word_n, word_n])
+        self.word_ids = np.concatenate([self.word_ids, ids])
+
+    def _numbers(self, parts: list[str], pattern: re.Pattern) -> np.ndarray:
+        """The numbers of the words, after those not met before have been looked up."""
+        before = len(self.word_n)
+        for w in parts:
+            self.known.setdefault(w, len(self.known))
+        if len(self.known) > before:
+            self._learn(list(itertools.islice(self.known, before, None)), pattern)
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
+    def encode(self, texts: list[str], pattern: re.Pattern, more: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+        """(the ids of the texts, how many each has, the units of each that are neither in the table nor in ``more``)."""
+        if len(self.known) > FLUSH:
+            self._forget()
+        cut = [words(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
+        number = self._numbers(list(itertools.chain.from_iterable(cut)), pattern)
+        n = self.word_n[number]
+        ids = self.word_ids[_spread(self.word_start[number], n)]
+        lengths = np.bincount(np.repeat(np.arange(len(cut)), sizes), n, len(cut)).astype(np.int64)
+        missing: list[set[str]] = [set() for _ in texts]
+        if self.lacking:
+            ids = self._spell_out(number, np.repeat(np.arange(len(cut)), sizes), n, ids, lengths, more, missing)
+        return ids, lengths, missing
+
+    def _spell_out(self, number, owner, n, ids, lengths, more, missing) -> np.ndarray:
+        """The ids, and in ``lengths`` how many, where some words have units that are not in the table."""
+        lacks = np.zeros(len(self.word_n), bool)
+        lacks[list(self.lacking)] = True
+        ends, out, upto = np.cumsum(n), [], 0
+        for p in np.flatnonzero(lacks[number]).tolist():
+            i, own = int(owner[p]), []
+            for u, known in self.lacking[int(number[p])]:
+                if known is None and u not in more[i]:
+                    missing[i].add(u)
+                else:
+                    own.append(np.array(more[i][u], np.int32) if known is None else known)
+            spelt = np.concatenate([np.zeros(0, np.int32), *own])
+            out += [ids[upto:ends[p] - n[p]], spelt]
+            upto = ends[p]
+            lengths[i] += len(spelt) - n[p]
+        return np.concatenate([*out, ids[upto:]])
+
+
+def _runs(texts: list[str | None]):
+    """(start, end) of runs of texts of about TOGETHER characters."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held > TOGETHER:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _missing(batches, shared: Lookup, unit: str):
+    pattern, reader = re.compile(unit), shared.open()
     for batch in batches:
-        rk, out = [], []
-        for key, text in zip(batch.column("rk").to_pylist(), batch.column("text").to_pylist()):
-            _, missing = shared.value.encode(words(text), pattern, memo, {}) if text else (None, [])
-            missing = set(missing)
-            rk += [key] * len(missing)
-            out += missing
-        yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(out, pa.string())], names=["rk", "unit"])
+        keys, texts = batch.column("rk").to_pylist(), batch.column("text").to_pylist()
+        for a, b in _runs(texts):
+            rk, out = [], []
+            for key, missing in zip(keys[a:b], reader.encode(texts[a:b], pattern, [{}] * (b - a))[2]):
+                rk += [key] * len(missing)
+                out += missing
+            yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(out, pa.string())], names=["rk", "unit"])
 
 
 def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: int = MOST_UNITS) -> DataFrame:
@@ -350,30 +441,32 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
         frequent = table.orderBy(F.desc("n"), "unit").limit(most_units)
     width = np.uint16 if max(i for i in (*(i for _, i, _ in model.pieces), *model.bytes_)) < 1 << 16 else np.uint32
     packed = frequent.select("unit", "ids").mapInArrow(lambda b: _pack(b, width), "key binary, n binary, ids binary")
-    shared = spark.sparkContext.broadcast(Lookup(packed.collect(), width))  # most_units at most
+    shared = Lookup.share(spark, packed.collect(), width)  # most_units at most
     keyed, more = docs, F.lit(None).cast("array<struct<unit: string, ids: array<int>>>")
     if not whole:
         keyed = docs.withColumn("__rk", row_key(F.col(text_col)))
         rare = (keyed.select(F.col("__rk").alias("rk"), F.col(text_col).alias("text")).mapInArrow(lambda b: _missing(b, shared, pattern), "rk long, unit string")
                 .distinct().join(table.select("unit", "ids"), "unit").groupBy(F.col("rk").alias("__rk")).agg(F.collect_list(F.struct("unit", "ids")).alias("__more")))
         keyed, more = keyed.join(rare, "__rk", "left"), F.col("__more")
-    memo: dict = {}
+    opened: list[Reader] = []
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def to_ids(text: pa.Array, extra: pa.Array) -> pa.Array:
-        cut, out, ends = re.compile(pattern), [np.zeros(0, np.int32)], [0]
-        for t, e in zip(text, extra):
-            t = t.as_py()
-            if t:
-                ids, missing = shared.value.encode(words(t), cut, memo, {x["unit"]: x["ids"] for x in e.as_py() or ()})
-                if missing:
-                    raise ValueError(f"no ids for {missing[:3]}")
-                out.append(np.frombuffer(ids, "<i4"))
-            ends.append(ends[-1] + (len(out[-1]) if t else 0))
-        offsets = pa.array(ends, pa.int32())
+        if not opened:
+            opened.append(shared.open())
+        cut, out, lengths = re.compile(pattern), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        texts = text.to_pylist()
+        for a, b in _runs(texts):
+            units_of = [{x["unit"]: x["ids"] for x in e or ()} for e in extra[a:b].to_pylist()]
+            ids, n, missing = opened[0].encode(texts[a:b], cut, units_of)
+            if lacking := set().union(*missing):
+                raise ValueError(f"no ids for {sorted(lacking)[:3]}")
+            out.append(ids)
+            lengths.append(n)
+        ends = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+        offsets = pa.array(ends)
         if text.null_count:
-            gone = np.append(text.is_null().to_numpy(zero_copy_only=False), False)
-            offsets = pa.array(np.array(ends, np.int32), mask=gone)
+            offsets = pa.array(ends, mask=np.append(text.is_null().to_numpy(zero_copy_only=False), False))
         return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out)))
 
     return keyed.withColumn("ids", to_ids(F.col(text_col), more)).drop("__rk", "__more")
