@@ -332,6 +332,19 @@ def test_pieces_equal_the_library(docs, empty, most):
     assert pieces.encode(empty, model).count() == 0
 
 
+def test_workers_map_one_table_of_units(spark):
+    model, text = pieces.load(), "two words  and a gap " * 3
+    rows = [{"unit": pieces.SPACE + w, "ids": [i, i + 1]} for i, w in enumerate(["two", "words", "and", "a"])]
+    packed = [[np.array([pieces._key(r["unit"]) for r in rows], np.uint64).tobytes(), np.full(4, 2, np.uint32).tobytes(), np.array([r["ids"] for r in rows], np.uint16).tobytes()]]
+    reader = pieces.Lookup.share(spark, packed, np.uint16).open()
+    assert all(isinstance(x, np.memmap) for x in (reader.key, reader.start, reader.n, reader.ids))
+    more = {pieces.SPACE + "gap": [7], pieces.SPACE: [8], pieces.SPACE * 2 + "and": [9, 9, 9]}
+    ids, lengths, missing = reader.encode([text, None, "a two", "gap"], re.compile(model.unit), [more, {}, {}, {}])
+    once = [0, 1, 1, 2, 9, 9, 9, 3, 4, 7]
+    assert lengths.tolist() == [31, 0, 4, 0] and missing == [set(), set(), set(), {pieces.SPACE + "gap"}]
+    assert ids.tolist() == once * 3 + [8] + [3, 4, 0, 1]
+
+
 def test_viterbi(spark):
     table = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("abc", 3, -5.0), ("bc", 4, -1.2), ("c", 5, -3.0), (pieces.SPACE, 6, -0.5), (pieces.SPACE + "a", 7, -2.5)]
     model = pieces.Model(tuple(table), tuple(range(100, 356)), False, rf"{pieces.SPACE}*[^{pieces.SPACE}]+|{pieces.SPACE}+", 3)
