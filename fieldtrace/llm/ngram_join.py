@@ -5,7 +5,8 @@ n - ceil(t n) + 1 of each side in any fixed order; here rare shingles come first
 ``sketch``), and unique ones need not be sent at all. Nodes that share such a shingle, directly or through others, form a
 candidate group: stars around the smallest node of each shingle's list, not pairs. Groups are cut into blocks of bounded
 size; the product of two blocks accumulates the overlap of all their nodes over all their shingles in one matrix, and pairs
-below the bound given by their sizes fall away. A product returns one link for two parts that it joins, never the pairs. In a group of
+below the bound given by their sizes fall away. Only repeated shingles travel with a node, next to the size of its whole set: no other
+node has the unique ones. A product returns one link for two parts that it joins, never the pairs. In a group of
 several blocks, the largest part of the first round, which lies in one block, then visits all others; only the nodes left outside the largest part after that
 visit further blocks, those with which they share a shingle of the prefix. So a group of thousands of near copies costs a few products
 per block, and links stay below the number of nodes. All links between different texts count, and none is sampled.
@@ -35,6 +36,8 @@ K, NUM, DEN = 5, 4, 5
 LEVELS = (2, 16)
 #: Shingles and nodes of one block, about.
 BLOCK_SHINGLES, BLOCK_NODES, COLUMNS = 1 << 16, 256, 4096
+#: A node: the key and size of its set, its candidate group, the blocks of that and the one that it lies in.
+NODE = ("key", "n", "group", "blocks", "block")
 
 
 def shingle_sets(texts: list[bytes | None], k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +80,7 @@ def _sketch_rows(batches, buckets: int, k: int):
 
 
 def _prefix_rows(batches, planes, bits: int, buckets: int, k: int, num: int, den: int):
-    """Per text: size and key of its set, and the repeated shingles of its prefix."""
+    """Per text: size and key of its set, how many of its shingles are repeated, and those of its prefix."""
     for batch in batches:
         for rows, texts in chunks(batch):
             owner, shingle, sizes = shingle_sets(texts, k)
@@ -96,8 +99,9 @@ def _prefix_rows(batches, planes, bits: int, buckets: int, k: int, num: int, den
             ends = np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(sizes)))])
             values = np.ascontiguousarray(shingle[at])
             blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(values)])
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("rk"), pa.array(sizes), pa.array(_set_keys(shingle, sizes).view(np.int64)), blobs],
-                                             names=["id", "rk", "n", "key", "prefix"])
+            repeated = np.bincount(owner[some], minlength=len(sizes))
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("rk"), pa.array(sizes), pa.array(_set_keys(shingle, sizes).view(np.int64)), pa.array(repeated), blobs],
+                                             names=["id", "rk", "n", "key", "repeated", "prefix"])
 
 
 def _entries(batches):
@@ -107,13 +111,15 @@ def _entries(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("key")), [len(b) // 8 for b in blobs])), pa.array(values)], names=["key", "shingle"])
 
 
-def _set_rows(batches, k: int):
+def _set_rows(batches, planes, bits: int, buckets: int, k: int):
+    """The nodes with the repeated shingles of their sets."""
     for batch in batches:
-        for _, texts in chunks(batch):
-            _, shingle, sizes = shingle_sets(texts, k)
-            ends = (np.concatenate([[0], np.cumsum(sizes)]) * 8).astype(np.int32)
-            blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(shingle))])
-            yield pa.RecordBatch.from_arrays([pa.array(_set_keys(shingle, sizes).view(np.int64)), blobs], names=["key", "shingles"])
+        for rows, texts in chunks(batch):
+            owner, shingle, sizes = shingle_sets(texts, k)
+            some = sketch.maybe(planes.value[0], sketch.keys(shingle, shingle, buckets), bits)
+            ends = (np.concatenate([[0], np.cumsum(np.bincount(owner[some], minlength=len(sizes)))]) * 8).astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(shingle[some]))])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in NODE), blobs], names=[*NODE, "shingles"])
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -138,9 +144,8 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _links(table: pa.Table, num: int, den: int) -> pa.Table:
     """Links found by one product: of a block with itself, or of its nodes with visitors. Nodes of one part need no
     comparison, and of the links between two parts one is returned."""
-    key, part, visits = (np.asarray(table.column(c)) for c in ("key", "part", "visits"))
+    key, part, visits, sizes = (np.asarray(table.column(c)) for c in ("key", "part", "visits", "n"))
     sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
-    sizes = np.array([len(x) for x in sets], np.int64)
     _, first, label = np.unique(part, return_index=True, return_inverse=True)
     a = np.flatnonzero(~visits)
     b = np.flatnonzero(visits) if visits.any() else a
@@ -166,13 +171,16 @@ def _cores(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("core"))
 
 
-def _products(nodes: DataFrame, visitors: DataFrame, num: int, den: int) -> DataFrame:
-    """Links of visitors (``to``: the block they visit) with the nodes of that block, so many visitors at a time as a block has nodes."""
+def _products(nodes: DataFrame, placed: DataFrame, visitors: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of visitors (``to``: the block they visit) with the nodes of that block, so many visitors at a time as a block has nodes.
+    Only ``nodes`` has the sets; who meets whom is settled without them."""
     crowd = visitors.groupBy("group", "to").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("turns")).withColumnRenamed("to", "block")
-    hosts = nodes.join(crowd, ["group", "block"]).select("group", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "key", "part", "shingles", F.lit(False).alias("visits"))
+    hosts = placed.join(crowd, ["group", "block"]).select("group", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "key", "part", F.lit(False).alias("visits"))
     guests = (visitors.withColumnRenamed("to", "block").join(crowd, ["group", "block"])
-              .select("group", "block", F.pmod(F.xxhash64("key", F.lit(3)), "turns").cast("int").alias("turn"), "key", "part", "shingles", F.lit(True).alias("visits")))
-    return hosts.unionByName(guests).groupBy("group", "block", "turn").applyInArrow(lambda t: _links(t, num, den), "a long, b long")
+              .select("group", "block", F.pmod(F.xxhash64("key", F.lit(3)), "turns").cast("int").alias("turn"), "key", "part", F.lit(True).alias("visits")))
+    meeting = stage(hosts.unionByName(guests), "meeting")
+    return (join_small(nodes.select("key", "n", "shingles"), meeting, "key", "inner")
+            .groupBy("group", "block", "turn").applyInArrow(lambda t: _links(t, num, den), "a long, b long"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -184,39 +192,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     buckets, bits = sketch.plan(docs.count())
     seen = sketch.Repeated(texts.select("text").mapInArrow(lambda b: _sketch_rows(b, buckets, k), sketch.PACKED), buckets, bits, LEVELS)
     planes, per_bucket = seen.filter, seen.bits
-    schema = StructType([StructField("id", id_type), *[StructField(c, LongType()) for c in ("rk", "n", "key")], StructField("prefix", BinaryType())])
+    schema = StructType([StructField("id", id_type), *[StructField(c, LongType()) for c in ("rk", "n", "key", "repeated")], StructField("prefix", BinaryType())])
     rows = stage(texts.mapInArrow(lambda b: _prefix_rows(b, planes, per_bucket, buckets, k, num, den), schema), "sets")
 
     # candidate groups: the nodes of a shingle's list hang on its smallest node
-    entries = stage(rows.where(F.octet_length("prefix") > 0).select("key", "prefix").mapInArrow(_entries, "key long, shingle long").distinct(), "entries")
-    lists = stage(entries.groupBy("shingle").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", "first"), "lists")
-    stars = entries.join(lists, "shingle").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
+    every = stage(rows.where(F.octet_length("prefix") > 0).select("key", "prefix").mapInArrow(_entries, "key long, shingle long").distinct(), "entries")
+    lists = every.groupBy("shingle").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("shingle", "first")
+    # what follows reads only the shingles that two nodes have
+    entries = stage(every.join(lists, "shingle"), "entries")
+    stars = entries.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
     group = components(stars).select(F.col("node").alias("key"), F.col("label").alias("group"))
 
-    one = stage(rows.join(group, "key").groupBy("key", "group").agg(F.min("rk").alias("rk"), F.max("n").alias("n")), "nodes")
-    blocks = one.groupBy("group").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_NODES)).cast("int").alias("blocks"))
-    sets = join_small(texts, one.select("rk"), "rk", "left_semi").select("text").mapInArrow(lambda b: _set_rows(b, k), "key long, shingles binary")
-    nodes = stage(sets.join(one.join(blocks, "group").select("key", "group", "blocks"), "key")
-                  .withColumn("block", F.pmod(F.xxhash64("key"), "blocks").cast("int")), "nodes")
+    one = stage(rows.join(group, "key").groupBy("key", "group").agg(F.min("rk").alias("rk"), F.max("n").alias("n"), F.max("repeated").alias("repeated")), "nodes")
+    blocks = one.groupBy("group").agg(F.greatest(F.ceil(F.sum("repeated") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_NODES)).cast("int").alias("blocks"))
+    placing = stage(one.join(blocks, "group").select("rk", "key", "n", "group", "blocks", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block")), "placing")
+    # a text meets its place before its set is cut, so that sets travel only to their blocks
+    nodes = stage(join_small(texts.select("rk", "text"), placing, "rk", "inner").select(*NODE, "text").mapInArrow(
+        lambda b: _set_rows(b, planes, per_bucket, buckets, k), "key long, n long, group long, blocks int, block int, shingles binary"), "nodes")
 
-    alone = nodes.select("group", "block", "key", F.col("key").alias("part"), "shingles", F.lit(False).alias("visits"))
+    alone = nodes.select("group", "block", "key", "n", F.col("key").alias("part"), "shingles", F.lit(False).alias("visits"))
     links = stage(alone.groupBy("group", "block").applyInArrow(lambda t: _links(t, num, den), "a long, b long"), "links")
-    wide = nodes.where("blocks > 1")
+    wide = placing.where("blocks > 1").select("key", "group", "blocks", "block")
     if not wide.isEmpty():
         # the largest part lies in one block; it visits all others of its group
         placed = stage(_parts(wide, links), "parts")
         core = placed.join(_cores(placed), "group").where(F.col("part") == F.col("core"))
-        everywhere = core.withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))).select("group", "to", "key", "part", "shingles")
-        links = stage(links.unionByName(_products(placed, everywhere, num, den)), "links")
+        everywhere = core.withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))).select("group", "to", "key", "part")
+        links = stage(links.unionByName(_products(nodes, placed, everywhere, num, den)), "links")
         # nodes still outside the core visit the blocks with which they share a shingle of their prefix
         placed = stage(_parts(placed, links), "parts")
-        rest = stage(placed.join(_cores(placed), "group").where(F.col("part") != F.col("core")).select("group", "block", "key", "part", "shingles"), "rest")
+        rest = stage(placed.join(_cores(placed), "group").where(F.col("part") != F.col("core")).select("group", "block", "key", "part"), "rest")
         if not rest.isEmpty():
-            asked = entries.join(rest.select("group", F.col("block").alias("own"), "key"), "key")
-            there = entries.join(lists.select("shingle"), "shingle", "left_semi").join(placed.select("key", "group", "block"), "key").select("group", "shingle", F.col("block").alias("to")).distinct()
+            asked = join_small(entries, rest.select("group", F.col("block").alias("own"), "key"), "key", "inner")
+            there = join_small(entries, placed.select("key", "group", "block"), "key", "inner").select("group", "shingle", F.col("block").alias("to")).distinct()
             visits = asked.join(there, ["group", "shingle"]).where("to <> own").select("group", "key", "to").distinct()
             guests = stage(rest.drop("block").join(visits, ["group", "key"]), "guests")
-            links = links.unionByName(stage(_products(placed, guests, num, den), "links"))
+            links = links.unionByName(stage(_products(nodes, placed, guests, num, den), "links"))
 
     part = components(links).select(F.col("node").alias("key"), F.col("label").alias("part"))
     placed = rows.join(part, "key", "left").select("id", "rk", "n", "key", F.when(F.col("n") > 0, F.coalesce("part", "key")).alias("part"))

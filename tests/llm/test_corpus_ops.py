@@ -92,6 +92,10 @@ def joined(rows):
     return [(r[0], len(sets[i]), min((x for x in least[find(i)] if x is not None), default=None)) for i, r in enumerate(rows)]
 
 
+def joined_ids(rows):
+    return [(i, c) for i, _, c in joined(rows)]
+
+
 def test_ngram_join(docs, empty):
     found = ngram_join.classes(docs).select("id", "n", "component")
     same(map(tuple, found.collect()), joined(made()))
@@ -128,6 +132,20 @@ def test_links_grow_with_the_group(spark, monkeypatch):
         assert [r[0] for r in found] == [0] and max(handed[1:]) <= 3 * n
 
 
+def test_sets_travel_once_and_without_unique_shingles(spark, monkeypatch):
+    """Of a set only shingles that others have too are moved; they are staged once, however many blocks are visited."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 3)
+    kept, real = [], ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name="stage": (out := real(df, name), kept.append(out))[0])
+    passage, base = [f"p{i}" for i in range(40)], [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([f"own{k}x{i}" for i in range(400)] + passage)) for k in range(8)]
+    rows += [(100 + k, " ".join(w if j != 7 * k + 1 else f"edit{k}" for j, w in enumerate(base))) for k in range(8)]
+    found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "component").collect()
+    assert sorted(map(tuple, found)) == sorted(joined_ids(rows))
+    held = [df.select(F.sum(F.octet_length("shingles"))).first()[0] for df in kept if "shingles" in df.columns]
+    assert len(held) == 1 and held[0] <= 8 * 8 * (40 + 60)
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     assert Counter(r["label"] for r in components.components(edges).collect()) == {0: 41, 100: 2}
