@@ -34,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,7 +46,7 @@ from fieldtrace.session import configure
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 100_000
+LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 250_000
 #: Characters of texts whose words are counted together.
 HELD = 50_000_000
 #: Characters of texts that are encoded together.
@@ -103,16 +104,32 @@ def words(text: str) -> list[str]:
     return text.split(" ")
 
 
+def cut(parts: list[str], pattern: re.Pattern) -> tuple[list[str], np.ndarray]:
+    """(the units of distinct words one after the other, the place of the word that each is from), in one pass over all words."""
+    # spaces at the end of a word would run on into the next one's, so such words come last, each by itself
+    closed = np.fromiter(map(bool, parts), bool, len(parts)) & ~np.fromiter(map(str.endswith, parts, itertools.repeat(" ")), bool, len(parts))
+    inner = parts if closed.all() else list(itertools.compress(parts, closed))
+    flat = pattern.findall(SPACE + SPACE.join(inner).replace(" ", SPACE)) if inner else []
+    # a word's first unit, and no other, begins with a space
+    first = np.fromiter(map(str.startswith, flat, itertools.repeat(SPACE)), bool, len(flat))
+    owner = np.flatnonzero(closed)[np.cumsum(first) - 1] if inner else np.zeros(0, np.int64)
+    for i in np.flatnonzero(~closed).tolist():
+        own = pattern.findall(SPACE + parts[i].replace(" ", SPACE))
+        flat += own
+        owner = np.append(owner, np.full(len(own), i))
+    return flat, owner
+
+
 def _distinct(batches, unit: str):
     pattern, parts, held = re.compile(unit), Counter(), 0
 
     def flush():
-        counts = Counter()
-        for part, n in parts.items():
-            for u in pattern.findall(SPACE + part.replace(" ", SPACE)):
-                counts[u] += n
+        flat, owner = cut(list(parts), pattern)
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        counts = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(counts, np.asarray(coded.indices), np.fromiter(parts.values(), np.int64, len(parts))[owner])
         parts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["unit", "n"])
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(counts)], names=["unit", "n"])
 
     for batch in batches:
         for text in batch.column("text").to_pylist():
@@ -280,11 +297,15 @@ def _key(unit: str) -> int:
     return xxhash.xxh3_64_intdigest(unit.encode("utf-8", "surrogatepass"))
 
 
+def _keys(units: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, units.cast(pa.binary()).to_pylist()), np.uint64, len(units))
+
+
 def _pack(batches, width):
     """Hashes, lengths and ids (of type ``width``) of units, packed for the table that tasks look units up in."""
     for batch in batches:
         ids = batch.column("ids")
-        key = np.fromiter((_key(u) for u in batch.column("unit").to_pylist()), np.uint64, batch.num_rows)
+        key = _keys(batch.column("unit"))
         n = np.diff(np.asarray(ids.offsets)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (key, n, np.asarray(ids.flatten()).astype(width))], names=["key", "n", "ids"])
 
@@ -337,10 +358,12 @@ class Reader:
         self.lacking: dict[int, list[tuple[str, np.ndarray | None]]] = {}  # number of a word -> its units with their ids, if one is not in the table
 
     def _learn(self, new: list[str], pattern: re.Pattern):
-        cut = [pattern.findall(SPACE + w.replace(" ", SPACE)) for w in new]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat = list(itertools.chain.from_iterable(cut))
-        key = np.fromiter(map(_key, flat), np.uint64, len(flat))
+        flat, owner = cut(new, pattern)
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        coded = pa.array(flat, pa.string()).dictionary_encode()
+        code = np.asarray(coded.indices)[order]
+        key = _keys(coded.dictionary)
         # neighbours in the table are looked up one after the other
         order = np.argsort(key)
         place = np.empty(len(key), np.int64)
@@ -350,38 +373,38 @@ class Reader:
             place = np.minimum(place, len(self.key) - 1)
             found = self.key[place] == key
             start[found], n[found] = self.start[place[found]], self.n[place[found]]
+        found, start, n = found[code], start[code], n[code]
         ids = self.ids[_spread(start, n)].astype(np.int32)
-        owner = np.repeat(np.arange(len(cut)), sizes)
-        first, at = np.cumsum(sizes) - sizes, np.cumsum(n) - n
-        for i in np.unique(owner[~found]).tolist():
-            self.lacking[len(self.word_n) + i] = [(flat[j], ids[at[j]:at[j] + n[j]] if found[j] else None) for j in range(first[i], first[i] + sizes[i])]
-        word_n = np.bincount(owner, n, len(cut)).astype(np.int64)
+        at = np.cumsum(n) - n
+        if not found.all():
+            first, end = np.searchsorted(owner, np.arange(len(new))), np.searchsorted(owner, np.arange(len(new)), "right")
+            for i in np.unique(owner[~found]).tolist():
+                self.lacking[len(self.word_n) + i] = [(coded.dictionary[int(code[j])].as_py(), ids[at[j]:at[j] + n[j]] if found[j] else None) for j in range(first[i], end[i])]
+        word_n = np.bincount(owner, n, len(new)).astype(np.int64)
         self.word_start = np.concatenate([self.word_start, len(self.word_ids) + np.cumsum(word_n) - word_n])
         self.word_n = np.concatenate([self.word_n, word_n])
         self.word_ids = np.concatenate([self.word_ids, ids])
 
     def _numbers(self, parts: list[str], pattern: re.Pattern) -> np.ndarray:
         """The numbers of the words, after those not met before have been looked up."""
-        before = len(self.word_n)
-        for w in parts:
-            self.known.setdefault(w, len(self.known))
-        if len(self.known) > before:
-            self._learn(list(itertools.islice(self.known, before, None)), pattern)
+        if new := list(set(parts).difference(self.known)):
+            self.known.update(zip(new, itertools.count(len(self.known))))
+            self._learn(new, pattern)
         return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str], pattern: re.Pattern, more: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """(the ids of the texts, how many each has, the units of each that are neither in the table nor in ``more``)."""
         if len(self.known) > FLUSH:
             self._forget()
-        cut = [words(t) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-        number = self._numbers(list(itertools.chain.from_iterable(cut)), pattern)
+        split = [words(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        number = self._numbers(list(itertools.chain.from_iterable(split)), pattern)
         n = self.word_n[number]
         ids = self.word_ids[_spread(self.word_start[number], n)]
-        lengths = np.bincount(np.repeat(np.arange(len(cut)), sizes), n, len(cut)).astype(np.int64)
+        lengths = np.bincount(np.repeat(np.arange(len(split)), sizes), n, len(split)).astype(np.int64)
         missing: list[set[str]] = [set() for _ in texts]
         if self.lacking:
-            ids = self._spell_out(number, np.repeat(np.arange(len(cut)), sizes), n, ids, lengths, more, missing)
+            ids = self._spell_out(number, np.repeat(np.arange(len(split)), sizes), n, ids, lengths, more, missing)
         return ids, lengths, missing
 
     def _spell_out(self, number, owner, n, ids, lengths, more, missing) -> np.ndarray:
@@ -454,11 +477,11 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
     def to_ids(text: pa.Array, extra: pa.Array) -> pa.Array:
         if not opened:
             opened.append(shared.open())
-        cut, out, lengths = re.compile(pattern), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        compiled, out, lengths = re.compile(pattern), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         texts = text.to_pylist()
         for a, b in _runs(texts):
             units_of = [{x["unit"]: x["ids"] for x in e or ()} for e in extra[a:b].to_pylist()]
-            ids, n, missing = opened[0].encode(texts[a:b], cut, units_of)
+            ids, n, missing = opened[0].encode(texts[a:b], compiled, units_of)
             if lacking := set().union(*missing):
                 raise ValueError(f"no ids for {sorted(lacking)[:3]}")
             out.append(ids)
@@ -478,15 +501,42 @@ def _rows(lists: pa.Array):
     return (flat[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], known))
 
 
+def _spellings(model: Model) -> pa.Array:
+    """The bytes of each piece by its id; null where there is none."""
+    known = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, i, _ in model.pieces} | {i: bytes([b]) for b, i in enumerate(model.bytes_)}
+    return pa.array([known.get(i) for i in range(max(known) + 1)], pa.binary())
+
+
+def _texts(lists: pa.Array, spelt: pa.Array) -> pa.Array:
+    """The texts of lists of ids: the bytes of all their pieces are one buffer, which the lists' ends cut into texts."""
+    ends = np.asarray(lists.offsets)
+    parts = spelt.take(lists.values.slice(ends[0], ends[-1] - ends[0]))
+    if parts.null_count:
+        raise KeyError("an id without a piece")
+    at, data = np.zeros(len(ends), np.int32), np.zeros(0, np.uint8)
+    if len(parts):
+        at, data = np.frombuffer(parts.buffers()[1], np.int32)[ends - ends[0]], np.frombuffer(parts.buffers()[2], np.uint8)
+    # the first space is the one that every text is given before it is cut
+    full = np.diff(at) > 0
+    rest = np.ones(len(data), bool)
+    rest[at[:-1][full]] = False
+    at = at - np.concatenate([[0], np.cumsum(full)])
+    whole = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[rest])])
+    if lists.null_count:
+        whole = pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.binary()))
+    try:
+        return whole.cast(pa.string())
+    except pa.ArrowInvalid:  # ids that spell no valid UTF-8
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+
+
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its piece ids."""
-    known = {i: p.replace(SPACE, " ").encode("utf-8", "surrogatepass") for p, i, _ in model.pieces} | {i: bytes([b]) for b, i in enumerate(model.bytes_)}
+    spelt = _spellings(model)
 
     @F.arrow_udf(StringType())
     def to_text(ids: pa.Array) -> pa.Array:
-        get = known.__getitem__
-        # the first space is the one that every text is given before it is cut
-        return pa.array([None if x is None else b"".join(map(get, x.tolist()))[1:].decode("utf-8", "replace") for x in _rows(ids)], pa.string())
+        return _texts(ids, spelt)
 
     return encoded.withColumn(out_col, to_text(F.col(ids_col)))
 

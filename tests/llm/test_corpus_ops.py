@@ -350,6 +350,37 @@ def test_pieces_equal_the_library(docs, empty, most):
     assert pieces.encode(empty, model).count() == 0
 
 
+def test_words_are_cut_in_one_pass_and_ids_spelt_at_once():
+    import pyarrow as pa
+    model = pieces.load()
+    pattern, rng, passes = re.compile(model.unit), random.Random(3), []
+
+    class Counting:
+        def findall(self, text):
+            passes.append(text)
+            return pattern.findall(text)
+
+    texts = ["".join(rng.choice("  ab1.\n\u2581é²👩") for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    parts = list(dict.fromkeys(w for t in texts for w in pieces.words(t)))
+    flat, owner = pieces.cut(parts, Counting())
+    found = [[] for _ in parts]
+    for u, i in zip(flat, owner.tolist()):
+        found[i].append(u)
+    assert found == [pattern.findall(pieces.SPACE + w.replace(" ", pieces.SPACE)) for w in parts]
+    assert len(passes) == 1 + sum(not w or w[-1] == " " for w in parts) < len(parts) / 4
+    counted = Counter()
+    for b in pieces._distinct([pa.RecordBatch.from_pydict({"text": pa.array([*texts, None, ""], pa.string())})], model.unit):
+        counted.update(dict(zip(b.column("unit").to_pylist(), b.column("n").to_pylist())))
+    assert counted == Counter(u for t in texts for u in pieces.units(t, pattern))
+    spelt = pieces._spellings(model)
+    known = dict(enumerate(spelt.to_pylist()))
+    ids = [i for i, b in known.items() if b is not None][:600]
+    lists = [None, [], *([rng.choice(ids) for _ in range(rng.randint(0, 5))] for _ in range(200)), None]  # byte pieces alone spell no valid UTF-8
+    want = [None if x is None else b"".join(known[i] for i in x)[1:].decode("utf-8", "replace") for x in lists]
+    rows = pa.array(lists, pa.list_(pa.int32()))
+    assert pieces._texts(rows, spelt).to_pylist() == want and pieces._texts(rows.slice(1), spelt).to_pylist() == want[1:]
+
+
 def test_workers_map_one_table_of_units(spark):
     model, text = pieces.load(), "two words  and a gap " * 3
     rows = [{"unit": pieces.SPACE + w, "ids": [i, i + 1]} for i, w in enumerate(["two", "words", "and", "a"])]
