@@ -29,7 +29,6 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,11 +45,9 @@ from fieldtrace.session import configure
 
 SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-LONG, MOST_UNITS, FLUSH = 48, 4_000_000, 250_000
-#: Characters of texts whose words are counted together.
-HELD = 50_000_000
-#: Characters of texts that are encoded together.
-TOGETHER = 500_000
+LONG, MOST_UNITS = 48, 4_000_000
+#: Bytes of texts that are cut into units together.
+TOGETHER = 4_000_000
 #: Units whose lattices one task groups, so few that it need not spill.
 UNITS = 15_000
 
@@ -93,6 +90,7 @@ def load(path: str = MODEL, bpe: bool = True) -> Model:
     return Model(tuple(own), tuple(byte_ids[b] for b in range(256)), bpe, _unit_pattern(names), max(map(len, names)))
 
 
+# ``units``, ``words`` and ``cut`` are the plain form of ``Cutter``, text by text or word by word; the tests hold it to them.
 def units(text: str, pattern: re.Pattern) -> list[str]:
     return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -120,25 +118,73 @@ def cut(parts: list[str], pattern: re.Pattern) -> tuple[list[str], np.ndarray]:
     return flat, owner
 
 
+class Cutter:
+    """Cuts texts into the units of a pattern, all texts of an array at once. A unit ends before a space that follows no other, and
+    between characters that no unit holds side by side; these are of two kinds, or of one if units go up to the next space."""
+
+    def __init__(self, pattern: re.Pattern):
+        self.pattern = pattern
+        # kind by code point: 0 a space, 1 goes with "a", 2 does not, 3 not asked for yet
+        self.kind = np.full(0x110000, 3, np.uint8)
+        self.kind[:128] = [self._kind(c) for c in range(128)]
+        self.kind[32] = 0
+
+    def _kind(self, point: int) -> int:
+        return 1 if self.pattern.fullmatch("a" + chr(point)) else 2
+
+    def _kinds(self, data: np.ndarray) -> np.ndarray:
+        """The kind of the character that each byte of UTF-8 belongs to."""
+        kinds = self.kind[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        for low, high, size in ((0xC0, 0xE0, 2), (0xE0, 0xF0, 3), (0xF0, 0x100, 4)):
+            at = lead[(data[lead] >= low) & (data[lead] < high)]
+            point = data[at].astype(np.int32) & (0xFF >> (size + 1))
+            for k in range(1, size):
+                point = point << 6 | data[at + k] & 0x3F
+            kind = self.kind[point]
+            if (kind == 3).any():
+                new = np.unique(point[kind == 3])
+                self.kind[new] = [self._kind(c) for c in new.tolist()]
+                kind = self.kind[point]
+            for k in range(size):
+                kinds[at + k] = kind
+        return kinds
+
+    def cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """(the units of the texts one after the other, how many each text has)."""
+        some = pc.greater(pc.binary_length(texts).fill_null(0), 0)
+        counts = np.zeros(len(texts), np.int64)
+        kept = texts.filter(some)
+        if not len(kept):
+            return pa.array([], pa.string()).dictionary_encode(), counts
+        spaced = pc.replace_substring(pc.binary_join_element_wise("", kept, " "), SPACE, " ")
+        ends = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset:spaced.offset + len(spaced) + 1]
+        data = np.frombuffer(spaced.buffers()[2], np.uint8)[:ends[-1]]
+        kinds = self._kinds(data)
+        first = np.empty(len(data), bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=first[1:])
+        first[1:] &= kinds[:-1] != 0
+        first[ends[:-1]] = True
+        starts = np.flatnonzero(first[ends[0]:]) + ends[0]
+        counts[some.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(starts, ends))
+        at = np.append(starts, ends[-1]).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(at), spaced.buffers()[2]]).dictionary_encode()
+        return pa.DictionaryArray.from_arrays(coded.indices, pc.replace_substring(coded.dictionary, " ", SPACE)), counts
+
+
 def _distinct(batches, unit: str):
-    pattern, parts, held = re.compile(unit), Counter(), 0
+    cutter, held = Cutter(re.compile(unit)), []
 
     def flush():
-        flat, owner = cut(list(parts), pattern)
-        coded = pa.array(flat, pa.string()).dictionary_encode()
-        counts = np.zeros(len(coded.dictionary), np.int64)
-        np.add.at(counts, np.asarray(coded.indices), np.fromiter(parts.values(), np.int64, len(parts))[owner])
-        parts.clear()
-        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(counts)], names=["unit", "n"])
+        coded = cutter.cut(pa.concat_arrays(held))[0]
+        held.clear()
+        return pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(coded.indices, minlength=len(coded.dictionary)).astype(np.int64))], names=["unit", "n"])
 
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            parts.update(words(text) if text else ())
-            held += len(text) if text else 0
-            if len(parts) > FLUSH or held > HELD:
-                held = 0
-                yield flush()
-    if parts:
+        held.append(batch.column("text").cast(pa.string()))
+        if sum(t.nbytes for t in held) > TOGETHER:
+            yield flush()
+    if held:
         yield flush()
 
 
@@ -298,7 +344,8 @@ def _key(unit: str) -> int:
 
 
 def _keys(units: pa.Array) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, units.cast(pa.binary()).to_pylist()), np.uint64, len(units))
+    # a digest is its number, the highest byte first
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, units.cast(pa.binary()).to_numpy(zero_copy_only=False))), ">u8").astype(np.uint64)
 
 
 def _pack(batches, width):
@@ -332,6 +379,8 @@ class Lookup:
         start = np.cumsum(n, dtype=np.int64) - n
         if len(ids) < 1 << 32:
             start = start.astype(np.uint32)
+        if n.max(initial=0) < 1 << 8:
+            n = n.astype(np.uint8)
         name = f"units-{uuid.uuid4().hex}"
         folder = tempfile.mkdtemp(prefix="fieldtrace-units-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -345,92 +394,60 @@ class Lookup:
 
 
 class Reader:
-    """A worker's view of the shared table, and the ids of the words that it has met."""
+    """A worker's view of the shared table."""
 
     def __init__(self, key: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray):
         self.key, self.start, self.n, self.ids = key, start, n, ids
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {}  # word -> its number
-        self.word_n, self.word_start = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.word_ids = np.zeros(0, np.int32)
-        self.lacking: dict[int, list[tuple[str, np.ndarray | None]]] = {}  # number of a word -> its units with their ids, if one is not in the table
-
-    def _learn(self, new: list[str], pattern: re.Pattern):
-        flat, owner = cut(new, pattern)
-        order = np.argsort(owner, kind="stable")
-        owner = owner[order]
-        coded = pa.array(flat, pa.string()).dictionary_encode()
-        code = np.asarray(coded.indices)[order]
-        key = _keys(coded.dictionary)
-        # neighbours in the table are looked up one after the other
-        order = np.argsort(key)
-        place = np.empty(len(key), np.int64)
-        place[order] = np.searchsorted(self.key, key[order])
+        self.cutter: Cutter | None = None
+
+    def _find(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether each unit is in the table, how many ids it has, the ids one after the other)."""
+        key = _keys(units)
         found, start, n = np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
         if len(self.key):
-            place = np.minimum(place, len(self.key) - 1)
+            # neighbours in the table are looked up one after the other
+            order = np.argsort(key)
+            place = np.empty(len(key), np.int64)
+            place[order] = np.minimum(np.searchsorted(self.key, key[order]), len(self.key) - 1)
             found = self.key[place] == key
             start[found], n[found] = self.start[place[found]], self.n[place[found]]
-        found, start, n = found[code], start[code], n[code]
-        ids = self.ids[_spread(start, n)].astype(np.int32)
-        at = np.cumsum(n) - n
-        if not found.all():
-            first, end = np.searchsorted(owner, np.arange(len(new))), np.searchsorted(owner, np.arange(len(new)), "right")
-            for i in np.unique(owner[~found]).tolist():
-                self.lacking[len(self.word_n) + i] = [(coded.dictionary[int(code[j])].as_py(), ids[at[j]:at[j] + n[j]] if found[j] else None) for j in range(first[i], end[i])]
-        word_n = np.bincount(owner, n, len(new)).astype(np.int64)
-        self.word_start = np.concatenate([self.word_start, len(self.word_ids) + np.cumsum(word_n) - word_n])
-        self.word_n = np.concatenate([self.word_n, word_n])
-        self.word_ids = np.concatenate([self.word_ids, ids])
-
-    def _numbers(self, parts: list[str], pattern: re.Pattern) -> np.ndarray:
-        """The numbers of the words, after those not met before have been looked up."""
-        if new := list(set(parts).difference(self.known)):
-            self.known.update(zip(new, itertools.count(len(self.known))))
-            self._learn(new, pattern)
-        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-
-    def encode(self, texts: list[str], pattern: re.Pattern, more: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+        return found, n, self.ids[_spread(start, n)].astype(np.int32)
+
+    def encode(self, texts: pa.Array | list[str], pattern: re.Pattern, more: list[dict[str, list[int]]]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """(the ids of the texts, how many each has, the units of each that are neither in the table nor in ``more``)."""
-        if len(self.known) > FLUSH:
-            self._forget()
-        split = [words(t) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        number = self._numbers(list(itertools.chain.from_iterable(split)), pattern)
-        n = self.word_n[number]
-        ids = self.word_ids[_spread(self.word_start[number], n)]
-        lengths = np.bincount(np.repeat(np.arange(len(split)), sizes), n, len(split)).astype(np.int64)
-        missing: list[set[str]] = [set() for _ in texts]
-        if self.lacking:
-            ids = self._spell_out(number, np.repeat(np.arange(len(split)), sizes), n, ids, lengths, more, missing)
+        if self.cutter is None or self.cutter.pattern != pattern:
+            self.cutter = Cutter(pattern)
+        coded, counts = self.cutter.cut(texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        found, unit_n, unit_ids = self._find(coded.dictionary)
+        code = np.asarray(coded.indices)
+        n = unit_n[code]
+        ids = unit_ids[_spread((np.cumsum(unit_n) - unit_n)[code], n)]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        lengths = np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+        missing: list[set[str]] = [set() for _ in range(len(texts))]
+        if not found.all():
+            ids = self._spell_out(coded, np.flatnonzero(~found[code]), np.repeat(np.arange(len(texts)), counts), ends, ids, lengths, more, missing)
         return ids, lengths, missing
 
-    def _spell_out(self, number, owner, n, ids, lengths, more, missing) -> np.ndarray:
-        """The ids, and in ``lengths`` how many, where some words have units that are not in the table."""
-        lacks = np.zeros(len(self.word_n), bool)
-        lacks[list(self.lacking)] = True
-        ends, out, upto = np.cumsum(n), [], 0
-        for p in np.flatnonzero(lacks[number]).tolist():
-            i, own = int(owner[p]), []
-            for u, known in self.lacking[int(number[p])]:
-                if known is None and u not in more[i]:
-                    missing[i].add(u)
-                else:
-                    own.append(np.array(more[i][u], np.int32) if known is None else known)
-            spelt = np.concatenate([np.zeros(0, np.int32), *own])
-            out += [ids[upto:ends[p] - n[p]], spelt]
+    @staticmethod
+    def _spell_out(coded, places, owner, ends, ids, lengths, more, missing) -> np.ndarray:
+        """The ids, and in ``lengths`` how many, where the units at some places are not in the table."""
+        out, upto = [], 0
+        for p, i, unit in zip(places.tolist(), owner[places].tolist(), coded.take(pa.array(places)).to_pylist()):
+            if unit not in more[i]:
+                missing[i].add(unit)
+                continue
+            out += [ids[upto:ends[p]], np.array(more[i][unit], np.int32)]
             upto = ends[p]
-            lengths[i] += len(spelt) - n[p]
+            lengths[i] += len(out[-1])
         return np.concatenate([*out, ids[upto:]])
 
 
-def _runs(texts: list[str | None]):
-    """(start, end) of runs of texts of about TOGETHER characters."""
+def _runs(texts: pa.Array):
+    """(start, end) of runs of texts of about TOGETHER bytes."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t) if t else 0
+    for i, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        held += size
         if held > TOGETHER:
             yield start, i + 1
             start, held = i + 1, 0
@@ -441,7 +458,7 @@ def _runs(texts: list[str | None]):
 def _missing(batches, shared: Lookup, unit: str):
     pattern, reader = re.compile(unit), shared.open()
     for batch in batches:
-        keys, texts = batch.column("rk").to_pylist(), batch.column("text").to_pylist()
+        keys, texts = batch.column("rk").to_pylist(), batch.column("text")
         for a, b in _runs(texts):
             rk, out = [], []
             for key, missing in zip(keys[a:b], reader.encode(texts[a:b], pattern, [{}] * (b - a))[2]):
@@ -478,10 +495,9 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", most_units: in
         if not opened:
             opened.append(shared.open())
         compiled, out, lengths = re.compile(pattern), [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        texts = text.to_pylist()
-        for a, b in _runs(texts):
+        for a, b in _runs(text):
             units_of = [{x["unit"]: x["ids"] for x in e or ()} for e in extra[a:b].to_pylist()]
-            ids, n, missing = opened[0].encode(texts[a:b], compiled, units_of)
+            ids, n, missing = opened[0].encode(text[a:b], compiled, units_of)
             if lacking := set().union(*missing):
                 raise ValueError(f"no ids for {sorted(lacking)[:3]}")
             out.append(ids)

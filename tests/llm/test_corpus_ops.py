@@ -394,6 +394,45 @@ def test_workers_map_one_table_of_units(spark):
     assert ids.tolist() == once * 3 + [8] + [3, 4, 0, 1]
 
 
+def test_texts_are_cut_without_running_the_pattern_over_them(spark):
+    import pyarrow as pa
+    model, rng = pieces.load(), random.Random(11)
+
+    class Kinds:
+        """Tells single characters apart, and is never run over a text."""
+
+        def __init__(self, pattern):
+            self.pattern, self.asked = re.compile(pattern), 0
+
+        def fullmatch(self, text):
+            self.asked += 1
+            assert len(text) == 2
+            return self.pattern.fullmatch(text)
+
+    texts = ["".join(rng.choice("   ab1.\n\u2581é²👩ßµ\x00₁漢") for _ in range(rng.randint(1, 14))) for _ in range(600)] + [None, "", " ", "\u2581", None, "x" * 300]
+    rows = pa.array(["left out", *texts], pa.string()).slice(1)
+    for unit in (model.unit, rf"{pieces.SPACE}*[^{pieces.SPACE}]+|{pieces.SPACE}+"):
+        pattern, want = Kinds(unit), [pieces.units(t, re.compile(unit)) for t in texts]
+        coded, counts = pieces.Cutter(pattern).cut(rows)
+        assert counts.tolist() == [len(w) for w in want] and coded.to_pylist() == [u for w in want for u in w]
+        known = sorted({u for w in want for u in w} - {pieces.SPACE + "x" * 300})
+        lengths = [rng.randint(0, 4) for _ in known]
+        packed = [[np.array([pieces._key(u) for u in known], np.uint64).tobytes(), np.array(lengths, np.uint32).tobytes(), np.arange(sum(lengths)).astype(np.uint16).tobytes()]]
+        ids_of = dict(zip(known, np.split(np.arange(sum(lengths)), np.cumsum(lengths)[:-1])))
+        reader = pieces.Lookup.share(spark, packed, np.uint16).open()
+        more = {pieces.SPACE + "x" * 300: [7, 8]}
+        ids, n, missing = reader.encode(rows, pattern, [{}] * (len(texts) - 1) + [more])
+        spelt = [[x for u in w for x in (more[u] if u in more else ids_of[u].tolist())] for w in want]
+        assert n.tolist() == [len(x) for x in spelt] and ids.tolist() == [i for x in spelt for i in x] and not any(missing)
+        assert reader.encode(rows, pattern, [{}] * len(texts))[2][-1] == set(more)
+        assert pattern.asked <= 2 * (128 + 12)
+    assert reader.n.dtype == np.uint8
+    long = pieces.Lookup.share(spark, [[np.array([5], np.uint64).tobytes(), np.array([300], np.uint32).tobytes(), np.zeros(300, np.uint16).tobytes()]], np.uint16).open()
+    assert long.n.tolist() == [300]
+    runs = list(pieces._runs(pa.array(["a" * pieces.TOGETHER, "b", None, "c" * pieces.TOGETHER, "d", "e"])))
+    assert runs == [(0, 2), (2, 5), (5, 6)] and list(pieces._runs(pa.array([], pa.string()))) == []
+
+
 def test_viterbi(spark):
     table = [("a", 0, -1.0), ("b", 1, -1.5), ("ab", 2, -2.0), ("abc", 3, -5.0), ("bc", 4, -1.2), ("c", 5, -3.0), (pieces.SPACE, 6, -0.5), (pieces.SPACE + "a", 7, -2.5)]
     model = pieces.Model(tuple(table), tuple(range(100, 356)), False, rf"{pieces.SPACE}*[^{pieces.SPACE}]+|{pieces.SPACE}+", 3)
