@@ -7,9 +7,11 @@ candidate group: stars around the smallest node of each shingle's list, not pair
 size; the product of two blocks accumulates the overlap of all their nodes over all their shingles in one matrix, and pairs
 below the bound given by their sizes fall away. Only repeated shingles travel with a node, next to the size of its whole set: no other
 node has the unique ones. A product returns one link for two parts that it joins, never the pairs. In a group of
-several blocks, the largest part of the first round, which lies in one block, then visits all others; only the nodes left outside the largest part after that
-visit further blocks, those with which they share a shingle of the prefix. So a group of thousands of near copies costs a few products
-per block, and links stay below the number of nodes. All links between different texts count, and none is sampled.
+several blocks, nodes of the same least shingle, as near copies mostly have, lie in one block, or in several if they are too many. The largest part of
+the first round, which lies in one block, then visits all others, and the largest part of each least shingle the other blocks of that; only the nodes left outside the
+group's largest part after that visit further blocks, those in which nodes of a fitting size and of another part share with them as many shingles of the prefix as the bound
+asks for: two sets with an overlap of o share more than o - ceil(t m) of the first m - ceil(t m) + 1, m the larger size. So a group of thousands of near copies costs a few
+products per block, a group of unlike texts that chance has joined few visits, and links stay below the number of nodes. All links between different texts count, and none is sampled.
 Shingle hashes have 64 bits.
 
 Defined cases: null or empty text has no shingles and links with nothing; fewer than ``k`` words are one shingle; a null id
@@ -19,9 +21,11 @@ passed on, and those named like an output are replaced.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -36,6 +40,8 @@ K, NUM, DEN = 5, 4, 5
 LEVELS = (2, 16)
 #: Shingles and nodes of one block, about.
 BLOCK_SHINGLES, BLOCK_NODES, COLUMNS = 1 << 16, 256, 4096
+#: Ratio of the sizes that visits count together.
+SIZES = 1.06
 #: A node: the key and size of its set, its candidate group, the blocks of that and the one that it lies in.
 NODE = ("key", "n", "group", "blocks", "block")
 
@@ -80,7 +86,7 @@ def _sketch_rows(batches, buckets: int, k: int):
 
 
 def _prefix_rows(batches, planes, bits: int, buckets: int, k: int, num: int, den: int):
-    """Per text: size and key of its set, how many of its shingles are repeated, and those of its prefix."""
+    """Per text: size and key of its set, how many of its shingles are repeated, the least of those, and those of its prefix."""
     for batch in batches:
         for rows, texts in chunks(batch):
             owner, shingle, sizes = shingle_sets(texts, k)
@@ -100,8 +106,11 @@ def _prefix_rows(batches, planes, bits: int, buckets: int, k: int, num: int, den
             values = np.ascontiguousarray(shingle[at])
             blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(values)])
             repeated = np.bincount(owner[some], minlength=len(sizes))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("rk"), pa.array(sizes), pa.array(_set_keys(shingle, sizes).view(np.int64)), pa.array(repeated), blobs],
-                                             names=["id", "rk", "n", "key", "repeated", "prefix"])
+            least = np.zeros(len(sizes), U64)
+            full = repeated > 0
+            least[full] = shingle[some][(np.cumsum(repeated) - repeated)[full]]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("rk"), pa.array(sizes), pa.array(_set_keys(shingle, sizes).view(np.int64)), pa.array(repeated),
+                                              pa.array(least.view(np.int64)), blobs], names=["id", "rk", "n", "key", "repeated", "least", "prefix"])
 
 
 def _entries(batches):
@@ -166,9 +175,49 @@ def _parts(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.drop("part").join(label, "key", "left").withColumn("part", F.coalesce("_part", "key")).drop("_part")
 
 
-def _cores(nodes: DataFrame) -> DataFrame:
-    """The largest part of each group."""
-    return nodes.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("core"))
+def _largest(nodes: DataFrame, *within: str) -> DataFrame:
+    """The largest part of each group, or other set of nodes."""
+    return nodes.groupBy(*within, "part").agg(F.count(F.lit(1)).alias("n")).groupBy(*within).agg(F.max_by("part", F.struct("n", "part")).alias("core"))
+
+
+def _blocks_for(shingles: Column, nodes: Column) -> Column:
+    return F.greatest(F.ceil(shingles / BLOCK_SHINGLES), F.ceil(nodes / BLOCK_NODES), F.lit(1)).cast("int")
+
+
+def _placing(one: DataFrame) -> DataFrame:
+    """``one`` (nodes with their groups) with the number of blocks of the group and the block of the node. Nodes of one least shingle lie in one block, or
+    in ``spread`` blocks from ``base`` on."""
+    size = F.sum("repeated"), F.count(F.lit(1))
+    blocks = one.groupBy("group").agg(_blocks_for(*size).alias("blocks"))
+    cells = one.groupBy("group", "least").agg(_blocks_for(*size).alias("spread"))
+    found = one.join(cells, ["group", "least"]).join(blocks, "group").withColumn("spread", F.least("spread", "blocks"))
+    found = found.withColumn("base", F.pmod(F.xxhash64("least", F.lit(5)), "blocks").cast("int"))
+    return found.withColumn("block", F.pmod(F.col("base") + F.pmod(F.xxhash64("key"), "spread"), "blocks").cast("int"))
+
+
+def _core_visits(placed: DataFrame) -> DataFrame:
+    """Visits (group, to, key, part) of the largest part of a group to its other blocks, and of the largest part of a least shingle to the other blocks of that."""
+    core = placed.join(_largest(placed, "group"), "group").where("part = core").withColumn("to", F.explode(F.expr("sequence(0, blocks - 1)")))
+    spread = placed.where("spread > 1")
+    cell = (spread.join(_largest(spread, "group", "least"), ["group", "least"]).where("part = core")
+            .withColumn("to", F.explode(F.expr("transform(sequence(0, spread - 1), x -> (base + x) % blocks)"))))
+    return core.unionByName(cell).where("to <> block").select("group", "to", "key", "part").distinct()
+
+
+def _further_visits(entries: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """Visits of the nodes outside the largest part of their group to blocks that may hold nodes they link with. Of two such nodes the one of the lower block visits."""
+    marked = stage(placed.join(_largest(placed, "group"), "group").select("group", "block", "key", "n", "part", F.expr("part <> core").alias("outside")), "marked")
+    held = stage(join_small(entries, marked, "key", "inner").select("group", "shingle", "block", "key", "n", "part", "outside"), "held")
+    asked = held.where("outside").select("group", "shingle", F.col("block").alias("own"), "key", "n", F.col("part").alias("mine"))
+    there = held.groupBy("group", "shingle", F.col("block").alias("to"), F.floor(F.log("n") / math.log(SIZES)).alias("size")).agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("part").alias("one"), F.max("part").alias("other"), F.min("outside").alias("outside"))
+    met = asked.join(there, ["group", "shingle"]).where((F.col("to") > F.col("own")) | ((F.col("to") < F.col("own")) & ~F.col("outside")))
+    met = met.where(f"n * {den} >= lo * {num} and hi * {den} >= n * {num} and not (one = mine and other = mine)")
+    shared = met.groupBy("group", "key", "to", "size").agg(F.count(F.lit(1)).alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("n").alias("n"), F.first("mine").alias("part"))
+
+    def least(size: str) -> str:  # times den * (num + den); as a function of the other size it rises, then falls, so the ends of a range have the smallest
+        return f"{num * den} * (n + {size}) - {num * (num + den)} * greatest(n, {size})"
+    return shared.where(f"shared * {den * (num + den)} >= least({least('lo')}, {least('hi')})").select("group", "key", "to", "part").distinct()
 
 
 def _products(nodes: DataFrame, placed: DataFrame, visitors: DataFrame, num: int, den: int) -> DataFrame:
@@ -192,7 +241,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     buckets, bits = sketch.plan(docs.count())
     seen = sketch.Repeated(texts.select("text").mapInArrow(lambda b: _sketch_rows(b, buckets, k), sketch.PACKED), buckets, bits, LEVELS)
     planes, per_bucket = seen.filter, seen.bits
-    schema = StructType([StructField("id", id_type), *[StructField(c, LongType()) for c in ("rk", "n", "key", "repeated")], StructField("prefix", BinaryType())])
+    schema = StructType([StructField("id", id_type), *[StructField(c, LongType()) for c in ("rk", "n", "key", "repeated", "least")], StructField("prefix", BinaryType())])
     rows = stage(texts.mapInArrow(lambda b: _prefix_rows(b, planes, per_bucket, buckets, k, num, den), schema), "sets")
 
     # candidate groups: the nodes of a shingle's list hang on its smallest node
@@ -203,30 +252,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     stars = entries.where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
     group = components(stars).select(F.col("node").alias("key"), F.col("label").alias("group"))
 
-    one = stage(rows.join(group, "key").groupBy("key", "group").agg(F.min("rk").alias("rk"), F.max("n").alias("n"), F.max("repeated").alias("repeated")), "nodes")
-    blocks = one.groupBy("group").agg(F.greatest(F.ceil(F.sum("repeated") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_NODES)).cast("int").alias("blocks"))
-    placing = stage(one.join(blocks, "group").select("rk", "key", "n", "group", "blocks", F.pmod(F.xxhash64("key"), "blocks").cast("int").alias("block")), "placing")
+    one = stage(rows.join(group, "key").groupBy("key", "group").agg(F.min("rk").alias("rk"), F.max("n").alias("n"), F.max("repeated").alias("repeated"), F.max("least").alias("least")), "nodes")
+    placing = stage(_placing(one).select("rk", "key", "n", "group", "blocks", "block", "least", "spread", "base"), "placing")
     # a text meets its place before its set is cut, so that sets travel only to their blocks
     nodes = stage(join_small(texts.select("rk", "text"), placing, "rk", "inner").select(*NODE, "text").mapInArrow(
         lambda b: _set_rows(b, planes, per_bucket, buckets, k), "key long, n long, group long, blocks int, block int, shingles binary"), "nodes")
 
     alone = nodes.select("group", "block", "key", "n", F.col("key").alias("part"), "shingles", F.lit(False).alias("visits"))
     links = stage(alone.groupBy("group", "block").applyInArrow(lambda t: _links(t, num, den), "a long, b long"), "links")
-    wide = placing.where("blocks > 1").select("key", "group", "blocks", "block")
+    wide = placing.where("blocks > 1").drop("rk")
     if not wide.isEmpty():
-        # the largest part lies in one block; it visits all others of its group
+        # largest parts lie in one block; they visit the others
         placed = stage(_parts(wide, links), "parts")
-        core = placed.join(_cores(placed), "group").where(F.col("part") == F.col("core"))
-        everywhere = core.withColumn("to", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x <> block)"))).select("group", "to", "key", "part")
-        links = stage(links.unionByName(_products(nodes, placed, everywhere, num, den)), "links")
-        # nodes still outside the core visit the blocks with which they share a shingle of their prefix
+        links = stage(links.unionByName(_products(nodes, placed, stage(_core_visits(placed), "visits"), num, den)), "links")
+        # nodes still outside the largest part of their group visit the blocks that may hold nodes they link with
         placed = stage(_parts(placed, links), "parts")
-        rest = stage(placed.join(_cores(placed), "group").where(F.col("part") != F.col("core")).select("group", "block", "key", "part"), "rest")
-        if not rest.isEmpty():
-            asked = join_small(entries, rest.select("group", F.col("block").alias("own"), "key"), "key", "inner")
-            there = join_small(entries, placed.select("key", "group", "block"), "key", "inner").select("group", "shingle", F.col("block").alias("to")).distinct()
-            visits = asked.join(there, ["group", "shingle"]).where("to <> own").select("group", "key", "to").distinct()
-            guests = stage(rest.drop("block").join(visits, ["group", "key"]), "guests")
+        guests = stage(_further_visits(entries, placed, num, den), "guests")
+        if not guests.isEmpty():
             links = links.unionByName(stage(_products(nodes, placed, guests, num, den), "links"))
 
     part = components(links).select(F.col("node").alias("key"), F.col("label").alias("part"))

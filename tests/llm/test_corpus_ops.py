@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zipfile
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import components, decontaminate, host_rules, importance, language_id, line_dedup, ngram_join, pieces, substring_dedup, url_filter, zip_warc
+from fieldtrace.llm import common, components, decontaminate, host_rules, importance, language_id, line_dedup, ngram_join, pieces, substring_dedup, url_filter, zip_warc
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -146,6 +147,64 @@ def test_sets_travel_once_and_without_unique_shingles(spark, monkeypatch):
     assert len(held) == 1 and held[0] <= 8 * 8 * (40 + 60)
 
 
+def quilt(n):
+    """``n`` texts of four passages, each of which another text has too: all hang together, and no two are alike."""
+    passage = lambda a, b: [f"p{min(a, b)}and{max(a, b)}w{i}" for i in range(30)]
+    return [[w for far in (1, -1, 7, -7) for w in passage(k, (k + far) % n)] for k in range(n)]
+
+
+def test_unlike_texts_do_not_visit(spark, monkeypatch):
+    """Texts that share passages, but too little to be linked, lie in one group of many blocks; their sets stay in their blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 8)
+    staged, real = defaultdict(list), ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name="stage": (out := real(df, name), staged[name].append(out))[0])
+    rows = [(k, " ".join(words)) for k, words in enumerate(quilt(160))]
+    found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "component").collect()
+    assert sorted(map(tuple, found)) == [(k, k) for k in range(160)]
+    assert staged["placing"][0].agg(F.max("blocks")).first()[0] >= 20
+    assert sum(x.count() for x in staged["guests"]) <= 16
+
+
+def test_near_copies_of_texts_in_one_group(spark, monkeypatch):
+    """Clusters of edited and cut copies, several blocks each, that hang together by shared passages."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 3)
+    rng, rows = random.Random(4), []
+    for k, words in enumerate(quilt(16)):
+        for i in range(1 + k % 9):
+            copy = [w if rng.random() > 0.01 * (i % 3) else f"e{k}x{i}x{j}" for j, w in enumerate(words)]
+            rows.append((100 * k + i, " ".join(copy[:len(copy) - rng.randrange(0, 25)])))
+    found = ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "n", "component")
+    same(map(tuple, found.collect()), joined(rows))
+    assert 16 < len({c for *_, c in joined(rows)}) < len(rows)
+
+
+def test_near_copies_lie_together(spark, monkeypatch):
+    """Clusters as large as a block are placed in few blocks of a group of many."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 8)
+    placed, real = [], ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name="stage": (out := real(df, name), name == "placing" and placed.append(out))[0])
+    rows = [(k * 10 + i, " ".join(words[:len(words) - i])) for k, words in enumerate(quilt(24)) for i in range(8)]
+    assert ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("component").distinct().count() == 24
+    sets = {r["rk"]: r["id"] // 10 for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("rk", "id").collect()}
+    blocks = defaultdict(set)
+    for r in placed[0].collect():
+        blocks[sets[r["rk"]]].add(r["block"])
+    assert sum(map(len, blocks.values())) <= 3 * len(blocks)
+
+
+def test_stages_leave_no_shuffle_files(spark):
+    left = lambda: sum(f.getName().startswith("shuffle_") for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    before, kept = left(), spark.range(1000).repartition(7, "id")
+    table = common.stage(kept.groupBy(F.col("id") % 10).count(), "counts")
+    for _ in range(100):  # they are removed in the background
+        if left() <= before:
+            break
+        time.sleep(0.1)
+    assert left() <= before and table.count() == 10
+    assert spark.conf.get(common.FREES_SHUFFLES, "false") == "false"
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
     assert Counter(r["label"] for r in components.components(edges).collect()) == {0: 41, 100: 2}
