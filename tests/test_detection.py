@@ -89,3 +89,42 @@ def test_events_are_scored_once(spark, monkeypatch):
     assert [r["seq"] for r in found.select("seq").collect()] == [7]
     assert len(staged) == 1 and "ml_score" in staged[0].columns and staged[0].count() == 400
     assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_malware_summary_has_totals_families_and_the_last(spark):
+    """Two families and severities; the last ten of all detections are listed, the latest first."""
+    from pyspark.sql import functions as F
+
+    from fieldtrace.operators import malware as mw
+    rows = [(t, t % 2, "HIGH" if t % 3 == 0 else "CRITICAL", "STUXNET" if t % 4 == 0 else "PIPEDREAM", 0.5 + t / 100) for t in range(25)] + [(24, 1, "CRITICAL", "TRITON", 0.9)]
+    found = spark.createDataFrame(rows, "ts_us long, seq long, severity string, family string, confidence double").repartition(4)
+    made = mw.malware_summary(found.withColumn("evidence", F.create_map(F.lit("family"), F.col("family"), F.lit("name"), F.concat("family", F.lit("!"))))).collect()
+    of = lambda part, *columns: sorted(tuple(r[c] for c in columns) for r in made if r["part"] == part)
+    assert of("total", "detections") == [(26,)]
+    assert of("severity", "severity", "detections") == [("CRITICAL", 17), ("HIGH", 9)]
+    assert of("family", "family", "severity", "detections") == [("PIPEDREAM", "CRITICAL", 12), ("PIPEDREAM", "HIGH", 6), ("STUXNET", "CRITICAL", 4), ("STUXNET", "HIGH", 3), ("TRITON", "CRITICAL", 1)]
+    last = sorted(rows, reverse=True)[:10]
+    assert of("recent", "place", "ts_us", "seq", "family", "severity", "name", "confidence") == [(k + 1, t, s, f, v, f + "!", c) for k, (t, s, v, f, c) in enumerate(last)]
+    none = mw.malware_summary(found.limit(0).withColumn("evidence", F.create_map(F.lit("family"), F.col("family"), F.lit("name"), F.col("family")))).collect()
+    assert len(none) == 3 and {(r["part"], r["severity"], r["detections"]) for r in none} == {("total", None, 0), ("severity", "CRITICAL", 0), ("severity", "HIGH", 0)}
+
+
+def test_malware_summary_counts_both_families_of_the_tables(spark, tmp_path):
+    """The query next to its SQL twin over rows in which both families occur; the twin counted one and listed none."""
+    import datetime
+
+    import duckdb
+
+    from fieldtrace.plans import all_queries
+    from tests import oracle_check
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=7 * i), (0, 3)[i % 2], ("purchase", "signup", "error", "view")[i // 2 % 4], float(i), '{"k": %d}' % (i % 90)) for i in range(600)]
+    table = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1)
+    table.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    queries, oracles = all_queries()
+    made = queries["malware_summary"](spark, str(tmp_path))
+    difference, n = oracle_check.compare(made, con, oracles["malware_summary"])
+    assert difference == "" and {r["family"] for r in made.where("part = 'family'").collect()} == {"INDUSTROYER", "PIPEDREAM"}
