@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from fieldtrace.llm.common import stage
+from fieldtrace.llm.common import freed_shuffles
 
 U64 = np.uint64
 BUCKETS_AT_LEAST, BITS_AT_LEAST, BITS_AT_MOST = 512, 1 << 22, 1 << 29
@@ -70,11 +70,12 @@ class Repeated:
         per_bucket = bits // buckets
         spark = packed.sparkSession
         filter_bytes, self.occurrences = np.zeros((len(levels), bits // 8), np.uint8), np.zeros(buckets, np.int64)
-        blocks = packed.groupBy("bucket").applyInArrow(lambda key, t: _block(key, t, per_bucket, levels), "bucket long, block binary, occurrences long")
-        for row in stage(blocks, "filter").collect():  # bits // 8 bytes per level in all, whatever the input
-            at = row["bucket"] * per_bucket // 8
-            filter_bytes[:, at:at + per_bucket // 8] = np.frombuffer(row["block"], np.uint8).reshape(len(levels), -1)
-            self.occurrences[row["bucket"]] = row["occurrences"]
+        with freed_shuffles(spark):
+            blocks = packed.groupBy("bucket").applyInArrow(lambda key, t: _block(key, t, per_bucket, levels), "bucket long, block binary, occurrences long")
+            for row in blocks.collect():  # bits // 8 bytes per level in all, whatever the input
+                at = row["bucket"] * per_bucket // 8
+                filter_bytes[:, at:at + per_bucket // 8] = np.frombuffer(row["block"], np.uint8).reshape(len(levels), -1)
+                self.occurrences[row["bucket"]] = row["occurrences"]
         self.buckets, self.bits = buckets, per_bucket
         self.filter: Broadcast = spark.sparkContext.broadcast(filter_bytes)
 
